@@ -66,7 +66,7 @@ fragment("_customer_facts", "SELECT o.o_custkey,\n"
          "  min(CAST(o.o_orderdate AS DATE)) AS first_order,\n"
          "  max(CAST(o.o_orderdate AS DATE)) AS last_order,\n"
          + "".join(f"  CAST(sum(s.{c}) AS BIGINT) AS {c},\n" for c in PRODUCT_COLUMNS)
-         + "".join(f"  count_if(o.o_orderpriority = {sql_str(p)}) AS {c},\n"
+         + "".join(f"  CAST(count_if(o.o_orderpriority = {sql_str(p)}) AS BIGINT) AS {c},\n"
                    for p, c in zip(ORDER_PRIORITIES, CHANNEL_COLUMNS))
          + "".join(f"  max(CAST(year(o.o_orderdate) = {y} AND o.o_totalprice > {CAMPAIGN_PRICE} AS INTEGER)) AS {c},\n"
                    for y, c in zip(CAMPAIGN_YEARS, CAMPAIGN_COLUMNS))
@@ -101,3 +101,50 @@ assert list(_profile_cols) == RAW_COLUMNS
 fragment("customer_profile", "SELECT\n" + ",\n".join(f"  {v} AS {k}" for k, v in _profile_cols.items())
          + "\nFROM customer c\nLEFT JOIN _customer_facts f ON c.c_custkey = f.o_custkey\n"
          "LEFT JOIN _errors e ON c.c_custkey = e.user_id", ("_customer_facts", "_errors"))
+
+
+# ---------------------------------------------------------------------------
+# P1-P6 features (classification flavour, reference year 2001) and cleanings
+# ---------------------------------------------------------------------------
+from marketlens.operators.features import FIXTURE_REFERENCE_YEAR as _RY  # noqa: E402
+from marketlens.schema import PARTNER_STATUS, RARE_MARITAL_STATUS  # noqa: E402
+
+RARE_SQL = ", ".join(sql_str(s) for s in RARE_MARITAL_STATUS)
+PARTNER_SQL = ", ".join(sql_str(s) for s in PARTNER_STATUS)
+
+
+def nz_sum(cols, cast="BIGINT") -> str:
+    return f"CAST({' + '.join(f'coalesce({c}, 0)' for c in cols)} AS {cast})"
+
+
+fragment("_dated", "SELECT * REPLACE (CAST(try_strptime(Dt_Customer, '%d-%m-%Y') AS DATE) AS Dt_Customer)\n"
+         "FROM customer_profile", ("customer_profile",))
+fragment("features",
+         "SELECT d.* REPLACE (CASE WHEN d.Marital_Status IN (" + RARE_SQL + ") THEN 'Other' "
+         "ELSE d.Marital_Status END AS Marital_Status),\n"
+         "  CAST(date_diff('day', d.Dt_Customer, (SELECT max(Dt_Customer) FROM _dated)) AS INTEGER) AS CustomerTenure,\n"
+         f"  CAST({_RY} - d.Year_Birth AS INTEGER) AS Age,\n"
+         "  CAST(d.Kidhome + d.Teenhome AS INTEGER) AS TotalChildren,\n"
+         f"  {nz_sum(PRODUCT_COLUMNS)} AS TotalSpending,\n"
+         f"  {nz_sum(PURCHASE_COLUMNS)} AS TotalPurchases,\n"
+         f"  {nz_sum(CAMPAIGN_COLUMNS, 'INTEGER')} AS CampaignAcceptedTotal\n"
+         "FROM _dated d", ("_dated",))
+CLS_KEEP = "Age BETWEEN 18 AND 100 AND (Income IS NULL OR Income <= 200000)"
+fragment("cls_clean", f"SELECT * FROM features WHERE {CLS_KEEP}", ("features",))
+fragment("clu_clean", f"SELECT * FROM features WHERE {CLS_KEEP} AND CustomerTenure IS NOT NULL", ("features",))
+
+fragment("_reg_base",
+         "SELECT * REPLACE (CASE WHEN Marital_Status IN (" + RARE_SQL + ") THEN 'Other' "
+         "ELSE Marital_Status END AS Marital_Status),\n"
+         f"  CAST({_RY} - Year_Birth AS INTEGER) AS Age\n"
+         "FROM customer_profile\n"
+         f"WHERE {_RY} - Year_Birth BETWEEN 18 AND 100 AND (Income IS NULL OR Income <= 300000)",
+         ("customer_profile",))
+fragment("reg_prepared",
+         "SELECT b.* REPLACE (coalesce(b.Marital_Status, (SELECT coalesce((SELECT Marital_Status FROM _reg_base "
+         "WHERE Marital_Status IS NOT NULL GROUP BY Marital_Status ORDER BY count(*) DESC, Marital_Status LIMIT 1), "
+         "'Other'))) AS Marital_Status),\n"
+         "  CAST(coalesce(coalesce(b.Marital_Status, (SELECT Marital_Status FROM _reg_base WHERE Marital_Status IS NOT NULL "
+         "GROUP BY Marital_Status ORDER BY count(*) DESC, Marital_Status LIMIT 1)) IN (" + PARTNER_SQL + "), false) AS INTEGER) AS HasPartner,\n"
+         "  CAST(b.Kidhome + b.Teenhome AS INTEGER) AS TotalChildren\n"
+         "FROM _reg_base b", ("_reg_base",))
