@@ -148,3 +148,50 @@ fragment("reg_prepared",
          "GROUP BY Marital_Status ORDER BY count(*) DESC, Marital_Status LIMIT 1)) IN (" + PARTNER_SQL + "), false) AS INTEGER) AS HasPartner,\n"
          "  CAST(b.Kidhome + b.Teenhome AS INTEGER) AS TotalChildren\n"
          "FROM _reg_base b", ("_reg_base",))
+
+
+# ---------------------------------------------------------------------------
+# helpers for ranking / safe arithmetic
+# ---------------------------------------------------------------------------
+def sdiv(num: str, den: str) -> str:
+    """``num / den`` with zero or NULL denominator -> 0 (DuckDB divides by zero to inf)."""
+    return f"coalesce(({num}) / nullif({den}, 0), 0)"
+
+
+def _scored_list(cols, names) -> str:
+    items = ", ".join(f"{{'neg': -({c}), 'pos': {i}, 'product': {sql_str(n)}, 'score': {c}}}"
+                      for i, (c, n) in enumerate(zip(cols, names)))
+    return f"list_sort([{items}])"
+
+
+def top1_sql(cols, names=None) -> str:
+    return f"{_scored_list(cols, names or cols)}[1].product"
+
+
+def banner_order_sql(cols, names=None) -> str:
+    return f"array_to_string(list_transform({_scored_list(cols, names or cols)}, lambda x: x.product), ' > ')"
+
+
+def banner_scores_sql(cols, names=None) -> str:
+    return (f"array_to_string(list_transform({_scored_list(cols, names or cols)}, "
+            f"lambda x: printf('%s:%.3f', x.product, x.score)), ' | ')")
+
+
+# ---------------------------------------------------------------------------
+# recommendation chain: shares -> split -> train prior -> relative scores
+# ---------------------------------------------------------------------------
+from marketlens.operators.split import fold_sql, split_sql  # noqa: E402
+
+_TOT = nz_sum(PRODUCT_COLUMNS)
+fragment("reg_shares", "SELECT ID, " + ", ".join(f"{c} / {_TOT} AS {c}" for c in PRODUCT_COLUMNS)
+         + f" FROM reg_prepared WHERE {_TOT} > 0", ("reg_prepared",))
+fragment("reg_split", split_sql("reg_shares"), ("reg_shares",))
+fragment("reg_prior", "SELECT " + ", ".join(f"nullif(avg({c}), 0) AS prior_{c}" for c in PRODUCT_COLUMNS)
+         + " FROM reg_split WHERE NOT is_test", ("reg_split",))
+fragment("reg_relative", "SELECT s.ID, s.is_test, " + ", ".join(
+    f"{sdiv('s.' + c, 'p.prior_' + c)} AS {c}" for c in PRODUCT_COLUMNS)
+    + " FROM reg_split s CROSS JOIN reg_prior p", ("reg_split", "reg_prior"))
+fragment("reg_top1", f"SELECT ID, is_test, {top1_sql(PRODUCT_COLUMNS)} AS Actual_Product FROM reg_relative",
+         ("reg_relative",))
+fragment("reg_baseline", "SELECT Actual_Product AS baseline_product FROM reg_top1 WHERE NOT is_test "
+         "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1", ("reg_top1",))
