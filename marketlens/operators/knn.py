@@ -2,21 +2,23 @@
 
 Pivot cells with triangle-inequality pruning:
 
-1. ``m`` pivots are training rows picked by key hash (m grows like sqrt(n), capped,
-   so the pivot table is bounded and broadcast).  Every training row goes to
-   its nearest pivot: cell id and distance, computed in one projection with
-   array functions against the broadcast pivots.
-2. Per cell: size and radius R (largest member distance to the pivot); one row
-   per cell, broadcast.
+1. ``m`` pivots are training rows picked by key hash (m grows like sqrt(n) and
+   is capped, so the pivot matrix shipped to the tasks is bounded).  Every
+   training row goes to its nearest pivot (NumPy over Arrow batches).
+2. Per cell: size and radius R (largest member distance to the pivot); m rows,
+   aggregated by Spark, shipped to the tasks with the pivots.
 3. For a query q every member t of cell c satisfies
    ``d(q,p_c) - R_c <= d(q,t) <= d(q,p_c) + R_c``.  Walking the cells by the
    upper bound until k members are covered gives r_q >= the true k-th
    distance; only cells with ``d(q,p_c) - R_c <= r_q`` can hold a neighbour.
-4. Queries are exploded to their candidate cells and equi-joined with the
+4. Queries are exploded to their candidate cells and cogrouped with the
    training rows of those cells.  Cells bigger than ``chunk_size`` are split
-   into chunks by key hash, so a hot cell (many identical customers) spreads
-   over many tasks; a top-k per (query, cell, chunk) runs before the final
-   top-k per query, so no group exceeds ``chunk_size`` or k x chunks rows.
+   into chunks by key hash, and the queries of a cell into query chunks of at
+   most ``query_chunk`` rows (the cell's training rows are replicated per
+   query chunk), so a hot cell (many identical customers) spreads over many
+   tasks and no block exceeds query_chunk x chunk_size distances.  Each block
+   computes its distances with NumPy (Arrow batches) and keeps a top-k per
+   query; the final top-k per query sees at most k rows per block.
 
 Ties in distance go to the smaller training key.  The result is exact: it
 equals brute force (checked in the tests and by the DuckDB oracle).
@@ -26,77 +28,121 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.operators.split import key_hash
 
 
-def _sqdist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+def _nearest_pivot_fn(pivots: np.ndarray):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            v = np.stack(pdf["tv"].to_numpy()).astype(float)
+            d = np.sqrt(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+            best = d.argmin(axis=1)
+            yield pd.DataFrame({"tid": pdf["tid"].to_numpy(), "tv": pdf["tv"], "cell": best + 1,
+                                "dp": d[np.arange(len(v)), best]})
+    return run
+
+
+def _candidate_cells_fn(pivots: np.ndarray, cnt: np.ndarray, radius: np.ndarray, chunks: np.ndarray, k: int):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            v = np.stack(pdf["qv"].to_numpy()).astype(float)
+            d = np.sqrt(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))  # n x m
+            ub = d + radius[None, :]
+            order = np.argsort(ub, axis=1, kind="stable")
+            covered = np.cumsum(cnt[order], axis=1)
+            pos = np.minimum((covered < k).sum(axis=1), d.shape[1] - 1)
+            r = ub[np.arange(len(v)), order[np.arange(len(v)), pos]]
+            need = ((d - radius[None, :]) <= r[:, None] + 1e-9) & (cnt[None, :] > 0)
+            rows, cells = np.nonzero(need)
+            reps = chunks[cells]
+            rr, cc = np.repeat(rows, reps), np.repeat(cells, reps)
+            ch = np.concatenate([np.arange(n) for n in reps]) if len(reps) else np.array([], int)
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[rr], "qv": pdf["qv"].to_numpy()[rr],
+                                "cell": cc + 1, "chunk": ch})
+    return run
+
+
+def _block_topk_fn(k: int):
+    def run(key, qpdf, tpdf):
+        if len(qpdf) == 0 or len(tpdf) == 0:
+            return pd.DataFrame({"qid": np.array([], "int64"), "tid": np.array([], "int64"),
+                                 "d2": np.array([], float)})
+        qv = np.stack(qpdf["qv"].to_numpy()).astype(float)
+        tv = np.stack(tpdf["tv"].to_numpy()).astype(float)
+        tid, qid = tpdf["tid"].to_numpy(), qpdf["qid"].to_numpy()
+        outs = []
+        step = max(1, 4_000_000 // max(1, tv.size))
+        for s0 in range(0, len(qv), step):
+            diff = qv[s0:s0 + step, None, :] - tv[None, :, :]
+            d2 = np.einsum("ijk,ijk->ij", diff, diff)
+            if d2.shape[1] > k:  # keep everything tied with the k-th distance
+                kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+                rows, cols = np.nonzero(d2 <= kth[:, None])
+            else:
+                rows, cols = np.indices(d2.shape).reshape(2, -1)
+            order = np.lexsort((tid[cols], d2[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.searchsorted(rows, rows, side="left")
+            keep = (np.arange(len(rows)) - first) < k
+            rows, cols = rows[keep], cols[keep]
+            outs.append(pd.DataFrame({"qid": qid[s0:s0 + step][rows], "tid": tid[cols], "d2": d2[rows, cols]}))
+        return pd.concat(outs, ignore_index=True)
+    return run
 
 
 def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 15, key: str = "ID", vec: str = "vec",
-                   n_pivots: int | None = None, chunk_size: int = 4096, max_pivots: int = 4096) -> DataFrame:
+                   n_pivots: int | None = None, chunk_size: int = 4096, max_pivots: int = 4096,
+                   query_chunk: int = 4096) -> DataFrame:
     """(query key ``qid``, neighbour key ``tid``, squared distance ``d2``, rank 1..k)."""
-    spark = train.sparkSession
-    train = train.select(F.col(key).alias("tid"), F.col(vec).alias("tv"), *[c for c in train.columns
-                                                                            if c not in (key, vec)])
+    train = train.select(F.col(key).alias("tid"), F.col(vec).alias("tv"))
     n_train = train.count()
     m = n_pivots or max(1, min(max_pivots, int(math.ceil(math.sqrt(max(n_train, 1))))))
-    w = Window.orderBy("_h", "tid")
-    # m smallest hashes: a bounded top-m (the sort is over m rows per task after the limit)
-    pivots = (train.select("tid", "tv", key_hash("tid", 7).alias("_h")).orderBy("_h", "tid").limit(m)
-              .select(F.row_number().over(w).alias("cell"), F.col("tv").alias("pv")))
-    packed = pivots.agg(F.collect_list(F.struct("cell", "pv")).alias("_piv"))  # m elements
-
-    def nearest(vcol: str) -> Column:
-        ds = F.transform(F.col("_piv"), lambda p: F.struct(F.sqrt(_sqdist(F.col(vcol), p["pv"])).alias("d"),
-                                                          p["cell"].alias("cell")))
-        return ds
-
-    assigned = (train.crossJoin(F.broadcast(packed))
-                .withColumn("_ds", nearest("tv"))
-                .withColumn("_best", F.array_min("_ds"))
-                .select("tid", "tv", *[c for c in train.columns if c not in ("tid", "tv")],
-                        F.col("_best")["cell"].alias("cell"), F.col("_best")["d"].alias("dp"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    stats = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("dp").alias("R"))
-    # every pivot id 1..m is present (a duplicate pivot may own no member)
-    cells = (pivots.select("cell").join(stats, "cell", "left")
-             .select("cell", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("cnt"),
-                     F.coalesce("R", F.lit(0.0)).alias("R"))
-             .withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("cnt") / chunk_size)).cast("int")))
-    # m elements sorted by cell id, so element_at(_cells, cell) is the cell's row
-    cell_info = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "cnt", "R", "chunks"))).alias("_cells"))
-
-    tr = assigned.join(F.broadcast(cells.select("cell", "chunks")), "cell") \
+    # m training rows with the smallest key hash (bounded top-m); m x dim numbers to the driver
+    piv_rows = (train.select("tv", key_hash("tid", 7).alias("_h"), "tid").orderBy("_h", "tid").limit(m)
+                .collect())
+    pivots = np.array([r["tv"] for r in piv_rows], dtype=float)
+    m = len(pivots)
+
+    assign_schema = T.StructType([T.StructField("tid", T.LongType()), T.StructField("tv", T.ArrayType(T.DoubleType())),
+                                  T.StructField("cell", T.IntegerType()), T.StructField("dp", T.DoubleType())])
+    assigned = train.mapInPandas(_nearest_pivot_fn(pivots), assign_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = {r["cell"]: (r["cnt"], r["R"]) for r in
+             assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("dp").alias("R")).collect()}
+    cnt = np.array([stats.get(c, (0, 0.0))[0] for c in range(1, m + 1)], dtype=float)
+    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(1, m + 1)], dtype=float)
+    chunks = np.maximum(1, np.ceil(cnt / chunk_size)).astype(int)
+
+    spark = train.sparkSession
+    chunk_df = spark.createDataFrame([(c + 1, int(chunks[c])) for c in range(m)], "cell int, chunks int")
+    tr = assigned.join(F.broadcast(chunk_df), "cell") \
         .withColumn("chunk", F.pmod(key_hash("tid", 11), F.col("chunks")).cast("int")).drop("chunks")
 
     q = test.select(F.col(key).alias("qid"), F.col(vec).alias("qv"))
-    q = q.crossJoin(F.broadcast(packed)).crossJoin(F.broadcast(cell_info))
-    # distance from q to every pivot, joined with the cell facts (same order: by cell id)
-    q = q.withColumn("_pd", F.array_sort(nearest("qv")))  # sorted by d, then cell
-    q = q.withColumn("_c", F.transform(F.col("_pd"), lambda z: F.struct(
-        z["d"].alias("d"), z["cell"].alias("cell"),
-        F.element_at(F.col("_cells"), z["cell"]).alias("info"))))
-    # upper bound r_q: walk cells by d + R until k members are covered
-    by_ub = F.array_sort(F.transform(F.col("_c"), lambda z: F.struct(
-        (z["d"] + z["info"]["R"]).alias("ub"), z["info"]["cnt"].alias("cnt"))))
-    acc0 = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("r"))
-    walk = F.aggregate(by_ub, acc0, lambda acc, z: F.when(acc["n"] >= k, acc).otherwise(
-        F.struct((acc["n"] + z["cnt"]).alias("n"), z["ub"].alias("r"))))
-    q = q.withColumn("_r", walk["r"])
-    need = F.filter(F.col("_c"), lambda z: (z["info"]["cnt"] > 0)
-                    & ((z["d"] - z["info"]["R"]) <= F.col("_r") + F.lit(1e-9)))
-    qc = q.select("qid", "qv", F.explode(need).alias("_z")).select(
-        "qid", "qv", F.col("_z")["cell"].alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.col("_z")["info"]["chunks"] - 1)).alias("chunk"))
-    pairs = qc.join(tr.select("cell", "chunk", "tid", "tv"), ["cell", "chunk"])
-    pairs = pairs.select("qid", "cell", "chunk", "tid", _sqdist(F.col("qv"), F.col("tv")).alias("d2"))
-    w_part = Window.partitionBy("qid", "cell", "chunk").orderBy("d2", "tid")
-    part = pairs.withColumn("_rn", F.row_number().over(w_part)).filter(F.col("_rn") <= k)
+    qc_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
+                              T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
+    qc = q.mapInPandas(_candidate_cells_fn(pivots, cnt, radius, chunks, k), qc_schema)
+    # bound the query side of every (cell, chunk) block too: queries of a popular
+    # cell are cut into query chunks, the cell's training rows are replicated per chunk
+    qcount = qc.groupBy("cell").agg(F.count(F.lit(1)).alias("_nq")) \
+        .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_nq") / query_chunk)).cast("int").alias("qchunks"))
+    qc = (qc.join(F.broadcast(qcount), "cell")
+          .withColumn("qchunk", F.pmod(key_hash("qid", 13), F.col("qchunks")).cast("int")).drop("qchunks"))
+    trq = (tr.select("cell", "chunk", "tid", "tv").join(F.broadcast(qcount), "cell")
+           .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("qchunks") - 1))).drop("qchunks"))
+    part = (qc.select("cell", "chunk", "qchunk", "qid", "qv").groupBy("cell", "chunk", "qchunk")
+            .cogroup(trq.groupBy("cell", "chunk", "qchunk"))
+            .applyInPandas(_block_topk_fn(k), "qid long, tid long, d2 double"))
     w_final = Window.partitionBy("qid").orderBy("d2", "tid")
     out = part.withColumn("rank", F.row_number().over(w_final)).filter(F.col("rank") <= k)
     return out.select("qid", "tid", "d2", "rank")

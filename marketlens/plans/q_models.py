@@ -8,7 +8,7 @@ from marketlens.operators import prep, recommend as R, recommender as M
 from marketlens.plans.q_prepare import reg_prepared
 from marketlens.plans.registry import register
 from marketlens.schema import PRODUCT_COLUMNS, STAGE_FEATURE_SETS
-from marketlens.sources.profile import customer_profile
+from marketlens.plans.q_prepare import profile
 
 
 def run(spark, sf):
@@ -79,7 +79,7 @@ def q_recommender_diagnostics(spark, sf):
 @register("score_customers", note="M13: final model applied to every customer of the table")
 def q_score_customers(spark, sf):
     r = run(spark, sf)
-    return M.score_customers(customer_profile(spark, sf), r)
+    return M.score_customers(profile(spark, sf), r)
 
 
 register("spending_regression", note="M14: TotalSpending ~ Income, Age, Kidhome, Teenhome")(

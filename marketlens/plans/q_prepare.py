@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from marketlens.operators import clean, features as P, stats
@@ -14,8 +16,23 @@ from marketlens.sources.profile import customer_profile
 
 
 # --- shared Spark pipelines -------------------------------------------------
+_PROFILE_TABLES: dict = {}
+
+
 def profile(spark, sf):
-    return customer_profile(spark, sf)
+    """The derived customer table, materialised once per session.
+
+    Every workflow starts from it, so it is written once as a reliable
+    checkpoint under ``spark.checkpoint.dir`` (shared storage on a cluster)
+    and read back by all queries; lineage to the star schema is cut there.
+    The ``build_customer_profile`` query itself always derives it afresh.
+    """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    df = _PROFILE_TABLES.get(key)
+    if df is None:
+        df = customer_profile(spark, sf).checkpoint(eager=True)
+        _PROFILE_TABLES[key] = df
+    return df
 
 
 def featured(spark, sf):
