@@ -64,7 +64,7 @@ def predict_logistic(train: DataFrame, test: DataFrame, balanced: bool, label: s
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n, 1),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                            maxIter=2000, tol=1e-8, family="binomial")
+                            maxIter=2000, tol=1e-6, family="binomial")
     fit_df = train
     if balanced:
         fit_df = with_weights(train, class_weights(train, label), label)
@@ -216,8 +216,12 @@ def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Seque
         def run(task):
             (fold, tr, te), name = task
             p = fit_predict(name, tr, te, label)
-            return p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID",
-                            F.col(label).cast("int").alias(label), "prediction", F.col("score").cast("double"))
+            p = p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID",
+                         F.col(label).cast("int").alias(label), "prediction", F.col("score").cast("double"))
+            # materialise inside the worker thread: the final union is then a union of cached scans
+            p = p.persist(StorageLevel.MEMORY_AND_DISK)
+            p.count()
+            return p
 
         parts = list(pool.map(run, [(s, m) for s in prepared for m in models]))
     out = parts[0]

@@ -12,9 +12,11 @@ Protocol of the published workflow, on Spark:
 * summary sorted by (match rate, test R2) descending; the first row is the
   final model, whose prediction frame is the recommendation output.
 
-Each fit = one preprocessing fit (two aggregates) + one Gramian pass.  The
-prepared frame is checkpointed once, so the 36 fits read it instead of
-re-deriving the customer table.
+Each fit = one preprocessing fit (two aggregates) + one Gramian pass, and
+its metrics are one more aggregate (sums of errors and of actuals per output)
+that returns a handful of numbers; the 36 independent fits are submitted from
+a small driver thread pool.  The prepared frame is checkpointed once, so the
+fits read it instead of re-deriving the customer table.
 """
 
 from __future__ import annotations
@@ -124,61 +126,67 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
 
     combos = [(s, m) for s in feature_sets for m in models]
     splits = [(f, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)) for f in range(n_folds)]
+    spark = prepared.sparkSession
+
+    def sums(pred_actual: DataFrame, extra=()):
+        """One aggregate: n, per output SSE, SAE, sum a, sum a^2 (+ extra aggregates)."""
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for c in pc:
+            e = F.col("p_" + c) - F.col("a_" + c)
+            aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c),
+                     F.sum("a_" + c).alias("sa_" + c), F.sum(F.col("a_" + c) ** 2).alias("saa_" + c)]
+        return pred_actual.agg(*aggs, *extra).first()
+
+    def r2_of(row) -> tuple[float, float, float]:
+        n = row["n"]
+        r2s = []
+        for c in pc:
+            sst = row["saa_" + c] - row["sa_" + c] ** 2 / n
+            sse = row["sse_" + c]
+            r2s.append((1.0 if sse == 0 else 0.0) if sst <= 0 else 1.0 - sse / sst)
+        mae = sum(row["sae_" + c] for c in pc) / (n * len(pc))
+        rmse = (sum(row["sse_" + c] for c in pc) / (n * len(pc))) ** 0.5
+        return sum(r2s) / len(pc), mae, rmse
+
+    def with_actual(pred: DataFrame, rows: DataFrame) -> DataFrame:
+        return pred.select("ID", *[F.col(c).alias("p_" + c) for c in pc]).join(
+            rows.select("ID", *[F.col(c).alias("a_" + c) for c in pc]), "ID")
 
     def cv_task(t):
         (stage, name), (f, tr, te) = t
         sm = fit_stage_model(tr, stage, feature_sets[stage], name, pc)
-        raw = sm.predict_raw(te, ["ID"])
-        return raw.select("ID", *[F.col(c).alias("p_" + c) for c in pc]) \
-            .select(F.lit(stage).alias("stage"), F.lit(name).alias("model"), F.lit(f).alias("fold"), "*")
+        return (stage, name, f), r2_of(sums(with_actual(sm.predict_raw(te, ["ID"]), te)))[0]
 
     def holdout_task(t):
         stage, name = t
         sm = fit_stage_model(train, stage, feature_sets[stage], name, pc)
-        return (stage, name), sm
+        norm = R.normalize_shares(sm.predict_raw(test, ["ID"]), pc).persist(StorageLevel.MEMORY_AND_DISK)
+        frame = R.prediction_frame(test.select("ID", *pc), norm, prior, pc)
+        j = with_actual(norm, test).join(frame.select("ID", "Actual_Product", "Recommended_Product"), "ID")
+        row = sums(j, [F.avg((F.col("Actual_Product") == F.col("Recommended_Product")).cast("double"))
+                       .alias("match")])
+        return (stage, name), (sm, frame, r2_of(row), row["match"])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        cv_parts = list(pool.map(cv_task, [(c, s) for c in combos for s in splits]))
-        fitted = dict(pool.map(holdout_task, combos))
-
-    actual_cols = data.select("ID", *[F.col(c).alias("a_" + c) for c in pc])
-    cv_pred = cv_parts[0]
-    for p in cv_parts[1:]:
-        cv_pred = cv_pred.unionByName(p)
-    cv_r2 = _r2_table(cv_pred.join(actual_cols, "ID"), ["stage", "model", "fold"], pc) \
-        .groupBy("stage", "model").agg(F.avg("r2").alias("CV R2 Mean"), F.stddev_pop("r2").alias("CV R2 Std"))
-
-    frames, hold_parts = {}, []
-    for (stage, name), sm in fitted.items():
-        norm = R.normalize_shares(sm.predict_raw(test, ["ID"]), pc)
-        frame = R.prediction_frame(test.select("ID", *pc), norm, prior, pc)
-        frames[(stage, name)] = frame
-        hold_parts.append(norm.select(F.lit(stage).alias("stage"), F.lit(name).alias("model"), "ID",
-                                      *[F.col(c).alias("p_" + c) for c in pc]))
-        hold_parts[-1] = hold_parts[-1].join(
-            frame.select("ID", "Recommended_Product"), "ID")
-    hold = hold_parts[0]
-    for p in hold_parts[1:]:
-        hold = hold.unionByName(p)
-    hold = hold.join(actual_cols, "ID").join(test_actual, "ID")
-    test_m = _r2_table(hold, ["stage", "model"], pc)
-    match = R.match_rate(hold, "Actual_Product", "Recommended_Product", ["stage", "model"])
-    feats = feature_sets
-    meta = prepared.sparkSession.createDataFrame(
-        [(s, m, len(feats[s]), ", ".join(feats[s])) for s, m in combos],
-        "stage string, model string, `Feature Count` int, Features string")
-    summary = (meta.join(cv_r2, ["stage", "model"]).join(test_m, ["stage", "model"]).join(match, ["stage", "model"])
-               .select(F.col("stage").alias("Business Model"), F.col("model").alias("Regression Model"),
-                       "Feature Count", "Features", "CV R2 Mean", "CV R2 Std",
-                       F.col("r2").alias("Test R2"), F.col("mae").alias("Test MAE"), F.col("rmse").alias("Test RMSE"),
-                       F.col("match_rate").alias("Recommendation Match Rate"),
-                       F.lit(base_rate).alias("Baseline Match Rate"),
-                       (F.col("match_rate") - F.lit(base_rate)).alias("Lift vs Baseline")))
-    summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
-    best = summary.orderBy(F.col("Recommendation Match Rate").desc(), F.col("Test R2").desc(),
-                           "Business Model", "Regression Model").first()
-    key = (best["Business Model"], best["Regression Model"])
-    return RecommendationRun(summary, key, frames[key], fitted, prior, baseline)
+        cv = dict(pool.map(cv_task, [(c, s) for c in combos for s in splits]))
+        hold = dict(pool.map(holdout_task, combos))
+
+    rows = []
+    for stage, name in combos:
+        folds = [cv[(stage, name, f)] for f in range(n_folds)]
+        mean = sum(folds) / n_folds
+        std = (sum((v - mean) ** 2 for v in folds) / n_folds) ** 0.5
+        _, _, (r2, mae, rmse), match = hold[(stage, name)]
+        rows.append((stage, name, len(feature_sets[stage]), ", ".join(feature_sets[stage]), mean, std, r2, mae,
+                     rmse, match, base_rate, match - base_rate))
+    summary = spark.createDataFrame(rows, "`Business Model` string, `Regression Model` string, "
+                                    "`Feature Count` int, Features string, `CV R2 Mean` double, `CV R2 Std` double, "
+                                    "`Test R2` double, `Test MAE` double, `Test RMSE` double, "
+                                    "`Recommendation Match Rate` double, `Baseline Match Rate` double, "
+                                    "`Lift vs Baseline` double")
+    best = sorted(rows, key=lambda r: (-r[9], -r[6], r[0], r[1]))[0]
+    key = (best[0], best[1])
+    return RecommendationRun(summary, key, hold[key][1], {k: v[0] for k, v in hold.items()}, prior, baseline)
 
 
 def score_customers(customers: DataFrame, run: RecommendationRun, key: tuple[str, str] | None = None,
