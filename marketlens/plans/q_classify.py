@@ -163,3 +163,21 @@ register("compare_classifiers", note="E6: holdout and 5-fold CV metrics per mode
     lambda spark, sf: C.compare_classifiers(all_predictions(spark, sf)))
 register("rank_models", note="W8: models by test F1")(
     lambda spark, sf: C.ranked_models(C.compare_classifiers(all_predictions(spark, sf))))
+
+
+def _holdout_all(spark, sf):
+    return all_predictions(spark, sf).filter(F.col("fold") == -1)
+
+
+register("confusion_matrices", note="E3 for all five models on the holdout")(
+    lambda spark, sf: C.confusion_matrix(_holdout_all(spark, sf)))
+register("classification_reports", note="E4 for all five models on the holdout")(
+    lambda spark, sf: C.classification_report(_holdout_all(spark, sf)))
+
+
+@register("classification_report_json", note="S6: per-model report documents as JSON strings")
+def q_classification_report_json(spark, sf):
+    rep = C.classification_report(holdout_predictions(spark, sf, "knn_k15"))
+    doc = rep.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        "label", F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), "support"))))).alias("report"))
+    return doc

@@ -84,3 +84,16 @@ def q_score_customers(spark, sf):
 
 register("spending_regression", note="M14: TotalSpending ~ Income, Age, Kidhome, Teenhome")(
     lambda spark, sf: M.spending_regression(reg_prepared(spark, sf)))
+
+
+@register("score_customers_stream", note="M13 on Structured Streaming: customer files scored per micro-batch")
+def q_score_customers_stream(spark, sf):
+    from marketlens.sources import files
+    from marketlens.streaming.scoring import fit_recommender, start_scoring_stream
+    run_ = fit_recommender(reg_prepared(spark, sf))
+    src = files.scratch_path(spark, "customers_in")
+    profile(spark, sf).repartition(4).write.parquet(src)  # derived customer rows arriving as files
+    sink, ckpt = files.scratch_path(spark, "scored"), files.scratch_path(spark, "scored_ckpt")
+    query = start_scoring_stream(spark, src, run_, sink, ckpt, max_files_per_trigger=1)
+    query.awaitTermination()
+    return spark.read.parquet(sink)
