@@ -33,6 +33,7 @@ from marketlens.operators import features as P, prep, recommend as R, split as S
 from marketlens.functions.rowexpr import top1_product
 from marketlens.operators.linreg import LinearModel, fit_least_squares, poly2_array
 from marketlens.schema import PRODUCT_COLUMNS, REGRESSOR_NAMES, STAGE_FEATURE_SETS
+from marketlens.session import materialize
 
 LINEAR, POLY = REGRESSOR_NAMES
 
@@ -115,7 +116,7 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
                          n_folds: int = 5, parallelism: int = 8) -> RecommendationRun:
     """E7 (+E9): all stage x model combinations, summary, final model and its prediction frame."""
     pc = list(product_cols)
-    data = prepared_targets(prepared, feature_sets, pc, n_folds=n_folds).checkpoint()
+    data = materialize(prepared_targets(prepared, feature_sets, pc, n_folds=n_folds))
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
     prior = R.product_prior(train, pc).persist(StorageLevel.MEMORY_AND_DISK)
     actual_rel = R.with_top1(R.relative_preference(data.select("ID", "is_test", *pc), prior, pc), "Actual_Product")
@@ -213,7 +214,7 @@ def spending_regression(prepared: DataFrame, features: Sequence[str] = ("Income"
     spark: SparkSession = prepared.sparkSession
     from marketlens.functions.rowexpr import row_sum_skip_nulls
     d = prepared.withColumn(target, row_sum_skip_nulls(PRODUCT_COLUMNS).cast("double"))
-    d = S.split_flag(d.select("ID", *features, target), test_size).checkpoint()
+    d = materialize(S.split_flag(d.select("ID", *features, target), test_size))
     train, test = d.filter(~F.col("is_test")), d.filter("is_test")
     pre = prep.fit_preprocessor(train, numeric=list(features))
     rows = []

@@ -18,6 +18,7 @@ from marketlens.plans.q_prep import CLS_NUMERIC
 from marketlens.plans.q_prepare import cls_clean
 from marketlens.plans.registry import register
 from marketlens.schema import CATEGORICAL_COLUMNS, CLASSIFICATION_FEATURES
+from marketlens.session import materialize
 
 L = C.LABEL
 
@@ -42,7 +43,7 @@ def holdout_predictions(spark, sf, model: str):
 
 
 def all_predictions(spark, sf):
-    d = cls_data(spark, sf).checkpoint()  # cut lineage once: every fit reads this
+    d = materialize(cls_data(spark, sf))  # cut lineage once: every fit reads this
     return C.prediction_table(d, CLASSIFICATION_FEATURES)
 
 

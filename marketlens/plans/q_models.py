@@ -9,6 +9,7 @@ from marketlens.plans.q_prepare import reg_prepared
 from marketlens.plans.registry import register
 from marketlens.schema import PRODUCT_COLUMNS, STAGE_FEATURE_SETS
 from marketlens.plans.q_prepare import profile
+from marketlens.session import materialize
 
 
 def run(spark, sf):
@@ -16,7 +17,7 @@ def run(spark, sf):
 
 
 def _holdout_predictions(spark, sf, stage: str, model: str):
-    data = M.prepared_targets(reg_prepared(spark, sf)).checkpoint()
+    data = materialize(M.prepared_targets(reg_prepared(spark, sf)))
     sm = M.fit_stage_model(data.filter(~F.col("is_test")), stage, STAGE_FEATURE_SETS[stage], model)
     return R.normalize_shares(sm.predict_raw(data.filter("is_test"), ["ID"]))
 

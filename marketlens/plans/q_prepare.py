@@ -13,6 +13,7 @@ from marketlens.schema import (CAMPAIGN_COLUMNS, CLASSIFICATION_FEATURES, IDENTI
                                PURCHASE_COLUMNS, RAW_COLUMNS)
 from marketlens.sources import files
 from marketlens.sources.profile import customer_profile
+from marketlens.session import materialize
 
 
 # --- shared Spark pipelines -------------------------------------------------
@@ -30,7 +31,7 @@ def profile(spark, sf):
     key = (spark.sparkContext.applicationId, os.path.abspath(sf))
     df = _PROFILE_TABLES.get(key)
     if df is None:
-        df = customer_profile(spark, sf).checkpoint(eager=True)
+        df = materialize(customer_profile(spark, sf))
         _PROFILE_TABLES[key] = df
     return df
 

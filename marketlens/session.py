@@ -61,3 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` (cuts lineage; survives executor loss).
+
+    Writes under the session's shared checkpoint folder; never a local
+    checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

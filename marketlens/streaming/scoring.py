@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from marketlens.operators import recommend as R
 from marketlens.operators import recommender as M
 from marketlens.schema import CUSTOMER_SCHEMA, PRODUCT_COLUMNS, STAGE_FEATURE_SETS
+from marketlens.session import materialize
 
 
 def fit_recommender(prepared: DataFrame, stage: str = "Existing-customer", model: str = M.LINEAR) -> M.RecommendationRun:
     """One stage x model recommender fitted on the training split (prior from train shares)."""
-    data = M.prepared_targets(prepared).checkpoint()
+    data = materialize(M.prepared_targets(prepared))
     train = data.filter(~F.col("is_test"))
     sm = M.fit_stage_model(train, stage, STAGE_FEATURE_SETS[stage], model)
     prior = R.product_prior(train, PRODUCT_COLUMNS)
