@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import prep, recommend as R, recommender as M
 from marketlens.plans.q_prepare import reg_prepared
-from marketlens.plans.registry import register
+from marketlens.plans.registry import register, session_result
 from marketlens.schema import PRODUCT_COLUMNS, STAGE_FEATURE_SETS
 from marketlens.plans.q_prepare import profile
 from marketlens.session import materialize
 
 
+@session_result("recommender_run")
 def run(spark, sf):
     return M.compare_recommenders(reg_prepared(spark, sf))
 

@@ -10,6 +10,7 @@ predictions inside the recommender comparison (E7/E9).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from marketlens.functions.rowexpr import top1_product
@@ -25,8 +26,12 @@ PC = PRODUCT_COLUMNS
 
 # --- shared Spark pipelines -------------------------------------------------
 def reg_split(spark, sf):
-    """Valid customers (positive spend) with six shares and the 80/20 test flag."""
-    return S.split_flag(P.spending_share_target(reg_prepared(spark, sf)), 0.2)
+    """Valid customers (positive spend) with six shares and the 80/20 test flag.
+
+    Persisted: the flag table feeds both the train prior and the scored rows,
+    so the two shuffles of the hash rank run once.
+    """
+    return S.split_flag(P.spending_share_target(reg_prepared(spark, sf)), 0.2).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_prior(split_df):
@@ -42,7 +47,8 @@ def flagship(spark, sf):
 def flagship_with_raw(spark, sf):
     """Flagship recommendation plus the most-bought product (raw share top 1)."""
     prepared = reg_prepared(spark, sf)
-    sp = S.split_flag(P.spending_share_target(prepared, keep=["Income", "HasPartner", "TotalChildren"]), 0.2)
+    sp = S.split_flag(P.spending_share_target(prepared, keep=["Income", "HasPartner", "TotalChildren"]), 0.2) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     raw_top = sp.withColumn("Most_Bought_Product", top1_product(PC, PC))
     rel = R.relative_preference(raw_top, train_prior(sp))
     return R.with_top1(rel, "Recommended_Product")

@@ -28,3 +28,26 @@ def register(name: str, sql: str | None = None, note: str = ""):
         REGISTRY[name] = Query(name, fn, sql, note)
         return fn
     return deco
+
+
+_SESSION_RESULTS: dict = {}
+
+
+def session_result(name: str):
+    """Keep a model run's result for the session, like a fitted object's last result.
+
+    Several queries read the same fitted comparison (summary, final predictions,
+    diagnostics, scoring); they share one run per (application, data folder).
+    """
+    import os
+
+    def deco(fn):
+        def wrapper(spark, sf):
+            key = (name, spark.sparkContext.applicationId, os.path.abspath(sf))
+            if key not in _SESSION_RESULTS:
+                _SESSION_RESULTS[key] = fn(spark, sf)
+            return _SESSION_RESULTS[key]
+        wrapper.__name__ = fn.__name__
+        wrapper.__doc__ = fn.__doc__
+        return wrapper
+    return deco
