@@ -99,3 +99,7 @@ def q_score_customers_stream(spark, sf):
     query = start_scoring_stream(spark, src, run_, sink, ckpt, max_files_per_trigger=1)
     query.awaitTermination()
     return spark.read.parquet(sink)
+
+
+register("cv_r2_mean_std", note="V6: mean and population std of the fold R2 per stage x model")(
+    lambda spark, sf: run(spark, sf).summary.select("Business Model", "Regression Model", "CV R2 Mean", "CV R2 Std"))

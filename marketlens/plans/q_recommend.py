@@ -243,3 +243,48 @@ register("kfold", sql_with("SELECT ID, fold FROM (" + S.fold_sql("reg_shares") +
     lambda spark, sf: S.fold_column(P.spending_share_target(reg_prepared(spark, sf))).select("ID", "fold"))
 
 _ = nz_sum  # re-exported helper
+
+
+# --- named operators of section 2 that are parts of the chains above ----------------------------
+register("cross_prior", sql_with("SELECT * FROM reg_relative", "reg_relative"),
+         note="J6: shares / broadcast one-row prior")(
+    lambda spark, sf: (lambda sp: R.relative_preference(sp, train_prior(sp)))(reg_split(spark, sf)))
+register("banner_order", sql_with("SELECT ID, Banner_Ad_Order FROM flagship", "flagship"))(
+    lambda spark, sf: flagship(spark, sf).select("ID", "Banner_Ad_Order"))
+register("banner_scores", sql_with("SELECT ID, Banner_Ad_Scores FROM flagship", "flagship"))(
+    lambda spark, sf: flagship(spark, sf).select("ID", "Banner_Ad_Scores"))
+register("align_predictions", sql_with(
+    "SELECT ID, " + ", ".join(f"ActualRatio_{c}, PredictedRatio_{c}" for c in PC) + " FROM stand_in_frame",
+    "stand_in_frame"), note="J2: actual and predicted frames joined on the key")(
+    lambda spark, sf: _stand_in_frame(spark, sf).select(
+        "ID", *[x for c in PC for x in (f"ActualRatio_{c}", f"PredictedRatio_{c}")]))
+
+
+@register("restrict_to_valid", sql_with(
+    "SELECT * FROM reg_prepared WHERE ID IN (SELECT ID FROM reg_shares)", "reg_prepared", "reg_shares"),
+    note="J3: prepared rows with a valid (positive-spend) target, left semi join")
+def q_restrict_to_valid(spark, sf):
+    prepared = reg_prepared(spark, sf)
+    return prepared.join(P.spending_share_target(prepared).select("ID"), "ID", "left_semi")
+
+
+@register("match_rate", sql_with(
+    "SELECT avg(CAST(f.Recommended_Product = t.Actual_Product AS DOUBLE)) AS match_rate, "
+    "(SELECT avg(CAST(t2.Actual_Product = b.baseline_product AS DOUBLE)) FROM reg_top1 t2 CROSS JOIN reg_baseline b "
+    "WHERE t2.is_test) AS baseline_match_rate, "
+    "avg(CAST(f.Recommended_Product = t.Actual_Product AS DOUBLE)) - (SELECT avg(CAST(t2.Actual_Product = "
+    "b.baseline_product AS DOUBLE)) FROM reg_top1 t2 CROSS JOIN reg_baseline b WHERE t2.is_test) AS lift "
+    "FROM (SELECT ID, Most_Bought_Product AS Recommended_Product FROM flagship_raw WHERE is_test) f "
+    "JOIN reg_top1 t ON f.ID = t.ID", "flagship_raw", "reg_top1", "reg_baseline"),
+    note="A4: most-bought recommendation vs relative top product, baseline rate and lift (test rows)")
+def q_match_rate(spark, sf):
+    top = _actual_top1(spark, sf)
+    base = R.baseline_product(top.filter(~F.col("is_test")))
+    test = top.filter("is_test")
+    b = R.match_rate(test.crossJoin(F.broadcast(base)), "Actual_Product", "baseline_product") \
+        .withColumnRenamed("match_rate", "baseline_match_rate")
+    rec = test.select("ID", "Actual_Product").join(
+        flagship_with_raw(spark, sf).filter("is_test").select("ID", F.col("Most_Bought_Product").alias("rec")), "ID")
+    m = R.match_rate(rec, "Actual_Product", "rec")
+    return m.crossJoin(F.broadcast(b)).select(
+        "match_rate", "baseline_match_rate", (F.col("match_rate") - F.col("baseline_match_rate")).alias("lift"))

@@ -141,3 +141,21 @@ def q_pca_2d(spark, sf):
     labelled = kmeans_labelled(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
     proj, ratios = G.pca_2d(labelled, keep=["ID", "Cluster"])
     return proj.withColumn("explained_variance_ratio", F.lit(sum(ratios)))
+
+
+# --- named joins of section 2 inside the persona chain -----------------------------------------------
+register("profile_join", sql_with("SELECT * FROM fixed_profile", "fixed_profile"),
+         note="J1: means, counts and response rate per cluster fused in one aggregate")(
+    lambda spark, sf: G.cluster_profile(fixed_labelled(spark, sf)))
+
+
+@register("exclude_labelled", sql_with(
+    "SELECT Cluster, value_score, Response_Rate FROM fixed_value WHERE Cluster NOT IN "
+    "(SELECT Cluster FROM fixed_value ORDER BY value_score, Cluster LIMIT 1)", "fixed_value"),
+    note="J4: clusters left after the low-value persona is assigned (left anti join)")
+def q_exclude_labelled(spark, sf):
+    from pyspark.sql import Window
+    v = G.value_score(G.cluster_profile(fixed_labelled(spark, sf)))
+    low = v.withColumn("_r", F.row_number().over(Window.orderBy("value_score", "Cluster"))) \
+        .filter("_r = 1").select("Cluster")
+    return v.join(F.broadcast(low), "Cluster", "left_anti").select("Cluster", "value_score", "Response_Rate")
