@@ -1,9 +1,9 @@
 """Fit-on-train preprocessing (impute, log, scale, one-hot, degree-2 terms).
 
-``fit_preprocessor`` runs two global aggregates over the training rows (pass 1:
-exact medians, modes and category levels; pass 2: mean and population standard
-deviation of the imputed / logged columns).  Only those constants -- a few
-numbers per column -- reach the driver.  ``transform`` is then a single
+``fit_preprocessor`` runs one global aggregate over the training rows (exact
+medians, modes, category levels, and count / mean / population variance of
+the non-null values, from which the imputed column's moments follow exactly).
+Only those constants -- a few numbers per column -- reach the driver.  ``transform`` is then a single
 projection with the constants as literals: no join, no shuffle, inside
 whole-stage codegen, and the fitted object applies unchanged to test folds,
 new customers or a stream.
@@ -20,6 +20,7 @@ follows the number of distinct values of the column, not the row count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -91,33 +92,48 @@ class FittedPreprocessor:
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
                      log_numeric: Sequence[str] = ()) -> FittedPreprocessor:
-    """Fit T1 (median), X3 (log1p), T3 (scale), T2 (mode), T4 (levels) on ``train``."""
+    """Fit T1 (median), X3 (log1p), T3 (scale), T2 (mode), T4 (levels) on ``train`` in one aggregate.
+
+    The imputed column is the non-null values plus ``n_null`` copies of the
+    median, so its mean and population variance combine exactly from the
+    non-null group's count, mean and variance (parallel-variance formula);
+    for log columns the same holds on ``log1p`` values.
+    """
     log_numeric, numeric, categorical = list(log_numeric), list(numeric), list(categorical)
     if not (log_numeric or numeric or categorical):
         raise ValueError("No usable stage features were found for preprocessing.")
     nums = log_numeric + numeric
-    p1 = [F.median(F.col(c).cast("double")).alias(f"med_{c}") for c in nums]
-    p1 += [F.mode(c, True).alias(f"mode_{c}") for c in categorical]
-    p1 += [F.array_sort(F.collect_set(c)).alias(f"lv_{c}") for c in categorical]
-    row = train.agg(*p1).first() if p1 else None
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in nums:
+        x = F.col(c).cast("double")
+        t = F.log1p(x) if c in log_numeric else x
+        aggs += [F.median(x).alias(f"med_{c}"), F.count(x).alias(f"cnt_{c}"),
+                 F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
+    aggs += [F.mode(c, True).alias(f"mode_{c}") for c in categorical]
+    aggs += [F.array_sort(F.collect_set(c)).alias(f"lv_{c}") for c in categorical]
+    row = train.agg(*aggs).first()
     fitted = FittedPreprocessor(log_numeric, numeric, categorical)
+    n = row["_n"]
     for c in nums:
-        fitted.medians[c] = row[f"med_{c}"]
+        med = row[f"med_{c}"]
+        fitted.medians[c] = med
+        n1, m1, v1 = row[f"cnt_{c}"], row[f"mu_{c}"], row[f"var_{c}"]
+        n0 = n - n1
+        if n1 == 0:  # nothing to learn from: constant output
+            fitted.means[c], fitted.scales[c] = 0.0, 1.0
+            continue
+        if n0 and med is not None:
+            fill = math.log1p(med) if c in log_numeric else float(med)
+            mean = (n1 * m1 + n0 * fill) / n
+            var = (n1 * (v1 + (m1 - mean) ** 2) + n0 * (fill - mean) ** 2) / n
+        else:
+            mean, var = m1, v1
+        sd = math.sqrt(max(var, 0.0))
+        fitted.means[c] = float(mean)
+        fitted.scales[c] = sd if sd >= ZERO_SCALE else 1.0
     for c in categorical:
         fitted.modes[c] = row[f"mode_{c}"]
         fitted.levels[c] = list(row[f"lv_{c}"] or [])
-    if nums:
-        p2 = []
-        for c in nums:
-            x = fitted.imputed(c)
-            if c in log_numeric:
-                x = F.log1p(x)
-            p2 += [F.avg(x).alias(f"mu_{c}"), F.stddev_pop(x).alias(f"sd_{c}")]
-        row2 = train.agg(*p2).first()
-        for c in nums:
-            fitted.means[c] = float(row2[f"mu_{c}"]) if row2[f"mu_{c}"] is not None else 0.0
-            sd = row2[f"sd_{c}"]
-            fitted.scales[c] = float(sd) if sd is not None and sd >= ZERO_SCALE else 1.0
     return fitted
 
 

@@ -116,3 +116,21 @@ def test_gramian_ols_min_norm(spark):
     assert np.abs(m.coef - ref).max() < 1e-9
     pred = m.predict(df).toPandas().sort_values("ID")[["a", "b"]].to_numpy()
     assert np.abs(pred - y).max() < 1e-9
+
+
+def test_knn_hot_cell_of_identical_rows(spark):
+    """A third of the training rows are the same customer vector: chunked blocks stay exact."""
+    rng = np.random.default_rng(9)
+    n = 300
+    x = rng.normal(size=(n, 4))
+    x[: n // 3] = 0.25  # hot cell: identical rows
+    q = rng.normal(size=(40, 4)) * 0.3
+    train = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "ID long, vec array<double>")
+    test = spark.createDataFrame([(1000 + i, q[i].tolist()) for i in range(len(q))], "ID long, vec array<double>")
+    got = knn.knn_neighbours(train, test, k=15, n_pivots=6, chunk_size=16, query_chunk=4).toPandas()
+    ids = np.arange(n)
+    for i in range(len(q)):
+        d2 = ((x - q[i]) ** 2).sum(axis=1)
+        want = list(ids[np.lexsort((ids, d2))][:15])
+        have = list(got[got.qid == 1000 + i].sort_values("rank")["tid"])
+        assert have == want
