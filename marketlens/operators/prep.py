@@ -91,13 +91,16 @@ class FittedPreprocessor:
 
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
-                     log_numeric: Sequence[str] = ()) -> FittedPreprocessor:
+                     log_numeric: Sequence[str] = (), approx_median_accuracy: int | None = None) -> FittedPreprocessor:
     """Fit T1 (median), X3 (log1p), T3 (scale), T2 (mode), T4 (levels) on ``train`` in one aggregate.
 
     The imputed column is the non-null values plus ``n_null`` copies of the
     median, so its mean and population variance combine exactly from the
     non-null group's count, mean and variance (parallel-variance formula);
     for log columns the same holds on ``log1p`` values.
+
+    ``approx_median_accuracy`` switches the median to ``percentile_approx``
+    (bounded sketch memory) for columns with very many distinct values.
     """
     log_numeric, numeric, categorical = list(log_numeric), list(numeric), list(categorical)
     if not (log_numeric or numeric or categorical):
@@ -107,7 +110,8 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
     for c in nums:
         x = F.col(c).cast("double")
         t = F.log1p(x) if c in log_numeric else x
-        aggs += [F.median(x).alias(f"med_{c}"), F.count(x).alias(f"cnt_{c}"),
+        med = (F.percentile_approx(x, 0.5, approx_median_accuracy) if approx_median_accuracy else F.median(x))
+        aggs += [med.alias(f"med_{c}"), F.count(x).alias(f"cnt_{c}"),
                  F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
     aggs += [F.mode(c, True).alias(f"mode_{c}") for c in categorical]
     aggs += [F.array_sort(F.collect_set(c)).alias(f"lv_{c}") for c in categorical]
