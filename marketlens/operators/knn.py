@@ -2,8 +2,9 @@
 
 Pivot cells with triangle-inequality pruning:
 
-1. ``m`` pivots are training rows picked by key hash (m grows like sqrt(n) and
-   is capped, so the pivot matrix shipped to the tasks is bounded).  Every
+1. ``m`` pivots are training rows picked by key hash (about one per
+   ``cell_target`` training rows, capped at ``max_pivots``, so the pivot matrix
+   shipped to the tasks is bounded).  Every
    training row goes to its nearest pivot (NumPy over Arrow batches).
 2. Per cell: size and radius R (largest member distance to the pivot); m rows,
    aggregated by Spark, shipped to the tasks with the pivots.
@@ -103,11 +104,13 @@ def _block_topk_fn(k: int):
 
 def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 15, key: str = "ID", vec: str = "vec",
                    n_pivots: int | None = None, chunk_size: int = 4096, max_pivots: int = 4096,
-                   query_chunk: int = 4096) -> DataFrame:
+                   query_chunk: int = 4096, cell_target: int = 1024) -> DataFrame:
     """(query key ``qid``, neighbour key ``tid``, squared distance ``d2``, rank 1..k)."""
     train = train.select(F.col(key).alias("tid"), F.col(vec).alias("tv"))
     n_train = train.count()
-    m = n_pivots or max(1, min(max_pivots, int(math.ceil(math.sqrt(max(n_train, 1))))))
+    # cells of about `cell_target` training rows: enough pivots to prune, few enough that a
+    # query is not copied to many small blocks (pruning is weak in high dimension)
+    m = n_pivots or max(1, min(max_pivots, int(math.ceil(n_train / cell_target))))
     # m training rows with the smallest key hash (bounded top-m); m x dim numbers to the driver
     piv_rows = (train.select("tv", key_hash("tid", 7).alias("_h"), "tid").orderBy("_h", "tid").limit(m)
                 .collect())
