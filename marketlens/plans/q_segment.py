@@ -159,3 +159,50 @@ def q_exclude_labelled(spark, sf):
     low = v.withColumn("_r", F.row_number().over(Window.orderBy("value_score", "Cluster"))) \
         .filter("_r = 1").select("Cluster")
     return v.join(F.broadcast(low), "Cluster", "left_anti").select("Cluster", "value_score", "Response_Rate")
+
+
+# --- the same operators on the second input: the embeddings table --------------------------------------
+def embedding_vectors(spark, sf):
+    """ID, 64-d vector as array<double>, the given label as cluster id."""
+    from marketlens.sources.tables import read_table
+    e = read_table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("ID"), F.transform("embedding", lambda x: x.cast("double")).alias("features"),
+                    F.col("label").cast("int").alias("Cluster"))
+
+
+fragment("emb_long", "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, "
+         "generate_subscripts(embedding, 1) AS i FROM embeddings")
+register("embedding_inertia", sql_with(
+    "SELECT sum((e.x - m.mx) * (e.x - m.mx)) AS inertia FROM emb_long e JOIN "
+    "(SELECT label, i, avg(x) AS mx FROM emb_long GROUP BY label, i) m USING (label, i)", "emb_long"),
+    note="M10 on the embeddings table, label as cluster")(
+    lambda spark, sf: G.inertia(embedding_vectors(spark, sf), "features", "Cluster"))
+register("embedding_silhouette", sql_with(
+    "SELECT avg(s) AS silhouette_score FROM (SELECT p, CASE WHEN max(own_n) <= 1 THEN 0 ELSE "
+    "coalesce((min(CASE WHEN NOT own THEN md END) - max(CASE WHEN own THEN md END)) / "
+    "nullif(greatest(min(CASE WHEN NOT own THEN md END), max(CASE WHEN own THEN md END)), 0), 0) END AS s FROM ("
+    "SELECT d.p, lq.label = lp.label AS own, lq.label, max(n.n) AS own_n, "
+    "CASE WHEN lq.label = lp.label THEN sum(d.d2) / nullif(count(*) - 1, 0) ELSE avg(d.d2) END AS md "
+    "FROM (SELECT a.vec_id AS p, b.vec_id AS q, sum((a.x - b.x) * (a.x - b.x)) AS d2 FROM emb_long a "
+    "JOIN emb_long b ON a.i = b.i GROUP BY 1, 2) d JOIN embeddings lp ON lp.vec_id = d.p "
+    "JOIN embeddings lq ON lq.vec_id = d.q JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) n "
+    "ON n.label = lp.label GROUP BY d.p, lp.label, lq.label) GROUP BY p)", "emb_long"),
+    note="M9 (squared Euclidean) on the embeddings table, label as cluster")(
+    lambda spark, sf: G.silhouette_sq(embedding_vectors(spark, sf), "features", "Cluster"))
+
+
+@register("embedding_kmeans", note="M7 + M9 + M10 on the embeddings table: k = number of labels")
+def q_embedding_kmeans(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    vec = embedding_vectors(spark, sf).select("ID", array_to_vector("features").alias("features")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    model = G.fit_kmeans(vec, 10, n_init=10)
+    return model.transform(vec).select("ID", "Cluster")
+
+
+@register("embedding_pca", note="T9 on the embeddings table (2 components, sign-fixed)")
+def q_embedding_pca(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    vec = embedding_vectors(spark, sf).select("ID", "Cluster", array_to_vector("features").alias("features"))
+    proj, ratios = G.pca_2d(vec, keep=["ID", "Cluster"])
+    return proj.withColumn("explained_variance_ratio", F.lit(sum(ratios)))
