@@ -183,3 +183,19 @@ def q_classification_report_json(spark, sf):
     doc = rep.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
         "label", F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), "support"))))).alias("report"))
     return doc
+
+
+@register("prediction_samples", note="W10 for all five models: first 30 holdout rows by ID with actual / predicted")
+def q_prediction_samples(spark, sf, n: int = 30):
+    pred = _holdout_all(spark, sf)
+    feats = cls_data(spark, sf).filter("is_test").select("ID", *CLASSIFICATION_FEATURES)
+    parts = []
+    for name in C.CLASSIFIER_NAMES:
+        top = pred.filter(F.col("model") == name).orderBy("ID").limit(n)  # bounded top-n per task, then merged
+        parts.append(top.join(feats, "ID").select(
+            "model", "ID", *CLASSIFICATION_FEATURES, F.col(L).alias("actual_Response"),
+            F.col("prediction").alias("predicted_Response")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

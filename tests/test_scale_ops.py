@@ -134,3 +134,16 @@ def test_knn_hot_cell_of_identical_rows(spark):
         want = list(ids[np.lexsort((ids, d2))][:15])
         have = list(got[got.qid == 1000 + i].sort_values("rank")["tid"])
         assert have == want
+
+
+def test_profile_partition_invariant(spark):
+    from marketlens.sources.profile import customer_profile
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = customer_profile(spark, SF_SMALL).toPandas().sort_values("ID").reset_index(drop=True)
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        b = customer_profile(spark, SF_SMALL).toPandas().sort_values("ID").reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    pd.testing.assert_frame_equal(a, b)
