@@ -76,7 +76,7 @@ def prepared_targets(prepared: DataFrame, feature_sets: Mapping[str, Sequence[st
     """ID, stage feature columns, six shares, ``is_test`` and ``fold`` (J3: valid rows only)."""
     cols = P.stage_feature_columns(feature_sets)
     shares = P.spending_share_target(prepared, product_cols, keep=cols)
-    return S.fold_column(S.split_flag(shares, test_size), n_folds)
+    return S.split_and_folds(shares, test_size, n_folds)
 
 
 def _r2_table(pred: DataFrame, group: Sequence[str], product_cols: Sequence[str]) -> DataFrame:

@@ -81,3 +81,12 @@ def fold_sql(source: str, n_folds: int = 5, key: str = "ID", strata: Sequence[st
 
 def expected_test_count(n: int, test_size: float = 0.2) -> int:
     return math.ceil(n * test_size)
+
+
+def split_and_folds(df: DataFrame, test_size: float = 0.2, n_folds: int = 5, key: str = "ID",
+                    strata: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """V1/V2 flag and V3/V4 fold from one hash rank (same values as the two separate calls)."""
+    r = hash_rank(df, key, strata, seed)
+    return (r.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_n") * F.lit(test_size)))
+            .withColumn("fold", ((F.col("_rank") - 1) % n_folds).cast("int"))
+            .drop("_rank", "_n"))

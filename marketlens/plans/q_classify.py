@@ -26,7 +26,7 @@ L = C.LABEL
 def cls_data(spark, sf):
     """ID, 29 features, label, stratified holdout flag and stratified fold (all rows)."""
     fm = P.feature_matrix(cls_clean(spark, sf)).withColumnRenamed("Response", L)
-    return S.fold_column(S.split_flag(fm, strata=[L]), strata=[L])
+    return S.split_and_folds(fm, strata=[L])
 
 
 def holdout_vectors(spark, sf):

@@ -147,3 +147,10 @@ def test_profile_partition_invariant(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_split_and_folds_equal_separate_calls(spark):
+    df = spark.range(1, 501).select(F.col("id").alias("ID"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    both = S.split_and_folds(df, strata=["y"]).toPandas().sort_values("ID").reset_index(drop=True)
+    sep = S.fold_column(S.split_flag(df, strata=["y"]), strata=["y"]).toPandas().sort_values("ID").reset_index(drop=True)
+    pd.testing.assert_frame_equal(both[["ID", "y", "is_test", "fold"]], sep[["ID", "y", "is_test", "fold"]])
