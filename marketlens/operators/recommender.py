@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import features as P, prep, recommend as R, split as S
 from marketlens.functions.rowexpr import top1_product
-from marketlens.operators.linreg import LinearModel, fit_least_squares, poly2_array
+from marketlens.operators.linreg import LinearModel, fit_least_squares
 from marketlens.schema import PRODUCT_COLUMNS, REGRESSOR_NAMES, STAGE_FEATURE_SETS
 from marketlens.session import materialize
 
@@ -47,14 +47,10 @@ class StageModel:
     linear: LinearModel
 
     def _design(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """Preprocessed features as one array column (degree-2 terms are formed in the tasks)."""
         x = self.pre.transform_columns(df, keep=list(keep))
-        names = self.pre.output_names()
-        f = F.array(*[F.col(c) for c in names])
-        if self.model_name == POLY:
-            x = x.select(*keep, f.alias("_f0")).select(*keep, poly2_array("_f0", len(names)).alias("f"))
-        else:
-            x = x.select(*keep, f.alias("f"))
-        return x
+        f = F.array(*[F.col(c) for c in self.pre.output_names()])
+        return x.select(*keep, f.alias("f"))
 
     def predict_raw(self, df: DataFrame, keep: Sequence[str] = ("ID",)) -> DataFrame:
         return self.linear.predict(self._design(df, keep), "f", keep)
@@ -65,8 +61,7 @@ def fit_stage_model(train: DataFrame, stage: str, features: Sequence[str], model
     pre = prep.fit_stage(train, features)
     sm = StageModel(stage, model_name, list(features), pre, None)  # type: ignore[arg-type]
     design = sm._design(train, ["ID", *product_cols])
-    dim = pre.size if model_name == LINEAR else pre.size * (pre.size + 3) // 2
-    sm.linear = fit_least_squares(design, "f", list(product_cols), dim=dim)
+    sm.linear = fit_least_squares(design, "f", list(product_cols), dim=pre.size, degree2=model_name == POLY)
     return sm
 
 
@@ -220,9 +215,8 @@ def spending_regression(prepared: DataFrame, features: Sequence[str] = ("Income"
     rows = []
     for name in REGRESSOR_NAMES:
         sm = StageModel("spending", name, list(features), pre, None)  # type: ignore[arg-type]
-        p = pre.size
-        dim = p if name == LINEAR else p * (p + 3) // 2
-        sm.linear = fit_least_squares(sm._design(train, ["ID", target]), "f", [target], dim=dim)
+        sm.linear = fit_least_squares(sm._design(train, ["ID", target]), "f", [target], dim=pre.size,
+                                      degree2=name == POLY)
         pred = sm.predict_raw(test, ["ID"]).withColumnRenamed(target, "p_" + target)
         j = pred.join(test.select("ID", F.col(target).alias("a_" + target)), "ID")
         m = _r2_table(j, [], [target]).first()

@@ -154,3 +154,13 @@ def test_split_and_folds_equal_separate_calls(spark):
     both = S.split_and_folds(df, strata=["y"]).toPandas().sort_values("ID").reset_index(drop=True)
     sep = S.fold_column(S.split_flag(df, strata=["y"]), strata=["y"]).toPandas().sort_values("ID").reset_index(drop=True)
     pd.testing.assert_frame_equal(both[["ID", "y", "is_test", "fold"]], sep[["ID", "y", "is_test", "fold"]])
+
+
+def test_poly2_numpy_matches_spark_polynomial_expansion(spark):
+    from pyspark.ml.feature import PolynomialExpansion
+    from pyspark.ml.linalg import Vectors
+    from marketlens.operators.linreg import poly2_numpy
+    x = np.array([[1.5, -2.0, 3.0]])
+    df = spark.createDataFrame([(Vectors.dense(x[0].tolist()),)], ["v"])
+    ml = PolynomialExpansion(degree=2, inputCol="v", outputCol="p").transform(df).first()["p"].toArray()
+    assert np.allclose(poly2_numpy(x)[0], ml)
