@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import clean, features as P, stats
 from marketlens.plans.oracle import nz_sum, sql_with
 from marketlens.plans.registry import register
-from marketlens.schema import (CAMPAIGN_COLUMNS, CLASSIFICATION_FEATURES, IDENTIFIER_COLUMNS, PRODUCT_COLUMNS,
-                               PURCHASE_COLUMNS, RAW_COLUMNS)
+from marketlens.schema import CLASSIFICATION_FEATURES, IDENTIFIER_COLUMNS, PRODUCT_COLUMNS, RAW_COLUMNS
 from marketlens.sources import files
 from marketlens.sources.profile import customer_profile
 from marketlens.session import materialize
