@@ -12,7 +12,7 @@ Protocol of the published workflow, on Spark:
 * summary sorted by (match rate, test R2) descending; the first row is the
   final model, whose prediction frame is the recommendation output.
 
-Each fit = one preprocessing fit (two aggregates) + one Gramian pass, and
+Each fit = one preprocessing fit (one aggregate) + one Gramian pass, and
 its metrics are one more aggregate (sums of errors and of actuals per output)
 that returns a handful of numbers; the 36 independent fits are submitted from
 a small driver thread pool.  The prepared frame is checkpointed once, so the
