@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marketlens.llm.common import passes
+from marketlens.llm.common import map_batches, passes
 
 #: Distinct cuts whose ids a task remembers; when full the memory starts empty again (results do not change).
 CACHE_CUTS = 500_000
@@ -288,7 +288,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                 out += [pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return map_batches(docs.select(id_col, text_col), run, T.StructType(fields))
 
 
 def decode_texts(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -304,4 +304,4 @@ def decode_texts(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str
             texts = [bpe.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(id_col, "ids").mapInArrow(run, schema)
+    return map_batches(encoded.select(id_col, "ids"), run, schema)

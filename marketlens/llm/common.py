@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once an application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marketlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="marketlens-code-")) / f"{package.name}-code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(str(target))  # Spark's own file service hands it to every executor
+    sc._marketlens_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the tasks."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def parts_for(n_rows: int, per_part: int, least: int = 1) -> int:
     """Number of pieces of at most ``per_part`` rows on average; grows with the rows, without a cap."""
     return max(least, math.ceil(n_rows / per_part))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, packing, secret_ledger
+from marketlens.llm import bpe_prefix, packing, quality, secret_ledger, toxicity
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -23,12 +23,24 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document; hosts are sources, paths are languages below them."""
+    return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length buckets of least padding and token-budget batches over every document; tokens are words."""
     return packing.pack(packing.word_lengths(read_table(spark, sf_dir, "documents")))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document."""
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
