@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, packing, quality, secret_ledger, toxicity
+from marketlens.llm import bpe_prefix, jaccard_trie, packing, quality, secret_ledger, toxicity
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -41,6 +41,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by 4-word shingles and a Jaccard similarity of 0.85."""
+    return jaccard_trie.similar_sets(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
