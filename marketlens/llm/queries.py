@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, jaccard_trie, packing, quality, secret_ledger, toxicity
+from marketlens.llm import bpe_prefix, jaccard_trie, packing, quality, secret_ledger, suffix_dedup, toxicity
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -47,6 +47,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.similar_sets(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that start in a document with a smaller id."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), least=50)
+
+
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
