@@ -109,14 +109,21 @@ class Runs:
             return mix64(self.kh + self.ch * np.uint64(0xD1342543DE82EF95))
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the ranges ``[start, start + size)`` one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def lcp_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """Interval tree of a suffix array by a stack scan: ``(length, left, right)`` of every interval of at least ``least``.
 
     ``lcp[i]`` is the common prefix of suffixes ``i - 1`` and ``i``; children come before their parents.
     """
+    heights = lcp.tolist()
     stack: list[tuple[int, int]] = []
-    for i in range(1, len(lcp) + 1):
-        height = int(lcp[i]) if i < len(lcp) else 0
+    for i in np.flatnonzero((lcp >= least) | (np.r_[0, lcp[:-1]] >= least)).tolist() + [len(heights)]:
+        height = heights[i] if i < len(heights) else 0
         left = i - 1
         while stack and stack[-1][0] > height:
             length, left = stack.pop()
@@ -155,17 +162,17 @@ class ContextArray:
         at = begin[self.context] + self.place
         self.before = np.where(self.place > 0, data[np.maximum(at - 1, 0)].astype(np.int64), -1 - self.context)
 
-    def repeats(self, least: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-        """Length, suffixes and left-diversity of every interval.
+    def maximal_repeats(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length, first and last suffix of every maximal repeat of at least ``least`` bytes.
 
-        The first byte of a context has an unknown neighbour, which counts as different from all.
+        An interval is maximal when its suffixes have different bytes to the left.  The first byte of a context has
+        an unknown neighbour, which differs from all.  Any two occurrences of a string are extended to the left until they are
+        diverse, so maximal repeats hold every repeat.
         """
-        for length, left, right in lcp_intervals(self.lcp, least):
-            yield length, np.arange(left, right + 1), len(np.unique(self.before[left:right + 1])) > 1
-
-    def top_intervals(self, least: int) -> np.ndarray:
-        """Number of the outermost interval of each suffix; those of all other intervals lie inside."""
-        return np.cumsum(self.lcp < least)
+        found = np.array(list(lcp_intervals(self.lcp, least)), dtype=np.int64).reshape(-1, 3)
+        changes = np.r_[0, np.cumsum(self.before[1:] != self.before[:-1])] if len(self.before) else np.zeros(0, np.int64)
+        length, left, right = found[changes[found[:, 1]] != changes[found[:, 2]]].T
+        return length, left, right
 
 
 def _ints(column) -> np.ndarray:
@@ -407,13 +414,15 @@ def _scan_groups(table: pa.Table, least: int, n_texts: int) -> pa.Table:
     if packed["0"]:
         c = np.concatenate(packed["0"], axis=1)
         array = ContextArray(c[4], c[3], np.concatenate(data), least)
-        top = array.top_intervals(least)
         ids = c[0][array.context]
-        begin = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-        least_id = np.minimum.reduceat(ids, begin)[np.cumsum(np.r_[False, top[1:] != top[:-1]])]
-        lose = ids > least_id
-        at = array.context[lose]
-        spans.append(np.stack([c[0][at], c[1][at], c[2][at] + array.place[lose], np.full(len(at), least)]))
+        length, left, right = array.maximal_repeats(least)
+        n = right - left + 1
+        at = _spans(left, n)  # every occurrence of every maximal repeat
+        least_id = np.minimum.reduceat(ids[at], np.cumsum(n) - n) if len(n) else ids[:0]
+        lose = ids[at] > np.repeat(least_id, n)
+        at, length = at[lose], np.repeat(length, n)[lose]
+        which = array.context[at]
+        spans.append(np.stack([c[0][which], c[1][which], c[2][which] + array.place[at], length]))
     s = _merged(np.concatenate(spans, axis=1))
     return _table(list(_dealt(bucket_of(s[0], n_texts), n_texts, list(s))), _COVERS)
 
@@ -488,5 +497,5 @@ def maximal_repeats(contexts: list[bytes], least: int = 50) -> list[tuple[int, l
         return []
     data = np.frombuffer(b"".join(contexts[i] for i in use), np.uint8)
     array = ContextArray(np.zeros(len(use), np.int64), sizes[use], data, least)
-    return [(length, sorted((int(use[array.context[j]]), int(array.place[j])) for j in at))
-            for length, at, diverse in array.repeats(least) if diverse]
+    return [(int(length), sorted((int(use[array.context[j]]), int(array.place[j])) for j in range(left, right + 1)))
+            for length, left, right in zip(*array.maximal_repeats(least), strict=True)]
