@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, jaccard_trie, packing, quality, secret_ledger, suffix_dedup, toxicity
+from marketlens.llm import bpe_prefix, itq_dedup, jaccard_trie, packing, quality, rotated_bits, secret_ledger, suffix_dedup, toxicity
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -41,12 +41,25 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op4_rotated_bits")
+def op4_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest embeddings of every embedding whose id is divisible by 100."""
+    index, centre = rotated_bits.build_index(read_table(spark, sf_dir, "embeddings"))
+    return rotated_bits.search(index, centre, F.col("id") % 100 == 0, k=10)
+
+
 @query("op5_ngram_jaccard")
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by 4-word shingles and a Jaccard similarity of 0.85."""
     return jaccard_trie.similar_sets(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query("op7_itq_dedup")
+def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label with a cosine of 0.98."""
+    return itq_dedup.linked_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that start in a document with a smaller id."""
