@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, itq_dedup, jaccard_trie, packing, quality, rotated_bits, secret_ledger, suffix_dedup, toxicity
+from marketlens.llm import bpe_prefix, itq_dedup, jaccard_trie, mincut_html, packing, quality, rotated_bits, secret_ledger, suffix_dedup, toxicity
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -54,6 +54,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_trie.similar_sets(read_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+@query("op6_mincut_html")
+def op6_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return mincut_html.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op7_itq_dedup")
 def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings of one label with a cosine of 0.98."""
