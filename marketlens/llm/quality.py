@@ -29,6 +29,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,21 +95,22 @@ def surface_features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         word_mean(again), distinct / np.sqrt(per_word), np.where(some, 1 - letters, 0)])
 
 
-def document_features(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> DataFrame:
-    """``id_col, host, path, f`` (array of ``FEATURES``)."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("host", T.StringType()),
-                           T.StructField("path", T.StringType()), T.StructField("f", T.ArrayType(T.DoubleType()))])
+def document_features(docs: DataFrame, text_col: str, host: Column, path: Column, carry: list[str]) -> DataFrame:
+    """The columns in ``carry`` with ``__host``, ``__path`` and ``__f`` (array of ``FEATURES``)."""
+    schema = T.StructType([docs.schema[c] for c in carry] + [
+        T.StructField("__host", T.StringType()), T.StructField("__path", T.StringType()), T.StructField("__f", T.ArrayType(T.DoubleType()))])
+    kept = len(carry) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(3))
+            buf, offsets = text_buffer(batch.column(kept))
             made = [surface_features(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in passes(offsets)]
             flat = np.concatenate(made).ravel() if made else np.zeros(0)
             f = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), f], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], f], names=schema.names)
 
-    narrow = docs.select(F.col(id_col), F.coalesce(host.cast("string"), F.lit("")).alias("host"),
-                         F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(*carry, F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
+                         F.coalesce(path.cast("string"), F.lit("")).alias("__path"), F.col(text_col).cast("string").alias("__text"))
     return map_batches(narrow, run, schema)
 
 
@@ -131,17 +133,16 @@ def labelled_sample(ids: DataFrame, labels: DataFrame, id_col: str, label_col: s
 
 def document_log_odds(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
                       max_fit_rows: int = MAX_FIT_ROWS) -> Column:
-    """The fitted classifier as an expression over ``f``: log odds that a document is good."""
+    """The fitted classifier as an expression over ``__f``: log odds that a document is good."""
     sample = written(labelled_sample(features, labels, id_col, label_col, max_fit_rows), "quality-labels")
-    # at most max_fit_rows rows are broadcast
-    fit = features.join(F.broadcast(sample), id_col).select(array_to_vector("f").alias("features"), "label")
     if sample.select("label").distinct().count() < 2:
         return F.lit(0.0)
-    model = LogisticRegression(regParam=1e-3, maxIter=50, standardization=True).fit(written(
-        fit.select("features", "label"), "quality-fit"))
+    # at most max_fit_rows rows are broadcast
+    fit = features.join(F.broadcast(sample), id_col).select(array_to_vector("__f").alias("features"), "label")
+    model = LogisticRegression(regParam=1e-3, maxIter=50, standardization=True).fit(written(fit, "quality-fit"))
     score = F.lit(float(model.intercept))
     for i, w in enumerate(model.coefficients.toArray()):
-        score = score + F.col("f")[i] * F.lit(float(w))
+        score = score + F.col("__f")[i] * F.lit(float(w))
     return score
 
 
@@ -158,29 +159,55 @@ def prior_strength(mean: float, groups: float, total: float, squares: float, bet
     return float(min(1e6, max(1.0, mean * (1 - mean) / spread - 1)))
 
 
-def site_posteriors(scored: DataFrame, p: str = "p") -> tuple[DataFrame, float, float, float]:
-    """Sums by path and host, the corpus mean and the two prior strengths.
-
-    The table has a row for each host and path: ``host, path, n_path, s_path, n_host, s_host``.
-    """
-    paths = scored.groupBy("host", "path").agg(
-        F.count("*").cast("double").alias("n_path"), F.sum(p).alias("s_path"), F.sum(F.col(p) * F.col(p)).alias("q_path"))
-    paths = written(paths, "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
-    sites = paths.join(hosts, "host")
-    m_path, m_host = F.col("s_path") / F.col("n_path"), F.col("s_host") / F.col("n_host")
-    total = paths.agg(F.sum("n_path").alias("n"), F.sum("s_path").alias("s"), F.sum("q_path").alias("q")).first()
+@dataclass
+class QualityModel:
+    """Classifier, site sums (``__host, __path, n_path, s_path, n_host, s_host``), corpus mean and the strengths of both priors."""
+
+    log_odds: Column
+    sites: DataFrame
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def apply(self, features: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """``features`` with ``p_document, host_mean, path_mean, posterior, keep``; the means leave the row's own evidence out."""
+        mean = min(max(self.mean, 1e-6), 1 - 1e-6)
+        p = F.col("p_document")
+        host = (F.lit(self.host_strength * mean) + F.col("__s_host") - p) / (F.lit(self.host_strength) + F.col("__n_host") - 1)
+        path = (self.path_strength * F.col("host_mean") + F.col("__s_path") - p) / (F.lit(self.path_strength) + F.col("__n_path") - 1)
+        inside = F.least(F.greatest(F.col("path_mean"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        shift = F.log(inside / (1 - inside)) - float(np.log(mean / (1 - mean)))
+        return (features.withColumn("__z", self.log_odds).drop("__f")
+                .withColumn("p_document", 1 / (1 + F.exp(-F.col("__z"))))
+                .join(self.sites, ["__host", "__path"])
+                .withColumn("host_mean", host).withColumn("path_mean", path)
+                .withColumn("posterior", 1 / (1 + F.exp(-(F.col("__z") + shift))))
+                .withColumn("keep", F.col("posterior") >= threshold)
+                .drop("__z", "__n_path", "__s_path", "__n_host", "__s_host"))
+
+
+def fit_quality(features: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_fit_rows: int = MAX_FIT_ROWS) -> QualityModel:
+    """Fit the classifier, then sum its evidence over all documents by path and host."""
+    log_odds = document_log_odds(features, labels, id_col, label_col, max_fit_rows)
+    p = 1 / (1 + F.exp(-log_odds))
+    paths = written(features.select("__host", "__path", p.alias("p")).groupBy("__host", "__path").agg(
+        F.count("*").cast("double").alias("__n_path"), F.sum("p").alias("__s_path"), F.sum(F.col("p") * F.col("p")).alias("q")),
+        "quality-paths")
+    hosts = paths.groupBy("__host").agg(F.sum("__n_path").alias("__n_host"), F.sum("__s_path").alias("__s_host"))
+    sites = paths.join(hosts, "__host")
+    total = paths.agg(F.sum("__n_path").alias("n"), F.sum("__s_path").alias("s"), F.sum("q").alias("q")).first()
+    plain = sites.drop("q")
     if not total["n"]:
-        return sites, 0.5, 1.0, 1.0
+        return QualityModel(log_odds, plain, 0.5, 1.0, 1.0)
     n, mean = total["n"], total["s"] / total["n"]
-    h = hosts.agg(F.count("*").alias("k"), F.sum(F.col("n_host") ** 2).alias("n2"),
-                  F.sum(F.col("n_host") * (m_host - mean) ** 2).alias("b")).first()
-    x = sites.agg(F.count("*").alias("k"), F.sum(F.col("n_path") ** 2 / F.col("n_host")).alias("n2"),
-                  F.sum(F.col("n_path") * (m_path - m_host) ** 2).alias("b")).first()
+    m_path, m_host = F.col("__s_path") / F.col("__n_path"), F.col("__s_host") / F.col("__n_host")
+    h = hosts.agg(F.count("*").alias("k"), F.sum(F.col("__n_host") ** 2).alias("n2"),
+                  F.sum(F.col("__n_host") * (m_host - mean) ** 2).alias("b")).first()
+    x = sites.agg(F.count("*").alias("k"), F.sum(F.col("__n_path") ** 2 / F.col("__n_host")).alias("n2"),
+                  F.sum(F.col("__n_path") * (m_path - m_host) ** 2).alias("b")).first()
     var = max(total["q"] / n - mean ** 2, 1e-12)
-    host_strength = prior_strength(mean, max(h["k"] - 1, 0), n, h["n2"] / n, h["b"], var)
-    path_strength = prior_strength(mean, max(x["k"] - h["k"], 0), n, x["n2"], x["b"], var)
-    return sites, mean, host_strength, path_strength
+    return QualityModel(log_odds, plain, mean, prior_strength(mean, max(h["k"] - 1, 0), n, h["n2"] / n, h["b"], var),
+                        prior_strength(mean, max(x["k"] - h["k"], 0), n, x["n2"], x["b"], var))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -189,22 +216,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Posterior quality of every row of ``docs``.
 
     ``host`` and ``path`` default to the columns ``source`` and ``lang``; for web pages pass
-    ``url_host(url)`` and ``url_path(url)``.  Returns ``id_col, host, path, p_document, host_mean, path_mean,
-    posterior, keep``; the two means leave the row's own evidence out.
+    ``url_host(url)`` and ``url_path(url)``.  Returns ``id_col, host, path, p_document, host_mean, path_mean, posterior, keep``.
     """
-    features = written(document_features(docs, id_col, text_col, F.col("source") if host is None else host,
-                                         F.col("lang") if path is None else path), "quality-features")
-    log_odds = document_log_odds(features, labels, id_col, label_col, max_fit_rows)
-    scored = features.select(id_col, "host", "path", log_odds.alias("z"))
-    scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
-    sites, mean, k_host, k_path = site_posteriors(scored)
-    mean = min(max(mean, 1e-6), 1 - 1e-6)
-    host_mean = (F.lit(k_host * mean) + F.col("s_host") - F.col("p")) / (F.lit(k_host) + F.col("n_host") - 1)
-    path_mean = (k_path * F.col("host_mean") + F.col("s_path") - F.col("p")) / (F.lit(k_path) + F.col("n_path") - 1)
-    inside = F.least(F.greatest(F.col("path_mean"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    shift = F.log(inside / (1 - inside)) - float(np.log(mean / (1 - mean)))
-    return (scored.join(sites, ["host", "path"])
-            .withColumn("host_mean", host_mean).withColumn("path_mean", path_mean)
-            .withColumn("posterior", 1 / (1 + F.exp(-(F.col("z") + shift))))
-            .select(id_col, "host", "path", F.col("p").alias("p_document"), "host_mean", "path_mean", "posterior",
-                    (F.col("posterior") >= threshold).alias("keep")))
+    where = (F.col("source") if host is None else host, F.col("lang") if path is None else path)
+    features = written(document_features(docs, text_col, *where, [id_col]), "quality-features")
+    model = fit_quality(features, labels, id_col, label_col, max_fit_rows)
+    return model.apply(features, threshold).withColumnsRenamed({"__host": "host", "__path": "path"}).select(
+        id_col, "host", "path", "p_document", "host_mean", "path_mean", "posterior", "keep")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+              host: Column | None = None, path: Column | None = None, threshold: float = 0.5,
+              max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score_quality`` keeps; texts meet only the small table of sites."""
+    where = (F.col("source") if host is None else host, F.col("lang") if path is None else path)
+    features = written(document_features(docs, text_col, *where, [id_col]), "quality-features")
+    model = fit_quality(features, labels, id_col, label_col, max_fit_rows)
+    return model.apply(document_features(docs, text_col, *where, docs.columns), threshold).where("keep").select(docs.columns)

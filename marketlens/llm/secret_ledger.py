@@ -108,22 +108,25 @@ def update_ledger(versions: DataFrame, ledger: str, rules=BASE_RULES, text_col:
     marks.write.mode("append").parquet(f"{ledger}/scanned")
 
 
+def _per_blob(spark, ledger: str, rules) -> DataFrame:
+    """``blob, spans`` from the ledger's findings by ``rules``."""
+    place = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
+    return (_ledger_table(spark, ledger, "findings", _FINDINGS)
+            .where(F.col("rule").isin([r.version for r in rules]))
+            .distinct()
+            .groupBy("blob")
+            .agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("spans")))
+
+
 def findings_by_path(versions: DataFrame, ledger: str, rules=BASE_RULES, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``id_col, blob, spans`` for every row of ``versions``: its findings by start, then by the order of the rules.
 
     ``spans`` is an array of ``(start, place, end, kind)``, empty where nothing was found.
     """
-    spark = versions.sparkSession
-    place = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind")).cast("int")
-    per_blob = (_ledger_table(spark, ledger, "findings", _FINDINGS)
-                .where(F.col("rule").isin([r.version for r in rules]))
-                .distinct()
-                .groupBy("blob")
-                .agg(F.array_sort(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("spans")))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
     return (versions.select(id_col, F.sha2(text_or_empty(text_col), 256).alias("blob"))
-            .join(per_blob, "blob", "left")
+            .join(_per_blob(versions.sparkSession, ledger, rules), "blob", "left")
             .select(id_col, "blob", F.coalesce("spans", none).alias("spans")))
 
 
@@ -153,3 +156,13 @@ def redacted(text, spans, mark: str = "[secret]") -> F.Column:
     ).otherwise(F.struct(a["made"].alias("made"), F.greatest(a["at"], s["end"]).alias("at")))
     return F.aggregate(spans, state, step, lambda a: F.concat(
         a["made"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+
+
+def redact(versions: DataFrame, ledger: str | None = None, rules=BASE_RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """``versions`` with all columns, its findings replaced by ``mark`` in the text; the ledger is brought up to date."""
+    ledger = ledger or new_folder(versions.sparkSession, "ledger")
+    update_ledger(versions, ledger, rules, text_col)
+    found = _per_blob(versions.sparkSession, ledger, rules).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
+    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"), mark))
+    return (versions.withColumn("__blob", F.sha2(text_or_empty(text_col), 256)).join(found, "__blob", "left")
+            .withColumn(text_col, text).select(versions.columns))
