@@ -232,4 +232,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     where = (F.col("source") if host is None else host, F.col("lang") if path is None else path)
     features = written(document_features(docs, text_col, *where, [id_col]), "quality-features")
     model = fit_quality(features, labels, id_col, label_col, max_fit_rows)
-    return model.apply(document_features(docs, text_col, *where, docs.columns), threshold).where("keep").select(docs.columns)
+    whole = docs.withColumn("__row", F.struct(*docs.columns))  # names of the input cannot clash with those made here
+    return model.apply(document_features(whole, text_col, *where, ["__row"]), threshold).where("keep").select("__row.*")

@@ -41,7 +41,7 @@ SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless",
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "youre", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu",
                  "te", "toi", "ton", "ta", "vous", "votre", "usted", "ustedes", "vosotros", "ti", "tú")
 #: Characters read as letters when obfuscation is undone.
-LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+LOOK_ALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 FEATURES = ("lexicon", "stems", "lexicon_kinds", "lexicon_hits", "near_second", "second_person", "upper", "caps_words", "marks", "bangs",
             "questions", "hidden_lexicon", "mixed_tokens", "spelled_out", "log_words", "mean_word")
