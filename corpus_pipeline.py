@@ -34,9 +34,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.remove_repeats(docs, least=50, carry=carry, with_text=True)
-    return cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    rows = docs.withColumn("__rest", F.struct(F.lit(0).alias("__none"), *rest))  # names of the input cannot clash with those made here
+    cut = suffix_dedup.remove_repeats(rows, least=50, carry=("__rest",), with_text=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return cut.select(*[made.get(c, F.col("__rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
