@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from marketlens.llm.common import map_batches, mix64, passes, ship, text_buffer, written
 from marketlens.llm.components import connected_components
+from marketlens.llm.id_filter import may_hold
 from marketlens.llm.words import shingle_hashes, shingle_sets, white_space_table, word_hashes
 
 #: Counters of the global order: 2**COUNTER_BITS of 4 bytes are broadcast, whatever the corpus has.
@@ -435,7 +436,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
                   F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")))))
               .select("id", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # only candidates' texts are shuffled to their tries
+    texts = may_hold(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", placed.select("id"))
     links = written(join_groups(placed.join(texts, "id").select("comp", "x", "y", "text"), k, percent), "links")
 
     # links of a group that was not split end at its component; those of split groups are chained
