@@ -1,161 +1,93 @@
-"""Exact k-nearest-neighbour classification without a cross join.
-
-Pivot cells with triangle-inequality pruning:
-
-1. ``m`` pivots are training rows picked by key hash (about one per
-   ``cell_target`` training rows, capped at ``max_pivots``, so the pivot matrix
-   shipped to the tasks is bounded).  Every
-   training row goes to its nearest pivot (NumPy over Arrow batches).
-2. Per cell: size and radius R (largest member distance to the pivot); m rows,
-   aggregated by Spark, shipped to the tasks with the pivots.
-3. For a query q every member t of cell c satisfies
-   ``d(q,p_c) - R_c <= d(q,t) <= d(q,p_c) + R_c``.  Walking the cells by the
-   upper bound until k members are covered gives r_q >= the true k-th
-   distance; only cells with ``d(q,p_c) - R_c <= r_q`` can hold a neighbour.
-4. Queries are exploded to their candidate cells and cogrouped with the
-   training rows of those cells.  Cells bigger than ``chunk_size`` are split
-   into chunks by key hash, and the queries of a cell into query chunks of at
-   most ``query_chunk`` rows (the cell's training rows are replicated per
-   query chunk), so a hot cell (many identical customers) spreads over many
-   tasks and no block exceeds query_chunk x chunk_size distances.  Each block
-   computes its distances with NumPy (Arrow batches) and keeps a top-k per
-   query; the final top-k per query sees at most k rows per block.
-
-Ties in distance go to the smaller training key.  The result is exact: it
-equals brute force (checked in the tests and by the DuckDB oracle).
+"""K-nearest-neighbour classification in one pass over the rows to classify.
+
+Distances between all rows and all training rows grow with the product of both, and in some 38 dimensions no index
+prunes them.  The classifier is therefore fitted on a bounded number of labelled rows: ``max_train_rows`` of them, those that
+come first in the order of a hash of their key (all of them if there are fewer).  That matrix is the model; it
+is broadcast, its size known beforehand, and every Arrow batch of other rows is compared with it in slices.  No row is
+shuffled, copied or joined.
+
+Slices of a matrix product choose the neighbours; distances are then taken again from the differences, so that ties are exact
+and go to the smaller training key.  Within the rows that fit, the result equals brute force.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from marketlens.operators.split import key_hash
+from marketlens.operators.split import key_hash, key_hash_sql
 
+#: Labelled rows the classifier is fitted on at most.
+MAX_TRAIN_ROWS = 20_000
+#: Seed of the hash order that picks them.
+PICK_SEED = 7
+#: Distances in memory at once in a task.
+_CELLS = 4_000_000
+
+
+def fitted_rows(train: DataFrame, key: str = "ID", max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """At most ``max_train_rows`` training rows, in hash order of the key."""
+    return train.orderBy(key_hash(key, PICK_SEED), key).limit(max_train_rows)
 
-def _nearest_pivot_fn(pivots: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            v = np.stack(pdf["tv"].to_numpy()).astype(float)
-            d = np.sqrt(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-            best = d.argmin(axis=1)
-            yield pd.DataFrame({"tid": pdf["tid"].to_numpy(), "tv": pdf["tv"], "cell": best + 1,
-                                "dp": d[np.arange(len(v)), best]})
-    return run
 
+def fitted_rows_sql(source: str, key: str = "ID", max_train_rows: int = MAX_TRAIN_ROWS) -> str:
+    return f"SELECT * FROM {source} ORDER BY {key_hash_sql(key, PICK_SEED)}, {key} LIMIT {max_train_rows}"
 
-def _candidate_cells_fn(pivots: np.ndarray, cnt: np.ndarray, radius: np.ndarray, chunks: np.ndarray, k: int):
+
+def _nearest_fn(model, k: int, key: str, keep: list[str]):
     def run(batches):
+        tid, tv, label = model.value
+        norms = (tv * tv).sum(axis=1)
+        step = max(1, _CELLS // max(1, len(tid)))
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            v = np.stack(pdf["qv"].to_numpy()).astype(float)
-            d = np.sqrt(((v[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))  # n x m
-            ub = d + radius[None, :]
-            order = np.argsort(ub, axis=1, kind="stable")
-            covered = np.cumsum(cnt[order], axis=1)
-            pos = np.minimum((covered < k).sum(axis=1), d.shape[1] - 1)
-            r = ub[np.arange(len(v)), order[np.arange(len(v)), pos]]
-            need = ((d - radius[None, :]) <= r[:, None] + 1e-9) & (cnt[None, :] > 0)
-            rows, cells = np.nonzero(need)
-            reps = chunks[cells]
-            rr, cc = np.repeat(rows, reps), np.repeat(cells, reps)
-            ch = np.concatenate([np.arange(n) for n in reps]) if len(reps) else np.array([], int)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[rr], "qv": pdf["qv"].to_numpy()[rr],
-                                "cell": cc + 1, "chunk": ch})
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a:a + step]
+                qv = np.stack(part["qv"].to_numpy()).astype(float)
+                near = norms[None, :] - 2.0 * (qv @ tv.T)  # squared distance less the query's own norm
+                if near.shape[1] > k:
+                    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+                    slack = 1e-9 * (1.0 + norms.max() + (qv * qv).sum(axis=1))
+                    rows, cols = np.nonzero(near <= (kth + slack)[:, None])
+                else:
+                    rows, cols = (x.ravel() for x in np.indices(near.shape))
+                diff = qv[rows] - tv[cols]
+                d2 = np.einsum("ij,ij->i", diff, diff)
+                order = np.lexsort((tid[cols], d2, rows))
+                rows, cols, d2 = rows[order], cols[order], d2[order]
+                rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+                rows, cols, d2, rank = (x[rank <= k] for x in (rows, cols, d2, rank))
+                if label is None:
+                    yield pd.DataFrame({"qid": part[key].to_numpy()[rows], "tid": tid[cols], "d2": d2, "rank": rank.astype("int32")})
+                else:
+                    score = np.bincount(rows, weights=label[cols], minlength=len(part)) / np.bincount(rows, minlength=len(part))
+                    yield part[[key, *keep]].assign(score=score, prediction=(score > 0.5).astype("int32"))
     return run
 
 
-def _block_topk_fn(k: int):
-    def run(key, qpdf, tpdf):
-        if len(qpdf) == 0 or len(tpdf) == 0:
-            return pd.DataFrame({"qid": np.array([], "int64"), "tid": np.array([], "int64"),
-                                 "d2": np.array([], float)})
-        qv = np.stack(qpdf["qv"].to_numpy()).astype(float)
-        tv = np.stack(tpdf["tv"].to_numpy()).astype(float)
-        tid, qid = tpdf["tid"].to_numpy(), qpdf["qid"].to_numpy()
-        outs = []
-        step = max(1, 4_000_000 // max(1, tv.size))
-        for s0 in range(0, len(qv), step):
-            diff = qv[s0:s0 + step, None, :] - tv[None, :, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            if d2.shape[1] > k:  # keep everything tied with the k-th distance
-                kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-                rows, cols = np.nonzero(d2 <= kth[:, None])
-            else:
-                rows, cols = np.indices(d2.shape).reshape(2, -1)
-            order = np.lexsort((tid[cols], d2[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            first = np.searchsorted(rows, rows, side="left")
-            keep = (np.arange(len(rows)) - first) < k
-            rows, cols = rows[keep], cols[keep]
-            outs.append(pd.DataFrame({"qid": qid[s0:s0 + step][rows], "tid": tid[cols], "d2": d2[rows, cols]}))
-        return pd.concat(outs, ignore_index=True)
-    return run
+def _model(train: DataFrame, key: str, vec: str, label: str | None, max_train_rows: int):
+    cols = [F.col(key).alias("tid"), F.col(vec).alias("tv")] + ([F.col(label).cast("double").alias("y")] if label else [])
+    rows = fitted_rows(train, key, max_train_rows).select(*cols).collect()  # max_train_rows rows
+    if not rows:
+        raise ValueError("no labelled rows to compare with")
+    tid = np.array([r["tid"] for r in rows], dtype=np.int64)
+    tv = np.array([r["tv"] for r in rows], dtype=float)
+    return train.sparkSession.sparkContext.broadcast((tid, tv, np.array([r["y"] for r in rows]) if label else None))
 
 
 def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 15, key: str = "ID", vec: str = "vec",
-                   n_pivots: int | None = None, chunk_size: int = 4096, max_pivots: int = 4096,
-                   query_chunk: int = 4096, cell_target: int = 1024) -> DataFrame:
+                   max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(query key ``qid``, neighbour key ``tid``, squared distance ``d2``, rank 1..k)."""
-    train = train.select(F.col(key).alias("tid"), F.col(vec).alias("tv"))
-    n_train = train.count()
-    # cells of about `cell_target` training rows: enough pivots to prune, few enough that a
-    # query is not copied to many small blocks (pruning is weak in high dimension)
-    m = n_pivots or max(1, min(max_pivots, int(math.ceil(n_train / cell_target))))
-    # m training rows with the smallest key hash (bounded top-m); m x dim numbers to the driver
-    piv_rows = (train.select("tv", key_hash("tid", 7).alias("_h"), "tid").orderBy("_h", "tid").limit(m)
-                .collect())
-    pivots = np.array([r["tv"] for r in piv_rows], dtype=float)
-    m = len(pivots)
-
-    assign_schema = T.StructType([T.StructField("tid", T.LongType()), T.StructField("tv", T.ArrayType(T.DoubleType())),
-                                  T.StructField("cell", T.IntegerType()), T.StructField("dp", T.DoubleType())])
-    assigned = train.mapInPandas(_nearest_pivot_fn(pivots), assign_schema).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = {r["cell"]: (r["cnt"], r["R"]) for r in
-             assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"), F.max("dp").alias("R")).collect()}
-    cnt = np.array([stats.get(c, (0, 0.0))[0] for c in range(1, m + 1)], dtype=float)
-    radius = np.array([stats.get(c, (0, 0.0))[1] for c in range(1, m + 1)], dtype=float)
-    chunks = np.maximum(1, np.ceil(cnt / chunk_size)).astype(int)
-
-    spark = train.sparkSession
-    chunk_df = spark.createDataFrame([(c + 1, int(chunks[c])) for c in range(m)], "cell int, chunks int")
-    tr = assigned.join(F.broadcast(chunk_df), "cell") \
-        .withColumn("chunk", F.pmod(key_hash("tid", 11), F.col("chunks")).cast("int")).drop("chunks")
-
-    q = test.select(F.col(key).alias("qid"), F.col(vec).alias("qv"))
-    qc_schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("qv", T.ArrayType(T.DoubleType())),
-                              T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType())])
-    qc = q.mapInPandas(_candidate_cells_fn(pivots, cnt, radius, chunks, k), qc_schema)
-    # bound the query side of every (cell, chunk) block too: queries of a popular
-    # cell are cut into query chunks, the cell's training rows are replicated per chunk
-    qcount = qc.groupBy("cell").agg(F.count(F.lit(1)).alias("_nq")) \
-        .select("cell", F.greatest(F.lit(1), F.ceil(F.col("_nq") / query_chunk)).cast("int").alias("qchunks"))
-    qc = (qc.join(F.broadcast(qcount), "cell")
-          .withColumn("qchunk", F.pmod(key_hash("qid", 13), F.col("qchunks")).cast("int")).drop("qchunks"))
-    trq = (tr.select("cell", "chunk", "tid", "tv").join(F.broadcast(qcount), "cell")
-           .withColumn("qchunk", F.explode(F.sequence(F.lit(0), F.col("qchunks") - 1))).drop("qchunks"))
-    part = (qc.select("cell", "chunk", "qchunk", "qid", "qv").groupBy("cell", "chunk", "qchunk")
-            .cogroup(trq.groupBy("cell", "chunk", "qchunk"))
-            .applyInPandas(_block_topk_fn(k), "qid long, tid long, d2 double"))
-    w_final = Window.partitionBy("qid").orderBy("d2", "tid")
-    out = part.withColumn("rank", F.row_number().over(w_final)).filter(F.col("rank") <= k)
-    return out.select("qid", "tid", "d2", "rank")
+    model = _model(train, key, vec, None, max_train_rows)
+    return test.select(key, F.col(vec).alias("qv")).mapInPandas(
+        _nearest_fn(model, k, key, []), "qid long, tid long, d2 double, rank int")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 15, key: str = "ID", vec: str = "vec",
-                 label: str = "label", **kw) -> DataFrame:
-    """(key, score = share of positive neighbours, prediction = majority class)."""
-    nb = knn_neighbours(train.select(key, vec, label), test, k, key, vec, **kw)
-    labels = train.select(F.col(key).alias("tid"), F.col(label).alias("_y"))
-    scored = nb.join(labels, "tid").groupBy("qid").agg(F.avg(F.col("_y").cast("double")).alias("score"))
-    return scored.select(F.col("qid").alias(key), "score",
-                         (F.col("score") > 0.5).cast("int").alias("prediction"))
+                 label: str = "label", keep: tuple[str, ...] = (), max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(key, the columns in ``keep``, score = share of positive neighbours, prediction = majority class)."""
+    model = _model(train, key, vec, label, max_train_rows)
+    kept = "".join(f"{c} {test.schema[c].dataType.simpleString()}, " for c in keep)
+    return test.select(key, *keep, F.col(vec).alias("qv")).mapInPandas(
+        _nearest_fn(model, k, key, list(keep)), f"{key} long, {kept}score double, prediction int")

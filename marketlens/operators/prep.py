@@ -81,6 +81,11 @@ class FittedPreprocessor:
         """Named output columns (numeric blocks, then one dummy per level)."""
         return df.select(*keep, *[e.alias(n) for e, n in zip(self.output_exprs(), self.output_names())])
 
+    def transform_long(self, df: DataFrame, key: str = "ID") -> DataFrame:
+        """The same values as rows (key, feature, value), in one pass; fits tables whose columns depend on the fit."""
+        cells = F.array(*[F.struct(F.lit(n).alias("feature"), e.alias("value")) for e, n in zip(self.output_exprs(), self.output_names())])
+        return df.select(key, F.inline(cells))
+
     def transform(self, df: DataFrame, keep: Sequence[str] = ("ID",), output: str = "features") -> DataFrame:
         """Same values as one dense ``VectorUDT`` column for MLlib."""
         return df.select(*keep, array_to_vector(F.array(*self.output_exprs())).alias(output))
@@ -104,7 +109,7 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
     """
     log_numeric, numeric, categorical = list(log_numeric), list(numeric), list(categorical)
     if not (log_numeric or numeric or categorical):
-        raise ValueError("No usable stage features were found for preprocessing.")
+        raise ValueError("nothing to preprocess: the column lists are empty")
     nums = log_numeric + numeric
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in nums:

@@ -104,13 +104,11 @@ fragment("customer_profile", "SELECT\n" + ",\n".join(f"  {v} AS {k}" for k, v in
 
 
 # ---------------------------------------------------------------------------
-# P1-P6 features (classification flavour, reference year 2001) and cleanings
+# P1-P6 features and cleanings; the rules are written out here, not taken from the code under test
 # ---------------------------------------------------------------------------
-from marketlens.operators.features import FIXTURE_REFERENCE_YEAR as _RY  # noqa: E402
-from marketlens.schema import PARTNER_STATUS, RARE_MARITAL_STATUS  # noqa: E402
-
-RARE_SQL = ", ".join(sql_str(s) for s in RARE_MARITAL_STATUS)
-PARTNER_SQL = ", ".join(sql_str(s) for s in PARTNER_STATUS)
+_RY = 2001  # fixed year of the clustering and recommendation tracks
+RARE_SQL = "'Absurd', 'Alone', 'YOLO'"
+PARTNER_SQL = "'Married', 'Together'"
 
 
 def nz_sum(cols, cast="BIGINT") -> str:
@@ -130,7 +128,10 @@ fragment("features",
          f"  {nz_sum(CAMPAIGN_COLUMNS, 'INTEGER')} AS CampaignAcceptedTotal\n"
          "FROM _dated d", ("_dated",))
 CLS_KEEP = "Age BETWEEN 18 AND 100 AND (Income IS NULL OR Income <= 200000)"
-fragment("cls_clean", f"SELECT * FROM features WHERE {CLS_KEEP}", ("features",))
+# the classification track ages customers at the latest enrolment year of the table
+fragment("cls_features", "SELECT * REPLACE (CAST((SELECT max(year(Dt_Customer)) FROM _dated) - Year_Birth AS INTEGER) AS Age) "
+         "FROM features", ("features", "_dated"))
+fragment("cls_clean", f"SELECT * FROM cls_features WHERE {CLS_KEEP}", ("cls_features",))
 fragment("clu_clean", f"SELECT * FROM features WHERE {CLS_KEEP} AND CustomerTenure IS NOT NULL", ("features",))
 
 fragment("_reg_base",

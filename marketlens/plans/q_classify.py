@@ -66,7 +66,7 @@ _cat = " + ".join(
     for c in CATEGORICAL_COLUMNS)
 fragment("knn_nb", f"SELECT q.ID AS qid, t.ID AS tid, t.label, row_number() OVER (PARTITION BY q.ID ORDER BY "
          f"({_d2}) + ({_cat}), t.ID) AS rn FROM (SELECT * FROM cls_vec WHERE is_test) q, "
-         "(SELECT * FROM cls_vec WHERE NOT is_test) t", ("cls_vec",))
+         f"({knn.fitted_rows_sql('(SELECT * FROM cls_vec WHERE NOT is_test)')}) t", ("cls_vec",))
 fragment("knn_pred", "SELECT 'knn_k15' AS model, -1 AS fold, n.qid AS ID, v.label, "
          "CAST(avg(n.label) > 0.5 AS INTEGER) AS prediction, avg(CAST(n.label AS DOUBLE)) AS score "
          "FROM knn_nb n JOIN cls_vec v ON v.ID = n.qid WHERE n.rn <= 15 GROUP BY n.qid, v.label", ("knn_nb", "cls_vec"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens.operators import prep, recommend as R, recommender as M
-from marketlens.plans.oracle import sql_with
+from marketlens.plans.oracle import fragment, sql_with
+from marketlens.plans.q_prep import CLS_NUMERIC, cls_split, numeric_long_sql, onehot_long_sql, scale_sql
 from marketlens.plans.q_prepare import reg_prepared
 from marketlens.plans.registry import register, session_result
-from marketlens.schema import PRODUCT_COLUMNS, STAGE_FEATURE_SETS
+from marketlens.schema import (CATEGORICAL_CANDIDATES, CATEGORICAL_COLUMNS, CLASSIFICATION_FEATURES, LOG_NUMERIC_CANDIDATES,
+                               PRODUCT_COLUMNS, STAGE_FEATURE_SETS, STANDARD_NUMERIC_CANDIDATES)
 from marketlens.plans.q_prepare import profile
 from marketlens.session import materialize
 
@@ -31,60 +33,34 @@ register("multi_output_poly2", note="M12: Existing-customer degree-2 OLS, normal
 
 
 def _t6_sql() -> str:
-    from marketlens.plans.q_prep import _scale_sql
-    from marketlens.schema import CATEGORICAL_CANDIDATES, LOG_NUMERIC_CANDIDATES, STANDARD_NUMERIC_CANDIDATES
     feats = STAGE_FEATURE_SETS["Existing-customer"]
     logs = [c for c in LOG_NUMERIC_CANDIDATES if c in feats]
     std = [c for c in STANDARD_NUMERIC_CANDIDATES if c in feats]
     cats = [c for c in CATEGORICAL_CANDIDATES if c in feats]
-    consts, body = _scale_sql("(SELECT * FROM reg_valid_split WHERE NOT is_test)", "reg_valid_split", logs + std, logs)
-    parts = []
-    for c in cats:
-        parts.append(
-            f"SELECT a.ID, '{c}_' || l.lv AS dummy, CAST(coalesce(a.{c}, md.mode) = l.lv AS DOUBLE) AS v "
-            f"FROM (SELECT * FROM reg_valid_split WHERE is_test) a "
-            f"CROSS JOIN (SELECT DISTINCT {c} AS lv FROM reg_valid_split WHERE NOT is_test AND {c} IS NOT NULL) l "
-            f"CROSS JOIN (SELECT {c} AS mode FROM reg_valid_split WHERE NOT is_test AND {c} IS NOT NULL "
-            f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) md")
-    return sql_with(
-        f"SELECT * FROM (WITH k AS ({consts}), num AS (SELECT a.ID, {body} FROM reg_valid_split a CROSS JOIN k WHERE a.is_test), "
-        "dum AS (PIVOT (" + " UNION ALL ".join(parts) + ") ON dummy USING first(coalesce(v, 0.0)) GROUP BY ID) "
-        "SELECT * FROM num JOIN dum USING (ID)) t", "reg_valid_split")
+    consts, body = scale_sql("(SELECT * FROM reg_valid_split WHERE NOT is_test)", "reg_valid_split", logs + std, logs)
+    fragment("stage_consts", consts, ("reg_valid_split",))
+    return sql_with(numeric_long_sql(body, logs + std, "reg_valid_split a CROSS JOIN stage_consts k WHERE a.is_test")
+                    + " UNION ALL " + onehot_long_sql("reg_valid_split", cats), "stage_consts")
 
 
 def _t5_sql() -> str:
-    return sql_with("SELECT * FROM (SELECT a.ID, " + _cls_scaled_body() + " FROM cls_split a CROSS JOIN cls_scale_consts k "
-                    "WHERE a.is_test) num JOIN (" + _cls_onehot_body() + ") dum USING (ID)",
-                    "cls_split", "cls_scale_consts")
-
-
-def _cls_scaled_body() -> str:
-    from marketlens.plans.q_prep import CLS_NUMERIC, ZS
-    return ", ".join(f"(coalesce(CAST(a.{c} AS DOUBLE), k.med_{c}) - k.mu_{c}) / "
-                     f"(CASE WHEN k.sd_{c} IS NULL OR k.sd_{c} < {ZS} THEN 1 ELSE k.sd_{c} END) AS {c}"
-                     for c in CLS_NUMERIC)
-
-
-def _cls_onehot_body() -> str:
-    from marketlens.plans.q_prep import _onehot_sql
-    body = _onehot_sql()
-    return body[body.index("PIVOT"):]
+    _, body = scale_sql("cls_split", "cls_split", CLS_NUMERIC)
+    return sql_with(numeric_long_sql(body, CLS_NUMERIC, "cls_split a CROSS JOIN cls_scale_consts k WHERE a.is_test")
+                    + " UNION ALL " + onehot_long_sql("cls_split", CATEGORICAL_COLUMNS), "cls_scale_consts")
 
 
 @register("stage_preprocessor", _t6_sql(), note="T6: Existing-customer log/plain/one-hot blocks fitted on train")
 def q_stage_preprocessor(spark, sf):
     data = M.prepared_targets(reg_prepared(spark, sf))
     fitted = prep.fit_stage(data.filter(~F.col("is_test")), STAGE_FEATURE_SETS["Existing-customer"])
-    return fitted.transform_columns(data.filter("is_test"))
+    return fitted.transform_long(data.filter("is_test"))
 
 
 @register("classification_preprocessor", _t5_sql(), note="T5: median/scale numeric + mode/one-hot strings, by dtype")
 def q_classification_preprocessor(spark, sf):
-    from marketlens.plans.q_classify import cls_data
-    from marketlens.schema import CLASSIFICATION_FEATURES
-    d = cls_data(spark, sf)
+    d = cls_split(spark, sf)
     fitted = prep.fit_by_dtype(d.filter(~F.col("is_test")), CLASSIFICATION_FEATURES)
-    return fitted.transform_columns(d.filter("is_test"))
+    return fitted.transform_long(d.filter("is_test"))
 
 
 register("compare_recommenders", note="E7: 3 stages x 2 models summary")(lambda spark, sf: run(spark, sf).summary)

@@ -24,7 +24,7 @@ fragment("cls_fm", "SELECT ID, " + ", ".join(CLASSIFICATION_FEATURES) + ", CAST(
 fragment("cls_split", S.split_sql("cls_fm", strata=["Response"]), ("cls_fm",))
 
 
-def _scale_sql(source_train: str, source_apply: str, cols, log_cols=()) -> tuple[str, str]:
+def scale_sql(source_train: str, source_apply: str, cols, log_cols=()) -> tuple[str, str]:
     """(constants CTE body, transformed select) for median -> [log1p] -> ddof-0 scale."""
     meds = ", ".join(f"median(CAST({c} AS DOUBLE)) AS med_{c}" for c in cols)
     def imp(c, t=""):
@@ -59,7 +59,7 @@ def q_impute_most_frequent(spark, sf):
 
 
 # --- T3: scaled numeric columns of the test rows (fit on train) ---------------------------------
-_c, _b = _scale_sql("(SELECT * FROM cls_split WHERE NOT is_test)", "cls_split", CLS_NUMERIC)
+_c, _b = scale_sql("(SELECT * FROM cls_split WHERE NOT is_test)", "cls_split", CLS_NUMERIC)
 fragment("cls_scale_consts", _c, ("cls_split",))
 register("standard_scale", sql_with(
     f"SELECT a.ID, {_b} FROM cls_split a CROSS JOIN cls_scale_consts k WHERE a.is_test", "cls_scale_consts"))(
@@ -67,33 +67,33 @@ register("standard_scale", sql_with(
                        .transform_columns(d.filter("is_test")))(cls_split(spark, sf)))
 
 
-# --- T4: dummies of the test rows (levels and modes from train) ------------------------------------
+# --- T4: dummies of the test rows (levels and modes from train), one row per customer and level -------------
+def onehot_long_sql(split: str, cols) -> str:
+    """(ID, feature, value) of the test rows of ``split`` for every level its train rows have."""
+    return " UNION ALL ".join(
+        f"SELECT a.ID, '{c}_' || l.lv AS feature, CAST(coalesce(coalesce(a.{c}, md.mode) = l.lv, false) AS DOUBLE) AS value "
+        f"FROM (SELECT * FROM {split} WHERE is_test) a "
+        f"CROSS JOIN (SELECT DISTINCT {c} AS lv FROM {split} WHERE NOT is_test AND {c} IS NOT NULL) l "
+        f"CROSS JOIN (SELECT {c} AS mode FROM {split} WHERE NOT is_test AND {c} IS NOT NULL "
+        f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) md" for c in cols)
+
+
+def numeric_long_sql(body: str, cols, source: str) -> str:
+    """(ID, feature, value) from the scaled columns of ``body``."""
+    return " UNION ALL ".join(f"SELECT ID, '{c}' AS feature, {c} AS value FROM (SELECT a.ID, {body} FROM {source}) s" for c in cols)
+
+
 def _onehot_spark(spark, sf):
     d = cls_split(spark, sf)
     fitted = prep.fit_preprocessor(d.filter(~F.col("is_test")), categorical=CATEGORICAL_COLUMNS)
-    return fitted.transform_columns(d.filter("is_test"))
-
-
-def _onehot_sql() -> str:
-    # Level lists come from the data; the dummy column names are known only after the fit,
-    # so the oracle emits a long form and pivots with the DuckDB PIVOT statement.
-    parts = []
-    for c in CATEGORICAL_COLUMNS:
-        parts.append(
-            f"SELECT a.ID, '{c}_' || l.lv AS dummy, CAST(coalesce(a.{c}, md.mode) = l.lv AS DOUBLE) AS v "
-            f"FROM (SELECT * FROM cls_split WHERE is_test) a "
-            f"CROSS JOIN (SELECT DISTINCT {c} AS lv FROM cls_split WHERE NOT is_test AND {c} IS NOT NULL) l "
-            f"CROSS JOIN (SELECT {c} AS mode FROM cls_split WHERE NOT is_test AND {c} IS NOT NULL "
-            f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) md")
-    return sql_with("PIVOT (" + " UNION ALL ".join(parts) + ") ON dummy USING first(coalesce(v, 0.0)) GROUP BY ID",
-                    "cls_split")
+    return fitted.transform_long(d.filter("is_test"))
 
 
-register("one_hot", _onehot_sql())(_onehot_spark)
+register("one_hot", sql_with(onehot_long_sql("cls_split", CATEGORICAL_COLUMNS), "cls_split"))(_onehot_spark)
 
 
 # --- T8: 13 clustering features, median + scale fitted on all cleaned rows ------------------------------
-_c8, _b8 = _scale_sql("clu_clean", "clu_clean", CLUSTER_FEATURES)
+_c8, _b8 = scale_sql("clu_clean", "clu_clean", CLUSTER_FEATURES)
 fragment("clu_scale_consts", _c8, ("clu_clean",))
 fragment("clu_scaled", f"SELECT a.ID, {_b8} FROM clu_clean a CROSS JOIN clu_scale_consts k", ("clu_scale_consts",))
 register("clustering_features", sql_with("SELECT * FROM clu_scaled", "clu_scaled"))(
@@ -108,7 +108,7 @@ _NUM = _LOG + _STD
 _TOT = " + ".join(f"coalesce({c}, 0)" for c in ["MntWines", "MntFruits", "MntMeatProducts", "MntFishProducts",
                                                   "MntSweetProducts", "MntGoldProds"])
 fragment("reg_valid_split", S.split_sql(f"(SELECT * FROM reg_prepared WHERE {_TOT} > 0)"), ("reg_prepared",))
-_c7, _b7 = _scale_sql("(SELECT * FROM reg_valid_split WHERE NOT is_test)", "reg_valid_split", _NUM, _LOG)
+_c7, _b7 = scale_sql("(SELECT * FROM reg_valid_split WHERE NOT is_test)", "reg_valid_split", _NUM, _LOG)
 fragment("poly_consts", _c7, ("reg_valid_split",))
 fragment("poly_base", f"SELECT a.ID, {_b7} FROM reg_valid_split a CROSS JOIN poly_consts k WHERE a.is_test",
          ("poly_consts",))

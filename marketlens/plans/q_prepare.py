@@ -35,16 +35,22 @@ def profile(spark, sf):
     return df
 
 
-def featured(spark, sf):
+def cls_featured(spark, sf):
+    """Classification ages customers at the table's latest enrolment year."""
+    return P.add_project_features(profile(spark, sf), reference_year="max")
+
+
+def clu_featured(spark, sf):
+    """Clustering (like the recommender) ages them at a fixed year."""
     return P.add_project_features(profile(spark, sf))
 
 
 def cls_clean(spark, sf):
-    return clean.clean_classification(featured(spark, sf))
+    return clean.clean_classification(cls_featured(spark, sf))
 
 
 def clu_clean(spark, sf):
-    return clean.clean_clustering(featured(spark, sf))
+    return clean.clean_clustering(clu_featured(spark, sf))
 
 
 def reg_prepared(spark, sf):
@@ -91,7 +97,7 @@ def _summary_sql() -> str:
 @register("dataset_summary", _summary_sql())
 def q_dataset_summary(spark, sf):
     raw = profile(spark, sf)
-    cleaned = clean.clean_classification(P.add_project_features(raw))
+    cleaned = clean.clean_classification(P.add_project_features(raw, reference_year="max"))
     return stats.dataset_summary(raw, cleaned, CLASSIFICATION_FEATURES, cleaned_columns=CLEANED_COLUMNS)
 
 
@@ -99,7 +105,7 @@ def q_dataset_summary(spark, sf):
 register("parse_enrollment_date", sql_with("SELECT ID, Dt_Customer FROM _dated", "_dated"))(
     lambda spark, sf: P.parse_enrollment_date(profile(spark, sf)).select("ID", "Dt_Customer"))
 register("customer_tenure", sql_with("SELECT ID, CustomerTenure FROM features", "features"))(
-    lambda spark, sf: featured(spark, sf).select("ID", "CustomerTenure"))
+    lambda spark, sf: cls_featured(spark, sf).select("ID", "CustomerTenure"))
 register("customer_age", sql_with("SELECT ID, Age FROM features", "features"))(
     lambda spark, sf: P.customer_age(profile(spark, sf)).select("ID", "Age"))
 register("customer_age_max_year", sql_with(
@@ -149,12 +155,11 @@ register("clean_regression", sql_with("SELECT * FROM reg_prepared", "reg_prepare
     "CAST(count(*) AS BIGINT) - (SELECT CAST(count(*) AS BIGINT) FROM reg_prepared) FROM customer_profile",
     "cls_clean", "clu_clean", "reg_prepared"))
 def q_removed_rows(spark, sf):
-    feats = featured(spark, sf)
     raw = profile(spark, sf)
     age = F.lit(P.FIXTURE_REFERENCE_YEAR) - F.col("Year_Birth")
     reg_keep = age.between(18, 100) & (F.col("Income").isNull() | (F.col("Income") <= 300000))
-    parts = [clean.removed_rows(feats, clean.keep_classification()).select(F.lit("classification").alias("workflow"), "*"),
-             clean.removed_rows(feats, clean.keep_clustering()).select(F.lit("clustering").alias("workflow"), "*"),
+    parts = [clean.removed_rows(cls_featured(spark, sf), clean.keep_classification()).select(F.lit("classification").alias("workflow"), "*"),
+             clean.removed_rows(clu_featured(spark, sf), clean.keep_clustering()).select(F.lit("clustering").alias("workflow"), "*"),
              clean.removed_rows(raw, reg_keep).select(F.lit("regression").alias("workflow"), "*")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
