@@ -1,35 +1,92 @@
-"""Distributed running sums (no single-partition window)."""
+"""Distributed running sums and exact quantiles (no single-partition window, no per-column value map)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marketlens.session import materialize
+
+
+def _running_fn(group_cols: list[str], value_cols: list[str]):
+    def run(batches):
+        before_key, carry = None, dict.fromkeys(value_cols, 0)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pd.Series(list(zip(*[pdf[g] for g in group_cols], strict=True)) if group_cols else [()] * len(pdf))
+            part = (keys != keys.shift()).cumsum()
+            part.index = pdf.index
+            sums = {v: pdf[v].groupby(part).cumsum() for v in value_cols}
+            for v in value_cols:
+                local = sums[v] - pdf[v]
+                if keys.iloc[0] == before_key:
+                    local = local + carry[v] * (part == 1)
+                pdf["_l_" + v] = local
+            goes_on = part.iloc[-1] == 1 and keys.iloc[0] == before_key
+            carry = {v: int(sums[v].iloc[-1]) + (carry[v] if goes_on else 0) for v in value_cols}
+            before_key = keys.iloc[-1]
+            yield pdf
+    return run
 
 
 def sum_before(df: DataFrame, group_cols: Sequence[str], order_col: str, value_cols: Sequence[str],
                n_parts: int | None = None) -> DataFrame:
-    """Adds ``<v>_before`` = sum of ``v`` over rows of the same group with a smaller ``order_col``.
+    """Adds ``<v>_before`` = sum of ``v`` (whole numbers) over rows of the same group with a smaller ``order_col``.
 
     ``(group_cols, order_col)`` must be unique (e.g. a table of distinct scores).
     Range partitioning on the full key balances the work even when one group
-    holds most rows; running sums are computed inside each range partition
-    and the totals of earlier partitions (one row per partition and group,
-    broadcast) are added on.
+    holds most rows.  Each sorted partition is summed as it streams by, without another
+    exchange; the totals of earlier partitions (a row for each partition and group) are added on.
     """
-    group_cols = list(group_cols)
+    group_cols, value_cols = list(group_cols), list(value_cols)
     n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n_parts, *group_cols, order_col)
-         .withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    # written once: both uses must see the same partitions
+    s = materialize(df.repartitionByRange(n_parts, *group_cols, order_col).sortWithinPartitions(*group_cols, order_col)
+                    .withColumn("_pid", F.spark_partition_id()))
     tot = s.groupBy("_pid", *group_cols).agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     w_off = (Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")) \
         .rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *group_cols,
                      *[F.coalesce(F.sum(f"_t_{v}").over(w_off), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
-    w_loc = Window.partitionBy("_pid", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = s.select("*", *[F.coalesce(F.sum(v).over(w_loc), F.lit(0)).alias(f"_l_{v}") for v in value_cols])
-    out = local.join(F.broadcast(off), ["_pid", *group_cols])
+    schema = T.StructType(s.schema.fields + [T.StructField(f"_l_{v}", T.LongType()) for v in value_cols])
+    local = s.mapInPandas(_running_fn(group_cols, value_cols), schema)
+    out = local.join(off, ["_pid", *group_cols])
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}_before")
                                      for v in value_cols])
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,)) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear interpolation, nulls left out) of all ``cols``.
+
+    Values are counted for each column, counts are summed up in order of the value, and only the rows that hold
+    the wanted places reach the driver: at most two for each column and quantile.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])))
+    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    summed = materialize(sum_before(counts, ["feature"], "value", ["c"]))
+    n = {r["feature"]: r["n"] for r in summed.groupBy("feature").agg(F.sum("c").alias("n")).collect()}
+    places = {(c, p): (p * (n[c] - 1)) for c in n for p in probs}
+    wanted = sorted({(c, i) for (c, _), h in places.items() for i in (math.floor(h), math.ceil(h))})
+    if not wanted:
+        return {c: [None] * len(probs) for c in cols}
+    asked = df.sparkSession.createDataFrame(wanted, "feature string, place long")
+    hit = (summed.join(F.broadcast(asked), "feature")  # two rows for each column and quantile
+           .where((F.col("c_before") <= F.col("place")) & (F.col("place") < F.col("c_before") + F.col("c"))))
+    at = {(r["feature"], r["place"]): r["value"] for r in hit.select("feature", "place", "value").collect()}
+
+    def value(c: str, p: float) -> float | None:
+        if c not in n:
+            return None
+        h = places[c, p]
+        low, high = at[c, math.floor(h)], at[c, math.ceil(h)]
+        return low + (h - math.floor(h)) * (high - low)
+    return {c: [value(c, p) for p in probs] for c in cols}

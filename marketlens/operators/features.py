@@ -77,8 +77,16 @@ def add_project_features(df: DataFrame, reference_year: int | str = FIXTURE_REFE
     return group_rare_status(out)
 
 
-def fill_mode_category(df: DataFrame, col: str = "Marital_Status", empty_value: str = "Other") -> DataFrame:
-    """Fill NULL with the table's most frequent value (ties -> smallest)."""
+def mode_category(df: DataFrame, col: str = "Marital_Status", empty_value: str = "Other") -> str:
+    """The value that P7 fills in, as a fitted constant (for rows that come later)."""
+    return df.agg(F.coalesce(F.mode(col, True), F.lit(empty_value)).alias("m")).first()["m"]
+
+
+def fill_mode_category(df: DataFrame, col: str = "Marital_Status", empty_value: str = "Other",
+                       value: str | None = None) -> DataFrame:
+    """Fill NULL with ``value``, by default the table's most frequent value (ties -> smallest)."""
+    if value is not None:
+        return df.withColumn(col, F.coalesce(F.col(col), F.lit(value)))
     mode = df.agg(F.coalesce(F.mode(col, True), F.lit(empty_value)).alias("_mode"))
     return (df.crossJoin(F.broadcast(mode))
             .withColumn(col, F.coalesce(F.col(col), F.col("_mode"))).drop("_mode"))
@@ -90,8 +98,9 @@ def has_partner(df: DataFrame, col: str = "Marital_Status") -> DataFrame:
 
 
 def prepare_regression_frame(df: DataFrame, reference_year: int = FIXTURE_REFERENCE_YEAR,
-                             min_age: int = 18, max_age: int = 100, max_income: float = 300000) -> DataFrame:
-    """F3 + P6-P8 + P4: the recommender's ``prepare_dataframe``.
+                             min_age: int = 18, max_age: int = 100, max_income: float = 300000,
+                             fill_status: str | None = None) -> DataFrame:
+    """F3 + P6-P8 + P4: the recommender's preparation; ``fill_status`` is the fitted fill value of P7 when new rows are scored.
 
     The age bound is written on ``Year_Birth`` so it reaches the source scan.
     """
@@ -100,7 +109,7 @@ def prepare_regression_frame(df: DataFrame, reference_year: int = FIXTURE_REFERE
     out = out.filter(F.col("Year_Birth").between(reference_year - max_age, reference_year - min_age))
     out = out.filter(F.col("Income").isNull() | (F.col("Income") <= max_income))
     out = group_rare_status(out)
-    out = fill_mode_category(out)
+    out = fill_mode_category(out, value=fill_status)
     out = has_partner(out)
     return total_children(out)
 

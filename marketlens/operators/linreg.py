@@ -139,13 +139,3 @@ def fit_least_squares(df: DataFrame, features: str, targets: Sequence[str], dim:
     coef = inv @ sxy
     intercept = my - mx @ coef
     return LinearModel(coef, intercept, targets, degree2)
-
-
-def poly2_array(col: str, p: int) -> Column:
-    """Degree-2 terms (x_j, then x_i * x_j for i <= j) of an array column, no bias."""
-    x = F.col(col)
-    terms = []
-    for j in range(p):
-        terms.append(x[j])
-        terms += [x[i] * x[j] for i in range(j + 1)]
-    return F.array(*terms)

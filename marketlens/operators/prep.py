@@ -1,8 +1,8 @@
 """Fit-on-train preprocessing (impute, log, scale, one-hot, degree-2 terms).
 
-``fit_preprocessor`` runs one global aggregate over the training rows (exact
-medians, modes, category levels, and count / mean / population variance of
-the non-null values, from which the imputed column's moments follow exactly).
+``fit_preprocessor`` runs one global aggregate over the training rows (count, mean and population variance of
+the non-null values, from which the imputed column's moments follow exactly), and counts by value for exact
+medians, modes and levels.
 Only those constants -- a few numbers per column -- reach the driver.  ``transform`` is then a single
 projection with the constants as literals: no join, no shuffle, inside
 whole-stage codegen, and the fitted object applies unchanged to test folds,
@@ -13,9 +13,6 @@ midpoint for even counts (``ml.feature.Imputer`` is approximate), population
 standard deviation (ddof 0; ``ml.feature.StandardScaler`` uses ddof 1) with a
 zero deviation scaled by 1, most-frequent imputation with ties to the smallest
 value, and dense dummies for every level seen in fit (unseen -> all zeros).
-
-Exact medians use ``percentile``, whose buffer is a value->count map: its size
-follows the number of distinct values of the column, not the row count.
 """
 
 from __future__ import annotations
@@ -28,10 +25,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.ranking import exact_quantiles
 from marketlens.schema import (CATEGORICAL_CANDIDATES, LOG_NUMERIC_CANDIDATES, STANDARD_NUMERIC_CANDIDATES,
                                numeric_and_categorical)
 
 
+# Levels of one categorical column that may become columns.
+MAX_LEVELS = 1000
 # A deviation below ten machine epsilons counts as a constant column (divisor 1).
 ZERO_SCALE = 10 * 2.220446049250313e-16
 
@@ -96,16 +96,16 @@ class FittedPreprocessor:
 
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
-                     log_numeric: Sequence[str] = (), approx_median_accuracy: int | None = None) -> FittedPreprocessor:
-    """Fit T1 (median), X3 (log1p), T3 (scale), T2 (mode), T4 (levels) on ``train`` in one aggregate.
+                     log_numeric: Sequence[str] = (), max_levels: int = MAX_LEVELS) -> FittedPreprocessor:
+    """Fit T1 (median), X3 (log1p), T3 (scale), T2 (mode), T4 (levels) on ``train``.
 
     The imputed column is the non-null values plus ``n_null`` copies of the
     median, so its mean and population variance combine exactly from the
     non-null group's count, mean and variance (parallel-variance formula);
     for log columns the same holds on ``log1p`` values.
 
-    ``approx_median_accuracy`` switches the median to ``percentile_approx``
-    (bounded sketch memory) for columns with very many distinct values.
+    Medians come from counts by value, summed in order of the value (``exact_quantiles``); modes and levels
+    from counts by level.  A level becomes a column, so more than ``max_levels`` of one column are an error.
     """
     log_numeric, numeric, categorical = list(log_numeric), list(numeric), list(categorical)
     if not (log_numeric or numeric or categorical):
@@ -115,16 +115,14 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
     for c in nums:
         x = F.col(c).cast("double")
         t = F.log1p(x) if c in log_numeric else x
-        med = (F.percentile_approx(x, 0.5, approx_median_accuracy) if approx_median_accuracy else F.median(x))
-        aggs += [med.alias(f"med_{c}"), F.count(x).alias(f"cnt_{c}"),
-                 F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
-    aggs += [F.mode(c, True).alias(f"mode_{c}") for c in categorical]
-    aggs += [F.array_sort(F.collect_set(c)).alias(f"lv_{c}") for c in categorical]
+        aggs += [F.count(x).alias(f"cnt_{c}"), F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
     row = train.agg(*aggs).first()
+    medians = exact_quantiles(train, nums)
+    levels = _level_counts(train, categorical, max_levels)
     fitted = FittedPreprocessor(log_numeric, numeric, categorical)
     n = row["_n"]
     for c in nums:
-        med = row[f"med_{c}"]
+        med = medians[c][0]
         fitted.medians[c] = med
         n1, m1, v1 = row[f"cnt_{c}"], row[f"mu_{c}"], row[f"var_{c}"]
         n0 = n - n1
@@ -141,11 +139,22 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
         fitted.means[c] = float(mean)
         fitted.scales[c] = sd if sd >= ZERO_SCALE else 1.0
     for c in categorical:
-        fitted.modes[c] = row[f"mode_{c}"]
-        fitted.levels[c] = list(row[f"lv_{c}"] or [])
+        fitted.modes[c] = min(levels[c], key=lambda lv: (-levels[c][lv], lv), default=None)
+        fitted.levels[c] = sorted(levels[c])
     return fitted
 
 
+def _level_counts(train: DataFrame, categorical: Sequence[str], max_levels: int) -> dict[str, dict[str, int]]:
+    """Rows of each level of each column; at most ``max_levels`` + 1 rows of a column reach the driver."""
+    counts: dict[str, dict[str, int]] = {}
+    for c in categorical:
+        rows = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).limit(max_levels + 1).collect()
+        if len(rows) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
+        counts[c] = {r[c]: r["n"] for r in rows}
+    return counts
+
+
 def fit_by_dtype(train: DataFrame, columns: Sequence[str]) -> FittedPreprocessor:
     """T5: median+scale on numeric, mode+one-hot on string columns (by dtype)."""
     nums, cats = numeric_and_categorical(train, columns)

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.ranking import exact_quantiles
 from marketlens.functions.rowexpr import (banner_order, banner_scores, row_sum_skip_nulls, safe_ratio,
                                           top1_product)
 from marketlens.schema import PRODUCT_COLUMNS
@@ -76,28 +77,28 @@ def prediction_frame(actual: DataFrame, predicted: DataFrame, prior: DataFrame,
     """4 x 6 score columns, top products, match flag, banner order and scores.
 
     ``actual`` holds true shares, ``predicted`` normalised predicted shares; both
-    keyed by ``key``.  One join on the key (both sides are partitioned by it
-    when they come from the same pipeline), everything else is projection.
+    keyed by ``key``.  One join on the key; use ``scored_frame`` when one table already has both.
     """
-    a_rel = relative_preference(actual.select(key, *product_cols), prior, product_cols)
-    p_rel = relative_preference(predicted.select(key, *product_cols), prior, product_cols)
-    parts = [
-        prefix_columns(actual, "ActualRatio_", product_cols, key),
-        prefix_columns(predicted, "PredictedRatio_", product_cols, key),
-        prefix_columns(a_rel, "ActualRelativeScore_", product_cols, key),
-        prefix_columns(p_rel, "RecommendationScore_", product_cols, key),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, key)
+    both = actual.select(key, *[F.col(c).alias("ActualRatio_" + c) for c in product_cols]).join(
+        predicted.select(key, *[F.col(c).alias("PredictedRatio_" + c) for c in product_cols]), key)
+    return scored_frame(both, prior, product_cols, key)
+
+
+def scored_frame(both: DataFrame, prior: DataFrame, product_cols: Sequence[str] = PRODUCT_COLUMNS,
+                 key: str = "ID") -> DataFrame:
+    """E8 from a table with ``ActualRatio_`` and ``PredictedRatio_`` columns: projections and the one-row prior only."""
+    ratio = lambda p, c: safe_ratio(F.col(p + c), F.col("prior_" + c))
+    out = both.crossJoin(F.broadcast(prior)).select(
+        key, *[F.col(p + c) for p in ("ActualRatio_", "PredictedRatio_") for c in product_cols],
+        *[ratio("ActualRatio_", c).alias("ActualRelativeScore_" + c) for c in product_cols],
+        *[ratio("PredictedRatio_", c).alias("RecommendationScore_" + c) for c in product_cols])
     a_cols = ["ActualRelativeScore_" + c for c in product_cols]
     r_cols = ["RecommendationScore_" + c for c in product_cols]
     out = (out.withColumn("Actual_Product", top1_product(a_cols, product_cols))
               .withColumn("Recommended_Product", top1_product(r_cols, product_cols)))
     out = out.withColumn("Recommendation_Match", F.col("Actual_Product") == F.col("Recommended_Product"))
-    out = (out.withColumn("Banner_Ad_Order", banner_order(r_cols, product_cols))
-              .withColumn("Banner_Ad_Scores", banner_scores(r_cols, product_cols)))
-    return out
+    return (out.withColumn("Banner_Ad_Order", banner_order(r_cols, product_cols))
+               .withColumn("Banner_Ad_Scores", banner_scores(r_cols, product_cols)))
 
 
 def banner_output(frame: DataFrame, key: str = "ID") -> DataFrame:
@@ -209,17 +210,13 @@ def melt_metrics(summary: DataFrame, ids: Sequence[str], values: Sequence[str],
 
 
 def income_band(df: DataFrame, col: str = "Income") -> DataFrame:
-    """Quartile band of ``col`` (exact linear-interpolated quartiles, one aggregate).
-
-    ``percentile`` keeps a value->count map, so its memory follows the number of
-    distinct values (whole-unit incomes), not the number of rows.
-    """
-    q = df.agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    """Quartile band of ``col`` (exact linear-interpolated quartiles)."""
+    q = exact_quantiles(df, [col], (0.25, 0.5, 0.75))[col]
     x = F.col(col)
-    band = (F.when(x.isNull(), F.lit("Unknown"))
-            .when(x <= F.col("_q")[0], F.lit("Q1")).when(x <= F.col("_q")[1], F.lit("Q2"))
-            .when(x <= F.col("_q")[2], F.lit("Q3")).otherwise(F.lit("Q4")))
-    return df.crossJoin(F.broadcast(q)).withColumn("IncomeGroup", band).drop("_q")
+    if q[0] is None:
+        return df.withColumn("IncomeGroup", F.lit("Unknown"))
+    return df.withColumn("IncomeGroup", F.when(x.isNull(), F.lit("Unknown")).when(x <= q[0], F.lit("Q1"))
+                         .when(x <= q[1], F.lit("Q2")).when(x <= q[2], F.lit("Q3")).otherwise(F.lit("Q4")))
 
 
 def rec_by_income_band(frame_with_income: DataFrame, product: str = "Recommended_Product") -> DataFrame:

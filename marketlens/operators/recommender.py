@@ -13,9 +13,9 @@ Protocol of the published workflow, on Spark:
   final model, whose prediction frame is the recommendation output.
 
 Each fit = one preprocessing fit (one aggregate) + one Gramian pass, and
-its metrics are one more aggregate (sums of errors and of actuals per output)
-that returns a handful of numbers; the 36 independent fits are submitted from
-a small driver thread pool.  The prepared frame is checkpointed once, so the
+its metrics are one more aggregate (sums of errors and the spread of actuals per output)
+that returns a handful of numbers; both models of a stage and split share the preprocessing, actual shares
+travel with the predictions, and the independent fits are submitted from a small driver thread pool.  The prepared frame is checkpointed once, so the
 fits read it instead of re-deriving the customer table.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.operators import features as P, prep, recommend as R, split as S
-from marketlens.functions.rowexpr import top1_product
+from marketlens.functions.rowexpr import safe_ratio, top1_product
 from marketlens.operators.linreg import LinearModel, fit_least_squares
 from marketlens.schema import PRODUCT_COLUMNS, REGRESSOR_NAMES, STAGE_FEATURE_SETS
 from marketlens.session import materialize
@@ -57,8 +57,8 @@ class StageModel:
 
 
 def fit_stage_model(train: DataFrame, stage: str, features: Sequence[str], model_name: str,
-                    product_cols: Sequence[str] = PRODUCT_COLUMNS) -> StageModel:
-    pre = prep.fit_stage(train, features)
+                    product_cols: Sequence[str] = PRODUCT_COLUMNS, pre: prep.FittedPreprocessor | None = None) -> StageModel:
+    pre = pre or prep.fit_stage(train, features)
     sm = StageModel(stage, model_name, list(features), pre, None)  # type: ignore[arg-type]
     design = sm._design(train, ["ID", *product_cols])
     sm.linear = fit_least_squares(design, "f", list(product_cols), dim=pre.size, degree2=model_name == POLY)
@@ -74,26 +74,26 @@ def prepared_targets(prepared: DataFrame, feature_sets: Mapping[str, Sequence[st
     return S.split_and_folds(shares, test_size, n_folds)
 
 
-def _r2_table(pred: DataFrame, group: Sequence[str], product_cols: Sequence[str]) -> DataFrame:
-    """Per group: R2 (uniform over outputs), MAE, RMSE from columns a_<c>, p_<c>."""
-    group = list(group)
-    aggs = [F.count(F.lit(1)).alias("_n")]
+def _error_sums(product_cols: Sequence[str], a: str = "a_", p: str = "p_") -> list:
+    """Aggregates for R2 (uniform over outputs), MAE and RMSE: errors, and the spread around the mean (stable, one pass)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
     for c in product_cols:
-        e = F.col("p_" + c) - F.col("a_" + c)
-        aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c), F.avg("a_" + c).alias("m_" + c)]
-    st = pred.groupBy(*group).agg(*aggs)
-    means = F.broadcast(st.select(*group, *["m_" + c for c in product_cols]))  # one row per group
-    with_means = pred.join(means, group) if group else pred.crossJoin(means)
-    sst = with_means.groupBy(*group).agg(*[F.sum((F.col("a_" + c) - F.col("m_" + c)) ** 2).alias("sst_" + c)
-                                           for c in product_cols])
-    s = st.join(sst, group) if group else st.crossJoin(sst)
-    k = len(product_cols)
-    r2 = [F.when(F.col("sst_" + c) == 0, F.when(F.col("sse_" + c) == 0, 1.0).otherwise(0.0))
-          .otherwise(1 - F.col("sse_" + c) / F.col("sst_" + c)) for c in product_cols]
-    tot = lambda cols: sum(cols[1:], cols[0])
-    return s.select(*group, (tot(r2) / k).alias("r2"),
-                    (tot([F.col("sae_" + c) for c in product_cols]) / (F.col("_n") * k)).alias("mae"),
-                    F.sqrt(tot([F.col("sse_" + c) for c in product_cols]) / (F.col("_n") * k)).alias("rmse"))
+        e = F.col(p + c) - F.col(a + c)
+        aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c), F.var_pop(a + c).alias("var_" + c)]
+    return aggs
+
+
+def _scores(row, product_cols: Sequence[str]) -> tuple[float, float, float]:
+    """R2, MAE and RMSE from the sums."""
+    n, k = row["n"], len(product_cols)
+    if not n:
+        return 0.0, 0.0, 0.0
+    r2s = []
+    for c in product_cols:
+        sst, sse = row["var_" + c] * n, row["sse_" + c]
+        r2s.append((1.0 if sse == 0 else 0.0) if sst <= 0 else 1.0 - sse / sst)
+    return (sum(r2s) / k, sum(row["sae_" + c] for c in product_cols) / (n * k),
+            (sum(row["sse_" + c] for c in product_cols) / (n * k)) ** 0.5)
 
 
 @dataclass
@@ -104,6 +104,7 @@ class RecommendationRun:
     models: dict
     prior: DataFrame
     baseline: DataFrame
+    fill_status: str | None = None
 
 
 def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequence[str]] = STAGE_FEATURE_SETS,
@@ -124,48 +125,36 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
     splits = [(f, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)) for f in range(n_folds)]
     spark = prepared.sparkSession
 
-    def sums(pred_actual: DataFrame, extra=()):
-        """One aggregate: n, per output SSE, SAE, sum a, sum a^2 (+ extra aggregates)."""
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for c in pc:
-            e = F.col("p_" + c) - F.col("a_" + c)
-            aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c),
-                     F.sum("a_" + c).alias("sa_" + c), F.sum(F.col("a_" + c) ** 2).alias("saa_" + c)]
-        return pred_actual.agg(*aggs, *extra).first()
-
-    def r2_of(row) -> tuple[float, float, float]:
-        n = row["n"]
-        r2s = []
-        for c in pc:
-            sst = row["saa_" + c] - row["sa_" + c] ** 2 / n
-            sse = row["sse_" + c]
-            r2s.append((1.0 if sse == 0 else 0.0) if sst <= 0 else 1.0 - sse / sst)
-        mae = sum(row["sae_" + c] for c in pc) / (n * len(pc))
-        rmse = (sum(row["sse_" + c] for c in pc) / (n * len(pc))) ** 0.5
-        return sum(r2s) / len(pc), mae, rmse
-
-    def with_actual(pred: DataFrame, rows: DataFrame) -> DataFrame:
-        return pred.select("ID", *[F.col(c).alias("p_" + c) for c in pc]).join(
-            rows.select("ID", *[F.col(c).alias("a_" + c) for c in pc]), "ID")
+    actual = ["a_" + c for c in pc]
+
+    def with_actual(rows: DataFrame) -> DataFrame:
+        """True shares under their own names, so that they travel with the predictions and no join is needed."""
+        return rows.select("*", *[F.col(c).alias("a_" + c) for c in pc])
 
     def cv_task(t):
-        (stage, name), (f, tr, te) = t
-        sm = fit_stage_model(tr, stage, feature_sets[stage], name, pc)
-        return (stage, name, f), r2_of(sums(with_actual(sm.predict_raw(te, ["ID"]), te)))[0]
-
-    def holdout_task(t):
-        stage, name = t
-        sm = fit_stage_model(train, stage, feature_sets[stage], name, pc)
-        norm = R.normalize_shares(sm.predict_raw(test, ["ID"]), pc).persist(StorageLevel.MEMORY_AND_DISK)
-        frame = R.prediction_frame(test.select("ID", *pc), norm, prior, pc)
-        j = with_actual(norm, test).join(frame.select("ID", "Actual_Product", "Recommended_Product"), "ID")
-        row = sums(j, [F.avg((F.col("Actual_Product") == F.col("Recommended_Product")).cast("double"))
-                       .alias("match")])
-        return (stage, name), (sm, frame, r2_of(row), row["match"])
+        stage, (f, tr, te) = t
+        pre, out = prep.fit_stage(tr, feature_sets[stage]), {}  # one preprocessing fit for both models
+        for name in models:
+            sm = fit_stage_model(tr, stage, feature_sets[stage], name, pc, pre)
+            pred = sm.predict_raw(with_actual(te), ["ID", *actual]).withColumnsRenamed({c: "p_" + c for c in pc})
+            out[stage, name, f] = _scores(pred.agg(*_error_sums(pc)).first(), pc)[0]
+        return out
+
+    def holdout_task(stage):
+        pre, out = prep.fit_stage(train, feature_sets[stage]), {}
+        for name in models:
+            sm = fit_stage_model(train, stage, feature_sets[stage], name, pc, pre)
+            norm = R.normalize_shares(sm.predict_raw(with_actual(test), ["ID", *actual]), pc)
+            both = norm.withColumnsRenamed({**{"a_" + c: "ActualRatio_" + c for c in pc}, **{c: "PredictedRatio_" + c for c in pc}})
+            frame = R.scored_frame(both, prior, pc)
+            row = frame.agg(*_error_sums(pc, "ActualRatio_", "PredictedRatio_"),
+                            F.avg(F.col("Recommendation_Match").cast("double")).alias("match")).first()
+            out[stage, name] = (sm, frame, _scores(row, pc), row["match"])
+        return out
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        cv = dict(pool.map(cv_task, [(c, s) for c in combos for s in splits]))
-        hold = dict(pool.map(holdout_task, combos))
+        cv = {k: v for out in pool.map(cv_task, [(s, f) for s in feature_sets for f in splits]) for k, v in out.items()}
+        hold = {k: v for out in pool.map(holdout_task, feature_sets) for k, v in out.items()}
 
     rows = []
     for stage, name in combos:
@@ -182,7 +171,8 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
                                     "`Lift vs Baseline` double")
     best = sorted(rows, key=lambda r: (-r[9], -r[6], r[0], r[1]))[0]
     key = (best[0], best[1])
-    return RecommendationRun(summary, key, hold[key][1], {k: v[0] for k, v in hold.items()}, prior, baseline)
+    return RecommendationRun(summary, key, hold[key][1], {k: v[0] for k, v in hold.items()}, prior, baseline,
+                             P.mode_category(prepared))
 
 
 def score_customers(customers: DataFrame, run: RecommendationRun, key: tuple[str, str] | None = None,
@@ -190,15 +180,15 @@ def score_customers(customers: DataFrame, run: RecommendationRun, key: tuple[str
                     reference_year: int = P.FIXTURE_REFERENCE_YEAR) -> DataFrame:
     """Predicted shares, relative scores, top product and banner for new customers.
 
-    Narrow: one projection chain plus the one-row prior broadcast; no shuffle.
+    Narrow: the model runs once a row, then one projection with the one-row prior; no exchange.  A missing
+    marital status gets the value fitted with the model.
     """
     pc = list(product_cols)
     sm: StageModel = run.models[key or run.final_key]
-    rows = P.prepare_regression_frame(customers, reference_year) if prepare else customers
-    norm = R.normalize_shares(sm.predict_raw(rows, ["ID"]), pc)
-    rel = R.relative_preference(norm, run.prior, pc)
-    out = norm.select("ID", *[F.col(c).alias("PredictedRatio_" + c) for c in pc]).join(
-        rel.select("ID", *[F.col(c).alias("RecommendationScore_" + c) for c in pc]), "ID")
+    rows = P.prepare_regression_frame(customers, reference_year, fill_status=run.fill_status) if prepare else customers
+    norm = R.normalize_shares(sm.predict_raw(rows, ["ID"]), pc).crossJoin(F.broadcast(run.prior))
+    out = norm.select("ID", *[F.col(c).alias("PredictedRatio_" + c) for c in pc],
+                      *[safe_ratio(F.col(c), F.col(R.PRIOR_PREFIX + c)).alias("RecommendationScore_" + c) for c in pc])
     rs = ["RecommendationScore_" + c for c in pc]
     return R.add_banner(out.withColumn("Recommended_Product", top1_product(rs, pc)), rs, pc)
 
@@ -217,8 +207,6 @@ def spending_regression(prepared: DataFrame, features: Sequence[str] = ("Income"
         sm = StageModel("spending", name, list(features), pre, None)  # type: ignore[arg-type]
         sm.linear = fit_least_squares(sm._design(train, ["ID", target]), "f", [target], dim=pre.size,
                                       degree2=name == POLY)
-        pred = sm.predict_raw(test, ["ID"]).withColumnRenamed(target, "p_" + target)
-        j = pred.join(test.select("ID", F.col(target).alias("a_" + target)), "ID")
-        m = _r2_table(j, [], [target]).first()
-        rows.append((name, float(m["r2"]), float(m["mae"]), float(m["rmse"])))
+        pred = sm.predict_raw(test.withColumn("a_" + target, F.col(target)), ["ID", "a_" + target]).withColumnRenamed(target, "p_" + target)
+        rows.append((name, *map(float, _scores(pred.agg(*_error_sums([target])).first(), [target]))))
     return spark.createDataFrame(rows, "model string, r2 double, mae double, rmse double")

@@ -16,7 +16,7 @@ from marketlens.operators import classify as C, features as P, knn, prep, split
 from marketlens.plans.oracle import fragment, sql_with
 from marketlens.plans.q_prep import CLS_NUMERIC
 from marketlens.plans.q_prepare import cls_clean
-from marketlens.plans.registry import register, session_result
+from marketlens.plans.registry import register, kept_result
 from marketlens.schema import CATEGORICAL_COLUMNS, CLASSIFICATION_FEATURES
 from marketlens.session import materialize
 
@@ -42,7 +42,7 @@ def holdout_predictions(spark, sf, model: str):
                                                F.col(L).cast("int").alias(L), "prediction", "score")
 
 
-@session_result("classifier_predictions")
+@kept_result("classifier_predictions")
 def all_predictions(spark, sf):
     d = materialize(cls_data(spark, sf))  # cut lineage once: every fit reads this
     return C.prediction_table(d, CLASSIFICATION_FEATURES)

@@ -8,14 +8,14 @@ from marketlens.operators import prep, recommend as R, recommender as M
 from marketlens.plans.oracle import fragment, sql_with
 from marketlens.plans.q_prep import CLS_NUMERIC, cls_split, numeric_long_sql, onehot_long_sql, scale_sql
 from marketlens.plans.q_prepare import reg_prepared
-from marketlens.plans.registry import register, session_result
+from marketlens.plans.registry import register, kept_result
 from marketlens.schema import (CATEGORICAL_CANDIDATES, CATEGORICAL_COLUMNS, CLASSIFICATION_FEATURES, LOG_NUMERIC_CANDIDATES,
                                PRODUCT_COLUMNS, STAGE_FEATURE_SETS, STANDARD_NUMERIC_CANDIDATES)
 from marketlens.plans.q_prepare import profile
 from marketlens.session import materialize
 
 
-@session_result("recommender_run")
+@kept_result("recommender_run")
 def run(spark, sf):
     return M.compare_recommenders(reg_prepared(spark, sf))
 

@@ -45,8 +45,8 @@ def scale_sql(source_train: str, source_apply: str, cols, log_cols=()) -> tuple[
                        for c in CLS_NUMERIC), "cls_split"))
 def q_impute_median(spark, sf):
     train = cls_split(spark, sf).filter(~F.col("is_test"))
-    wide = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in CLS_NUMERIC])
-    return wide.unpivot([], CLS_NUMERIC, "feature", "median")
+    medians = prep.fit_preprocessor(train, numeric=CLS_NUMERIC).medians
+    return spark.createDataFrame([(c, medians[c]) for c in CLS_NUMERIC], "feature string, median double")
 
 
 @register("impute_most_frequent", sql_with(

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from marketlens.operators import clean, features as P, stats
 from marketlens.plans.oracle import nz_sum, sql_with
-from marketlens.plans.registry import register
+from marketlens.plans.registry import kept_result, register
 from marketlens.schema import CLASSIFICATION_FEATURES, IDENTIFIER_COLUMNS, PRODUCT_COLUMNS, RAW_COLUMNS
 from marketlens.sources import files
 from marketlens.sources.profile import customer_profile
@@ -16,23 +14,14 @@ from marketlens.session import materialize
 
 
 # --- shared Spark pipelines -------------------------------------------------
-_PROFILE_TABLES: dict = {}
-
-
+@kept_result("customer_profile")
 def profile(spark, sf):
-    """The derived customer table, materialised once per session.
+    """The derived customer table, from which every workflow starts.
 
-    Every workflow starts from it, so it is written once as a reliable
-    checkpoint under ``spark.checkpoint.dir`` (shared storage on a cluster)
-    and read back by all queries; lineage to the star schema is cut there.
-    The ``build_customer_profile`` query itself always derives it afresh.
+    Written once as a reliable checkpoint under ``spark.checkpoint.dir`` (shared storage on a cluster);
+    lineage to the star schema is cut there.  The ``build_customer_profile`` query itself always derives it afresh.
     """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
-    df = _PROFILE_TABLES.get(key)
-    if df is None:
-        df = materialize(customer_profile(spark, sf))
-        _PROFILE_TABLES[key] = df
-    return df
+    return materialize(customer_profile(spark, sf))
 
 
 def cls_featured(spark, sf):

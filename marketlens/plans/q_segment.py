@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import prep, segment as G
 from marketlens.plans.oracle import fragment, sql_str, sql_with
 from marketlens.plans.q_prepare import clu_clean
-from marketlens.plans.registry import register, session_result
+from marketlens.plans.registry import register, kept_result
 from marketlens.schema import (CLUSTER_FEATURES, PERSONA_HIGH_VALUE, PERSONA_LOW, PERSONA_MIDDLE,
                                PERSONA_RESPONSIVE, PROFILE_BASE_COLUMNS)
 
@@ -32,7 +32,7 @@ def fixed_labelled(spark, sf, n: int = 4):
     return G.ntile_labels(clu_vectors(spark, sf, with_rows=True), n)
 
 
-@session_result("kmeans_k4")
+@kept_result("kmeans_k4")
 def kmeans_labelled(spark, sf):
     """Best of 10 k-means|| fits with k = 4, ids renumbered by mean spend."""
     vec = clu_vectors(spark, sf, with_rows=True).persist(StorageLevel.MEMORY_AND_DISK)

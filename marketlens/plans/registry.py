@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketlens.session import files_state
+from marketlens.sources.tables import TABLES
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,24 +33,27 @@ def register(name: str, sql: str | None = None, note: str = ""):
     return deco
 
 
-_SESSION_RESULTS: dict = {}
+_KEPT: dict = {}
 
 
-def session_result(name: str):
-    """Keep a model run's result for the session, like a fitted object's last result.
+def kept_result(name: str):
+    """Keep one run's result for the queries that present it, like a fitted object's last result.
 
-    Several queries read the same fitted comparison (summary, final predictions,
-    diagnostics, scoring); they share one run per (application, data folder).
+    It is kept for an application, a data folder and the state of the folder's files: rewritten
+    tables give a new run.  ``forget_results`` drops everything, for independent timings.
     """
-    import os
-
     def deco(fn):
         def wrapper(spark, sf):
-            key = (name, spark.sparkContext.applicationId, os.path.abspath(sf))
-            if key not in _SESSION_RESULTS:
-                _SESSION_RESULTS[key] = fn(spark, sf)
-            return _SESSION_RESULTS[key]
+            key = (name, spark.sparkContext.applicationId, str(sf))
+            state = files_state(spark, sf, TABLES)
+            if key not in _KEPT or _KEPT[key][0] != state:
+                _KEPT[key] = (state, fn(spark, sf))
+            return _KEPT[key][1]
         wrapper.__name__ = fn.__name__
         wrapper.__doc__ = fn.__doc__
         return wrapper
     return deco
+
+
+def forget_results() -> None:
+    _KEPT.clear()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -49,8 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment (a shared file system);
-    it is read from the session.  Only when it is unset -- local runs and
-    tests -- a scratch folder is created.
+    it is read from the session.  Only a local master (one machine, as in tests) gets a
+    scratch folder when it is unset; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,9 +59,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     sc.setCheckpointDir(configured)
-    return configured
+    return sc.getCheckpointDir() or configured
+
+
+def files_state(spark: SparkSession, folder: str, names: Iterable[str]) -> tuple:
+    """Sizes and change times of tables, read through Spark's file system: differs once a table was rewritten."""
+    jvm, conf, state = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            state += [(name, f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(state)
 
 
 def materialize(df):

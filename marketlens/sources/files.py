@@ -9,8 +9,6 @@ DataFrame writer; nothing passes through the driver.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +42,7 @@ def load_customers(spark: SparkSession, path: str, fmt: str | None = None, schem
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
@@ -56,23 +51,14 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
     return path
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    return path
-
-
 def write_json_rows(df: DataFrame, path: str) -> str:
     """JSON lines, one object per row."""
     df.write.mode("overwrite").json(path)
     return path
 
 
-def write_json_document(obj: dict, path: str) -> str:
-    """S6 for small driver-side reports (metric dictionaries, summaries)."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as fh:
-        json.dump(obj, fh, indent=2, default=str)
+def write_json_documents(df: DataFrame, path: str, name: str) -> str:
+    """One JSON file for each value of ``name`` (a report of each model, say), in folders ``name=value``."""
+    df.select(name, F.to_json(F.struct(*[c for c in df.columns if c != name])).alias("value")) \
+        .repartition(name).write.mode("overwrite").partitionBy(name).text(path)
     return path

@@ -3,9 +3,9 @@
 The published workflow has no streaming operators; its serving path
 (``recommend_customers``) is a per-row application of a fitted model, which
 is what a stream of new customers needs.  Each micro-batch is prepared with
-the batch semantics (age / income filters, rare-status grouping, the batch's
-own most frequent marital status for missing values), scored, and written
-to ``<sink>/epoch=<id>`` with overwrite, so a replayed epoch after a failure
+the batch semantics (age / income filters, rare-status grouping, and for a missing
+marital status the value fitted with the model, so that results do not depend on
+how rows fall into micro-batches), scored, and written to ``<sink>/epoch=<id>`` with overwrite, so a replayed epoch after a failure
 replaces its own output (idempotent sink); progress lives in the
 checkpoint location.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.operators import features as P
 from marketlens.operators import recommend as R
 from marketlens.operators import recommender as M
 from marketlens.schema import CUSTOMER_SCHEMA, PRODUCT_COLUMNS, STAGE_FEATURE_SETS
@@ -27,7 +28,7 @@ def fit_recommender(prepared: DataFrame, stage: str = "Existing-customer", model
     train = data.filter(~F.col("is_test"))
     sm = M.fit_stage_model(train, stage, STAGE_FEATURE_SETS[stage], model)
     prior = R.product_prior(train, PRODUCT_COLUMNS)
-    return M.RecommendationRun(None, (stage, model), None, {(stage, model): sm}, prior, None)  # type: ignore[arg-type]
+    return M.RecommendationRun(None, (stage, model), None, {(stage, model): sm}, prior, None, P.mode_category(prepared))  # type: ignore[arg-type]
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, run: M.RecommendationRun, sink_dir: str,

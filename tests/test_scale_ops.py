@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from marketlens.functions.ranking import sum_before
+from marketlens.functions.ranking import exact_quantiles, sum_before
 from marketlens.operators import classify as C, knn, segment as G, split as S
 from marketlens.operators.linreg import fit_least_squares
 
@@ -22,7 +23,7 @@ def test_knn_equals_brute_force_on_embeddings(spark):
     e = _embeddings(spark)
     train = e.filter(F.col("ID") % 4 != 0)
     test = e.filter(F.col("ID") % 4 == 0)
-    got = knn.knn_neighbours(train, test, k=7, n_pivots=5, chunk_size=16, query_chunk=8).toPandas()
+    got = knn.knn_neighbours(train, test, k=7).toPandas()
     tr, te = train.toPandas(), test.toPandas()
     tv, qv = np.stack(tr["vec"]), np.stack(te["vec"])
     for i, qid in enumerate(te["ID"]):
@@ -118,8 +119,44 @@ def test_gramian_ols_min_norm(spark):
     assert np.abs(pred - y).max() < 1e-9
 
 
-def test_knn_hot_cell_of_identical_rows(spark):
-    """A third of the training rows are the same customer vector: chunked blocks stay exact."""
+def test_knn_fits_a_bounded_number_of_rows(spark):
+    """The rows that come first in hash order are the model, the others have no influence."""
+    e = _embeddings(spark)
+    train, test = e.filter(F.col("ID") % 4 != 0), e.filter(F.col("ID") % 4 == 0)
+    model = knn.fitted_rows(train, max_train_rows=20)
+    assert model.count() == 20
+    got = knn.knn_neighbours(train, test, k=5, max_train_rows=20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn.knn_neighbours(model, test, k=5).collect()))
+
+
+def test_knn_shuffles_nothing(spark):
+    e = _embeddings(spark)
+    plan = knn.knn_classify(e, e, k=3, label="label")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(5)
+    x = [None if v > 90 else float(v) for v in rng.integers(0, 100, 333)]
+    df = spark.createDataFrame([(a, float(i), None) for i, a in enumerate(x)], "a double, b double, c double")
+    got = exact_quantiles(df, ["a", "b", "c"], (0.25, 0.5, 0.9))
+    assert np.allclose(got["a"], np.quantile([v for v in x if v is not None], [0.25, 0.5, 0.9]))
+    assert np.allclose(got["b"], np.quantile(range(333), [0.25, 0.5, 0.9])) and got["c"] == [None] * 3
+    plan = sum_before(df.groupBy("a").agg(F.count("*").alias("n")), [], "a", ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_latest_enrolment_year_rules_the_classification_age(spark):
+    """In a table whose latest enrolment is not 2001 the two tracks differ."""
+    from marketlens.operators import features as P
+    rows = spark.createDataFrame([(1, 1960, "05-03-1999"), (2, 1970, "1-1-1997"), (3, 1980, "31-13-2000")], "ID long, Year_Birth int, Dt_Customer string")
+    dated = P.parse_enrollment_date(rows)
+    assert {r.ID: r.Age for r in P.customer_age(dated, "max").collect()} == {1: 39, 2: 29, 3: 19}
+    assert {r.ID: r.Age for r in P.customer_age(dated).collect()} == {1: 41, 2: 31, 3: 21}
+
+
+def test_knn_with_many_identical_rows(spark):
+    """A third of the training rows are the same customer vector: ties go to the smaller key."""
     rng = np.random.default_rng(9)
     n = 300
     x = rng.normal(size=(n, 4))
@@ -127,7 +164,7 @@ def test_knn_hot_cell_of_identical_rows(spark):
     q = rng.normal(size=(40, 4)) * 0.3
     train = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "ID long, vec array<double>")
     test = spark.createDataFrame([(1000 + i, q[i].tolist()) for i in range(len(q))], "ID long, vec array<double>")
-    got = knn.knn_neighbours(train, test, k=15, n_pivots=6, chunk_size=16, query_chunk=4).toPandas()
+    got = knn.knn_neighbours(train, test, k=15).toPandas()
     ids = np.arange(n)
     for i in range(len(q)):
         d2 = ((x - q[i]) ** 2).sum(axis=1)
