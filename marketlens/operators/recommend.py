@@ -167,34 +167,53 @@ def product_distribution(frame: DataFrame, product_cols: Sequence[str] = PRODUCT
                                  for k in ("Actual", "Recommended")]))
 
 
+def error_sums(product_cols: Sequence[str] = PRODUCT_COLUMNS, a: str = "a_", p: str = "p_") -> list:
+    """Aggregates behind R2, MAE and RMSE: errors, and the spread of the actual values around their mean (stable, one pass)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in product_cols:
+        e = F.col(p + c) - F.col(a + c)
+        aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c), F.var_pop(a + c).alias("var_" + c)]
+    return aggs
+
+
+def metrics_by(pred: DataFrame, group: Sequence[str] = (), product_cols: Sequence[str] = PRODUCT_COLUMNS,
+               a: str = "a_", p: str = "p_") -> DataFrame:
+    """R2 averaged uniformly over outputs, MAE over all cells and RMSE = sqrt(mean MSE) of each group, in one aggregate."""
+    s = pred.groupBy(*group).agg(*error_sums(product_cols, a, p))
+    k, total = len(product_cols), lambda cols: sum(cols[1:], cols[0])
+    sst = {c: F.col("var_" + c) * F.col("n") for c in product_cols}
+    r2 = [F.when(sst[c] == 0, F.when(F.col("sse_" + c) == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .otherwise(1 - F.col("sse_" + c) / sst[c]) for c in product_cols]
+    return s.select(*group, (total(r2) / k).alias("r2"),
+                    (total([F.col("sae_" + c) for c in product_cols]) / (F.col("n") * k)).alias("mae"),
+                    F.sqrt(total([F.col("sse_" + c) for c in product_cols]) / (F.col("n") * k)).alias("rmse"))
+
+
 def regression_metrics(actual: DataFrame, predicted: DataFrame, product_cols: Sequence[str] = PRODUCT_COLUMNS,
                        key: str = "ID") -> DataFrame:
-    """E5: R2 averaged uniformly over outputs, MAE over all cells, RMSE = sqrt(mean MSE).
-
-    One join on the key and one aggregate: per output SSE, sum, sum of squares
-    (SST = sum of squares - n * mean^2, from the test set itself).
-    """
+    """E5: metrics of two frames, by one join on the key and one aggregate."""
     a = actual.select(key, *[F.col(c).alias("a_" + c) for c in product_cols])
     p = predicted.select(key, *[F.col(c).alias("p_" + c) for c in product_cols])
-    j = a.join(p, key)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in product_cols:
-        err = F.col("p_" + c) - F.col("a_" + c)
-        aggs += [F.sum(err * err).alias("sse_" + c), F.sum(F.abs(err)).alias("sae_" + c),
-                 F.avg("a_" + c).alias("mean_" + c)]
-    stats = j.agg(*aggs)
-    # SST via a second pass around the exact mean (numerically stable).
-    sst = j.crossJoin(F.broadcast(stats.select(*[("mean_" + c) for c in product_cols]))).agg(
-        *[F.sum((F.col("a_" + c) - F.col("mean_" + c)) ** 2).alias("sst_" + c) for c in product_cols])
-    s = stats.crossJoin(sst)
-    k = len(product_cols)
-    r2_terms = [F.when(F.col("sst_" + c) == 0,
-                       F.when(F.col("sse_" + c) == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-                .otherwise(1 - F.col("sse_" + c) / F.col("sst_" + c)) for c in product_cols]
-    r2 = sum(r2_terms[1:], r2_terms[0]) / k
-    mae = sum([F.col("sae_" + c) for c in product_cols][1:], F.col("sae_" + product_cols[0])) / (F.col("_n") * k)
-    mse = sum([F.col("sse_" + c) for c in product_cols][1:], F.col("sse_" + product_cols[0])) / (F.col("_n") * k)
-    return s.select(r2.alias("r2"), mae.alias("mae"), F.sqrt(mse).alias("rmse"))
+    return metrics_by(a.join(p, key), (), product_cols)
+
+
+def mean_std(metrics: DataFrame, group: Sequence[str], value: str = "r2") -> DataFrame:
+    """V6: mean and population deviation of a metric over the folds of each group."""
+    return metrics.groupBy(*group).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_pop(value).alias(f"{value}_std"))
+
+
+def product_diagnostics(frame: DataFrame, product_cols: Sequence[str] = PRODUCT_COLUMNS, actual: str = "Actual_Product",
+                        predicted: str = "Recommended_Product") -> DataFrame:
+    """Confusion counts, their row rates and the distribution of both, stacked as (table, row, products, Actual, Recommended)."""
+    conf = product_confusion(frame, product_cols, actual, predicted)
+    none = F.lit(None).cast("double")
+    parts = [conf.select(F.lit("count").alias("table"), F.col("Actual_Product").alias("row"), *[F.col(c).cast("double").alias(c) for c in product_cols],
+                         none.alias("Actual"), none.alias("Recommended")),
+             product_confusion_rate(conf, product_cols).select(F.lit("rate").alias("table"), F.col("Actual_Product").alias("row"), *product_cols,
+                                                               none.alias("Actual"), none.alias("Recommended")),
+             product_distribution(frame, product_cols, actual, predicted).select(
+                 F.lit("distribution").alias("table"), F.col("Product").alias("row"), *[none.alias(c) for c in product_cols], "Actual", "Recommended")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def best_per_group(summary: DataFrame, group: str, order: Sequence) -> DataFrame:

@@ -74,15 +74,6 @@ def prepared_targets(prepared: DataFrame, feature_sets: Mapping[str, Sequence[st
     return S.split_and_folds(shares, test_size, n_folds)
 
 
-def _error_sums(product_cols: Sequence[str], a: str = "a_", p: str = "p_") -> list:
-    """Aggregates for R2 (uniform over outputs), MAE and RMSE: errors, and the spread around the mean (stable, one pass)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in product_cols:
-        e = F.col(p + c) - F.col(a + c)
-        aggs += [F.sum(e * e).alias("sse_" + c), F.sum(F.abs(e)).alias("sae_" + c), F.var_pop(a + c).alias("var_" + c)]
-    return aggs
-
-
 def _scores(row, product_cols: Sequence[str]) -> tuple[float, float, float]:
     """R2, MAE and RMSE from the sums."""
     n, k = row["n"], len(product_cols)
@@ -137,7 +128,7 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
         for name in models:
             sm = fit_stage_model(tr, stage, feature_sets[stage], name, pc, pre)
             pred = sm.predict_raw(with_actual(te), ["ID", *actual]).withColumnsRenamed({c: "p_" + c for c in pc})
-            out[stage, name, f] = _scores(pred.agg(*_error_sums(pc)).first(), pc)[0]
+            out[stage, name, f] = _scores(pred.agg(*R.error_sums(pc)).first(), pc)[0]
         return out
 
     def holdout_task(stage):
@@ -147,7 +138,7 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
             norm = R.normalize_shares(sm.predict_raw(with_actual(test), ["ID", *actual]), pc)
             both = norm.withColumnsRenamed({**{"a_" + c: "ActualRatio_" + c for c in pc}, **{c: "PredictedRatio_" + c for c in pc}})
             frame = R.scored_frame(both, prior, pc)
-            row = frame.agg(*_error_sums(pc, "ActualRatio_", "PredictedRatio_"),
+            row = frame.agg(*R.error_sums(pc, "ActualRatio_", "PredictedRatio_"),
                             F.avg(F.col("Recommendation_Match").cast("double")).alias("match")).first()
             out[stage, name] = (sm, frame, _scores(row, pc), row["match"])
         return out
@@ -208,5 +199,5 @@ def spending_regression(prepared: DataFrame, features: Sequence[str] = ("Income"
         sm.linear = fit_least_squares(sm._design(train, ["ID", target]), "f", [target], dim=pre.size,
                                       degree2=name == POLY)
         pred = sm.predict_raw(test.withColumn("a_" + target, F.col(target)), ["ID", "a_" + target]).withColumnRenamed(target, "p_" + target)
-        rows.append((name, *map(float, _scores(pred.agg(*_error_sums([target])).first(), [target]))))
+        rows.append((name, *map(float, _scores(pred.agg(*R.error_sums([target])).first(), [target]))))
     return spark.createDataFrame(rows, "model string, r2 double, mae double, rmse double")

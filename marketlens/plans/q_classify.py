@@ -167,6 +167,22 @@ register("rank_models", note="W8: models by test F1")(
     lambda spark, sf: C.ranked_models(C.compare_classifiers(all_predictions(spark, sf))))
 
 
+# --- W8 on two models that SQL can state: k-NN and the majority class ------------------------------------------------
+fragment("two_preds", "SELECT model, label, prediction FROM knn_pred UNION ALL SELECT 'dummy_most_frequent', Response, m.m FROM cls_split "
+         "CROSS JOIN (SELECT Response AS m FROM cls_split WHERE NOT is_test GROUP BY Response ORDER BY count(*) DESC, Response LIMIT 1) m "
+         "WHERE is_test", ("knn_pred", "cls_split"))
+
+
+@register("rank_two_models", sql_with(
+    f"SELECT model, test_accuracy, test_f1, CAST(row_number() OVER (ORDER BY test_f1 DESC, model) AS INTEGER) AS rank FROM (SELECT model, "
+    f"{_sd('tp + tn', 'tp + fp + fn + tn')} AS test_accuracy, {_sd('2 * tp', '2 * tp + fp + fn')} AS test_f1 FROM (SELECT model, {_COUNTS} "
+    "FROM two_preds GROUP BY model))", "two_preds"), note="W8")
+def q_rank_two_models(spark, sf):
+    pred = holdout_predictions(spark, sf, "knn_k15").unionByName(holdout_predictions(spark, sf, "dummy_most_frequent"))
+    m = C.binary_metrics(pred, ["model"]).select("model", F.col("accuracy").alias("test_accuracy"), F.col("f1").alias("test_f1"))
+    return C.ranked_models(m).withColumn("rank", F.col("rank").cast("int"))
+
+
 def _holdout_all(spark, sf):
     return all_predictions(spark, sf).filter(F.col("fold") == -1)
 
@@ -177,9 +193,9 @@ register("classification_reports", note="E4 for all five models on the holdout")
     lambda spark, sf: C.classification_report(_holdout_all(spark, sf)))
 
 
-@register("classification_report_json", note="S6: per-model report documents as JSON strings")
+@register("classification_report_json", note="S6: report documents of all five models as JSON strings")
 def q_classification_report_json(spark, sf):
-    rep = C.classification_report(holdout_predictions(spark, sf, "knn_k15"))
+    rep = C.classification_report(_holdout_all(spark, sf))
     doc = rep.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
         "label", F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), "support"))))).alias("report"))
     return doc

@@ -80,20 +80,7 @@ register("melt_metrics", note="R1")(
 
 @register("recommender_diagnostics", note="E10: confusion counts, rates and distribution of the final model")
 def q_recommender_diagnostics(spark, sf):
-    frame = run(spark, sf).final_predictions
-    conf = R.product_confusion(frame)
-    rate = R.product_confusion_rate(conf)
-    dist = R.product_distribution(frame)
-    counts = conf.select(F.lit("count").alias("table"), F.col("Actual_Product").alias("row"),
-                         *[F.col(c).cast("double") for c in PRODUCT_COLUMNS])
-    rates = rate.select(F.lit("rate").alias("table"), F.col("Actual_Product").alias("row"), *PRODUCT_COLUMNS)
-    d = dist.select(F.lit("distribution").alias("table"), F.col("Product").alias("row"),
-                    *[F.lit(None).cast("double").alias(c) for c in PRODUCT_COLUMNS])
-    d = d.join(dist, d["row"] == dist["Product"]).select("table", "row", *PRODUCT_COLUMNS,
-                                                         "Actual", "Recommended")
-    counts = counts.withColumn("Actual", F.lit(None).cast("double")).withColumn("Recommended", F.lit(None).cast("double"))
-    rates = rates.withColumn("Actual", F.lit(None).cast("double")).withColumn("Recommended", F.lit(None).cast("double"))
-    return counts.unionByName(rates).unionByName(d)
+    return R.product_diagnostics(run(spark, sf).final_predictions)
 
 
 @register("score_customers", note="M13: final model applied to every customer of the table")

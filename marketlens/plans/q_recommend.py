@@ -242,9 +242,6 @@ register("stratified_kfold", sql_with(
 register("kfold", sql_with("SELECT ID, fold FROM (" + S.fold_sql("reg_shares") + ")", "reg_shares"))(
     lambda spark, sf: S.fold_column(P.spending_share_target(reg_prepared(spark, sf))).select("ID", "fold"))
 
-_ = nz_sum  # re-exported helper
-
-
 # --- named operators of section 2 that are parts of the chains above ----------------------------
 register("cross_prior", sql_with("SELECT * FROM reg_relative", "reg_relative"),
          note="J6: shares / broadcast one-row prior")(
@@ -288,3 +285,53 @@ def q_match_rate(spark, sf):
     m = R.match_rate(rec, "Actual_Product", "rec")
     return m.crossJoin(F.broadcast(b)).select(
         "match_rate", "baseline_match_rate", (F.col("match_rate") - F.col("baseline_match_rate")).alias("lift"))
+
+
+# --- comparison tables of two models that SQL can state: the mean share of the other folds, and equal shares -------
+fragment("fold_shares", S.fold_sql("reg_shares"), ("reg_shares",))
+fragment("fold_means", "SELECT f.fold, " + ", ".join(f"avg(o.{c}) AS m_{c}" for c in PC)
+         + " FROM (SELECT DISTINCT fold FROM fold_shares) f JOIN fold_shares o ON o.fold <> f.fold GROUP BY f.fold", ("fold_shares",))
+fragment("fold_preds", "SELECT 'other_folds' AS model, s.fold, " + ", ".join(f"s.{c} AS a_{c}, m.m_{c} AS p_{c}" for c in PC)
+         + " FROM fold_shares s JOIN fold_means m ON s.fold = m.fold UNION ALL SELECT 'equal', fold, "
+         + ", ".join(f"{c}, 1 / 6.0::DOUBLE" for c in PC) + " FROM fold_shares", ("fold_shares", "fold_means"))
+fragment("fold_metrics", "SELECT model, fold, (" + " + ".join(
+    f"CASE WHEN var_pop(a_{c}) = 0 THEN CASE WHEN sum(power(p_{c} - a_{c}, 2)) = 0 THEN 1.0 ELSE 0.0 END "
+    f"ELSE 1 - sum(power(p_{c} - a_{c}, 2)) / (sum(power(a_{c}, 2)) - power(sum(a_{c}), 2) / count(*)) END" for c in PC)
+    + f") / {len(PC)} AS r2, (" + " + ".join(f"sum(abs(p_{c} - a_{c}))" for c in PC)
+    + f") / (count(*) * {len(PC)}) AS mae, sqrt((" + " + ".join(f"sum(power(p_{c} - a_{c}, 2))" for c in PC)
+    + f") / (count(*) * {len(PC)})) AS rmse FROM fold_preds GROUP BY model, fold", ("fold_preds",))
+
+
+def _fold_metrics(spark, sf):
+    d = S.fold_column(P.spending_share_target(reg_prepared(spark, sf))).select("fold", *PC)
+    sums = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias("s_" + c) for c in PC])
+    whole = sums.agg(F.sum("n").alias("all_n"), *[F.sum("s_" + c).alias("all_" + c) for c in PC])
+    means = sums.crossJoin(F.broadcast(whole)).select(  # a row for each fold
+        "fold", *[((F.col("all_" + c) - F.col("s_" + c)) / (F.col("all_n") - F.col("n"))).alias("p_" + c) for c in PC])
+    actual = d.select("fold", *[F.col(c).alias("a_" + c) for c in PC])
+    parts = [actual.join(means, "fold").withColumn("model", F.lit("other_folds")),
+             actual.select("*", *[F.lit(1 / 6.0).alias("p_" + c) for c in PC], F.lit("equal").alias("model"))]
+    return R.metrics_by(parts[0].unionByName(parts[1]), ["model", "fold"])
+
+
+register("fold_metrics_union", sql_with("SELECT * FROM fold_metrics", "fold_metrics"), note="R2, E5 by model and fold")(_fold_metrics)
+register("best_model_per_fold", sql_with(
+    "SELECT model, fold, r2, mae, rmse FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(r2, 9) DESC, mae, model) AS rn "
+    "FROM fold_metrics) WHERE rn = 1", "fold_metrics"), note="W4")(
+    lambda spark, sf: R.best_per_group(_fold_metrics(spark, sf), "fold", [F.round("r2", 9).desc(), "mae", "model"]))
+register("fold_r2_mean_std", sql_with(
+    "SELECT model, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std FROM fold_metrics GROUP BY model", "fold_metrics"), note="V6")(
+    lambda spark, sf: R.mean_std(_fold_metrics(spark, sf), ["model"]))
+register("fold_metrics_melted", sql_with(
+    "SELECT model, unnest(['r2_mean', 'r2_std']) AS Metric, unnest([r2_mean, r2_std]) AS R2 FROM (SELECT model, avg(r2) AS r2_mean, "
+    "stddev_pop(r2) AS r2_std FROM fold_metrics GROUP BY model)", "fold_metrics"), note="R1")(
+    lambda spark, sf: R.melt_metrics(R.mean_std(_fold_metrics(spark, sf), ["model"]), ["model"], ["r2_mean", "r2_std"]))
+register("product_diagnostics", sql_with(
+    "SELECT 'count' AS \"table\", Actual_Product AS row, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PC)
+    + ", CAST(NULL AS DOUBLE) AS Actual, CAST(NULL AS DOUBLE) AS Recommended FROM confusion UNION ALL SELECT 'rate', Actual_Product, "
+    + ", ".join(sdiv(f"CAST({c} AS DOUBLE)", "(" + " + ".join(PC) + ")") for c in PC) + ", NULL, NULL FROM confusion "
+    "UNION ALL SELECT 'distribution', g.p, " + ", ".join("NULL" for _ in PC) + ", "
+    "coalesce((SELECT count(*) FROM flagship_raw WHERE is_test AND Most_Bought_Product = g.p) / (SELECT count(*) FROM flagship_raw WHERE is_test), 0), "
+    "coalesce((SELECT count(*) FROM flagship_raw WHERE is_test AND Recommended_Product = g.p) / (SELECT count(*) FROM flagship_raw WHERE is_test), 0) "
+    "FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in PC) + "]) AS p) g", "confusion", "flagship_raw"), note="E10")(
+    lambda spark, sf: R.product_diagnostics(_diag_input(spark, sf), actual="Most_Bought_Product"))
