@@ -31,6 +31,7 @@ from marketlens.functions.ranking import sum_before
 from marketlens.functions.rowexpr import safe_ratio
 from marketlens.operators import knn, prep
 from marketlens.schema import CLASSIFIER_NAMES
+from marketlens.session import materialize
 
 LABEL = "label"
 
@@ -60,7 +61,8 @@ def predict_majority(train: DataFrame, test: DataFrame, label: str = LABEL) -> D
         "ID", label, F.col("_m").cast("int").alias("prediction"), F.col("_m").cast("double").alias("score"))
 
 
-def predict_logistic(train: DataFrame, test: DataFrame, balanced: bool, label: str = LABEL) -> DataFrame:
+def fit_logistic(train: DataFrame, balanced: bool, label: str = LABEL):
+    """M2 / M3: minimises mean (weighted) log loss + |w|^2 / (2 n), intercept free."""
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n, 1),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
@@ -69,8 +71,11 @@ def predict_logistic(train: DataFrame, test: DataFrame, balanced: bool, label: s
     if balanced:
         fit_df = with_weights(train, class_weights(train, label), label)
         lr = lr.setWeightCol("weight")
-    model = lr.fit(fit_df)
-    out = model.transform(test)
+    return lr.fit(fit_df)
+
+
+def predict_logistic(train: DataFrame, test: DataFrame, balanced: bool, label: str = LABEL) -> DataFrame:
+    out = fit_logistic(train, balanced, label).transform(test)
     return out.select("ID", label, F.col("prediction").cast("int").alias("prediction"),
                       vector_to_array("probability")[1].alias("score"))
 
@@ -205,27 +210,22 @@ def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Seque
     def prepare(split):
         fold, train, test = split
         fitted = prep.fit_by_dtype(train, feature_cols)
-        tr = fitted.transform(train, keep=["ID", label]).persist(StorageLevel.MEMORY_AND_DISK)
-        te = fitted.transform(test, keep=["ID", label]).persist(StorageLevel.MEMORY_AND_DISK)
-        return fold, tr, te
+        return fold, fitted.transform(train, keep=["ID", label]), fitted.transform(test, keep=["ID", label])
+
+    def run(task):
+        (fold, tr, te), name = task
+        p = fit_predict(name, tr, te, label)
+        return p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID",
+                        F.col(label).cast("int").alias(label), "prediction", F.col("score").cast("double"))
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         prepared = list(pool.map(prepare, splits))
-
-        def run(task):
-            (fold, tr, te), name = task
-            p = fit_predict(name, tr, te, label)
-            p = p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID",
-                         F.col(label).cast("int").alias(label), "prediction", F.col("score").cast("double"))
-            # materialise inside the worker thread: the final union is then a union of cached scans
-            p = p.persist(StorageLevel.MEMORY_AND_DISK)
-            p.count()
-            return p
-
         parts = list(pool.map(run, [(s, m) for s in prepared for m in models]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = materialize(out)  # one write of the long prediction table
+    data.unpersist()
     return out
 
 

@@ -35,6 +35,12 @@ def product_prior(shares: DataFrame, product_cols: Sequence[str] = PRODUCT_COLUM
     return shares.agg(*[F.nullif(F.avg(c), F.lit(0.0)).alias(PRIOR_PREFIX + c) for c in product_cols])
 
 
+def fitted_prior(shares: DataFrame, product_cols: Sequence[str] = PRODUCT_COLUMNS) -> DataFrame:
+    """A2 as a fitted constant: one local row that carries no lineage into what it scores."""
+    prior = product_prior(shares, product_cols)
+    return shares.sparkSession.createDataFrame(prior.collect(), prior.schema)
+
+
 def relative_preference(shares: DataFrame, prior: DataFrame,
                         product_cols: Sequence[str] = PRODUCT_COLUMNS) -> DataFrame:
     """Share / prior per product; division by zero or NULL prior -> 0."""

@@ -25,7 +25,6 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,7 +104,7 @@ def compare_recommenders(prepared: DataFrame, feature_sets: Mapping[str, Sequenc
     pc = list(product_cols)
     data = materialize(prepared_targets(prepared, feature_sets, pc, n_folds=n_folds))
     train, test = data.filter(~F.col("is_test")), data.filter(F.col("is_test"))
-    prior = R.product_prior(train, pc).persist(StorageLevel.MEMORY_AND_DISK)
+    prior = R.fitted_prior(train, pc)
     actual_rel = R.with_top1(R.relative_preference(data.select("ID", "is_test", *pc), prior, pc), "Actual_Product")
     baseline = R.baseline_product(actual_rel.filter(~F.col("is_test")))
     test_actual = actual_rel.filter("is_test").select("ID", "Actual_Product")

@@ -164,11 +164,11 @@ def cluster_stats(df: DataFrame, features: str = "features", label: str = "Clust
 
 
 def inertia(df: DataFrame, features: str = "features", label: str = "Cluster") -> DataFrame:
-    """Sum of squared distances to the own cluster mean (one row)."""
-    st = cluster_stats(df, features, label)
-    # sum |x - mu|^2 over a cluster = Q - |S|^2 / n
-    per = st.select((F.col("_q") - F.aggregate(F.col("_s"), F.lit(0.0), lambda a, x: a + x * x) / F.col("_n"))
-                    .alias("_w"))
+    """Sum of squared distances to the own cluster mean (one row), from the spread around it (no cancellation)."""
+    d = _as_array(df, features)
+    dim = len(d.select(features).first()[0])
+    spread = sum([F.var_pop(F.col(features)[i]) for i in range(1, dim)], F.var_pop(F.col(features)[0]))
+    per = d.groupBy(F.col(label).alias("_c")).agg((F.count(F.lit(1)) * spread).alias("_w"))
     return per.agg(F.sum("_w").alias("inertia"))
 
 

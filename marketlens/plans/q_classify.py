@@ -19,6 +19,7 @@ from marketlens.plans.q_prepare import cls_clean
 from marketlens.plans.registry import register, kept_result
 from marketlens.schema import CATEGORICAL_COLUMNS, CLASSIFICATION_FEATURES
 from marketlens.session import materialize
+from marketlens.sources import files
 
 L = C.LABEL
 
@@ -198,7 +199,9 @@ def q_classification_report_json(spark, sf):
     rep = C.classification_report(_holdout_all(spark, sf))
     doc = rep.groupBy("model").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
         "label", F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), "support"))))).alias("report"))
-    return doc
+    path = files.write_json_documents(doc, files.scratch_path(spark, "reports"), "model")  # one file for each model
+    return spark.read.schema("value string, model string").text(path).select(
+        "model", F.from_json("value", "report string")["report"].alias("report"))
 
 
 @register("prediction_samples", note="W10 for all five models: first 30 holdout rows by ID with actual / predicted")

@@ -90,6 +90,13 @@ def q_dataset_summary(spark, sf):
     return stats.dataset_summary(raw, cleaned, CLASSIFICATION_FEATURES, cleaned_columns=CLEANED_COLUMNS)
 
 
+@register("dataset_summary_json", _summary_sql(), note="S6: the summary written as a JSON document and read again")
+def q_dataset_summary_json(spark, sf):
+    summary = q_dataset_summary(spark, sf)
+    path = files.write_json_rows(summary.coalesce(1), files.scratch_path(spark, "summary_json"))
+    return spark.read.schema(summary.schema).json(path)
+
+
 # --- P1-P12 -------------------------------------------------------------------
 register("parse_enrollment_date", sql_with("SELECT ID, Dt_Customer FROM _dated", "_dated"))(
     lambda spark, sf: P.parse_enrollment_date(profile(spark, sf)).select("ID", "Dt_Customer"))

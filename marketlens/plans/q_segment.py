@@ -191,13 +191,13 @@ register("embedding_silhouette", sql_with(
     lambda spark, sf: G.silhouette_sq(embedding_vectors(spark, sf), "features", "Cluster"))
 
 
-@register("embedding_kmeans", note="M7 + M9 + M10 on the embeddings table: k = number of labels")
+@register("embedding_kmeans", note="M7 on the embeddings table: assignments for k = number of labels")
 def q_embedding_kmeans(spark, sf):
     from pyspark.ml.functions import array_to_vector
     vec = embedding_vectors(spark, sf).select("ID", array_to_vector("features").alias("features")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    model = G.fit_kmeans(vec, 10, n_init=10)
-    return model.transform(vec).select("ID", "Cluster")
+    k = read_table(spark, sf, "embeddings").select("label").distinct().count()
+    return G.fit_kmeans(vec, max(k, 2), n_init=10).transform(vec).select("ID", "Cluster")
 
 
 @register("embedding_pca", note="T9 on the embeddings table (2 components, sign-fixed)")

@@ -27,7 +27,7 @@ def fit_recommender(prepared: DataFrame, stage: str = "Existing-customer", model
     data = materialize(M.prepared_targets(prepared))
     train = data.filter(~F.col("is_test"))
     sm = M.fit_stage_model(train, stage, STAGE_FEATURE_SETS[stage], model)
-    prior = R.product_prior(train, PRODUCT_COLUMNS)
+    prior = R.fitted_prior(train, PRODUCT_COLUMNS)
     return M.RecommendationRun(None, (stage, model), None, {(stage, model): sm}, prior, None, P.mode_category(prepared))  # type: ignore[arg-type]
 
 
