@@ -27,3 +27,11 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert {"ID", "Recommended_Product", "Banner_Ad_Order", "Banner_Ad_Scores"} <= set(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_oracle_can_be_a_view(duck_small, name):
+    """A checker may keep the statement as a view, in either way."""
+    duck_small.execute(f"CREATE OR REPLACE TEMP VIEW checked AS {SQL[name]}")
+    duck_small.execute("SELECT count(*) FROM checked").fetchall()
+    duck_small.sql(SQL[name]).create_view("checked_too", replace=True)
