@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.session import ensure_checkpoint_dir
 
 #: Bytes of text one vectorised pass looks at; about ten arrays of eight times this size live at once.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

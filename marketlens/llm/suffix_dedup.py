@@ -44,7 +44,7 @@ MANY = 2000
 #: Occurrences of one run in a batch from which only the least id goes on.
 COMMON = 4
 #: Text bytes for each bucket.
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 
 
 class Runs:
