@@ -109,6 +109,11 @@ def signature(ngrams: np.ndarray) -> np.int64:
     return name.view(np.int64)[0]
 
 
+def _may_chain(n_small, n_large, percent: int):
+    """Whether sets of these sizes may stand next to each other in a chain: within two steps of size, rounded towards yes."""
+    return n_large * (percent - 1) ** 2 <= n_small * 10_000
+
+
 def _size_step(n, percent: int):
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int64)
 
@@ -159,8 +164,7 @@ def signatures(docs: DataFrame, counters, id_col: str, text_col: str, k: int, pe
             step = _size_step(sizes[owner], percent)
             stands = many & (new | np.r_[True, step[1:] != step[:-1]]) if len(token) else many
             chained = np.flatnonzero(many & ~new)
-            near = sizes[owner[chained]] * percent * percent <= sizes[owner[chained - 1]] * 10_000
-            chained = chained[near]
+            chained = chained[_may_chain(sizes[owner[chained - 1]], sizes[owner[chained]], percent)]
             lists = [[[] for _ in early] for _ in range(3)]
             for what, at in ((0, np.flatnonzero(~many)), (1, np.flatnonzero(stands))):
                 turn = at[np.argsort(owner[at], kind="stable")]
@@ -196,7 +200,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
         start = np.r_[0, np.cumsum(count)][group]
         at = np.flatnonzero(many)
         at = at[at > start[at]]
-        at = at[n[at] * percent * percent <= n[at - 1] * 10_000]
+        at = at[_may_chain(n[at - 1], n[at], percent)]
         out.append((sig[at - 1], sig[at], n[at - 1], n[at], np.ones(len(at), dtype=bool)))
         place = np.arange(len(sig)) - start
         for d in range(1, FEW):
