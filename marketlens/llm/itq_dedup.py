@@ -2,9 +2,17 @@
 
 A rotation is learned on a bounded sample: principal axes first, then turns that bring the rotated
 data close to the corners of a cube (iterative quantisation), so that the bits are balanced and small angles change few of them.
-Every vector gets a code of at most 64 bits.  Codes are cut into pieces of 16 bits, each piece a hash table:
-two codes meet if some piece differs in at most one bit, which pairs within 2 * pieces - 1 bits always
-do.  Pairs that meet within ``radius`` bits are compared with their original vectors.
+Every vector gets a code of at most 64 bits, the signs of its projections.  Codes are cut into pieces of 16 bits, each a hash table.
+
+*No pair is lost.*  Unit vectors with cosine ``c`` are at most ``sqrt(2 - 2 c)`` apart, and their projections no further, so in some
+piece the squared distance is at most the ``1 / pieces`` part of ``2 - 2 c``.  There, bits differ only where the projections of both
+add up to no more than that, so one of the two can turn the other's key into its own with bits whose squares
+add up to half of it.  Every vector probes all such keys in every table.  Pairs that meet go on to the comparison with
+the original vectors unless signs and sizes of the projections already tell that they are too far apart.
+
+Tables use as many bits of a piece as cost least: more give smaller buckets, but more keys to probe.  That is read from the
+sample, and changes the cost only.  Vectors far from all axes (longer than 64 and without main directions, or close to
+their mean) need short keys and meet many others.
 
 Equal vectors of one label are one entry with a count; links of an entry count all its copies, but copies are
 never paired with each other.
@@ -31,21 +39,19 @@ from marketlens.llm.vectors import by_dimension, matrix, takes_part
 SAMPLE_ROWS = 20_000
 #: Bits of a piece of the code.
 PIECE = 16
-#: Most differing bits of codes whose vectors are compared.
-RADIUS = 14
 _ROUNDS = 40
+#: Sample rows that choose the key length, and rows whose probes are made at a time.
+_TRIED, _SLICE = 500, 1000
 
 
 def learn_rotation(sample: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x bits) of iterative quantisation on unit vectors."""
     d = sample.shape[1]
-    bits = min(64, max(PIECE, d // PIECE * PIECE))
+    bits = min(64, d // PIECE * PIECE or d)
     mean = sample.mean(axis=0)
     apart = sample - mean
     _, vectors = np.linalg.eigh(apart.T @ apart)
     axes = vectors[:, ::-1][:, :bits]
-    if axes.shape[1] < bits:  # fewer dimensions than bits
-        axes = np.hstack([axes, np.random.default_rng(seed).standard_normal((d, bits - axes.shape[1])) / np.sqrt(d)])
     projected = apart @ axes
     turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     for _ in range(_ROUNDS):
@@ -54,60 +60,126 @@ def learn_rotation(sample: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.nd
     return mean, axes @ turn
 
 
-def codes(vectors: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """64-bit codes; unused bits are 0."""
-    bits = (vectors / np.linalg.norm(vectors, axis=1)[:, None] - mean) @ axes >= 0
+def projections(vectors: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Of the vectors' directions; no two are further apart than the directions are."""
+    return (vectors / np.linalg.norm(vectors, axis=1)[:, None] - mean) @ axes
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Up to 64 bits a row as one number; unused bits are 0."""
     return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def with_codes(entries: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Adds ``code``, by a rotation learned for each vector length."""
-    fitted = {}
-    for row in entries.select(F.size("vector").alias("d")).distinct().collect():
+def widest(cosine: float) -> float:
+    """Greatest squared distance of directions with this cosine, rounded up."""
+    return max(2 - 2 * cosine, 0.0) + 1e-9
+
+
+def probes(piece: np.ndarray, budget: float):
+    """After each bit of the piece: the row and the key of every probe, all keys of the bits so far whose turned bits cost up to ``budget``."""
+    rows = np.arange(len(piece))
+    keys, spent = np.zeros(len(piece), dtype=np.int64), np.zeros(len(piece))
+    yield rows, keys
+    for i in range(piece.shape[1]):
+        own = (piece[:, i] >= 0).astype(np.int64)
+        cost = spent + piece[rows, i] ** 2
+        turned = cost <= budget
+        keys = np.concatenate([keys | own[rows] << i, (keys | (1 - own[rows]) << i)[turned]])
+        rows, spent = np.concatenate([rows, rows[turned]]), np.concatenate([spent, cost[turned]])
+        yield rows, keys
+
+
+def pieces_of(projected: np.ndarray) -> list[np.ndarray]:
+    return [projected[:, a: a + PIECE] for a in range(0, projected.shape[1], PIECE)]
+
+
+def key_bits(projected: np.ndarray, budget: float, group: float) -> int:
+    """Bits of a piece that make the fewest probes and meetings, for groups of this many entries."""
+    best, cost = 0, 1.0 + group
+    tried = projected[:_TRIED]
+    for w, made in enumerate(zip(*[probes(p, budget) for p in pieces_of(tried)], strict=True)):
+        asked = sum(len(rows) for rows, _ in made) / len(tried) / len(made)
+        if asked * (1 + group / 2 ** w) < cost:
+            best, cost = w, asked * (1 + group / 2 ** w)
+        if asked > cost:
+            break
+    return best
+
+
+def with_codes(entries: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``entry, label, d, code, large, most, held, asked``, by a rotation learned for each vector length.
+
+    ``large`` marks the bits whose projections are large, ``most`` is how much of them pairs may differ in (``candidate_pairs``);
+    ``held`` are the entry's keys in all tables, ``asked`` those to probe.
+    """
+    fitted, far = {}, widest(cosine)
+    for row in entries.groupBy(F.size("vector").alias("d")).agg((F.count("*") / F.count_distinct("label")).alias("group")).collect():
         sample = (entries.where(F.size("vector") == row["d"]).orderBy(F.xxhash64("entry"), "entry").limit(sample_rows)
                   .select("vector").toArrow().column(0))
         x = matrix(sample)
-        fitted[row["d"]] = learn_rotation(x / np.linalg.norm(x, axis=1)[:, None])
+        mean, axes = learn_rotation(x / np.linalg.norm(x, axis=1)[:, None])
+        projected = projections(x, mean, axes)
+        size = max(float(np.median(np.abs(projected))), 1e-6)
+        budget = far / len(pieces_of(projected)) / 2
+        fitted[row["d"]] = mean, axes, size, min(int(far / size ** 2 + 1e-6), 1000), budget, key_bits(projected, budget, row["group"])
 
     def run(batches):
         for batch in batches:
             for d, rows in by_dimension(batch.column(2)).items():
-                some = batch.take(pa.array(rows))
-                made = codes(matrix(some.column(2)), *fitted[d])
-                yield pa.RecordBatch.from_arrays([*some.columns[:2], pa.array(np.full(len(rows), d), pa.int32()), pa.array(made)],
-                                                 names=["entry", "label", "d", "code"])
-
-    schema = f"entry long, label {entries.schema['label'].dataType.simpleString()}, d int, code long"
-    return map_batches(entries.select("entry", "label", "vector"), run, schema)
-
-
-def candidate_pairs(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b`` with ``a < b``: entries of one label and length that meet in a table within ``radius`` bits."""
-    piece = lambda j: F.shiftrightunsigned("code", PIECE * j).bitwiseAND(F.lit((1 << PIECE) - 1))
-    tables = F.array(*[F.struct(F.lit(j).alias("table"), piece(j).alias("key")) for j in range(64 // PIECE)])
-    held = coded.select("entry", "label", "d", "code", F.explode(F.filter(tables, lambda t: t["table"] * PIECE < F.greatest("d", F.lit(PIECE)))).alias("t"))
-    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(PIECE)])
-    asked = held.select(F.col("entry").alias("b"), "label", "d", F.col("code").alias("code_b"), F.col("t.table").alias("table"),
-                        F.explode(F.transform(flips, lambda x: F.col("t.key").bitwiseXOR(x))).alias("key"))
-    held = held.select(F.col("entry").alias("a"), "label", "d", F.col("code").alias("code_a"), "t.table", "t.key")
-    return (held.join(asked, ["label", "d", "table", "key"])
-            .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius))
-            .select("a", "b").distinct())
+                mean, axes, size, most, budget, width = fitted[d]
+                for a in range(0, len(rows), _SLICE):
+                    some = batch.take(pa.array(rows[a: a + _SLICE]))
+                    n, projected = some.num_rows, projections(matrix(some.column(2)), mean, axes)
+                    owners, keys, held = [], [], []
+                    for table, piece in enumerate(pieces_of(projected)):
+                        *_, (owner, key) = probes(piece[:, :width], budget)
+                        owners.append(owner)
+                        keys.append(key | table << PIECE)
+                        held.append(keys[-1][:n])  # the first of every row is its own key
+                    owner, key = np.concatenate(owners), np.concatenate(keys)
+                    turn = np.argsort(owner, kind="stable")
+                    lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*some.columns[:2], pa.array(np.full(n, d), pa.int32()), pa.array(packed(projected >= 0)),
+                         pa.array(packed(np.abs(projected) >= size)), pa.array(np.full(n, most), pa.int32()),
+                         lists(np.full(n, len(held)), np.stack(held, axis=1).ravel()), lists(np.bincount(owner, minlength=n), key[turn])],
+                        names=["entry", "label", "d", "code", "large", "most", "held", "asked"])
+
+    schema = (f"entry long, label {entries.schema['label'].dataType.simpleString()}, d int, code long, large long, most int, "
+              "held array<int>, asked array<int>")
+    return written(map_batches(entries.select("entry", "label", "vector"), run, schema), "vector-codes")
+
+
+def candidate_pairs(coded: DataFrame) -> DataFrame:
+    """``a, b`` with ``a < b``: entries that meet in a table and may be near (those of several labels or lengths only if hashes of keys collide).
+
+    A bit that differs puts the two projections apart by the size of a large one if one of them is large, by twice that if both are.
+    """
+    def side(keys, name):
+        return (coded.select(F.col("entry").alias(name), "label", "d", F.col("code").alias(f"code_{name}"), F.col("large").alias(f"large_{name}"),
+                             "most", F.explode(keys).alias("key"))
+                .withColumn("key", F.xxhash64("label", "d", "key")).drop("label", "d"))
+    differ = F.col("code_x").bitwiseXOR(F.col("code_y"))
+    one = F.bit_count(differ.bitwiseAND(F.col("large_x").bitwiseXOR(F.col("large_y"))))
+    both = F.bit_count(differ.bitwiseAND(F.col("large_x").bitwiseAND(F.col("large_y"))))
+    return (side("held", "x").drop("most").join(side("asked", "y"), "key")
+            .where((F.col("x") != F.col("y")) & (one + 4 * both <= F.col("most")))
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
 def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                   cosine: float = 0.98, radius: int = RADIUS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                   cosine: float = 0.98, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``id_col, n_links, component_id, kept`` for every row: links to vectors of its label with at least ``cosine``."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     able = takes_part("vector") & F.col("label").isNotNull()
     rows = rows.withColumn("entry", F.when(able, F.xxhash64("label", "vector")))
     entries = written(rows.where("entry is not null").groupBy("entry").agg(
         F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("least")), "entries")
-    pairs = candidate_pairs(with_codes(entries, sample_rows), radius)
-    side = lambda s: entries.select(F.col("entry").alias(s), F.col("vector").alias(f"v{s}"), F.col("copies").alias(f"n{s}"))
+    pairs = candidate_pairs(with_codes(entries, cosine, sample_rows))
+    side = lambda s: entries.select(F.col("entry").alias(s), F.col("label").alias(f"l{s}"), F.col("vector").alias(f"v{s}"), F.col("copies").alias(f"n{s}"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     near = dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near >= cosine).select("a", "b", "na", "nb"), "vector-links")
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("la") == F.col("lb")) & (near >= cosine)).select("a", "b", "na", "nb"), "vector-links")
     degree = (links.select(F.col("a").alias("entry"), F.col("nb").alias("n"))
               .unionByName(links.select(F.col("b").alias("entry"), F.col("na").alias("n")))
               .groupBy("entry").agg(F.sum("n").alias("others")))

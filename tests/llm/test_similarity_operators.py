@@ -288,6 +288,23 @@ def test_vector_links_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("d,off", [(7, 0.0), (16, 0.0), (32, 0.0), (32, 1.5), (64, 0.0), (64, 2.0), (80, 0.0)])
+def test_vector_links_at_the_threshold(spark, d, off):
+    """Pairs placed at the threshold, also of vectors that share a mean component ``off`` times the size of the rest."""
+    rng = np.random.default_rng(d)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(unit(rng.standard_normal((400, d))) + off * unit(rng.standard_normal((1, d))))
+    side = rng.standard_normal((400, d))
+    side = unit(side - (side * a).sum(axis=1)[:, None] * a)
+    c = 0.98 + 1e-6
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * side])
+    near = x @ x.T >= 0.98
+    assert near[np.arange(400), np.arange(400, 800)].all()
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in itq_dedup.linked_vectors(table, cosine=0.98).collect()}
+    assert [got[i] for i in range(800)] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert itq_dedup.linked_vectors(empty).count() == 0
