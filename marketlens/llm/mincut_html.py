@@ -10,7 +10,8 @@ The labelling of least cost is a minimum cut, found by maximum flow.  Blocks who
 outweighs all their smoothness edges have the same label in every minimum cut; they are fixed first and their
 edges become costs of their neighbours, so the flow runs on the few that are left.
 
-What is never content has no block: scripts, styles, templates, form controls, the head, comments.
+What is never content has no block: scripts, styles, templates, form controls, the title, comments.  A head has no text besides;
+its end tag may be missing, and what cannot be in a head is in the body.
 
 Edge cases: null or empty html gives an empty text; unclosed or stray tags are repaired as browsers do in the main; a page
 without blocks or without content gives an empty text; on equal cost a block is boilerplate; rows that repeat are extracted
@@ -30,12 +31,13 @@ from pyspark.sql import types as T
 
 from marketlens.llm.common import map_batches
 
-_HIDDEN = ("script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|datalist|button|title|head")
-#: Comments, hidden elements as a whole, tags, declarations.
+_HIDDEN = ("script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|datalist|button|title")
+#: Comments, self-closed drawings and formulas, hidden elements as a whole, tags, declarations.
 #: Attributes may hold ``>`` in quotes; what is not closed ends at the next ``<``, so that no text is read twice.
 _ATTRS = r"(?:[^<>\"']|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
+    r"|<(?:svg|math)(?![\w-])" + _ATTRS + r"(?<=/)>"
     r"|<(?P<hidden>" + _HIDDEN + r")(?![\w-])" + _ATTRS + r">.*?(?:</(?P=hidden)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>" + _ATTRS + r")>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*)[^<>]*>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
@@ -146,7 +148,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["hidden"] and m["hidden"].lower() in ("title", "head", "button", "select", "textarea"):
+            if m["hidden"] and m["hidden"].lower() in ("title", "button", "select", "textarea"):
                 current = None
             continue
         tag = tag.lower()
@@ -164,7 +166,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             current = None
-        if tag in VOID:
+        if tag in VOID or tag == "head":  # what a head shows is hidden by itself; anything else there belongs to the body
             continue
         ends = SELF_ENDING.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if ends:

@@ -69,6 +69,20 @@ def test_html_edge_cases(spark):
         mincut_html.main_text(bad)  # in time
 
 
+LONG = "This is a sentence of an article that is long enough to be content."
+
+
+def test_head_without_end_tag():
+    for head in ("<head>", "<head><title>t</title>", "<head lang=en><meta charset=utf-8><title>t</title><style>p{}</style>"):
+        for body in ("<body>", ""):
+            assert mincut_html.main_text(f"<html>{head}{body}<article><p>{LONG}</p></article></html>") == LONG
+
+
+def test_self_closed_drawings():
+    for drawing in ('<svg class="icon"/>', "<svg />", "<math/>", '<svg viewBox="0 0 1 1" />', "<svg><path/>no</svg>"):
+        assert mincut_html.main_text(f"<body><article><p>{LONG}</p>{drawing}<p>{LONG}</p></article><svg><path/></svg></body>") == f"{LONG} {LONG}"
+
+
 # pipeline
 
 @pytest.fixture(scope="module")
