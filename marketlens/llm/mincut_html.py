@@ -31,17 +31,15 @@ from pyspark.sql import types as T
 
 from marketlens.llm.common import map_batches
 
-_HIDDEN = ("script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|datalist|button|title")
-#: Comments, self-closed drawings and formulas, hidden elements as a whole, tags, declarations.
-#: Attributes may hold ``>`` in quotes; what is not closed ends at the next ``<``, so that no text is read twice.
-_ATTRS = r"(?:[^<>\"']|\"[^\"]{0,9999}\"|'[^']{0,9999}')*+"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?:svg|math)(?![\w-])" + _ATTRS + r"(?<=/)>"
-    r"|<(?P<hidden>" + _HIDDEN + r")(?![\w-])" + _ATTRS + r">.*?(?:</(?P=hidden)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>" + _ATTRS + r")>"
-    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*)[^<>]*>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video textarea select datalist button title".split())
+#: Comments, data sections, beginnings of tags, declarations.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)|(?P<other><[!?/])", re.S | re.I)
+_PLAIN = re.compile(r"[^<>\"']*")
+_TO_END = re.compile(r"[^<>]*>")
+_END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _HIDDEN}
+#: Attributes, their values with them, so that what a value holds is not read as an attribute.
+_ATTR = re.compile(r"([^\s/\"'=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_READ = frozenset(("class", "id", "role", "aria-label", "hidden", "style"))
 
 #: Elements that stay inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
@@ -91,6 +89,8 @@ def _names(attrs: str) -> tuple[str, bool]:
     words, hidden = [], False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in _READ:
+            continue
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         elif name != "style":
@@ -98,6 +98,63 @@ def _names(attrs: str) -> tuple[str, bool]:
     return " ".join(words), hidden
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Where the tag with attributes from ``at`` on ends, or -1 if it meets ``<`` or the end of the page first.
+
+    Attributes may hold anything in quotes, of any length.  ``failed`` keeps the quotes from which no end is found, so that no text is read twice.
+    """
+    quotes = []
+    while True:
+        at = _PLAIN.match(page, at).end()
+        sign = page[at: at + 1]
+        if sign == ">":
+            return at + 1
+        if sign in ("", "<") or at in failed:
+            break
+        quotes.append(at)
+        at = page.find(sign, at + 1) + 1
+        if not at:
+            break
+    failed.update(quotes)
+    return -1
+
+
+def _tokens(page: str):
+    """``start, end, cdata, tag, closes, hides, attrs`` of all that is not text; a hidden element is one token."""
+    at, failed = 0, set()
+    while m := _MARK.search(page, at):
+        start, at, tag, attrs = m.start(), m.end(), (m["tag"] or "").lower(), None
+        if not tag:
+            if m["other"]:
+                at = page.find(">", at) + 1 or len(page)
+            yield start, at, m["cdata"], "", False, False, None
+            continue
+        end = _tag_end(page, at, failed)
+        if end >= 0:
+            attrs = page[at: end - 1]
+        elif short := _TO_END.match(page, at):  # quotes that are not closed
+            end = short.end()
+        elif m["close"]:
+            end = page.find(">", at) + 1 or len(page)
+            tag = ""
+        else:
+            continue  # what is not closed ends at the next "<" and is text
+        at = end
+        hides = tag in _HIDDEN and not m["close"]
+        if hides and not (tag in ("svg", "math") and attrs and _closes_itself(attrs)):
+            last = _END_OF[tag].search(page, at)
+            at = last and page.find(">", last.end()) + 1 or len(page)
+        yield start, at, None, tag, bool(m["close"]), hides, attrs
+
+
+def _closes_itself(attrs: str) -> bool:
+    """Whether the tag ends in ``/>``; a slash that ends a value without quotes belongs to the value."""
+    if not attrs.endswith("/"):
+        return False
+    last = attrs[max(attrs.rfind(x) for x in " \t\n\f\r\"'") + 1:]
+    return "=" not in last and not attrs[: len(attrs) - len(last)].rstrip().endswith("=")
+
+
 def _around(weight: float, more: float) -> float:
     """Weight inside an element: clearly bad surroundings undo good ones outside and are not undone inside."""
     if more <= CLEARLY_BAD:
@@ -140,19 +197,19 @@ def blocks_of(page: str) -> list[Block]:
         del stack[at:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at:m.start()])
-        at = m.end()
-        if m["cdata"]:
-            text(m["cdata"])
+    for start, end, cdata, tag, closes, hides, attrs in _tokens(page):
+        text(page[at:start])
+        at = end
+        if cdata:
+            text(cdata)
             continue
-        tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["hidden"] and m["hidden"].lower() in ("title", "button", "select", "textarea"):
+            continue
+        if hides:
+            if tag in ("title", "button", "select", "textarea"):
                 current = None
             continue
-        tag = tag.lower()
-        if m["close"] or m["close2"]:
+        if closes:
             if not opened.get(tag):
                 if tag not in INLINE:
                     current = None
@@ -181,7 +238,6 @@ def blocks_of(page: str) -> list[Block]:
         numbers += 1
         if tag != "header" or not (opened.get("article") or opened.get("main")):  # the head of an article belongs to it
             weight = _around(weight, ELEMENT_WEIGHTS.get(tag, 0.0))
-        attrs = m["attrs"]
         if attrs and tag not in ("html", "body"):
             names, hidden = _names(attrs)
             names = _MENTIONS.sub(" ", names)

@@ -83,6 +83,19 @@ def test_self_closed_drawings():
         assert mincut_html.main_text(f"<body><article><p>{LONG}</p>{drawing}<p>{LONG}</p></article><svg><path/></svg></body>") == f"{LONG} {LONG}"
 
 
+def test_long_attributes():
+    long = "{&quot;a&quot;: &lt;1}, class='x' hidden " * 500
+    assert len(long) > 20_000
+    bad = f'<div data-state="{long}" class="sidebar"><p>{LONG} Not here.</p></div>'
+    framed = f'<iframe srcdoc="<p>{long}</p>"><p>Inside {LONG}</p></iframe>'
+    good = f'<article data-props="{long}"><p title="<nav class=x>">{LONG}</p></article>'
+    assert mincut_html.main_text(f"<body>{bad}{framed}{good}<svg data-x='{long}'><text>{LONG}</text></svg>{bad}</body>") == LONG
+    assert mincut_html.main_text(f"<body><article><p>{LONG}</p><svg width=1/>no</svg><svg d='{long}'/><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+    for bad in ('<a "x\' ' * 30_000, "<a b='" * 30_001, '<a b="c" ' * 30_000, "<a \"<b '\"" * 30_000, "</script " * 30_000, "<script></script " * 30_000,
+                "<p a='" + '<b "' * 30_000):
+        mincut_html.main_text(bad)  # in time
+
+
 # pipeline
 
 @pytest.fixture(scope="module")
