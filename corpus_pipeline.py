@@ -27,9 +27,9 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_trie.similar_sets(docs, k=5, percent=80)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    groups = jaccard_trie.similar_sets(docs, k=5, percent=80, with_row=True)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
+    rows = docs.join(stay, jaccard_trie.row_hash("doc_id", "text") == F.col("__row")).drop("__row")
     return rows.dropDuplicates(["doc_id", "text"])
 
 

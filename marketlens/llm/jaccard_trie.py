@@ -19,8 +19,8 @@ exact, and so are the links.  Large groups are dealt into blocks of bounded size
 
 Edge cases: null and empty texts have no n-gram, link with nothing and are their own component; a text
 with fewer than ``k`` words has one n-gram, its whole sequence; rows that repeat are linked with each other;
-rows that share an id but differ in text count as different texts; a null id is never the smallest; an
-empty table gives no rows; ties in the order are broken by hash.
+rows that share an id but differ in text count as different texts; a null id is never the smallest, but its row is linked
+like any other; an empty table gives no rows; ties in the order are broken by hash.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,12 +121,12 @@ def _size_step(n, percent: int):
 def signatures(docs: DataFrame, counters, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """For each row its set's name and size, its first n-grams, and what its task already saw of common ones.
 
-    ``id, sig, n, tokens, common, links``: ``tokens`` are the first n-grams that are rare in the batch, ``common`` those that many
+    ``id, row, sig, n, tokens, common, links``: ``row`` is a hash of id and text; ``tokens`` are the first n-grams that are rare in the batch, ``common`` those that many
     sets of the batch have and for which this set stands, ``links`` sets chained with this one for such n-grams.
     Only the first of equal sets of a batch has n-grams.
     """
     schema = T.StructType([
-        T.StructField("id", docs.schema[id_col].dataType), T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()),
+        T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("row", "sig", "n")],
         *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("tokens", "common", "links")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +174,16 @@ def signatures(docs: DataFrame, counters, id_col: str, text_col: str, k: int, pe
             for x, y in set(zip(owner[chained].tolist(), owner[chained - 1].tolist(), strict=True)):
                 lists[2][x].append(sigs[y])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()),
                  *[pa.array(x, pa.list_(pa.int64())) for x in lists]], names=schema.names)
 
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), run, schema)
+    text = F.col(text_col).cast("string").alias("text")
+    return map_batches(docs.select(F.col(id_col), text, row_hash(id_col, text_col).alias("row")), run, schema)
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """Name of a row by id and text, also where the id is null or repeated."""
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
 
 
 def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
@@ -419,10 +425,10 @@ def join_groups(grouped: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,
-                 block_ngrams: int = BLOCK_NGRAMS) -> DataFrame:
+                 block_ngrams: int = BLOCK_NGRAMS, with_row: bool = False) -> DataFrame:
     """Components of texts whose n-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
 
-    Returns ``id_col, n_shingles, component_id``: one row for each row of ``docs``.
+    Returns ``id_col, n_shingles, component_id``: one row for each row of ``docs``; ``with_row`` adds its ``row_hash`` as ``row``.
     """
     spark = docs.sparkSession
     counters = spark.sparkContext.broadcast(count_ngrams(docs, text_col, k))
@@ -430,7 +436,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = connected_components(candidate_edges(sets, percent)).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
 
     # one row stands for each set; its text goes to the trie of its group
-    chosen = (sets.where("sig is not null").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    chosen = (sets.where("sig is not null").groupBy("sig").agg(F.min("row").alias("row"), F.first("n").alias("n"))
               .join(groups, "sig"))
     chosen = written(chosen, "candidates")
     sizes = chosen.groupBy("comp").agg(F.sum("n").alias("ngrams"), F.count("*").alias("members"))
@@ -439,16 +445,18 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .withColumn("block", F.pmod(F.xxhash64("sig", F.lit("block")), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
                   F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")))))
-              .select("id", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-    # only candidates' texts are shuffled to their tries
-    texts = may_hold(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", placed.select("id"))
-    links = written(join_groups(placed.join(texts, "id").select("comp", "x", "y", "text"), k, percent), "links")
+              .select("row", "comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+    # only candidates' texts are shuffled to their tries, one for each set
+    texts = may_hold(docs.select(row_hash(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")), "row", placed.select("row"))
+    texts = texts.groupBy("row").agg(F.first("text").alias("text"))
+    links = written(join_groups(placed.join(texts, "row").select("comp", "x", "y", "text"), k, percent), "links")
 
     # links of a group that was not split end at its component; those of split groups are chained
     linked = connected_components(links)
-    own = (sets.select(F.col("id"), "sig", "n")
+    own = (sets.select("id", "row", "sig", "n")
            .join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left")
            .withColumn("component", F.coalesce("component", "sig")))
     first = own.where("component is not null").groupBy("component").agg(F.min("id").alias("first"))
     return own.join(first, "component", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"),
+        *["row"] * with_row)

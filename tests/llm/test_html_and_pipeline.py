@@ -174,6 +174,13 @@ def test_stages_on_awkward_rows(spark, tmp_path):
             assert docs.where("doc_id = 3").count() == 1 and docs.where("doc_id is null").count() == 1
 
 
+def test_near_copy_without_an_id_goes(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(5, text), (None, text + " more"), (None, None), (6, "another one"), (6, text + " again")], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(5, text), (None, None), (6, "another one")]))
+
+
 def test_guard_is_in_the_entry_only():
     for path in ("corpus_pipeline.py", *(f"marketlens/llm/{m}.py" for m in ("queries", "common", "jaccard_trie"))):
         with open(__file__.replace("tests/llm/test_html_and_pipeline.py", path)) as f:

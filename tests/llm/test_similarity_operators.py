@@ -126,6 +126,23 @@ def test_join_edge_cases(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("5", "5"), ("None", "5"), ("None", "None")]
 
 
+def test_join_of_rows_without_an_id_of_their_own(spark, monkeypatch):
+    """A near copy and a bridge without an id, and one id with many texts."""
+    word = lambda *changed: " ".join(f"x{i}" if i in changed else f"w{i}" for i in range(100))
+    near = [(5, word()), (None, word(50))]
+    bridge = [(7, word(0, 1, 2, 3, 4, 5, 6).replace("w", "v")), (None, word(0, 1, 2, 3).replace("w", "v")),
+              (8, word(0, 1, 2, 3, 99, 98, 97, 96, 95).replace("w", "v"))]
+    many = [(9, word(i).replace("w", f"u{i % 2}")) for i in range(40)] + [(9, word(3).replace("w", "u1"))] * 5
+    rows = near + bridge + many + [(None, word(i).replace("w", "t")) for i in (1, 2)] + [(3, word(3).replace("w", "t")), (None, None)]
+    seen = []
+    join = jaccard_trie.join_groups
+    monkeypatch.setattr(jaccard_trie, "join_groups", lambda grouped, *a: seen.append(grouped.count()) or join(grouped, *a))
+    got = sorted(tuple(map(str, r)) for r in jaccard_trie.similar_sets(frame(spark, rows).repartition(3)).select("doc_id", "component_id").collect())
+    want = [(5, 5), (None, 5), (7, 7), (None, 7), (8, 7), *[(9, 9)] * 45, (None, 3), (None, 3), (3, 3), (None, None)]
+    assert got == sorted(tuple(map(str, r)) for r in want)
+    assert seen == [len({t for _, t in rows if t})]  # each text once
+
+
 def test_trie_equals_pairs():
     rng = random.Random(2)
     for _ in range(150):
