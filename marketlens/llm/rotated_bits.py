@@ -16,7 +16,8 @@ mean sizes, and a block gives its k best only.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id;
 vectors of different length are never compared; a row with the query's id is the query's own; repeated rows are candidates
-each; ties go to the smaller id; an empty table gives no rows.
+each, but a query that is repeated is answered once; different vectors under one id are queries of their own, each with its ``k``
+neighbours and ranks 1 to ``k`` under that id; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,31 +109,33 @@ def _best(query_ids, queries, ids, vectors, codes, length, correction, mean, k:
 
 def search(index: DataFrame, centre: dict[int, np.ndarray], queries: Column, k: int = 10, epsilon: float = EPSILON,
            block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for every indexed row for which ``queries`` holds, its ``k`` nearest others.
+    """``query_id, rank, vec_id, score``: for every distinct indexed id and vector for which ``queries`` holds, its ``k`` nearest others.
 
     ``queries`` is a condition on ``id``; ``score`` is the Euclidean distance of the original vectors.
     """
     ship(index.sparkSession)
-    asked = index.where(queries).select("id", "dimension", "vector")
+    asked = (index.where(queries).select("id", F.xxhash64("vector").alias("query"), "dimension", "vector")
+             .dropDuplicates(["id", "query"]))
     n, n_asked = index.count(), asked.count()
     blocks, query_blocks = parts_for(n, block_rows), parts_for(n_asked, query_rows)
     some = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = index.withColumn("block", block(blocks)).withColumn("query_block", some(query_blocks))
-    right = asked.withColumn("query_block", block(query_blocks)).withColumn("block", some(blocks))
+    block = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    left = index.withColumn("block", block(blocks, "id")).withColumn("query_block", some(query_blocks))
+    right = asked.withColumn("query_block", block(query_blocks, "id", "query")).withColumn("block", some(blocks))
 
     def run(vectors: pa.Table, questions: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "query", "vec_id", "score"]
         if not vectors.num_rows or not questions.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.float64())], names=names)
         d = vectors.column("dimension")[0].as_py()
         ids, query_ids = vectors.column("id").to_numpy(), questions.column("id").to_numpy()
         codes = np.frombuffer(b"".join(vectors.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         at_query, at, distance = _best(query_ids, matrix(questions.column("vector")), ids, matrix(vectors.column("vector")), codes,
                                        vectors.column("length").to_numpy(), vectors.column("correction").to_numpy(), centre[d], k, epsilon)
-        return pa.table([pa.array(query_ids[at_query]), pa.array(ids[at]), pa.array(distance)], names=names)
+        query = questions.column("query").to_numpy()
+        return pa.table([pa.array(query_ids[at_query]), pa.array(query[at_query]), pa.array(ids[at]), pa.array(distance)], names=names)
 
     keys = ["dimension", "block", "query_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, query long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

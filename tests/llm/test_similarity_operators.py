@@ -262,6 +262,28 @@ def test_search_finds_the_nearest(spark, block, query_rows):
     assert not any(r.vec_id == r.query_id for r in got)
 
 
+@pytest.mark.parametrize("block,query_rows", [(8192, 1024), (40, 2)])
+def test_search_answers_repeated_queries_once(spark, block, query_rows):
+    """A query that is there three times, and two vectors under one id."""
+    rows, table = vectors(spark, np.random.default_rng(1))
+    table = table.unionByName(table.where("vec_id = 100")).unionByName(table.where("vec_id = 100"))
+    index, centre = rotated_bits.build_index(table)
+    got = rotated_bits.search(index, centre, F.col("id") % 100 == 0, k=10, block_rows=block, query_rows=query_rows).collect()
+    able = [(i, np.array(v, dtype=np.float64)) for i, v, _ in rows if good(v) and i is not None and len(v) == 32]
+    found = total = 0
+    for q, times in ((100, 1), (200, 2)):
+        asked = [v for i, v in able if i == q]
+        assert len(asked) == times
+        near = [(q, r, d, i) for v in asked
+                for r, (d, i) in enumerate(sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in able if i != q)[:10], 1)]
+        mine = [r for r in got if r.query_id == q]
+        assert sorted(r["rank"] for r in mine) == sorted(r for _, r, _, _ in near)
+        assert times > 1 or len({r.vec_id for r in mine}) == 10
+        found += len({(q, r, i) for q, r, _, i in near} & {(q, r["rank"], r.vec_id) for r in mine})
+        total += len({(q, r, i) for q, r, _, i in near})
+    assert found >= 0.9 * total
+
+
 def test_search_recall_on_embeddings(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op4_rotated_bits(spark, sf).collect()
