@@ -34,6 +34,7 @@ def white_space_table() -> np.ndarray:
     """Words are runs without ASCII white space; A-Z counts as a-z."""
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
+    table[0] = 65  # no separator: what A stood for is free
     table[[32, 9, 10, 11, 12, 13]] = 0
     return table
 

@@ -77,6 +77,17 @@ def test_word_hashes(monkeypatch, pass_bytes):
     assert len(set(names.values())) == len(names)
 
 
+def test_zero_byte_is_part_of_a_word():
+    import pyarrow as pa
+
+    from marketlens.llm.common import text_buffer
+    texts = ["a\x00b c", "a\x00b", "aab", "aAb", "a b", "\x00", "\x00\x00 \x00"]
+    hashes, lengths, first = words.word_hashes(*text_buffer(pa.array(texts)), words.white_space_table())
+    found = [w.lower() for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+    assert np.diff(first).tolist() == [2, 1, 1, 1, 2, 1, 2] and lengths.tolist() == list(map(len, found))
+    assert len(set(zip(found, hashes.tolist()))) == len(set(found)) == len(set(hashes.tolist()))
+
+
 # n-gram Jaccard join
 
 def brute_components(rows, k, percent):
