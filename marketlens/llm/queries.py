@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from marketlens.llm import bpe_prefix, itq_dedup, jaccard_trie, mincut_html, packing, quality, rotated_bits, secret_ledger, suffix_dedup, toxicity
+from marketlens.llm import (bpe_prefix, conversation_audit, hyper_language, itq_dedup, jaccard_trie, mincut_html, packing, quality, rotated_bits,
+                            secret_ledger, suffix_dedup, toxicity, vector_codes)
 from marketlens.llm.common import read_table
 
 QUERIES: dict = {}
@@ -118,3 +119,108 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) ->
     return bpe_prefix.encode_texts(
         read_table(spark, sf_dir, "documents"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN, with_ids=False, with_digests=True)
+
+
+def _op11_sql(n_parts: int = 8, n_entries: int = 16, rounds: int = 6) -> str:
+    """Every round as a table expression: all distances by brute force."""
+    distance = "list_sum(list_transform(list_zip(p.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [f"""
+kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+                list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p.i AS part, v[p.i * (len(v) // {n_parts}) + 1:(p.i + 1) * (len(v) // {n_parts})] AS v
+                       FROM kept, (SELECT unnest(range({n_parts})) AS i) p),
+books0 AS (SELECT part, r - 1 AS entry, v FROM parts WHERE r <= {n_entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS MATERIALIZED (SELECT r, part, v, entry, d FROM (SELECT p.r, p.part, p.v, e.entry, {distance} AS d,
+               row_number() OVER (PARTITION BY p.r, p.part ORDER BY {distance}, e.entry) AS place
+               FROM parts p JOIN books{i} e USING (part)) WHERE place = 1)""")
+        if i < rounds:
+            steps.append(f"""
+books{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM books{i} b LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+        SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM (
+            SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{i}) GROUP BY part, entry, i)
+    GROUP BY part, entry) m USING (part, entry))""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (SELECT k.vec_id, k.label, c.code, c.error FROM kept k JOIN (
+    SELECT r, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r) c USING (r)),
+totals AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded GROUP BY label),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS h FROM books{rounds})
+SELECT c.vec_id, c.code, c.error, t.label_error, (SELECT h FROM digest) AS codebooks_sha256
+FROM coded c JOIN totals t ON c.label IS NOT DISTINCT FROM t.label
+"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every embedding under codebooks learned from all of them."""
+    coded, _ = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql() -> str:
+    """The least repair by a program over whole audit strings: ``c`` cost, ``a`` audit, ``o`` repaired lines of each state."""
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, o VARCHAR))"
+
+    def add(s: str, cost: str, letter: str, line: str) -> str:
+        return f"CASE WHEN {s} IS NULL THEN {none} ELSE {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {s}.o || {line}}} END"
+
+    def best(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+    def stay(s: str, initial: str, role: str) -> str:
+        kept, rerole = add(s, "f.broken", "K", "chr(10) || f.role || ':' || f.text"), add(s, "f.broken + 2", "R", f"chr(10) || '{role}:' || f.text")
+        return f"CASE WHEN f.must_go THEN {none} WHEN f.initial = '{initial}' THEN {kept} ELSE {rerole} END"
+
+    def inserts(source: str) -> str:
+        user = lambda s: add(s, "2", "I", "chr(10) || 'user:'")
+        return (f"SELECT c, i, f0, f1, g2, {best('f3', add('g2', '2', 'I', 'chr(10) || ' + chr(39) + 'assistant:' + chr(39)))} AS g3 FROM ("
+                f"SELECT c, i, f0, f1, f3, {best('f2', user('f0'), user('f1'), user('f3'))} AS g2 FROM {source})")
+
+    delete = lambda s: add(s, "3", "D", "''")
+    system = f"CASE WHEN NOT f.must_go AND f.initial = 's' THEN {add('g.f0', 'f.broken', 'K', 'chr(10) || f.role || ' + chr(39) + ':' + chr(39) + ' || f.text')} ELSE {none} END"
+    space = r"\x20\x09-\x0D"
+    return f"""
+WITH RECURSIVE named AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                                                   lambda b: CAST(ascii(b) AS BIGINT)),
+        lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+        4294967295) % 20 AS kind FROM conversations),
+copied AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM named WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM copied),
+judged AS (SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^{space}]') AS blank,
+    row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][{space}]*$') AS open_end,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) || substr(role, 1, 1) AS pair FROM placed),
+facts AS MATERIALIZED (SELECT c, i, role, text, initial, blank OR again AS must_go, CASE WHEN open_end THEN 1 ELSE 0 END AS broken FROM judged),
+counts AS (SELECT c, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open_end AND NOT again AND NOT blank) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY c),
+steps AS (
+    SELECT c, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'o': ''}} AS f0, {none} AS f1, {none} AS f2, {none} AS f3 FROM (SELECT DISTINCT c FROM named)
+    UNION ALL
+    SELECT g.c, f.i, {delete('g.f0')}, {best(delete('g.f1'), system)},
+           {best(delete('g.g2'), stay('g.f0', 'u', 'user'), stay('g.f1', 'u', 'user'), stay('g.g3', 'u', 'user'))},
+           {best(delete('g.g3'), stay('g.g2', 'a', 'assistant'))}
+    FROM ({inserts('steps')}) g JOIN facts f ON f.c = g.c AND f.i = g.i + 1),
+ends AS (SELECT s.* FROM steps s LEFT JOIN counts k USING (c) WHERE s.i = coalesce(k.n, 0)),
+done AS (SELECT c, {best('f0', 'g3')} AS r FROM ({inserts('ends')}))
+SELECT n.conv_id, coalesce(k.gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate, coalesce(k.truncated, 0) AS truncated,
+       coalesce(k.illegal, 0) AS illegal, r.c AS cost, r.a AS audit, sha256(substr(r.o, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM named) n JOIN done USING (c) LEFT JOIN counts k USING (c)
+"""
+
+
+@query("op12_conversation_audit", _op12_sql())
+def op12_conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its audit of every damaged conversation."""
+    return conversation_audit.repair(conversation_audit.damaged(read_table(spark, sf_dir, "conversations")))
+
+
+@query("op13_hyper_language")
+def op13_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the prototypes of two thirds of them."""
+    return hyper_language.identify(read_table(spark, sf_dir, "documents"))
