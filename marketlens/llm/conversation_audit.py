@@ -80,7 +80,7 @@ class Edits:
 
 def _same(a: Edits, b: Edits) -> bool:
     """Whether two paths of one length have the same letters; ends where they share a node."""
-    while a is not b:
+    while a is not b and a.up:
         if a.letter != b.letter:
             return False
         a, b = a.up[0], b.up[0]
@@ -162,10 +162,22 @@ class AuditProgram:
             if initial == "s" and before[EMPTY]:
                 options[SYSTEM].append((before[EMPTY][0] + keep, before[EMPTY][1], "K"))
         self.best = [self._pick(o) for o in options]
+        self._drop_hopeless()
         self.rows += 1
         if self.rows % self.rebase_rows == 0:
             self._rebase()
 
+    def _drop_hopeless(self) -> None:
+        """States that cost strictly more than going on from the state after an assistant could.
+
+        Whatever follows nothing or a system turn may follow an assistant, but for a system turn, which costs ``DELETE_COST`` to delete.
+        """
+        user, assistant = self.best[USER], self.best[ASSISTANT]
+        costs = ([user[0] + INSERT_COST] if user else []) + ([assistant[0]] if assistant else [])
+        for state, extra in ((EMPTY, DELETE_COST), (SYSTEM, 0)):
+            if costs and self.best[state] and self.best[state][0] > min(costs) + extra:
+                self.best[state] = None
+
     def _rebase(self) -> None:
         live = [b[1] for b in self.best if b]
         shared = live[0]

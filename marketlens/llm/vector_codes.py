@@ -6,8 +6,8 @@ floor of the mean of its parts.  A vector's code is the list of its parts' entri
 
 No round looks at every (part, entry) pair.  Vectors lie in chunks; in a chunk the parts of one position are sorted along a
 Hilbert curve and cut into flat blocks of ``BLOCK_ROWS`` parts, each stored with its box (componentwise minimum and maximum) and its
-sum.  An entry whose smallest distance to the box is larger than the largest distance of another entry is nearest to none of the
-block's parts; the others are the block's shortlist.  A block with a shortlist of one adds its stored sum and is not read further;
+sum.  Each round, the entry with the least largest distance to a box is its pivot; an entry that is farther than the pivot from every place of the
+box is nearest to none of the block's parts, and the others are the block's shortlist.  A block with a shortlist of one adds its stored sum and is not read further;
 for the rest small kernels compare the parts with their shortlist in 64-bit whole numbers.  So results are exact, ties included.
 
 Chunks are written once and scanned by every round; a task returns one sum for each entry, added up in the shuffle, and only the
@@ -106,9 +106,12 @@ class Blocks:
     def shortlists(self, entries: np.ndarray) -> np.ndarray:
         """For each block and entry, whether the entry can be nearest to a part of the block."""
         low, high, e = self.low[:, None, :], self.high[:, None, :], entries[None]
-        near = np.maximum(np.maximum(low - e, e - high), 0)
         far = np.maximum(np.abs(e - low), np.abs(e - high))
-        return (near * near).sum(axis=2) <= (far * far).sum(axis=2).min(axis=1, keepdims=True)
+        pivot = entries[(far * far).sum(axis=2).argmin(axis=1)][:, None, :]
+        # distance to the pivot less distance to the entry is linear in the part: largest at a corner of the box
+        at_low = (low - pivot) ** 2 - (low - e) ** 2
+        at_high = (high - pivot) ** 2 - (high - e) ** 2
+        return np.maximum(at_low, at_high).sum(axis=2) >= 0
 
     def compare(self, blocks: np.ndarray, listed: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest entry and squared distance of every part of ``blocks``, whose shortlists have one length."""
