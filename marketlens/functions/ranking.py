@@ -1,8 +1,7 @@
-"""Distributed running sums and exact quantiles (no single-partition window, no per-column value map)."""
+"""Distributed running sums without a single-partition window."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -59,61 +58,3 @@ def sum_before(df: DataFrame, group_cols: Sequence[str], order_col: str, value_c
     out = local.join(off, ["_pid", *group_cols])
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}_before")
                                      for v in value_cols])
-
-
-def _pick_fn(wanted: dict):
-    """Values at wanted places of sorted (feature, value, c) rows; ``wanted`` has the places by (partition, feature)."""
-    def run(batches):
-        feature, done = None, 0
-        for pdf in batches:
-            for name, part in pdf.groupby("feature", sort=False):
-                if name != feature:
-                    feature, done = name, 0
-                ends = done + part["c"].cumsum().to_numpy()
-                places = [p for p in wanted.get((int(part["_pid"].iloc[0]), name), ()) if done <= p[1] < ends[-1]]
-                if places:
-                    at = ends.searchsorted([p[1] for p in places], side="right")
-                    yield pd.DataFrame({"feature": name, "place": [p[0] for p in places], "value": part["value"].to_numpy()[at]})
-                done = int(ends[-1])
-    return run
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,)) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation, nulls left out) of all ``cols``.
-
-    Values are counted for each column and range-partitioned by (column, value).  The driver sees one total for each
-    partition and column, knows from them in which partition a wanted place lies, and gets the values at these
-    places: at most two for each column and quantile.
-    """
-    cols = list(cols)
-    if not cols:
-        return {}
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])))
-    counts = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = materialize(counts.repartitionByRange(n_parts, "feature", "value").sortWithinPartitions("feature", "value")
-                    .withColumn("_pid", F.spark_partition_id()))
-    totals: dict[str, list[tuple[int, int]]] = {c: [] for c in cols}
-    for r in s.groupBy("feature", "_pid").agg(F.sum("c").alias("n")).collect():
-        totals[r["feature"]].append((r["_pid"], r["n"]))
-    n = {c: sum(x for _, x in t) for c, t in totals.items()}
-    places = {(c, p): p * (n[c] - 1) for c in cols for p in probs if n[c]}
-    wanted: dict[tuple[int, str], list[tuple[int, int]]] = {}
-    for c, i in sorted({(c, i) for (c, _), h in places.items() for i in (math.floor(h), math.ceil(h))}):
-        before = 0
-        for pid, size in sorted(totals[c]):
-            if i < before + size:
-                wanted.setdefault((pid, c), []).append((i, i - before))
-                break
-            before += size
-    if not wanted:
-        return {c: [None] * len(probs) for c in cols}
-    at = {(r["feature"], r["place"]): r["value"] for r in s.mapInPandas(_pick_fn(wanted), "feature string, place long, value double").collect()}
-
-    def value(c: str, p: float) -> float | None:
-        if not n[c]:
-            return None
-        h = places[c, p]
-        low, high = at[c, math.floor(h)], at[c, math.ceil(h)]
-        return low + (h - math.floor(h)) * (high - low)
-    return {c: [value(c, p) for p in probs] for c in cols}

@@ -6,31 +6,26 @@ one grouped aggregate (E1) and one distributed exact AUC (E2).  The holdout
 uses ``fold = -1``.
 
 * M1 majority: train mode of the label (ties -> 0), constant score.
-* M2 / M3 logistic: ``ml.classification.LogisticRegression`` with the L2 penalty of
-  the published setting (C = 1): ``regParam = 1 / n_train`` (weighted case:
-  the balanced weights sum to n, so the same value holds), no feature
-  re-standardisation, intercept unpenalised.
-* M6 tree: ``ml.classification.DecisionTreeClassifier`` (depth 5, >= 20 rows
-  per leaf, gini, balanced weights); MLlib bins continuous features, so
-  splits are close to, not identical with, exact CART.
+* M2 / M3 logistic: Newton steps on the published objective (C = 1: log losses plus half the squared coefficients, intercept free), all
+  folds and weightings in the same scans (``operators.newton``).
+* M6 tree: exact CART (depth 5, >= 20 rows per leaf, gini, balanced weights), all folds level by level (``operators.cart``).
 * M5 k-NN: 15 nearest among a bounded number of fitted rows (``operators.knn``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.ranking import sum_before
 from marketlens.functions.rowexpr import safe_ratio
-from marketlens.operators import knn, prep
-from marketlens.schema import CLASSIFIER_NAMES
+from marketlens.operators import cart, fold_moments as FM, knn, newton, prep
+from marketlens.operators.models import as_classifier, as_mapping
+from marketlens.schema import CLASSIFIER_NAMES, numeric_and_categorical
 from marketlens.session import materialize
 
 LABEL = "label"
@@ -61,32 +56,40 @@ def predict_majority(train: DataFrame, test: DataFrame, label: str = LABEL) -> D
         "ID", label, F.col("_m").cast("int").alias("prediction"), F.col("_m").cast("double").alias("score"))
 
 
-def fit_logistic(train: DataFrame, balanced: bool, label: str = LABEL):
-    """M2 / M3: minimises mean (weighted) log loss + |w|^2 / (2 n), intercept free."""
-    n = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(n, 1),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                            maxIter=2000, tol=1e-6, family="binomial")
-    fit_df = train
-    if balanced:
-        fit_df = with_weights(train, class_weights(train, label), label)
-        lr = lr.setWeightCol("weight")
-    return lr.fit(fit_df)
+def _balanced(n0: float, n1: float) -> tuple[float, float]:
+    """Weights of both classes; a class without rows has none."""
+    k = (n0 > 0) + (n1 > 0)
+    return tuple((n0 + n1) / (k * n) if n else 0.0 for n in (n0, n1))  # type: ignore[return-value]
+
+
+def _stored(train: DataFrame, label: str) -> tuple[DataFrame, int, tuple[float, float]]:
+    """Rows of one training table as the fits read them, number of features, balanced weights."""
+    rows = materialize(train.select(F.lit(0).cast("long").alias("cell"), vector_to_array("features").alias("x"), F.col(label).cast("int").alias("y")))
+    found = rows.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"), F.max(F.size("x")).alias("p")).first()
+    return rows, found["p"] or 0, _balanced(found["n0"], found["n1"])
+
+
+def fit_logistic(train: DataFrame, balanced: bool, label: str = LABEL) -> newton.LogisticModel:
+    """M2 / M3: minimises the (weighted) sum of log losses + |w|^2 / 2, intercept free."""
+    rows, p, weights = _stored(train, label)
+    fit = newton.Fit({0}, weights if balanced else (1.0, 1.0), np.concatenate([np.zeros((1, p)), np.eye(p)]))
+    return newton.fit_many(rows.withColumnRenamed("x", "z"), {0: fit})[0]
 
 
 def predict_logistic(train: DataFrame, test: DataFrame, balanced: bool, label: str = LABEL) -> DataFrame:
-    out = fit_logistic(train, balanced, label).transform(test)
-    return out.select("ID", label, F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("probability")[1].alias("score"))
+    return fit_logistic(train, balanced, label).transform(test, label)
+
 
+def fit_tree(train: DataFrame, label: str = LABEL) -> cart.Tree:
+    """M6 on a ``features`` vector."""
+    rows, p, weights = _stored(train, label)
+    return cart.grow(rows, {0: cart.Tree({0}, weights, np.zeros(p))})[0]
 
-def predict_tree(train: DataFrame, test: DataFrame, label: str = LABEL, seed: int = 42) -> DataFrame:
-    weighted = with_weights(train, class_weights(train, label), label)
-    dt = DecisionTreeClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxDepth=5,
-                                minInstancesPerNode=20, impurity="gini", maxBins=256, seed=seed)
-    out = dt.fit(weighted).transform(test)
-    return out.select("ID", label, F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array("probability")[1].alias("score"))
+
+def predict_tree(train: DataFrame, test: DataFrame, label: str = LABEL) -> DataFrame:
+    tree = fit_tree(train, label)
+    x = vector_to_array("features")
+    return tree.transform(test, label, [x[i] for i in range(len(tree.fill))])
 
 
 def predict_knn(train: DataFrame, test: DataFrame, k: int = 15, label: str = LABEL) -> DataFrame:
@@ -193,40 +196,105 @@ def classification_report(pred: DataFrame, group: Sequence[str] = ("model",), la
 # ---------------------------------------------------------------------------
 # Cross validation + holdout for all models
 # ---------------------------------------------------------------------------
-def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Sequence[str] = CLASSIFIER_NAMES,
-                     n_folds: int = 5, label: str = LABEL, parallelism: int = 8) -> DataFrame:
+class SplitFits:
+    """What all classifiers of all training subsets share: terms, medians and sums from three or four scans.
+
+    ``data`` (stored) carries the features, ``label``, ``is_test`` and ``fold``.  Subset -1 is the training side of the holdout, ``f`` all rows but fold ``f``.
+    """
+
+    def __init__(self, data: DataFrame, feature_cols: Sequence[str], n_folds: int, label: str):
+        self.data, self.label = data, label
+        self.numeric, self.categorical = numeric_and_categorical(data, feature_cols)
+        cells = {2 * f + t for f in range(n_folds) for t in (0, 1)}
+        self.train = {-1: {c for c in cells if c % 2 == 0}} | {f: {c for c in cells if c // 2 != f} for f in range(n_folds)}
+        self.cell = F.col("fold") * 2 + F.col("is_test").cast("int")
+        self.terms = FM.table_terms(data, self.numeric, self.categorical, degree2=False)
+        sums = FM.cell_moments(data, self.terms, [label], self.cell)
+        self.rows = {s: FM.total(sums, cells) for s, cells in self.train.items()}
+        medians = FM.group_medians(data, self.numeric, self.train, self.cell)
+        self.pre = {s: FM.fitted_preprocessor(self.terms, self.rows[s], medians[s], self.numeric, self.categorical, []) for s in self.train}
+
+    def test_rows(self, subset: int) -> DataFrame:
+        return self.data.where(F.col("is_test") if subset == -1 else F.col("fold") == subset)
+
+    def train_rows(self, subset: int) -> DataFrame:
+        return self.data.where(~F.col("is_test") if subset == -1 else F.col("fold") != subset)
+
+    def counts(self, subset: int) -> tuple[float, float]:
+        one = round(float(self.rows[subset].h[0, 0]))
+        return round(self.rows[subset].n) - one, one
+
+    def vectors(self, rows: DataFrame, subset: int) -> DataFrame:
+        return self.pre[subset].transform(rows, keep=["ID", self.label])
+
+    # ---- models of all subsets -------------------------------------------------------------------
+    def majority(self) -> dict:
+        def predict(subset: int) -> DataFrame:
+            zero, one = self.counts(subset)
+            mode = int(one > zero)
+            return self.test_rows(subset).select("ID", self.label, F.lit(mode).alias("prediction"), F.lit(float(mode)).alias("score"))
+        return {s: predict(s) for s in self.train}
+
+    def logistics(self, weightings: Mapping[str, bool]) -> dict[str, dict]:
+        """Logistic models by name and subset; all are fitted together."""
+        rows = self.data.select(self.cell.cast("long").alias("cell"), F.array(*self.terms.columns()).alias("z"), F.col(self.label).cast("int").alias("y"))
+        fits = {(name, s): newton.Fit(cells, _balanced(*self.counts(s)) if balanced else (1.0, 1.0), FM.design(self.terms, self.pre[s], False))
+                for name, balanced in weightings.items() for s, cells in self.train.items()}
+        models = newton.fit_many(rows, fits)
+        return {name: {s: models[name, s].transform(self.vectors(self.test_rows(s), s), self.label) for s in self.train} for name in weightings}
+
+    def trees(self) -> dict:
+        """Exact trees on raw values with the subset's fills: scaling does not change a split."""
+        columns = [F.col(c).cast("double") for c in self.numeric]
+        columns += [(F.col(c) == F.lit(lv)).cast("double") for c in self.categorical for lv in self.terms.levels[c]]
+        rows = self.data.select(self.cell.cast("long").alias("cell"), F.array(*columns).alias("x"), F.col(self.label).cast("int").alias("y"))
+
+        def fill(s: int) -> np.ndarray:
+            pre = self.pre[s]
+            return np.array([pre.medians[c] if pre.medians[c] is not None else 0.0 for c in self.numeric]
+                            + [float(pre.modes[c] == lv) for c in self.categorical for lv in self.terms.levels[c]])
+        found = cart.grow(rows, {s: cart.Tree(cells, _balanced(*self.counts(s)), fill(s)) for s, cells in self.train.items()})
+        return {s: found[s].transform(self.test_rows(s), self.label, columns) for s in self.train}
+
+
+_BUILT_IN = {name: name for name in CLASSIFIER_NAMES}
+
+
+def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Sequence[str] | Mapping[str, object] = CLASSIFIER_NAMES,
+                     n_folds: int = 5, label: str = LABEL) -> DataFrame:
     """All out-of-fold and holdout predictions: (model, fold, ID, label, prediction, score).
 
-    ``data`` carries ``ID``, the features, ``label``, ``is_test`` and ``fold``.
-    Preprocessing (T5) is fitted once per split and shared by every model
-    of that split; the independent (split, model) fits are submitted from a
-    small driver thread pool.  Folds cover all rows, holdout included, as in
-    the published protocol.
+    ``data`` (stored) carries ``ID``, the features, ``label``, ``is_test`` and ``fold``.  Preprocessing (T5) is fitted once per split and shared by every
+    model; the logistic models of all splits take their steps together, and so do the trees.  Folds cover all rows, holdout
+    included, as in the published protocol.  ``models`` are known names, or a mapping of names to known names, Spark ML estimators or
+    functions (``operators.models``).
     """
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    splits = [(-1, data.filter(~F.col("is_test")), data.filter(F.col("is_test")))]
-    splits += [(f, data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)) for f in range(n_folds)]
-
-    def prepare(split):
-        fold, train, test = split
-        fitted = prep.fit_by_dtype(train, feature_cols)
-        return fold, fitted.transform(train, keep=["ID", label]), fitted.transform(test, keep=["ID", label])
-
-    def run(task):
-        (fold, tr, te), name = task
-        p = fit_predict(name, tr, te, label)
-        return p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID",
-                        F.col(label).cast("int").alias(label), "prediction", F.col("score").cast("double"))
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        prepared = list(pool.map(prepare, splits))
-        parts = list(pool.map(run, [(s, m) for s in prepared for m in models]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = materialize(out)  # one write of the long prediction table
-    data.unpersist()
-    return out
+    chosen = as_mapping(models, _BUILT_IN)
+    fits = SplitFits(data, feature_cols, n_folds, label)
+    known = {name: m for name, m in chosen.items() if isinstance(m, str)}
+    balanced = {"logistic_regression": False, "logistic_regression_balanced": True}
+    logistic = {name: balanced[m] for name, m in known.items() if m in balanced}
+    found: dict[str, dict] = fits.logistics(logistic) if logistic else {}
+    for name, m in chosen.items():
+        if name in found:
+            continue
+        if m == "dummy_most_frequent":
+            found[name] = fits.majority()
+        elif m == "decision_tree_balanced":
+            found[name] = fits.trees()
+        else:
+            predict = predict_knn if m == "knn_k15" else as_classifier(m)
+            found[name] = {}
+            for s in fits.train:
+                train, test = fits.vectors(fits.train_rows(s), s), fits.vectors(fits.test_rows(s), s)
+                found[name][s] = predict(train, test, label=label) if m == "knn_k15" else predict(train, test, label)
+    out = None
+    for name, by_subset in found.items():
+        for fold, p in by_subset.items():
+            one = p.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "ID", F.col(label).cast("int").alias(label),
+                           F.col("prediction").cast("int").alias("prediction"), F.col("score").cast("double").alias("score"))
+            out = one if out is None else out.unionByName(one)
+    return materialize(out)  # one write of the long prediction table
 
 
 def compare_classifiers(pred: DataFrame, label: str = LABEL) -> DataFrame:

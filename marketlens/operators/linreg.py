@@ -83,6 +83,13 @@ class LinearModel:
         return df.select(*keep, features).mapInPandas(run, schema)
 
 
+def min_norm(sxx: np.ndarray, sxy: np.ndarray) -> np.ndarray:
+    """Minimum-norm solution of centred normal equations."""
+    vals, vecs = np.linalg.eigh((sxx + sxx.T) / 2)
+    keep = vals > RCOND * max(vals.max(), 0.0) if vals.size else np.array([], bool)
+    return ((vecs[:, keep] / vals[keep]) @ vecs[:, keep].T) @ sxy
+
+
 def _partial_stats(p: int, q: int, features: str, targets: Sequence[str], degree2: bool = False):
     size = 1 + p + q + p * p + p * q
     poly2 = _poly2_fn()
@@ -133,9 +140,6 @@ def fit_least_squares(df: DataFrame, features: str, targets: Sequence[str], dim:
     mx, my = sx / n, sy / n
     sxx = xtx - n * np.outer(mx, mx)
     sxy = xty - n * np.outer(mx, my)
-    vals, vecs = np.linalg.eigh((sxx + sxx.T) / 2)
-    keep = vals > RCOND * max(vals.max(), 0.0) if vals.size else np.array([], bool)
-    inv = (vecs[:, keep] / vals[keep]) @ vecs[:, keep].T
-    coef = inv @ sxy
+    coef = min_norm(sxx, sxy)
     intercept = my - mx @ coef
     return LinearModel(coef, intercept, targets, degree2)

@@ -1,8 +1,8 @@
 """Fit-on-train preprocessing (impute, log, scale, one-hot, degree-2 terms).
 
 ``fit_preprocessor`` runs one global aggregate over the training rows (count, mean and population variance of
-the non-null values, from which the imputed column's moments follow exactly), and counts by value for exact
-medians, modes and levels.
+the non-null values, from which the imputed column's moments follow exactly), a few counting passes for exact
+medians (``functions.quantiles``; no value is shuffled), and counts by level for modes and levels.
 Only those constants -- a few numbers per column -- reach the driver.  ``transform`` is then a single
 projection with the constants as literals: no join, no shuffle, inside
 whole-stage codegen, and the fitted object applies unchanged to test folds,
@@ -25,9 +25,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.ranking import exact_quantiles
+from marketlens.functions.quantiles import exact_quantiles
 from marketlens.schema import (CATEGORICAL_CANDIDATES, LOG_NUMERIC_CANDIDATES, STANDARD_NUMERIC_CANDIDATES,
                                numeric_and_categorical)
+from marketlens.session import materialize
 
 
 # Levels of one categorical column that may become columns.
@@ -104,20 +105,20 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
     non-null group's count, mean and variance (parallel-variance formula);
     for log columns the same holds on ``log1p`` values.
 
-    Medians come from counts by value, summed in order of the value (``exact_quantiles``); modes and levels
-    from counts by level.  A level becomes a column, so more than ``max_levels`` of one column are an error.
+    The columns are written once, narrow, and read by the aggregates.  A level becomes a column, so more than ``max_levels`` of one column are an error.
     """
     log_numeric, numeric, categorical = list(log_numeric), list(numeric), list(categorical)
     if not (log_numeric or numeric or categorical):
         raise ValueError("nothing to preprocess: the column lists are empty")
     nums = log_numeric + numeric
+    train = materialize(train.select(*dict.fromkeys(nums + categorical)))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in nums:
         x = F.col(c).cast("double")
         t = F.log1p(x) if c in log_numeric else x
         aggs += [F.count(x).alias(f"cnt_{c}"), F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
     row = train.agg(*aggs).first()
-    medians = exact_quantiles(train, nums)
+    medians = exact_quantiles(train, nums, stored=True)
     levels = _level_counts(train, categorical, max_levels)
     fitted = FittedPreprocessor(log_numeric, numeric, categorical)
     n = row["_n"]
@@ -146,12 +147,16 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
 
 def _level_counts(train: DataFrame, categorical: Sequence[str], max_levels: int) -> dict[str, dict[str, int]]:
     """Rows of each level of each column; at most ``max_levels`` + 1 rows of a column reach the driver."""
-    counts: dict[str, dict[str, int]] = {}
-    for c in categorical:
-        rows = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")).limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
+    counts: dict[str, dict[str, int]] = {c: {} for c in categorical}
+    if not categorical:
+        return counts
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("level")) for c in categorical]))
+    found = train.select(cells).where("level is not null").groupBy("c", "level").agg(F.count(F.lit(1)).alias("n"))
+    for r in found.limit((max_levels + 1) * len(categorical)).collect():
+        counts[r["c"]][r["level"]] = r["n"]
+    for c, levels in counts.items():
+        if len(levels) > max_levels:
             raise ValueError(f"{c} has more than {max_levels} levels")
-        counts[c] = {r[c]: r["n"] for r in rows}
     return counts
 
 

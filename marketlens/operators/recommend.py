@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.ranking import exact_quantiles
+from marketlens.functions.quantiles import exact_quantiles
 from marketlens.functions.rowexpr import (banner_order, banner_scores, row_sum_skip_nulls, safe_ratio,
                                           top1_product)
 from marketlens.schema import PRODUCT_COLUMNS

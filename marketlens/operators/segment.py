@@ -10,25 +10,24 @@ Scale notes
   Euclidean silhouette of the published workflow has no such form and needs
   every pair of points, which this library does not materialise (see README).
 * Persona rules run on the k-row profile only.
-* K-Means is ``ml.clustering.KMeans`` (k-means||); the ``n_init`` restarts are
-  independent fits on the cached feature vectors, the lowest cost is kept.
+* K-Means advances all starts of all k in the same passes (``operators.kmeans``); the lowest cost is kept, and all silhouettes of
+  the k selection come from one more pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.rowexpr import avg_tie_pct_rank
+from marketlens.operators import kmeans
 from marketlens.schema import (PERSONA_HIGH_VALUE, PERSONA_LOW, PERSONA_MIDDLE, PERSONA_RESPONSIVE,
                                PROFILE_BASE_COLUMNS)
+from marketlens.session import materialize
 
 PROFILE_MEAN_COLUMNS = [f"{c}_mean" for c in PROFILE_BASE_COLUMNS]
 HEATMAP_COLUMNS = PROFILE_MEAN_COLUMNS + ["Response_Rate"]
@@ -47,10 +46,10 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], n_parts: int | N
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_idx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    # written once: the counts and the rows must see the same partitions, also after an executor is lost
+    s = materialize(df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_idx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
@@ -210,34 +209,10 @@ def silhouette_sq(df: DataFrame, features: str = "features", label: str = "Clust
 # ---------------------------------------------------------------------------
 # K-Means, k selection, PCA
 # ---------------------------------------------------------------------------
-def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, features: str):
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol=features,
-                   predictionCol="Cluster", initMode="k-means||").fit(vectors)
-    return model, model.summary.trainingCost
-
-
-def fit_kmeans_many(vectors: DataFrame, ks: Sequence[int], seed: int = 42, n_init: int = 10, max_iter: int = 300,
-                    features: str = "features", parallelism: int = 8) -> dict:
-    """Best of ``n_init`` k-means|| fits per k (seeds seed..seed+n_init-1), lowest training cost.
-
-    The fits are independent Spark jobs on the same cached vectors; a small
-    driver thread pool submits them concurrently so the cluster stays busy.
-    Ties in cost go to the smaller seed.
-    """
-    tasks = [(k, s) for k in ks for s in range(seed, seed + n_init)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        fits = list(pool.map(lambda t: (t, _fit_one(vectors, t[0], t[1], max_iter, features)), tasks))
-    best: dict = {}
-    for (k, s), (model, cost) in fits:
-        if k not in best or cost < best[k][1]:
-            best[k] = (model, cost)
-    return {k: m for k, (m, _) in best.items()}
-
-
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
-               features: str = "features"):
-    """Best of ``n_init`` k-means|| fits (seeds seed..seed+n_init-1) by training cost."""
-    return fit_kmeans_many(vectors, [k], seed, n_init, max_iter, features)[k]
+               features: str = "features", key: str = "ID") -> kmeans.CentroidModel:
+    """Best of ``n_init`` starts (seeds seed..seed+n_init-1) by cost."""
+    return kmeans.fit_many(vectors, [k], seed, n_init, max_iter, features, key).models[k]
 
 
 def relabel_by(clustered: DataFrame, order_col: str = "TotalSpending", label: str = "Cluster") -> DataFrame:
@@ -255,16 +230,10 @@ def k_selection(vectors: DataFrame, k_values: Sequence[int] = range(2, 9), seed:
     Returns the score table and the fitted models by k (the caller reuses the
     final-k model instead of fitting it again).
     """
-    spark = vectors.sparkSession
-    rows = []
-    models = fit_kmeans_many(vectors, list(k_values), seed, n_init, features=features)
-    for k in k_values:
-        model = models[k]
-        labelled = model.transform(vectors)
-        sil = silhouette_sq(labelled, features, "Cluster", key).first()[0]
-        rows.append((int(k), float(sil), float(model.summary.trainingCost)))
-    table = spark.createDataFrame(rows, "k int, silhouette_score double, inertia double")
-    return table, models
+    many = kmeans.fit_many(vectors, list(k_values), seed, n_init, features=features, key=key)
+    scores = many.silhouettes()
+    rows = [(int(k), scores[k], float(many.models[k].cost)) for k in k_values]
+    return vectors.sparkSession.createDataFrame(rows, "k int, silhouette_score double, inertia double"), many.models
 
 
 def pca_2d(vectors: DataFrame, features: str = "features", keep: Sequence[str] = ("ID",)):

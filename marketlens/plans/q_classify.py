@@ -2,17 +2,17 @@
 
 SQL-checked: class weights, the majority baseline, exact 15-NN (the oracle runs
 brute force over all test x train pairs, fine at the check scale) and the
-metrics of the k-NN holdout predictions.  MLlib fits (logistic, tree) and the
-cross-validated comparison are rows-only checks.
+metrics of the k-NN holdout predictions, some Newton steps and the root split of the tree.  Fits run to the
+end and the cross-validated comparison are rows-only checks.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from marketlens.operators import classify as C, features as P, knn, prep, split as S
+from marketlens.operators import cart, classify as C, features as P, knn, newton, prep, split as S
 from marketlens.plans.oracle import fragment, sql_with
 from marketlens.plans.q_prep import CLS_NUMERIC
 from marketlens.plans.q_prepare import cls_clean
@@ -31,7 +31,7 @@ def cls_data(spark, sf):
 
 
 def holdout_vectors(spark, sf):
-    d = cls_data(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    d = materialize(cls_data(spark, sf))
     train, test = d.filter(~F.col("is_test")), d.filter("is_test")
     fitted = prep.fit_by_dtype(train, CLASSIFICATION_FEATURES)
     return fitted.transform(train, keep=["ID", L]), fitted.transform(test, keep=["ID", L])
@@ -155,7 +155,7 @@ def q_prediction_sample(spark, sf, n: int = 30):
                     F.col("prediction").alias("predicted_Response")))
 
 
-# --- rows-only: MLlib fits, CV, comparison --------------------------------------------------------------
+# --- rows-only: fits run to the end, CV, comparison --------------------------------------------------------------
 register("logistic", note="M2")(lambda spark, sf: holdout_predictions(spark, sf, "logistic_regression"))
 register("logistic_balanced", note="M3")(
     lambda spark, sf: holdout_predictions(spark, sf, "logistic_regression_balanced"))
@@ -218,3 +218,63 @@ def q_prediction_samples(spark, sf, n: int = 30):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --- M2 / M3: Newton steps from zero on two features, solved by Cramer's rule in SQL ----------------------------------
+NEWTON_FEATURES = ["Income", "Recency"]
+
+
+def _newton_sql(steps: int = 3) -> str:
+    x1, x2 = NEWTON_FEATURES
+    parts = [f"rows_ AS (SELECT m.model, {x1} AS x1, {x2} AS x2, label AS y, CASE WHEN m.model = 'logistic_regression' THEN 1.0 ELSE "
+             "(SELECT count(*) FROM cls_vec WHERE NOT is_test) / (2.0 * (SELECT count(*) FROM cls_vec o WHERE NOT o.is_test AND o.label = v.label)) END AS w "
+             "FROM cls_vec v, (SELECT unnest(['logistic_regression', 'logistic_regression_balanced']) AS model) m WHERE NOT is_test)",
+             "b0 AS (SELECT DISTINCT model, CAST(0 AS DOUBLE) AS i, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS v FROM rows_)"]
+    for k in range(steps):
+        parts.append(f"p{k} AS (SELECT r.*, b.i, b.u, b.v, 1 / (1 + exp(-(b.i + b.u * x1 + b.v * x2))) AS p FROM rows_ r JOIN b{k} b USING (model))")
+        parts.append(f"h{k} AS (SELECT model, i, u, v, sum(w*p*(1-p)) AS a, sum(w*p*(1-p)*x1) AS b, sum(w*p*(1-p)*x2) AS c, sum(w*p*(1-p)*x1*x1) + 1 AS d, "
+                     f"sum(w*p*(1-p)*x1*x2) AS e, sum(w*p*(1-p)*x2*x2) + 1 AS f, sum(w*(p-y)) AS g0, sum(w*(p-y)*x1) + u AS g1, sum(w*(p-y)*x2) + v AS g2 "
+                     f"FROM p{k} GROUP BY model, i, u, v)")
+        parts.append(f"b{k + 1} AS (SELECT model, i - ((d*f-e*e)*g0 + (c*e-b*f)*g1 + (b*e-c*d)*g2) / t AS i, u - ((c*e-b*f)*g0 + (a*f-c*c)*g1 + (b*c-a*e)*g2) / t AS u, "
+                     f"v - ((b*e-c*d)*g0 + (b*c-a*e)*g1 + (a*d-b*b)*g2) / t AS v FROM (SELECT *, a*(d*f-e*e) - b*(b*f-c*e) + c*(b*e-c*d) AS t FROM h{k}))")
+    return ("SELECT * FROM (WITH " + ", ".join(parts) + f" SELECT model, 'intercept' AS term, i AS value FROM b{steps} UNION ALL SELECT model, '{x1}', u FROM b{steps} "
+            f"UNION ALL SELECT model, '{x2}', v FROM b{steps})")
+
+
+@register("logistic_newton_steps", sql_with(_newton_sql(), "cls_vec"), note="M2 / M3: coefficients after three Newton steps from zero, both weightings")
+def q_logistic_newton_steps(spark, sf, steps: int = 3):
+    train = materialize(cls_data(spark, sf).filter(~F.col("is_test")))
+    pre = prep.fit_preprocessor(train, numeric=NEWTON_FEATURES)
+    rows = train.select(F.lit(0).cast("long").alias("cell"), F.array(*pre.output_exprs()).alias("z"), F.col(L).cast("int").alias("y"))
+    weights = {r[L]: r["weight"] for r in C.class_weights(train).collect()}
+    design = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    fits = {"logistic_regression": newton.Fit({0}, (1.0, 1.0), design), "logistic_regression_balanced": newton.Fit({0}, (weights[0], weights[1]), design)}
+    models = newton.fit_many(rows, fits, max_steps=steps, tolerance=0.0)
+    table = [(name, term, float(v)) for name, m in models.items() for term, v in zip(["intercept", *NEWTON_FEATURES], [m.intercept, *m.coefficients])]
+    return spark.createDataFrame(table, "model string, term string, value double")
+
+
+# --- M6: the root split over the numeric features -----------------------------------------------------------
+def _root_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS feature, coalesce(CAST(a.{c} AS DOUBLE), k.med_{c}) AS v, a.Response AS y "
+                              f"FROM cls_split a CROSS JOIN cls_scale_consts k WHERE NOT a.is_test" for i, c in enumerate(CLS_NUMERIC))
+    weight = lambda y: f"(SELECT count(*) / (2.0 * count_if(Response = {y})) FROM cls_split WHERE NOT is_test)"
+    purity = lambda a, b: f"(({a}*w0)*({a}*w0) + ({b}*w1)*({b}*w1)) / ({a}*w0 + {b}*w1)"
+    return (f"SELECT * FROM (WITH n AS (SELECT place, feature, v, count_if(y = 0) AS c0, count_if(y = 1) AS c1 FROM ({long}) GROUP BY place, feature, v), "
+            f"r AS (SELECT *, sum(c0) OVER before AS l0, sum(c1) OVER before AS l1, sum(c0) OVER everything AS n0, sum(c1) OVER everything AS n1, "
+            f"lead(v) OVER (PARTITION BY feature ORDER BY v) AS next, {weight(0)} AS w0, {weight(1)} AS w1 FROM n "
+            "WINDOW before AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING), everything AS (PARTITION BY feature)) "
+            f"SELECT feature, (v + next) / 2 AS threshold, CAST(l0 + l1 AS BIGINT) AS n_left, CAST(n0 + n1 - l0 - l1 AS BIGINT) AS n_right FROM r "
+            f"WHERE l0 + l1 >= {cart.MIN_LEAF} AND n0 + n1 - l0 - l1 >= {cart.MIN_LEAF} "
+            f"ORDER BY -({purity('l0', 'l1')} + {purity('(n0-l0)', '(n1-l1)')}), place, v LIMIT 1)")
+
+
+@register("tree_root_split", sql_with(_root_sql(), "cls_split", "cls_scale_consts"), note="M6: exact root split of the balanced tree over the numeric features")
+def q_tree_root_split(spark, sf):
+    train = materialize(cls_data(spark, sf).filter(~F.col("is_test")))
+    pre = prep.fit_preprocessor(train, numeric=CLS_NUMERIC)
+    rows = train.select(F.lit(0).cast("long").alias("cell"), F.array(*[F.col(c).cast("double") for c in CLS_NUMERIC]).alias("x"), F.col(L).cast("int").alias("y"))
+    weights = {r[L]: r["weight"] for r in C.class_weights(train).collect()}
+    tree = cart.grow(rows, {0: cart.Tree({0}, (weights[0], weights[1]), np.array([pre.medians[c] or 0.0 for c in CLS_NUMERIC]))}, max_depth=1)[0]
+    table = [(CLS_NUMERIC[i], float(t), sum(tree.counts[2]), sum(tree.counts[3])) for i, t in tree.splits.values()]
+    return spark.createDataFrame(table, "feature string, threshold double, n_left long, n_right long")

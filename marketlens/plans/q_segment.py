@@ -8,15 +8,17 @@ queries (M7, M8, T9 and the final profile) are rows-only checks.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import functions as F
 
-from marketlens.operators import prep, segment as G
+from marketlens.operators import kmeans, prep, segment as G
 from marketlens.plans.oracle import fragment, sql_str, sql_with
 from marketlens.plans.q_prepare import clu_clean
 from marketlens.plans.registry import register, kept_result
 from marketlens.schema import (CLUSTER_FEATURES, PERSONA_HIGH_VALUE, PERSONA_LOW, PERSONA_MIDDLE,
                                PERSONA_RESPONSIVE, PROFILE_BASE_COLUMNS)
+from marketlens.session import materialize
+from marketlens.sources.tables import read_table
 
 
 # --- Spark pipelines -------------------------------------------------------------------
@@ -34,10 +36,10 @@ def fixed_labelled(spark, sf, n: int = 4):
 
 @kept_result("kmeans_k4")
 def kmeans_labelled(spark, sf):
-    """Best of 10 k-means|| fits with k = 4, ids renumbered by mean spend."""
-    vec = clu_vectors(spark, sf, with_rows=True).persist(StorageLevel.MEMORY_AND_DISK)
+    """Best of 10 starts with k = 4, ids renumbered by mean spend."""
+    vec = materialize(clu_vectors(spark, sf, with_rows=True))
     model = G.fit_kmeans(vec, 4, n_init=10)
-    return G.relabel_by(model.transform(vec), "TotalSpending").persist(StorageLevel.MEMORY_AND_DISK)
+    return materialize(G.relabel_by(model.transform(vec), "TotalSpending"))
 
 
 # --- SQL fragments -------------------------------------------------------------------
@@ -123,7 +125,7 @@ register("silhouette", sql_with(
 
 
 # --- K-Means driven (rows-only) ----------------------------------------------------------------------
-register("kmeans_segments", note="M7: best of 10 k-means|| fits, ids renumbered by mean spend")(
+register("kmeans_segments", note="M7: best of 10 starts, ids renumbered by mean spend")(
     lambda spark, sf: kmeans_labelled(spark, sf).select("ID", "Cluster"))
 register("segment_profile", note="A1 + W2 + J5 on K-Means labels (clustering_profile)")(
     lambda spark, sf: G.profile_with_personas(kmeans_labelled(spark, sf)))
@@ -131,14 +133,41 @@ register("segment_profile", note="A1 + W2 + J5 on K-Means labels (clustering_pro
 
 @register("k_selection", note="M8: k = 2..8, squared-Euclidean silhouette and inertia")
 def q_k_selection(spark, sf):
-    vec = clu_vectors(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
-    table, _ = G.k_selection(vec)
+    table, _ = G.k_selection(clu_vectors(spark, sf))
     return table
 
 
+def _fixed_start_sql(k: int = 4, rounds: int = 3) -> str:
+    """Rounds of the algorithm from the rows with the ``k`` smallest ids, as table expressions over long points."""
+    cells = " UNION ALL ".join(f"SELECT ID, '{c}' AS f, {c} AS x FROM clu_scaled" for c in CLUSTER_FEATURES)
+    steps = [f"pts AS MATERIALIZED ({cells})",
+             f"c0 AS (SELECT r - 1 AS c, f, x FROM pts JOIN (SELECT ID, row_number() OVER (ORDER BY ID) AS r FROM clu_scaled) USING (ID) WHERE r <= {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT ID, c, d FROM (SELECT p.ID, m.c, sum((p.x - m.x) * (p.x - m.x)) AS d, row_number() OVER ("
+                     f"PARTITION BY p.ID ORDER BY sum((p.x - m.x) * (p.x - m.x)), m.c) AS place FROM pts p JOIN c{i} m USING (f) GROUP BY p.ID, m.c) WHERE place = 1)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT m.c, m.f, coalesce(n.x, m.x) AS x FROM c{i} m LEFT JOIN (SELECT c, f, avg(x) AS x FROM pts "
+                         f"JOIN a{i} USING (ID) GROUP BY c, f) n USING (c, f))")
+    centres = ", ".join(f"max(CASE WHEN f = '{c}' THEN x END) AS {c}" for c in CLUSTER_FEATURES)
+    return ("SELECT * FROM (WITH " + ", ".join(steps) + f" SELECT CAST(m.c AS INTEGER) AS Cluster, CAST(coalesce(s.n, 0) AS BIGINT) AS CustomerCount, t.cost, m.* EXCLUDE (c) FROM ("
+            f"SELECT c, {centres} FROM c{rounds} GROUP BY c) m LEFT JOIN (SELECT c, count(*) AS n FROM a{rounds} GROUP BY c) s USING (c), "
+            f"(SELECT sum(d) AS cost FROM a{rounds}) t)")
+
+
+@register("kmeans_fixed_start", sql_with(_fixed_start_sql(), "clu_scaled"), note="M7 from given first centres, three rounds: centres, sizes and cost")
+def q_kmeans_fixed_start(spark, sf, k: int = 4, rounds: int = 3):
+    vec = clu_vectors(spark, sf)
+    first = np.array([r["features"].toArray() for r in vec.orderBy("ID").limit(k).collect()])
+    rows, shift = kmeans.stored_vectors(vec), np.zeros(first.shape[1])
+    centres, _ = kmeans.lloyd(rows, {(k, 0): first}, shift, rounds, tolerance=-1.0)[k, 0]
+    sums = kmeans._advance(rows, {(k, 0): centres}, shift)[k, 0]
+    table = [(c, int(sums[1][c]), sums[2], *map(float, centres[c])) for c in range(k)]
+    return spark.createDataFrame(table, "Cluster int, CustomerCount long, cost double, " + ", ".join(f"{c} double" for c in CLUSTER_FEATURES))
+
+
 @register("pca_2d", note="T9: PC1, PC2 of the scaled clustering features with K-Means labels")
 def q_pca_2d(spark, sf):
-    labelled = kmeans_labelled(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = kmeans_labelled(spark, sf)
     proj, ratios = G.pca_2d(labelled, keep=["ID", "Cluster"])
     return proj.withColumn("explained_variance_ratio", F.lit(sum(ratios)))
 
@@ -164,7 +193,6 @@ def q_exclude_labelled(spark, sf):
 # --- the same operators on the second input: the embeddings table --------------------------------------
 def embedding_vectors(spark, sf):
     """ID, 64-d vector as array<double>, the given label as cluster id."""
-    from marketlens.sources.tables import read_table
     e = read_table(spark, sf, "embeddings")
     return e.select(F.col("vec_id").alias("ID"), F.transform("embedding", lambda x: x.cast("double")).alias("features"),
                     F.col("label").cast("int").alias("Cluster"))
@@ -193,9 +221,7 @@ register("embedding_silhouette", sql_with(
 
 @register("embedding_kmeans", note="M7 on the embeddings table: assignments for k = number of labels")
 def q_embedding_kmeans(spark, sf):
-    from pyspark.ml.functions import array_to_vector
-    vec = embedding_vectors(spark, sf).select("ID", array_to_vector("features").alias("features")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    vec = embedding_vectors(spark, sf).select("ID", "features")
     k = read_table(spark, sf, "embeddings").select("label").distinct().count()
     return G.fit_kmeans(vec, max(k, 2), n_init=10).transform(vec).select("ID", "Cluster")
 

@@ -7,8 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from marketlens.functions.quantiles import exact_quantiles, quantiles_by_group
 from marketlens.functions.ranking import sum_before
-from marketlens.functions.ranking import exact_quantiles, sum_before
 from marketlens.operators import classify as C, knn, segment as G, split as S
 from marketlens.operators.linreg import fit_least_squares
 
