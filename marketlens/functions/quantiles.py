@@ -51,16 +51,17 @@ def _task_fn(cols: list[str], open_at: dict[int, list[tuple[int, int]]], few: se
     keys = _key_fn()
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
         dense: dict[tuple[int, int, int], tuple] = {}
         sparse: dict[tuple[int, int, int, int], int] = {}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cell = pdf["_cell"].to_numpy()
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            cell = column["_cell"].to_numpy()
             cells = np.unique(cell)
             for c, intervals in open_at.items():
-                values = pdf[cols[c]].to_numpy(dtype=np.float64, na_value=np.nan)
+                values = column[cols[c]].to_numpy(zero_copy_only=False).astype(np.float64)  # null is NaN
                 known = ~np.isnan(values)
                 k, at = keys(values[known]), cell[known]
                 for i, (low, high) in enumerate(intervals):
@@ -86,7 +87,8 @@ def _task_fn(cols: list[str], open_at: dict[int, list[tuple[int, int]]], few: se
         for key, (n, least, most) in dense.items():
             some = np.flatnonzero(n)
             rows += [(*key, *r) for r in zip(some.tolist(), n[some].tolist(), least[some].tolist(), most[some].tolist())]
-        yield pd.DataFrame(rows, columns=["c", "i", "cell", "part", "n", "low", "high"]).astype("int64")
+        table = np.array(rows, dtype=np.int64).reshape(-1, 7)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in table.T], names=["c", "i", "cell", "part", "n", "low", "high"])
     return run
 
 
@@ -95,7 +97,7 @@ _SCHEMA = "c long, i long, cell long, part long, n long, low long, high long"
 
 def _count(stored: DataFrame, cols: list[str], open_at: dict[int, list[tuple[int, int]]], few: set) -> dict[tuple[int, int], list]:
     """By (column, interval): ``(part, cell, n, low, high)`` in order of the part."""
-    told = stored.mapInPandas(_task_fn(cols, open_at, few, BINS), _SCHEMA)
+    told = stored.mapInArrow(_task_fn(cols, open_at, few, BINS), _SCHEMA)
     total = told.groupBy("c", "i", "cell", "part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     out: dict[tuple[int, int], list] = {}
     for r in total.collect():
@@ -106,11 +108,13 @@ def _count(stored: DataFrame, cols: list[str], open_at: dict[int, list[tuple[int
 
 
 def quantiles_by_group(df: DataFrame, cols: Sequence[str], probs: Sequence[float], groups: Mapping[Hashable, Collection[int]],
-                       cell: Column | None = None, stored: bool = False) -> dict[Hashable, dict[str, list[float | None]]]:
+                       cell: Column | None = None, stored: bool = False,
+                       ends: Mapping[str, tuple[float | None, float | None]] | None = None) -> dict[Hashable, dict[str, list[float | None]]]:
     """Exact quantiles (linear interpolation; nulls and NaN left out) of ``cols`` for every group of cells.
 
     ``cell`` is a whole number of each row (0 if not given); ``stored`` says that ``df`` is cheap to read again
-    (a checkpoint), otherwise the needed columns are written once.
+    (a checkpoint), otherwise the needed columns are written once.  ``ends`` are the smallest and largest value of every column (NaN left out), if
+    they are known already.
     """
     cols = list(cols)
     if not cols:
@@ -118,14 +122,15 @@ def quantiles_by_group(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     narrow = df.select((cell if cell is not None else F.lit(0)).cast("long").alias(_CELL), *[F.col(c).cast("double").alias(c) for c in cols])
     if not stored:
         narrow = materialize(narrow)
-    ends = [f(F.when(~F.isnan(c), F.col(c))) for c in cols for f in (F.min, F.max)]
-    found = narrow.agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)]).first()
+    if ends is None:
+        found = narrow.agg(*[e.alias(f"e{i}") for i, e in enumerate(x for c in cols for x in end_columns(c))]).first()
+        ends = {c: (found[2 * i], found[2 * i + 1]) for i, c in enumerate(cols)}
     key = lambda x: int(keys_of(np.array([x]))[0])
     # an open place: (column, low, high) -> [(group, place, values of the group below the interval)]; the first pass tells the number of values
     open_places: dict[tuple[int, int, int], list] = {}
-    for c in range(len(cols)):
-        if found[2 * c] is not None:
-            open_places[c, key(found[2 * c]), key(found[2 * c + 1])] = [(g, None, 0) for g in groups]
+    for c, name in enumerate(cols):
+        if ends[name][0] is not None:
+            open_places[c, key(ends[name][0]), key(ends[name][1])] = [(g, None, 0) for g in groups]
     at: dict[tuple, float] = {}
     numbers: dict[tuple, int] = {}
     few: set[tuple[int, int, int]] = set()
@@ -170,6 +175,13 @@ def quantiles_by_group(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     return {g: {name: [value(g, c, p) for p in probs] for c, name in enumerate(cols)} for g in groups}
 
 
+def end_columns(c: str) -> tuple[Column, Column]:
+    """Aggregates for the smallest and largest value of a column."""
+    x = F.col(c).cast("double")
+    x = F.when(~F.isnan(x), x)
+    return F.min(x), F.max(x)
+
+
 def _by_part(rows: list) -> list[tuple[int, int, int, int]]:
     """``(part, n, low, high)`` of each part in order, cells added up."""
     out: list[list[int]] = []
@@ -181,6 +193,6 @@ def _by_part(rows: list) -> list[tuple[int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,), stored: bool = False) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,), stored: bool = False, ends: Mapping | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles of ``cols`` over all rows."""
-    return quantiles_by_group(df, cols, probs, {None: {0}}, stored=stored)[None]
+    return quantiles_by_group(df, cols, probs, {None: {0}}, stored=stored, ends=ends)[None]

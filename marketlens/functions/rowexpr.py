@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -60,3 +61,19 @@ def banner_scores(score_cols: Sequence[str], names: Sequence[str]) -> Column:
         F.transform(scored_products(score_cols, names),
                     lambda s: F.format_string("%s:%.3f", s["product"], s["score"])),
         " | ")
+
+
+# ---- pieces of SQL text ------------------------------------------------------------------------------
+def double(x: float) -> str:
+    """A double literal."""
+    return f"({float(x)!r}D)" if math.isfinite(x) else f"cast('{float(x)}' as double)"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text(value: str) -> str:
+    """A string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

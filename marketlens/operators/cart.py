@@ -1,8 +1,8 @@
 """M6: exact classification trees, level by level, all folds together.
 
 At each level one pass counts, for every open node of every tree, the rows of each class by distinct (feature, value) -- tasks combine their own
-counts first.  Running sums over the sorted values (range-partitioned, no group in one task) give the classes left of each value, and an
-aggregate keeps the best split of each node: weighted gini, at least ``min_leaf`` unweighted rows on both sides, ties to the first feature and then the
+counts first.  Running sums over the sorted values give the classes left of each value (by a window while features have at most ``WINDOW_VALUES`` distinct
+values; beyond, range-partitioned with no group in one task), and an aggregate keeps the best split of each node: weighted gini, at least ``min_leaf`` unweighted rows on both sides, ties to the first feature and then the
 smaller value.  The threshold is the midpoint to the next distinct value.  Every distinct value is a candidate: nothing is binned.  Only splits and class counts of nodes
 reach the driver.
 
@@ -11,17 +11,20 @@ Trees (training subsets) differ in their rows, class weights and fill values for
 
 from __future__ import annotations
 
-from collections.abc import Collection, Hashable, Mapping, Sequence
+from collections.abc import Collection, Hashable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.ranking import sum_before
+from marketlens.functions.rowexpr import double
 from marketlens.session import materialize
 
 MAX_DEPTH, MIN_LEAF = 5, 20
+#: Distinct values of a node and feature that one task may sort.
+WINDOW_VALUES = 200_000
 
 
 @dataclass
@@ -38,18 +41,18 @@ class Tree:
         zero, one = (c * w for c, w in zip(self.counts[node], self.weights))
         return one / (zero + one) if zero + one else 0.0
 
-    def score(self, features: Sequence[Column], node: int = 1) -> Column:
-        """Weighted share of class 1 in the leaf, as nested conditions."""
+    def score_sql(self, node: int = 1) -> str:
+        """Weighted share of class 1 in the leaf of the array ``_x``, as nested conditions."""
         if node not in self.splits:
-            return F.lit(self.score_of(node))
+            return double(self.score_of(node))
         i, threshold = self.splits[node]
-        x = F.coalesce(features[i].cast("double"), F.lit(float(self.fill[i])))
-        return F.when(x <= F.lit(threshold), self.score(features, 2 * node)).otherwise(self.score(features, 2 * node + 1))
+        low, high = self.score_sql(2 * node), self.score_sql(2 * node + 1)
+        return f"if(coalesce(_x[{i}], {double(self.fill[i])}) <= {double(threshold)}, {low}, {high})"
 
-    def transform(self, rows: DataFrame, label: str, features: Sequence[Column]) -> DataFrame:
-        """``ID, label, prediction, score``; equal shares are class 0."""
-        s = self.score(features)
-        return rows.select("ID", label, (s > 0.5).cast("int").alias("prediction"), s.alias("score"))
+    def transform(self, rows: DataFrame, label: str, features: Column) -> DataFrame:
+        """``ID, label, prediction, score``; equal shares are class 0.  ``features`` is the array column that the tree was grown on."""
+        found = rows.select("ID", label, features.alias("_x")).select("ID", label, F.expr(self.score_sql()).alias("score"))
+        return found.select("ID", label, (F.col("score") > 0.5).cast("int").alias("prediction"), "score")
 
 
 def _count_fn(trees: list[tuple], open_nodes: list[list[int]]):
@@ -86,12 +89,23 @@ def _count_fn(trees: list[tuple], open_nodes: list[list[int]]):
 _COUNTS = "tree int, node long, feature int, value double, c0 long, c1 long"
 
 
-def _best_splits(values: DataFrame, trees: list[Tree], nodes: list[tuple[int, int]], min_leaf: int) -> list:
-    """Best split of every node: ``tree, node, feature, at, next`` (value and next value) and the class counts on its left."""
-    spark = values.sparkSession
+def _best_splits(values: DataFrame, trees: list[Tree], nodes: list[tuple[int, int]], min_leaf: int, small: bool) -> list:
+    """Best split of every node: ``tree, node, feature, at, next`` (value and next value) and the class counts on its left.
+
+    With ``small``, no feature has more than ``WINDOW_VALUES`` distinct values, so a window may number those of one node and feature.
+    """
+    spark, key = values.sparkSession, ["tree", "node", "feature"]
     known = spark.createDataFrame([(t, n, *trees[t].counts[n], *trees[t].weights) for t, n in nodes], "tree int, node long, n0 long, n1 long, w0 double, w1 double")
-    sums = sum_before(values, ["tree", "node", "feature"], "value", ["c0", "c1"])
-    left0, left1 = F.col("c0_before") + F.col("c0"), F.col("c1_before") + F.col("c1")
+    if small:
+        along = Window.partitionBy(*key).orderBy("value")
+        left = along.rowsBetween(Window.unboundedPreceding, 0)
+        sums = values.select(*key, "value", F.sum("c0").over(left).alias("l0"), F.sum("c1").over(left).alias("l1"), F.lead("value").over(along).alias("next"))
+    else:
+        values = materialize(values)
+        before = sum_before(values, key, "value", ["c0", "c1"])
+        sums = before.select(*key, "value", (F.col("c0_before") + F.col("c0")).alias("l0"), (F.col("c1_before") + F.col("c1")).alias("l1"),
+                             F.lit(None).cast("double").alias("next"))
+    left0, left1 = F.col("l0"), F.col("l1")
     right0, right1 = F.col("n0") - left0, F.col("n1") - left1
 
     def purity(zero: Column, one: Column) -> Column:
@@ -99,13 +113,13 @@ def _best_splits(values: DataFrame, trees: list[Tree], nodes: list[tuple[int, in
         return (a * a + b * b) / (a + b)
     judged = (sums.join(F.broadcast(known), ["tree", "node"]).where((left0 + left1 >= min_leaf) & (right0 + right1 >= min_leaf))
               .withColumn("loss", -(purity(left0, left1) + purity(right0, right1))))
-    order = F.struct("loss", F.col("feature").alias("feature"), F.col("value").alias("at"), left0.alias("l0"), left1.alias("l1"))
-    best = judged.groupBy("tree", "node").agg(F.min(order).alias("b")).select("tree", "node", "b.feature", "b.at", "b.l0", "b.l1").collect()
-    if not best:
-        return []
-    chosen = spark.createDataFrame(best, "tree int, node long, feature int, at double, l0 long, l1 long")
-    later = values.join(F.broadcast(chosen), ["tree", "node", "feature"]).where(F.col("value") > F.col("at"))
-    return later.groupBy("tree", "node", "feature", "at", "l0", "l1").agg(F.min("value").alias("next")).collect()
+    order = F.struct("loss", "feature", F.col("value").alias("at"), "l0", "l1", "next")
+    best = judged.groupBy("tree", "node").agg(F.min(order).alias("b")).select("tree", "node", "b.feature", "b.at", "b.l0", "b.l1", "b.next").collect()
+    if small or not best:
+        return best
+    chosen = spark.createDataFrame([r[:6] for r in best], "tree int, node long, feature int, at double, l0 long, l1 long")
+    later = values.join(F.broadcast(chosen), key).where(F.col("value") > F.col("at"))
+    return later.groupBy(*key, "at", "l0", "l1").agg(F.min("value").alias("next")).collect()
 
 
 def grow(rows: DataFrame, trees: Mapping[Hashable, Tree], max_depth: int = MAX_DEPTH, min_leaf: int = MIN_LEAF) -> Mapping[Hashable, Tree]:
@@ -115,6 +129,8 @@ def grow(rows: DataFrame, trees: Mapping[Hashable, Tree], max_depth: int = MAX_D
     """
     min_leaf, made = max(1, min_leaf), list(trees.values())
     rows = rows.select("cell", F.col("y").cast("int").alias("y"), F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x"))
+    distinct = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n")).agg(F.max("n")).first()[0]
+    small = (distinct or 0) <= 0.9 * WINDOW_VALUES - len(made)  # fills add a value for each tree
     by_class = [(r["cell"], r["y"], r["n"]) for r in rows.groupBy("cell", "y").agg(F.count(F.lit(1)).alias("n")).collect()]
     for t in made:
         t.counts[1] = tuple(sum(n for cell, y, n in by_class if y == label and cell in t.cells) for label in (0, 1))
@@ -125,10 +141,10 @@ def grow(rows: DataFrame, trees: Mapping[Hashable, Tree], max_depth: int = MAX_D
             break
         specs = [(sorted(t.cells), t.fill, dict(t.splits)) for t in made]
         open_nodes = [[n for u, n in level if u == t] for t in range(len(made))]
-        counted = materialize(rows.mapInPandas(_count_fn(specs, open_nodes), _COUNTS).groupBy("tree", "node", "feature", "value")
-                              .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+        counted = (rows.mapInPandas(_count_fn(specs, open_nodes), _COUNTS).groupBy("tree", "node", "feature", "value")
+                   .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
         deeper = []
-        for r in _best_splits(counted, made, level, min_leaf):
+        for r in _best_splits(counted, made, level, min_leaf, small):
             tree, n = made[r["tree"]], r["node"]
             middle = (r["at"] + r["next"]) / 2
             tree.splits[n] = (r["feature"], middle if middle < r["next"] else r["at"])

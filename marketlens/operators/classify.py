@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.ranking import sum_before
-from marketlens.functions.rowexpr import safe_ratio
+from marketlens.functions.rowexpr import quoted, safe_ratio, text
 from marketlens.operators import cart, fold_moments as FM, knn, newton, prep
 from marketlens.operators.models import as_classifier, as_mapping
 from marketlens.schema import CLASSIFIER_NAMES, numeric_and_categorical
@@ -87,9 +87,7 @@ def fit_tree(train: DataFrame, label: str = LABEL) -> cart.Tree:
 
 
 def predict_tree(train: DataFrame, test: DataFrame, label: str = LABEL) -> DataFrame:
-    tree = fit_tree(train, label)
-    x = vector_to_array("features")
-    return tree.transform(test, label, [x[i] for i in range(len(tree.fill))])
+    return fit_tree(train, label).transform(test, label, vector_to_array("features"))
 
 
 def predict_knn(train: DataFrame, test: DataFrame, k: int = 15, label: str = LABEL) -> DataFrame:
@@ -204,6 +202,7 @@ class SplitFits:
 
     def __init__(self, data: DataFrame, feature_cols: Sequence[str], n_folds: int, label: str):
         self.data, self.label = data, label
+        self._vectors: dict[tuple[int, bool], DataFrame] = {}
         self.numeric, self.categorical = numeric_and_categorical(data, feature_cols)
         cells = {2 * f + t for f in range(n_folds) for t in (0, 1)}
         self.train = {-1: {c for c in cells if c % 2 == 0}} | {f: {c for c in cells if c // 2 != f} for f in range(n_folds)}
@@ -224,8 +223,12 @@ class SplitFits:
         one = round(float(self.rows[subset].h[0, 0]))
         return round(self.rows[subset].n) - one, one
 
-    def vectors(self, rows: DataFrame, subset: int) -> DataFrame:
-        return self.pre[subset].transform(rows, keep=["ID", self.label])
+    def vectors(self, subset: int, test: bool) -> DataFrame:
+        """Preprocessed rows of one side of a split."""
+        if (subset, test) not in self._vectors:
+            rows = self.test_rows(subset) if test else self.train_rows(subset)
+            self._vectors[subset, test] = self.pre[subset].transform(rows, keep=["ID", self.label])
+        return self._vectors[subset, test]
 
     # ---- models of all subsets -------------------------------------------------------------------
     def majority(self) -> dict:
@@ -237,24 +240,25 @@ class SplitFits:
 
     def logistics(self, weightings: Mapping[str, bool]) -> dict[str, dict]:
         """Logistic models by name and subset; all are fitted together."""
-        rows = self.data.select(self.cell.cast("long").alias("cell"), F.array(*self.terms.columns()).alias("z"), F.col(self.label).cast("int").alias("y"))
+        rows = self.data.select(self.cell.cast("long").alias("cell"), self.terms.array().alias("z"), F.col(self.label).cast("int").alias("y"))
         fits = {(name, s): newton.Fit(cells, _balanced(*self.counts(s)) if balanced else (1.0, 1.0), FM.design(self.terms, self.pre[s], False))
                 for name, balanced in weightings.items() for s, cells in self.train.items()}
         models = newton.fit_many(rows, fits)
-        return {name: {s: models[name, s].transform(self.vectors(self.test_rows(s), s), self.label) for s in self.train} for name in weightings}
+        return {name: {s: models[name, s].transform(self.vectors(s, True), self.label) for s in self.train} for name in weightings}
 
     def trees(self) -> dict:
         """Exact trees on raw values with the subset's fills: scaling does not change a split."""
-        columns = [F.col(c).cast("double") for c in self.numeric]
-        columns += [(F.col(c) == F.lit(lv)).cast("double") for c in self.categorical for lv in self.terms.levels[c]]
-        rows = self.data.select(self.cell.cast("long").alias("cell"), F.array(*columns).alias("x"), F.col(self.label).cast("int").alias("y"))
+        columns = [f"cast({quoted(c)} as double)" for c in self.numeric]
+        columns += [f"cast({quoted(c)} = {text(lv)} as double)" for c in self.categorical for lv in self.terms.levels[c]]
+        raw = F.expr(f"array({', '.join(columns)})")
+        rows = self.data.select(self.cell.cast("long").alias("cell"), raw.alias("x"), F.col(self.label).cast("int").alias("y"))
 
         def fill(s: int) -> np.ndarray:
             pre = self.pre[s]
             return np.array([pre.medians[c] if pre.medians[c] is not None else 0.0 for c in self.numeric]
                             + [float(pre.modes[c] == lv) for c in self.categorical for lv in self.terms.levels[c]])
         found = cart.grow(rows, {s: cart.Tree(cells, _balanced(*self.counts(s)), fill(s)) for s, cells in self.train.items()})
-        return {s: found[s].transform(self.test_rows(s), self.label, columns) for s in self.train}
+        return {s: found[s].transform(self.test_rows(s), self.label, raw) for s in self.train}
 
 
 _BUILT_IN = {name: name for name in CLASSIFIER_NAMES}
@@ -286,7 +290,7 @@ def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Seque
             predict = predict_knn if m == "knn_k15" else as_classifier(m)
             found[name] = {}
             for s in fits.train:
-                train, test = fits.vectors(fits.train_rows(s), s), fits.vectors(fits.test_rows(s), s)
+                train, test = fits.vectors(s, False), fits.vectors(s, True)
                 found[name][s] = predict(train, test, label=label) if m == "knn_k15" else predict(train, test, label)
     out = None
     for name, by_subset in found.items():

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.quantiles import quantiles_by_group
+from marketlens.functions.rowexpr import double, quoted, text
 from marketlens.operators.prep import MAX_LEVELS, ZERO_SCALE, FittedPreprocessor
 
 #: Monomials whose products are summed; more are an error (use fewer columns or levels).
@@ -73,19 +74,19 @@ class Terms:
         self.product[a, b] = self.product[b, a] = len(self.monomials)
         self.monomials.append((a, b))
 
-    def columns(self) -> list[Column]:
-        """The base terms without the 1, as double columns."""
+    def array(self) -> Column:
+        """The base terms without the 1, as an array of doubles."""
         out = []
         for kind, c, level in self.base[1:]:
             if kind == "v":
-                x = F.col(c).cast("double")
-                x = F.log1p(x) if c in self.log_numeric else x
-                out.append(F.coalesce((x - F.lit(self.centre[c])) / F.lit(self.spread[c]), F.lit(0.0)))
+                x = f"cast({quoted(c)} as double)"
+                x = f"log1p({x})" if c in self.log_numeric else x
+                out.append(f"coalesce(({x} - {double(self.centre[c])}) / {double(self.spread[c])}, 0D)")
             elif kind == "m":
-                out.append(F.col(c).isNull().cast("double"))
+                out.append(f"cast({quoted(c)} is null as double)")
             else:
-                out.append(F.coalesce((F.col(c) == F.lit(level)).cast("double"), F.lit(0.0)))
-        return out
+                out.append(f"coalesce(cast({quoted(c)} = {text(level)} as double), 0D)")
+        return F.expr(f"array({', '.join(out)})")
 
 
 def table_terms(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), log_numeric: Sequence[str] = (),
@@ -163,7 +164,7 @@ def cell_moments(df: DataFrame, terms: Terms, targets: Sequence[str], cell: Colu
     """Sums of products for every cell, in one scan."""
     left, right = (np.array([m[i] for m in terms.monomials]) for i in (0, 1))
     m, q = len(left), len(targets)
-    rows = df.select(cell.cast("long").alias("cell"), F.array(*terms.columns()).alias("z"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"))
+    rows = df.select(cell.cast("long").alias("cell"), terms.array().alias("z"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"))
     told = rows.mapInPandas(_moment_fn(left, right, q), "cell long, s array<double>")
     out = {}
     upper = np.triu_indices(m)

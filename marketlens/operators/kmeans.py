@@ -24,6 +24,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rowexpr import double
 from marketlens.session import materialize
 
 TOLERANCE = 1e-4
@@ -45,7 +46,7 @@ class CentroidModel:
     def transform(self, df: DataFrame, output: str = "Cluster") -> DataFrame:
         """Number of the nearest centre, as one projection with the centres as literals."""
         x = F.col(self.features) if df.schema[self.features].dataType.typeName() == "array" else vector_to_array(self.features)
-        far = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        far = [F.aggregate(F.zip_with(x, F.expr(f"array({', '.join(map(double, c))})"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
                for c in self.centres]
         d = F.array(*far)
         return df.withColumn(output, (F.array_position(d, F.array_min(d)) - 1).cast("int"))

@@ -19,6 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.rowexpr import double
+
 #: Largest component of the gradient of the mean loss at which a fit ends.
 TOLERANCE = 1e-11
 MAX_STEPS = 50
@@ -33,7 +35,7 @@ class LogisticModel:
 
     def score(self, features: Column) -> Column:
         """Probability of class 1 of an ``array<double>`` column."""
-        weights = F.array(*[F.lit(float(w)) for w in self.coefficients])
+        weights = F.expr(f"array({', '.join(double(w) for w in self.coefficients)})")
         eta = F.aggregate(F.zip_with(features, weights, lambda x, w: x * w), F.lit(float(self.intercept)), lambda s, v: s + v)
         return 1.0 / (1.0 + F.exp(-eta))
 

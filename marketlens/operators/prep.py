@@ -25,7 +25,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.quantiles import exact_quantiles
+from marketlens.functions.quantiles import end_columns, exact_quantiles
+from marketlens.functions.rowexpr import double, quoted, text
 from marketlens.schema import (CATEGORICAL_CANDIDATES, LOG_NUMERIC_CANDIDATES, STANDARD_NUMERIC_CANDIDATES,
                                numeric_and_categorical)
 from marketlens.session import materialize
@@ -48,21 +49,21 @@ class FittedPreprocessor:
     modes: dict[str, str | None] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
 
-    # ---- column expressions -------------------------------------------------
-    def imputed(self, c: str) -> Column:
+    # ---- column expressions (SQL text: one call each, however many constants they hold) ----------------
+    def imputed_sql(self, c: str) -> str:
         med = self.medians.get(c)
-        x = F.col(c).cast("double")
-        return x if med is None else F.coalesce(x, F.lit(float(med)))
+        x = f"cast({quoted(c)} as double)"
+        return x if med is None else f"coalesce({x}, {double(med)})"
 
-    def numeric_expr(self, c: str) -> Column:
-        x = self.imputed(c)
+    def numeric_sql(self, c: str) -> str:
+        x = self.imputed_sql(c)
         if c in self.log_numeric:
-            x = F.log1p(x)
-        return (x - F.lit(self.means[c])) / F.lit(self.scales[c])
+            x = f"log1p({x})"
+        return f"(({x} - {double(self.means[c])}) / {double(self.scales[c])})"
 
-    def category_expr(self, c: str) -> Column:
+    def category_sql(self, c: str) -> str:
         mode = self.modes.get(c)
-        return F.coalesce(F.col(c), F.lit(mode)) if mode is not None else F.col(c)
+        return f"coalesce({quoted(c)}, {text(mode)})" if mode is not None else quoted(c)
 
     def output_names(self) -> list[str]:
         names = [*self.log_numeric, *self.numeric]
@@ -70,13 +71,19 @@ class FittedPreprocessor:
             names += [f"{c}_{lv}" for lv in self.levels[c]]
         return names
 
-    def output_exprs(self) -> list[Column]:
-        exprs = [self.numeric_expr(c) for c in [*self.log_numeric, *self.numeric]]
+    def output_sql(self) -> list[str]:
+        exprs = [self.numeric_sql(c) for c in [*self.log_numeric, *self.numeric]]
         for c in self.categorical:
-            filled = self.category_expr(c)
-            exprs += [F.coalesce((filled == F.lit(lv)).cast("double"), F.lit(0.0)) for lv in self.levels[c]]
+            filled = self.category_sql(c)
+            exprs += [f"coalesce(cast({filled} = {text(lv)} as double), 0D)" for lv in self.levels[c]]
         return exprs
 
+    def output_exprs(self) -> list[Column]:
+        return [F.expr(e) for e in self.output_sql()]
+
+    def output_array(self) -> Column:
+        return F.expr(f"array({', '.join(self.output_sql())})")
+
     # ---- application ---------------------------------------------------------
     def transform_columns(self, df: DataFrame, keep: Sequence[str] = ("ID",)) -> DataFrame:
         """Named output columns (numeric blocks, then one dummy per level)."""
@@ -84,12 +91,12 @@ class FittedPreprocessor:
 
     def transform_long(self, df: DataFrame, key: str = "ID") -> DataFrame:
         """The same values as rows (key, feature, value), in one pass; fits tables whose columns depend on the fit."""
-        cells = F.array(*[F.struct(F.lit(n).alias("feature"), e.alias("value")) for e, n in zip(self.output_exprs(), self.output_names())])
-        return df.select(key, F.inline(cells))
+        cells = ", ".join(f"struct({text(n)} as feature, {e} as value)" for e, n in zip(self.output_sql(), self.output_names()))
+        return df.select(key, F.inline(F.expr(f"array({cells})")))
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("ID",), output: str = "features") -> DataFrame:
         """Same values as one dense ``VectorUDT`` column for MLlib."""
-        return df.select(*keep, array_to_vector(F.array(*self.output_exprs())).alias(output))
+        return df.select(*keep, array_to_vector(self.output_array()).alias(output))
 
     @property
     def size(self) -> int:
@@ -116,9 +123,10 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str] = (), categorical:
     for c in nums:
         x = F.col(c).cast("double")
         t = F.log1p(x) if c in log_numeric else x
-        aggs += [F.count(x).alias(f"cnt_{c}"), F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}")]
+        low, high = end_columns(c)
+        aggs += [F.count(x).alias(f"cnt_{c}"), F.avg(t).alias(f"mu_{c}"), F.var_pop(t).alias(f"var_{c}"), low.alias(f"min_{c}"), high.alias(f"max_{c}")]
     row = train.agg(*aggs).first()
-    medians = exact_quantiles(train, nums, stored=True)
+    medians = exact_quantiles(train, nums, stored=True, ends={c: (row[f"min_{c}"], row[f"max_{c}"]) for c in nums})
     levels = _level_counts(train, categorical, max_levels)
     fitted = FittedPreprocessor(log_numeric, numeric, categorical)
     n = row["_n"]

@@ -51,9 +51,7 @@ class StageModel:
 
     def _design(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Preprocessed features as one array column (degree-2 terms are formed in the tasks)."""
-        x = self.pre.transform_columns(df, keep=list(keep))
-        f = F.array(*[F.col(c) for c in self.pre.output_names()])
-        return x.select(*keep, f.alias("f"))
+        return df.select(*keep, self.pre.output_array().alias("f"))
 
     def predict_raw(self, df: DataFrame, keep: Sequence[str] = ("ID",)) -> DataFrame:
         return self.linear.predict(self._design(df, keep), "f", keep)

@@ -69,10 +69,10 @@ def test_quantile_passes_send_counts_only(spark):
     stored = materialize(df.select(F.lit(0).cast("long").alias("_cell"), "x", "y"))
     got, jobs = jobs_of(spark, lambda: Q.exact_quantiles(stored, ["x", "y"], (0.1, 0.5), stored=True))
     assert got["x"] == [pytest.approx(1.37 * 19_999.9), pytest.approx(1.37 * 99_999.5)] and jobs <= 12
-    told = stored.mapInPandas(Q._task_fn(["x", "y"], {0: [(0, 1 << 62)]}, set(), Q.BINS), Q._SCHEMA)
+    told = stored.mapInArrow(Q._task_fn(["x", "y"], {0: [(0, 1 << 62)]}, set(), Q.BINS), Q._SCHEMA)
     assert told.count() <= Q.BINS * stored.rdd.getNumPartitions()
-    plan = Q.exact_quantiles.__module__ and told.groupBy("c").count()._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Exchange") < plan.index("MapInPandas")  # nothing is exchanged below the counting
+    plan = told.groupBy("c").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # nothing is exchanged below the counting
     assert Q.exact_quantiles(df.limit(0), ["x"]) == {"x": [None]}
 
 
@@ -157,13 +157,13 @@ def responses(spark):
 
 def test_newton_gradient_vanishes_for_all_fits(spark, responses):
     fits = C.SplitFits(responses, CLASSIFICATION_FEATURES, 5, C.LABEL)
-    rows = materialize(responses.select(fits.cell.cast("long").alias("cell"), F.array(*fits.terms.columns()).alias("z"), F.col(C.LABEL).cast("int").alias("y")))
+    rows = materialize(responses.select(fits.cell.cast("long").alias("cell"), fits.terms.array().alias("z"), F.col(C.LABEL).cast("int").alias("y")))
     wanted = {(b, s): newton.Fit(cells, C._balanced(*fits.counts(s)) if b else (1.0, 1.0), FM.design(fits.terms, fits.pre[s], False))
               for b in (False, True) for s, cells in fits.train.items()}
     models, jobs = jobs_of(spark, lambda: newton.fit_many(rows, wanted))
     assert len(models) == 12 and jobs <= 24 and max(m.steps for m in models.values()) <= 10  # at most two jobs a pass
     for (balanced, s), m in models.items():
-        train = fits.vectors(fits.train_rows(s), s).select(vector_to_array("features").alias("x"), C.LABEL).collect()
+        train = fits.vectors(s, False).select(vector_to_array("features").alias("x"), C.LABEL).collect()
         x, y = np.array([r["x"] for r in train]), np.array([r[C.LABEL] for r in train], dtype=float)
         w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) if balanced else np.ones(len(y))
         p = 1 / (1 + np.exp(-(x @ m.coefficients + m.intercept)))
@@ -241,6 +241,17 @@ def test_trees_equal_brute_force(spark):
     assert nested(one) == 1.0 and nested(cart.grow(rows.limit(0), {0: cart.Tree({0}, (1.0, 1.0), np.zeros(5))})[0]) == 0.0
 
 
+def test_trees_beyond_the_window_bound(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, cell = rng.normal(size=(300, 2)).round(2), rng.integers(0, 2, 300)
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    rows = spark.createDataFrame([(int(cell[i]), x[i].tolist(), int(y[i])) for i in range(300)], "cell long, x array<double>, y int").cache()
+    grow = lambda: nested(cart.grow(rows, {0: cart.Tree({0, 1}, (1.0, 2.0), np.zeros(2))}, min_leaf=5)[0])
+    want = grow()
+    monkeypatch.setattr(cart, "WINDOW_VALUES", 10)
+    assert same_tree(grow(), want) and isinstance(want, tuple)
+
+
 def test_prediction_table_equals_single_fits(spark, responses):
     table = C.prediction_table(responses, CLASSIFICATION_FEATURES, ["logistic_regression_balanced", "decision_tree_balanced", "dummy_most_frequent"]).cache()
     for fold in (-1, 2):
