@@ -13,6 +13,11 @@ edges become costs of their neighbours, so the flow runs on the few that are lef
 What is never content has no block: scripts, styles, templates, form controls, the title, comments.  A head has no text besides;
 its end tag may be missing, and what cannot be in a head is in the body.
 
+Elements around a block weigh by their tag and by the names in class, id and role.  Names often describe a page's layout ("right-sidebar", "main-nav-wrap")
+or its subjects ("category-reviews"), so a name is judged with its element's role.  The *region* of a page is its ``main``, or else its ``article`` with most text, or else the
+page.  What holds the region, or half of its text (comments and the like not counted), is a wrapper: names of layout count for little there, and so does a form.  Names of
+reader comments, related items, adverts and consent count everywhere, names of subjects and of what else a page has nowhere.
+
 Edge cases: null or empty html gives an empty text; unclosed or stray tags are repaired as browsers do in the main; a page
 without blocks or without content gives an empty text; on equal cost a block is boilerplate; rows that repeat are extracted
 each; extra columns are not carried; an empty table gives no rows.
@@ -37,6 +42,8 @@ _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?
 _PLAIN = re.compile(r"[^<>\"']*")
 _TO_END = re.compile(r"[^<>]*>")
 _END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _HIDDEN}
+#: Without an end tag these take the rest of the page, as in browsers; of the others only the tag itself goes.
+_RAW = frozenset("script style textarea title iframe".split())
 #: Attributes, their values with them, so that what a value holds is not read as an attribute.
 _ATTR = re.compile(r"([^\s/\"'=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _READ = frozenset(("class", "id", "role", "aria-label", "hidden", "style"))
@@ -59,29 +66,48 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 ELEMENT_WEIGHTS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -4.0, "menu": -7.0,
                    "dialog": -9.0, "fieldset": -6.0, "address": -1.0, "blockquote": 0.5, "figcaption": -0.5, "p": 1.0, "pre": 1.0,
                    "h1": 1.5, "h2": 1.0, "h3": 0.5, "li": -0.5, "a": -0.5}
-#: The same for words in class, id and role.
+#: The same for words in class, id and role: what names a layout, what names something that is never the article, and what names content.
+LAYOUT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:banner|notices?|alerts?|subscri\w*|sidebar|side|menus?|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|"
+    r"widgets?|overlay|login|signup|search\w*|pagination|pager|tags?|legal|disclaimer|skip|complementary|contentinfo|navigation|promo\w*)(?=$|[\s_-])", re.I)
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|sidebar|side|"
-    r"menus?|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|"
-    r"related|recommend\w*|widgets?|popup|modal|overlay|login|signup|search\w*|copyright|pagination|pager|tags?|legal|disclaimer|skip|"
-    r"complementary|contentinfo|navigation|dialog|reviews?|discussion|user-content)(?=$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|cookie\w*|consent|gdpr|newsletter|comments?|commentlist|disqus|repl(?:y|ies)|respond|"
+    r"related|recommend\w*|popup|modal|copyright|dialog|reviews?|discussion|user-content)(?=$|[\s_-])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|post|entry|story|main|body|text|prose)(?=$|[\s_-])", re.I)
-BAD_WEIGHT, GOOD_WEIGHT = -8.0, 2.0
+BAD_WEIGHT, GOOD_WEIGHT, WRAPPER_WEIGHT = -8.0, 2.0, -0.5
 CLEARLY_BAD = -4.0
-#: Names that only say what else a page has.
-_MENTIONS = re.compile(r"(?:^|\s)(?:has|with|no|without|not)-\S+", re.I)
+#: Names that only say what else a page has, or in what state it is.
+_MENTIONS = re.compile(r"(?:^|(?<=\s))(?:\S*[_-])?(?:has|with|no|without|not)[_-]\S+|(?:^|(?<=\s))\S+[_-](?:open|closed|enabled|disabled|active|inactive)(?=\s|$)", re.I)
+#: Names of a post's subjects, beside names that say it is a post.
+_SUBJECTS = re.compile(r"(?:^|(?<=\s))(?:category|tag|type|status|format|term|author)-\S+", re.I)
+_POST = re.compile(r"(?:^|\s)(?:h?entry|post|article|type-\S+|status-\S+)(?=\s|$)", re.I)
+#: On an article, layout and state names say how it is shown; only a whole name tells what it is.
+_ARTICLE_IS = re.compile(r"(?:^|\s)(?:comment|reply|review|teaser|related|promo|ad|advert\w*|sponsored|widget|comment-\S+|related-\S+|ad-\S+)(?=\s|$)", re.I)
+#: Share of the region's text that makes an element its wrapper.
+WRAPPER_SHARE = 0.5
+#: Tags that never wrap an article.
+_NEVER_WRAP = frozenset("nav aside footer menu dialog".split())
 
 #: Smoothness of neighbours in page order, across sections, and under one parent.
 NEXT, NEXT_APART, SIBLING = 1.0, 0.25, 0.75
 _SECTIONS = frozenset("article main nav footer aside form header section dialog menu".split())
+_BODIES = frozenset(("tbody", "thead", "tfoot"))
 
 
 class Block:
-    __slots__ = ("pieces", "linked", "length", "weight", "section", "parent")
+    __slots__ = ("pieces", "linked", "length", "weight", "section", "parent", "element")
+
+    def __init__(self, element, section, parent):
+        self.pieces, self.linked, self.length, self.weight = [], 0, 0, 0.0
+        self.element, self.section, self.parent = element, section, parent
+
+
+class Element:
+    __slots__ = ("tag", "parent", "weight", "name", "hidden", "text", "region")
 
-    def __init__(self, weight, section, parent):
-        self.pieces, self.linked, self.length = [], 0, 0
-        self.weight, self.section, self.parent = weight, section, parent
+    def __init__(self, tag, parent, weight=0.0, name="", hidden=False):
+        self.tag, self.parent, self.weight, self.name, self.hidden = tag, parent, weight, name, hidden
+        self.text, self.region = 0, False
 
 
 def _names(attrs: str) -> tuple[str, bool]:
@@ -121,7 +147,7 @@ def _tag_end(page: str, at: int, failed: set[int]) -> int:
 
 def _tokens(page: str):
     """``start, end, cdata, tag, closes, hides, attrs`` of all that is not text; a hidden element is one token."""
-    at, failed = 0, set()
+    at, failed, endless = 0, set(), set()
     while m := _MARK.search(page, at):
         start, at, tag, attrs = m.start(), m.end(), (m["tag"] or "").lower(), None
         if not tag:
@@ -142,8 +168,12 @@ def _tokens(page: str):
         at = end
         hides = tag in _HIDDEN and not m["close"]
         if hides and not (tag in ("svg", "math") and attrs and _closes_itself(attrs)):
-            last = _END_OF[tag].search(page, at)
-            at = last and page.find(">", last.end()) + 1 or len(page)
+            last = None if tag in endless else _END_OF[tag].search(page, at)
+            if last:
+                at = page.find(">", last.end()) + 1 or len(page)
+            else:
+                endless.add(tag)  # no end further on either
+                at = len(page) if tag in _RAW else at
         yield start, at, None, tag, bool(m["close"]), hides, attrs
 
 
@@ -162,13 +192,66 @@ def _around(weight: float, more: float) -> float:
     return weight + (min(more, 0.0) if weight <= CLEARLY_BAD else more)
 
 
+def _judged(tag: str, names: str) -> str:
+    """``bad``, ``layout``, ``good`` or nothing, for the names of an element."""
+    names = _MENTIONS.sub(" ", names)
+    if tag in ("article", "main"):
+        return "bad" if _ARTICLE_IS.search(names) else "good"
+    if _POST.search(names):
+        names = _SUBJECTS.sub(" ", names)
+    if BAD_NAMES.search(names):
+        return "bad"
+    if LAYOUT_NAMES.search(names):
+        return "layout"
+    return "good" if GOOD_NAMES.search(names) else ""
+
+
+def _weigh(elements: list[Element]) -> list[float]:
+    """Weight of all that is around the text of each element (parents come before children)."""
+    apart = [False] * len(elements)  # text that is no part of what wrappers hold
+    for i, e in enumerate(elements[1:], 1):
+        e.hidden = e.hidden or elements[e.parent].hidden
+        apart[i] = apart[e.parent] or e.hidden or e.name == "bad" or e.tag in _NEVER_WRAP
+        e.text = 0 if apart[i] else e.text
+    for e in reversed(elements[1:]):
+        elements[e.parent].text += e.text
+    whole = [e for e in elements if e.tag == "main" and e.text] or [e for e in elements if e.tag == "article" and e.name != "bad" and e.text] or elements[:1]
+    region = max(whole, key=lambda e: e.text)
+    holds = region
+    while True:
+        holds.region = True
+        if holds.parent < 0:
+            break
+        holds = elements[holds.parent]
+    inside, weights = [False] * len(elements), [0.0] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = e is region or e.parent >= 0 and inside[e.parent]
+        if not i:
+            continue
+        wrapper = e.tag not in _NEVER_WRAP and (e.region or inside[i] and e.text >= WRAPPER_SHARE * region.text > 0)
+        weight = weights[e.parent]
+        if not (wrapper and e.tag == "form"):
+            weight = _around(weight, e.weight)
+        if e.hidden and not elements[e.parent].hidden or e.name == "bad":
+            weight = _around(weight, BAD_WEIGHT)
+        elif e.name == "layout":
+            weight = weight + WRAPPER_WEIGHT if wrapper else _around(weight, BAD_WEIGHT)
+        elif e.name == "good" and e.tag not in ("article", "main"):
+            weight = _around(weight, GOOD_WEIGHT)
+        weights[i] = weight
+    return weights
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     blocks: list[Block] = []
-    # an open element: tag, weight of all around, section number, number of the element that holds blocks, inside a link
-    stack = [("", 0.0, 0, 0, False)]
-    opened: dict[str, int] = {}
-    numbers = 0
+    elements = [Element("", -1)]
+    # an open element: tag, its number, section number, number of the element that holds blocks, inside a link
+    stack = [("", 0, 0, 0, False)]
+    # where in the stack each tag is open, and elements that are not inline (those of tables' bodies apart)
+    opened: dict[str, list[int]] = {}
+    holders: list[int] = [0]
+    bodies: list[int] = []
     current: Block | None = None
 
     def text(raw: str) -> None:
@@ -180,22 +263,27 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not raw.strip():
                 return
-            current = Block(*stack[-1][1:4])
+            current = Block(stack[-1][1], stack[-1][2], stack[-1][3])
             blocks.append(current)
         current.pieces.append(raw)
         n = len(raw)
         current.length += n
+        elements[stack[-1][1]].text += len(raw.strip())
         if stack[-1][4]:
             current.linked += n
 
     def close_to(at: int) -> None:
         nonlocal current
-        for e in stack[at:]:
-            opened[e[0]] -= 1
+        for e in reversed(stack[at:]):
+            opened[e[0]].pop()
             if e[0] not in INLINE:
                 current = None
+                (bodies if e[0] in _BODIES else holders).pop()
         del stack[at:]
 
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     at = 0
     for start, end, cdata, tag, closes, hides, attrs in _tokens(page):
         text(page[at:start])
@@ -213,13 +301,8 @@ def blocks_of(page: str) -> list[Block]:
             if not opened.get(tag):
                 if tag not in INLINE:
                     current = None
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an end tag in a line does not end blocks
+            elif tag not in INLINE or opened[tag][-1] > max(holders[-1], bodies[-1] if bodies else 0):
+                close_to(opened[tag][-1])  # an end tag in a line does not end blocks
             continue
         if tag not in INLINE:
             current = None
@@ -227,27 +310,26 @@ def blocks_of(page: str) -> list[Block]:
             continue
         ends = SELF_ENDING.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
         if ends:
-            scope = SCOPES.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close_to(i)
-                    break
-                if stack[i][0] in scope or stack[i][0] not in INLINE and stack[i][0] not in ("tbody", "thead", "tfoot"):
-                    break
-        _, weight, section, holder, link = stack[-1]
-        numbers += 1
+            ended = last(ends)
+            if ended and ended >= holders[-1] and ended > last(SCOPES.get(tag, ())):
+                close_to(ended)
+        _, parent, section, holder, link = stack[-1]
+        number = len(elements)
+        element = Element(tag, parent)
         if tag != "header" or not (opened.get("article") or opened.get("main")):  # the head of an article belongs to it
-            weight = _around(weight, ELEMENT_WEIGHTS.get(tag, 0.0))
+            element.weight = ELEMENT_WEIGHTS.get(tag, 0.0)
         if attrs and tag not in ("html", "body"):
-            names, hidden = _names(attrs)
-            names = _MENTIONS.sub(" ", names)
-            if hidden or BAD_NAMES.search(names):
-                weight = _around(weight, BAD_WEIGHT)
-            elif names and GOOD_NAMES.search(names):
-                weight = _around(weight, GOOD_WEIGHT)
-        stack.append((tag, weight, numbers if tag in _SECTIONS else section, holder if tag in INLINE else numbers, link or tag == "a"))
-        opened[tag] = opened.get(tag, 0) + 1
+            names, element.hidden = _names(attrs)
+            element.name = _judged(tag, names) if names else ""
+        elements.append(element)
+        if tag not in INLINE:
+            (bodies if tag in _BODIES else holders).append(len(stack))
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, number, number if tag in _SECTIONS else section, holder if tag in INLINE else number, link or tag == "a"))
     text(page[at:])
+    weights = _weigh(elements)
+    for b in blocks:
+        b.weight = weights[b.element]
     return blocks
 
 

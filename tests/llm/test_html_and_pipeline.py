@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,44 @@ def test_html_edge_cases(spark):
         mincut_html.main_text(bad)  # in time
 
 
+PARAGRAPHS = ["First paragraph of the article, long enough to be text of its own.", "Second paragraph goes on with more of the story.", "Third and last one ends."]
+ARTICLE = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+SIDEBAR = "<div class='sidebar'><h3>Latest</h3><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div>"
+COMMENTS = ("<section id='comments'><h2>Comments</h2><article class='comment'><p>Great article, I loved all of it and want more.</p></article><article class=comment><p>Me "
+            "too, this is a long comment by a reader who has much to say, indeed a lot more than the article itself has, with words and sentences. And more. And "
+            "still more.</p></article></section>")
+
+
+@pytest.mark.parametrize("names", ["post type-post status-publish category-news tag-politics", "page right-sidebar", "layout-sidebar-right", "page-with-sidebar",
+                                   "content-sidebar", "hentry category-reviews", "entry search-result", "main-nav-wrap", "single comments-open header-active"])
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_articles_survive_ordinary_names(names, tag):
+    for inner in (ARTICLE, ARTICLE if tag == "article" else f"<article>{ARTICLE}</article>"):
+        for extra in ("", SIDEBAR, COMMENTS, SIDEBAR + COMMENTS):
+            for outer in ("{}", "<main>{}</main>", "<form id='aspnetForm'>{}</form>"):
+                for page in (f"<{tag} class='{names}'>{inner}</{tag}>{extra}", f"<{tag} class='{names}'>{inner}{extra}</{tag}>"):
+                    whole = f"<body><nav><a href=x>Home</a></nav>{outer.format(page)}<footer>© 2020 Site. All rights reserved.</footer></body>"
+                    assert mincut_html.main_text(whole) == " ".join(PARAGRAPHS)
+
+
+def test_names_of_parts_still_count():
+    for part in ("<div class='article-sidebar'>{}</div>", "<aside class=content>{}</aside>", "<div class='post-comments'>{}</div>", "<div class='related-posts'>{}</div>",
+                 "<div id=search-box>{}</div>", "<div class='cookie-bar'>{}</div>", "<form>{}</form>", "<article class='teaser related-article'>{}</article>"):
+        for page in (f"<article>{ARTICLE}</article>" + part, f"<article>{ARTICLE}{part}</article>", f"<main>{part}<div>{ARTICLE}</div></main>"):
+            assert mincut_html.main_text("<body>" + page.format("<p>Here is something else, long enough to look like text.</p>")) == " ".join(PARAGRAPHS)
+
+
+def test_unclosed_controls_and_deep_nesting():
+    for tag in ("button", "select", "object", "canvas", "video", "datalist", "svg"):
+        assert mincut_html.main_text(f"<body><article>{ARTICLE}<{tag}></article>") == " ".join(PARAGRAPHS)
+    assert mincut_html.main_text(f"<body><article>{ARTICLE}<script>x {ARTICLE}") == " ".join(PARAGRAPHS)
+    start = time.process_time()
+    for bad in ("<div>" * 20_000, "<b>" * 20_000 + "<p>x" * 3000, "<button>" * 20_000, "<object>" * 20_000, "<b><div>" * 10_000 + "</b>" * 10_000, "<li><b>" * 10_000,
+                "<table><tr><td>" * 7000, "<div class='" + "a-" * 20_000 + "'>", "<span>" * 20_000 + "</div>" * 20_000):
+        mincut_html.main_text(bad + ARTICLE)
+    assert time.process_time() - start < 15
+
+
 LONG = "This is a sentence of an article that is long enough to be content."
 
 
