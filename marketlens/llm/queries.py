@@ -49,7 +49,27 @@ def op4_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotated_bits.search(index, centre, F.col("id") % 100 == 0, k=10)
 
 
-@query("op5_ngram_jaccard")
+def _components_sql(nodes: str, links: str) -> str:
+    """Table expressions ``reach`` and ``least``: the smallest id that each of ``nodes`` reaches over ``links`` (a, b in both directions)."""
+    return (f"reach AS (SELECT id AS a, id AS b FROM {nodes} UNION SELECT r.a, l.b FROM reach r JOIN {links} l ON l.a = r.b), "
+            "least AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a)")
+
+
+_OP5_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id),
+half AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+links AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+{_components_sql('words', 'links')}
+SELECT w.id AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id FROM words w LEFT JOIN sizes USING (id) JOIN least USING (id)
+"""
+
+
+@query("op5_ngram_jaccard", _OP5_SQL)
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by 4-word shingles and a Jaccard similarity of 0.85."""
     return jaccard_trie.similar_sets(read_table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -61,7 +81,19 @@ def op6_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut_html.extract(read_table(spark, sf_dir, "pages"))
 
 
-@query("op7_itq_dedup")
+_OP7_SQL = f"""
+WITH RECURSIVE vectors AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM vectors WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+           AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.id <> b.id
+                       WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+{_components_sql('vectors', 'links')}
+SELECT v.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = v.id) AS n_links, component AS component_id, v.id = component AS kept
+FROM vectors v JOIN least USING (id)
+"""
+
+
+@query("op7_itq_dedup", _OP7_SQL)
 def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings of one label with a cosine of 0.98."""
     return itq_dedup.linked_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.98)

@@ -141,12 +141,11 @@ def document_features(docs: DataFrame, id_col: str, text_col: str, lexicon: np.n
     return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
-def learned_lexicon(labelled: DataFrame, text_col: str = "text", min_docs: int = 5, min_share: float = 0.6,
-                    most: int = 20_000) -> np.ndarray:
+def learned_lexicon(labelled: DataFrame, text_col: str = "text", min_docs: int = 5, min_share: float = 0.6) -> np.ndarray:
     """Hashes of words and stems that mark toxic texts: of the texts that hold them at least ``min_docs`` are toxic, and at
-    least the share ``min_share``; the ``most`` common of them.
+    least the share ``min_share``.
 
-    Each task counts the texts of each key before the shuffle.
+    Each task counts the texts of each key before the shuffle.  The bound on labelled rows bounds what can be learned; nothing else does.
     """
 
     def run(batches):
@@ -170,7 +169,7 @@ def learned_lexicon(labelled: DataFrame, text_col: str = "text", min_docs: int =
     found = (map_batches(labelled.select(F.col(text_col).cast("string").alias("text"), "label"), run, "key long, toxic long, clean long")
              .groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
              .where((F.col("key") != 0) & (F.col("a") >= min_docs) & (F.col("a") >= min_share * (F.col("a") + F.col("b"))))
-             .orderBy(F.col("a").desc(), "key").limit(most))
+             .select("key"))
     return np.array([r["key"] for r in found.collect()], dtype=np.int64).view(np.uint64)
 
 
