@@ -62,21 +62,30 @@ def order_product_spend(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     )
 
 
+def order_facts(orders: DataFrame) -> DataFrame:
+    """Per order: key, customer and what the customer's columns are made of (no spend)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("odate"), "o_orderpriority")
+    year = F.year("odate")
+    cols = [F.col("o_orderpriority").eqNullSafe(p).cast("bigint").alias(c) for p, c in zip(ORDER_PRIORITIES, CHANNEL_COLUMNS)]
+    cols += [((year == y) & (F.col("o_totalprice") > CAMPAIGN_PRICE)).cast("int").alias(c) for y, c in zip(CAMPAIGN_YEARS, CAMPAIGN_COLUMNS)]
+    return o.select("o_orderkey", "o_custkey", "odate", *cols, ((year == RESPONSE_YEAR) & (F.col("o_orderstatus") == "F")).cast("int").alias("Response"))
+
+
+def order_aggregates(first: str = "odate", last: str = "odate") -> list[Column]:
+    """Aggregates of order rows or of partial results of theirs: smallest, largest and sums only, so partial results merge."""
+    return [F.min(first).alias("first_order"), F.max(last).alias("last_order"), *[F.sum(c).alias(c) for c in [*PRODUCT_COLUMNS, *CHANNEL_COLUMNS]],
+            *[F.max(c).alias(c) for c in [*CAMPAIGN_COLUMNS, "Response"]]]
+
+
 def customer_order_facts(orders: DataFrame, order_spend: DataFrame) -> DataFrame:
     """One aggregate by customer for every order-derived column."""
-    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                      F.col("o_orderdate").cast("date").alias("odate"), "o_orderpriority")
+    o = order_facts(orders)
     joined = o.join(order_spend, o["o_orderkey"] == order_spend["l_orderkey"], "left")
-    year = F.year("odate")
-    aggs = [F.min("odate").alias("first_order"), F.max("odate").alias("last_order")]
-    aggs += [F.sum(c).alias(c) for c in PRODUCT_COLUMNS]
-    aggs += [F.count_if(F.col("o_orderpriority") == p).alias(c)
-             for p, c in zip(ORDER_PRIORITIES, CHANNEL_COLUMNS)]
-    aggs += [F.max(((year == y) & (F.col("o_totalprice") > CAMPAIGN_PRICE)).cast("int")).alias(c)
-             for y, c in zip(CAMPAIGN_YEARS, CAMPAIGN_COLUMNS)]
-    aggs.append(F.max(((year == RESPONSE_YEAR) & (F.col("o_orderstatus") == "F")).cast("int"))
-                .alias("Response"))
-    return joined.groupBy("o_custkey").agg(*aggs)
+    return joined.groupBy("o_custkey").agg(*order_aggregates())
+
+
+def error_counts(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") == "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
 
 
 def build_customer_profile(tables: Tables) -> DataFrame:
@@ -84,14 +93,16 @@ def build_customer_profile(tables: Tables) -> DataFrame:
     spend = order_product_spend(tables.lineitem, tables.part)
     facts = customer_order_facts(tables.orders, spend)
     latest = tables.orders.agg(F.max(F.col("o_orderdate").cast("date")).alias("latest_order"))
-    errors = (tables.events.filter(F.col("event_type") == "error")
-              .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors")))
-
+    errors = error_counts(tables.events)
     cust = tables.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     joined = (cust.join(facts, cust["c_custkey"] == facts["o_custkey"], "left")
               .join(errors, cust["c_custkey"] == errors["user_id"], "left")
               .crossJoin(F.broadcast(latest)))
+    return profile_columns(joined)
+
 
+def profile_columns(joined: DataFrame) -> DataFrame:
+    """The 29 columns from customer rows with their order facts, ``n_errors`` and ``latest_order``."""
     key = F.col("c_custkey")
     no_spend = (key % 211) == 9
     cols = {

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import features as P
 from marketlens.operators import recommend as R
 from marketlens.operators import recommender as M
+from marketlens.operators.saved import load_run
 from marketlens.schema import CUSTOMER_SCHEMA, PRODUCT_COLUMNS, STAGE_FEATURE_SETS
 from marketlens.session import materialize
 
@@ -31,9 +32,10 @@ def fit_recommender(prepared: DataFrame, stage: str = "Existing-customer", model
     return M.RecommendationRun(None, (stage, model), None, {(stage, model): sm}, prior, None, P.mode_category(prepared))  # type: ignore[arg-type]
 
 
-def start_scoring_stream(spark: SparkSession, source_dir: str, run: M.RecommendationRun, sink_dir: str,
+def start_scoring_stream(spark: SparkSession, source_dir: str, run: M.RecommendationRun | str, sink_dir: str,
                          checkpoint_dir: str, available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream; returns the ``StreamingQuery``.  ``run`` is a fitted comparison or the folder where one was saved."""
+    run = load_run(spark, run) if isinstance(run, str) else run
     reader = spark.readStream.schema(CUSTOMER_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

@@ -14,8 +14,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    s = (SparkSession.builder.master("local[4]").appName("marketlens-tests")
-         .config("spark.sql.shuffle.partitions", "8")
+    s = (SparkSession.builder.master("local[8]").appName("marketlens-tests")
+         .config("spark.sql.shuffle.partitions", "4")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
