@@ -1,9 +1,10 @@
 """Vectorised words and word shingles over Arrow batches of texts.
 
 A *byte table* maps each byte to the byte it stands for, 0 for separators.  Words
-are runs of bytes that are not separators, cut at text borders.  A word's hash is
-a polynomial of its (mapped, randomly coded) bytes modulo 2**64, taken from one running sum
-over the buffer, so that its cost does not depend on the number of words.
+are runs of bytes that are not separators, cut at text borders.  A word's hash is the scrambled
+sum of random 64-bit values, one for each place in the word and (mapped) byte there, taken from one running sum
+over the buffer, so that its cost does not depend on the number of words.  Places and bytes have values of their
+own, so no family of words collides by construction (as some do under a polynomial modulo 2**64).
 """
 
 from __future__ import annotations
@@ -16,6 +17,20 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POWERS: dict[int, np.ndarray] = {}
+#: Places of a word whose values are tabled; those of later places are made as needed.
+_PLACES = 64
+_VALUES = mix64(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def _place_values(part: np.ndarray, inside: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Random value of every byte by its place in its word."""
+    at = np.arange(len(part))
+    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    values = _VALUES[np.minimum(place, _PLACES - 1) << 8 | part]
+    far = np.flatnonzero(inside & (place >= _PLACES))
+    if len(far):
+        values[far] = mix64(mix64(place[far].astype(np.uint64)) + _CODE[part[far]])
+    return values
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -90,11 +105,10 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray, stems:
             last[:-1] &= first[1:] | (part[1:] == 0)
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             total = np.zeros(b - a + 1, dtype=np.uint64)
-            np.cumsum(_CODE[part] * _powers(_BASE, b - a), out=total[1:])
-            back = _powers(_BASE_INVERSE, b - a + 1)[s]
-            hashes.append(mix64((total[e] - total[s]) * back))
+            np.cumsum(_place_values(part, inside, first), out=total[1:])
+            hashes.append(mix64(total[e] - total[s]))
             for kept, n in zip(begun, stems, strict=True):
-                kept.append(mix64((total[np.minimum(e, s + n)] - total[s]) * back))
+                kept.append(mix64(total[np.minimum(e, s + n)] - total[s]))
             lengths.append(e - s)
             starts.append(s + a)
     if not hashes:
