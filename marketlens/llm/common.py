@@ -24,16 +24,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder that does not exist yet, below the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove the intermediate tables (and unnamed ledgers) that this application wrote; returns how many.
+
+    Results of the operators read them, so call it when those have been stored or are done with.
+    """
+    folders = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    gone = 0
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder.
 
     Lineage ends there, and a lost executor takes nothing with it.  The files go
-    when the folder of the session is cleared.
+    with ``drop_written``, or when the folder of the session is cleared.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
@@ -41,6 +59,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with at least this number of rows may be broadcast, and at most this number of keys are.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row for each ``key``), whatever a single key holds.
+
+    Rows of keys with the most rows do not move: their part of ``table`` is broadcast.  A key counts as such from ``HOT_ROWS`` rows on, and from the
+    ``HOT_KEYS``-th part of all rows on, so there are never more than ``HOT_KEYS`` of them.  Rows with a null key match nothing and do not move either.
+    """
+    some = rows.where(F.col(key).isNotNull())
+    counts = written(some.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= HOT_ROWS), "key-counts")
+    limit = max(HOT_ROWS, math.ceil((counts.agg(F.sum("__n")).first()[0] or 0) / HOT_KEYS))
+    hot = counts.where(F.col("__n") >= limit).select(key)
+    added = [c for c in table.columns if c != key]
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in added])
+    if counts.isEmpty():
+        return some.join(table, key, "left").unionByName(none)
+    names = F.broadcast(hot)
+    cold = some.join(names, key, "left_anti").join(table, key, "left")
+    warm = some.join(F.broadcast(hot.join(table, key, "left")), key)
+    return cold.unionByName(warm).unionByName(none)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once an application, as ``--py-files`` would."""
     sc = spark.sparkContext

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import map_batches, mix64, passes, ship, text_buffer, written
+from marketlens.llm.common import lookup, map_batches, mix64, passes, ship, text_buffer, written
 from marketlens.llm.components import connected_components
 from marketlens.llm.id_filter import may_hold
 from marketlens.llm.words import shingle_hashes, shingle_sets, white_space_table, word_hashes
@@ -453,10 +453,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # links of a group that was not split end at its component; those of split groups are chained
     linked = connected_components(links)
-    own = (sets.select("id", "row", "sig", "n")
-           .join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left")
-           .withColumn("component", F.coalesce("component", "sig")))
-    first = own.where("component is not null").groupBy("component").agg(F.min("id").alias("first"))
-    return own.join(first, "component", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"),
-        *["row"] * with_row)
+    # the smallest id first of every set, then of every component, and back: a hot set or component moves as one row
+    per_set = written(sets.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"))
+                      .join(linked.select(F.col("node").alias("sig"), "component"), "sig", "left")
+                      .withColumn("component", F.coalesce("component", "sig")), "sets")
+    first = per_set.groupBy("component").agg(F.min("least").alias("first"))
+    known = lookup(per_set.select("sig", "component"), first, "component").select("sig", "first")
+    own = lookup(sets.select("id", "row", "sig", "n"), written(known, "components-of-sets"), "sig")
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"), *["row"] * with_row)
