@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import new_folder, text_or_empty
+from marketlens.llm.common import lookup, new_folder, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -125,9 +125,9 @@ def findings_by_path(versions: DataFrame, ledger: str, rules=BASE_RULES, id_col:
     ``spans`` is an array of ``(start, place, end, kind)``, empty where nothing was found.
     """
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
-    return (versions.select(id_col, F.sha2(text_or_empty(text_col), 256).alias("blob"))
-            .join(_per_blob(versions.sparkSession, ledger, rules), "blob", "left")
-            .select(id_col, "blob", F.coalesce("spans", none).alias("spans")))
+    paths = versions.select(F.col(id_col).alias("__id"), F.sha2(text_or_empty(text_col), 256).alias("blob"))
+    found = lookup(paths, _per_blob(versions.sparkSession, ledger, rules), "blob")
+    return found.select(F.col("__id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: str | None = None, rules=BASE_RULES, id_col: str = "doc_id",
@@ -164,5 +164,5 @@ def redact(versions: DataFrame, ledger: str | None = None, rules=BASE_RULES, tex
     update_ledger(versions, ledger, rules, text_col)
     found = _per_blob(versions.sparkSession, ledger, rules).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
     text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans"), mark))
-    return (versions.withColumn("__blob", F.sha2(text_or_empty(text_col), 256)).join(found, "__blob", "left")
-            .withColumn(text_col, text).select(versions.columns))
+    named = versions.withColumn("__blob", F.sha2(text_or_empty(text_col), 256))
+    return lookup(named, found, "__blob").withColumn(text_col, text).select(versions.columns)
