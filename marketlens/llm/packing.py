@@ -8,7 +8,8 @@ budget one after the other: a batch holds ``budget // bucket_len`` sequences.
 The histogram has at most ``max_len`` rows, whatever the corpus has, so the program
 runs on the driver.  Places inside a bucket are counted without bringing a bucket
 together: sequences are dealt by hash into cells of a bounded mean size, ranked inside
-their cell, and shifted by the number of sequences in the cells before.
+their cell, and shifted by the number of sequences in the cells before (by groups of cells, then in the group).  The hash takes a number of the row, so
+that rows with null or equal ids are dealt like any others.
 
 A text longer than ``max_len`` becomes several sequences, none dropped.
 
@@ -85,7 +86,8 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     last = F.greatest(F.ceil(n / max_len) - 1, F.lit(0)).cast("long")
     chunks = (lengths.select(F.col(id_col), n.alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
               .select(id_col, "chunk", (F.col("chunk") * max_len).alias("start"),
-                      F.least(F.col("whole") - F.col("chunk") * max_len, F.lit(max_len)).cast("long").alias("n_tokens")))
+                      F.least(F.col("whole") - F.col("chunk") * max_len, F.lit(max_len)).cast("long").alias("n_tokens"),
+                      F.monotonically_increasing_id().alias("__row")))  # written, so it stays as it is
     chunks = written(chunks, "chunks")
     histogram = chunks.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("c")).orderBy("n_tokens").collect()
     ends = best_boundaries(np.array([r[0] for r in histogram]), np.array([r[1] for r in histogram]), n_buckets)
@@ -99,11 +101,13 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
     place = F.size(F.filter(upper, lambda e: e < F.col("n_tokens")))
     placed = chunks.where("n_tokens > 0").withColumn("bucket", place.cast("int"))
     n_cells = parts_for(sum(r[1] for r in histogram), cell_rows)
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64(id_col, "chunk"), F.lit(n_cells)))
-    sizes = placed.groupBy("bucket", "cell").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("bucket", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(id_col, "chunk", "n_tokens"))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64(id_col, "chunk", "__row"), F.lit(n_cells)))
+    sizes = written(placed.groupBy("bucket", "cell").agg(F.count("*").alias("size")).withColumn("part", F.floor(F.col("cell") / cell_rows)), "cells")
+    ahead = lambda *by: F.coalesce(F.sum("size").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("bucket", "part").agg(F.sum("size").alias("size")).select("bucket", "part", ahead("bucket", "part").alias("before"))
+    offsets = (sizes.select("bucket", "part", "cell", ahead("bucket", "part", "cell").alias("inside")).join(parts, ["bucket", "part"])
+               .select("bucket", "cell", (F.col("before") + F.col("inside")).alias("offset")))
+    rank = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy(id_col, "chunk", "n_tokens", "__row"))
     at = F.col("offset") + F.col("rank") - 1
     length = F.element_at(upper, F.col("bucket") + 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / length))
