@@ -27,20 +27,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from marketlens.llm.common import map_batches, passes
 
-#: Distinct cuts whose ids a task remembers; when full the memory starts empty again (results do not change).
+#: Distinct cuts whose ids a task remembers; those used last stay when it is full (results do not change).
 CACHE_CUTS = 500_000
-#: Tested pairs of tokens a task remembers, likewise.
+#: Tested pairs of tokens a task remembers; when full the memory starts empty again.
 CACHE_PAIRS = 1_000_000
 #: Last bytes by which candidate tokens are found.
 END_BYTES = 3
@@ -218,20 +218,23 @@ class PrefixBpe:
 
 
 class TextCodec:
-    """Texts to ids and back with a bounded memory of cuts."""
+    """Texts to ids and back with a bounded memory of cuts: two generations, so that cuts in use stay when the younger one is full."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache_cuts: int = CACHE_CUTS):
-        self.bpe, self.cut = PrefixBpe(load_ranks(ranks_path)), regex.compile(pattern)
-        self.cache_cuts, self.memory = cache_cuts, {}
+    def __init__(self, ranks: str | dict[bytes, int], pattern: str, cache_cuts: int = CACHE_CUTS):
+        self.bpe, self.cut = PrefixBpe(load_ranks(ranks) if isinstance(ranks, str) else ranks), regex.compile(pattern)
+        self.cache_cuts, self.memory, self.older = cache_cuts, {}, {}
 
     def entries(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text, its cuts' entries: the ids as text, their number, and the bytes made from the ids."""
         cuts = [self.cut.findall(t) for t in texts]
         needed = set().union(*cuts)
         new = needed.difference(self.memory)
-        if len(self.memory) + len(new) > self.cache_cuts:
-            self.memory.clear()
-            new = needed
+        if len(self.memory) + len(new) > self.cache_cuts // 2:
+            self.older, self.memory, new = self.memory, {}, needed
+        if self.older:
+            again = new.intersection(self.older)
+            self.memory.update((p, self.older[p]) for p in again)
+            new = new.difference(again)
         ordered = sorted(p.encode("utf-8") for p in new)
         for data, ids in zip(ordered, self.bpe.encode_sorted(ordered), strict=True):
             self.memory[data.decode("utf-8")] = (" ".join(map(str, ids)), len(ids), self.bpe.decode(ids))
@@ -245,12 +248,17 @@ class TextCodec:
 _CODECS: dict[tuple, TextCodec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> TextCodec:
-    """One codec for each worker process."""
-    key = (ranks_path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = TextCodec(ranks_path, pattern)
-    return _CODECS[key]
+def shared_codec(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[], TextCodec]:
+    """Reads the rank table on the driver and broadcasts it; tasks get one codec for each worker process."""
+    ranks = load_ranks(ranks_path)
+    name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern
+    sent = spark.sparkContext.broadcast(ranks)
+
+    def codec() -> TextCodec:
+        if name not in _CODECS:
+            _CODECS[name] = TextCodec(sent.value, pattern)
+        return _CODECS[name]
+    return codec
 
 
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -267,8 +275,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     if with_digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
+    codec = shared_codec(docs.sparkSession, ranks_path, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codec(ranks_path, pattern)
+        code = codec()
         for batch in batches:
             n_tokens, ids, ids_sha, decoded_sha = [], [], [], []
             offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())])
@@ -298,8 +308,10 @@ def decode_texts(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
 
+    codec = shared_codec(encoded.sparkSession, ranks_path, pattern)
+
     def run(batches):
-        bpe = codec(ranks_path, pattern).bpe
+        bpe = codec().bpe
         for batch in batches:
             texts = [bpe.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
