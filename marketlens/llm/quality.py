@@ -95,6 +95,15 @@ def surface_features(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         word_mean(again), distinct / np.sqrt(per_word), np.where(some, 1 - letters, 0)])
 
 
+def _site(name: Column) -> Column:
+    """Key of a host or path: a null one is a group of its own, apart from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
+
+
+def _site_name(key: str) -> Column:
+    return F.when(F.col(key) != "", F.substring(key, 2, (1 << 31) - 1))
+
+
 def document_features(docs: DataFrame, text_col: str, host: Column, path: Column, carry: list[str]) -> DataFrame:
     """The columns in ``carry`` with ``__host``, ``__path`` and ``__f`` (array of ``FEATURES``)."""
     schema = T.StructType([docs.schema[c] for c in carry] + [
@@ -109,8 +118,7 @@ def document_features(docs: DataFrame, text_col: str, host: Column, path: Column
             f = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], f], names=schema.names)
 
-    narrow = docs.select(*carry, F.coalesce(host.cast("string"), F.lit("")).alias("__host"),
-                         F.coalesce(path.cast("string"), F.lit("")).alias("__path"), F.col(text_col).cast("string").alias("__text"))
+    narrow = docs.select(*carry, _site(host).alias("__host"), _site(path).alias("__path"), F.col(text_col).cast("string").alias("__text"))
     return map_batches(narrow, run, schema)
 
 
@@ -221,8 +229,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     where = (F.col("source") if host is None else host, F.col("lang") if path is None else path)
     features = written(document_features(docs, text_col, *where, [id_col]), "quality-features")
     model = fit_quality(features, labels, id_col, label_col, max_fit_rows)
-    return model.apply(features, threshold).withColumnsRenamed({"__host": "host", "__path": "path"}).select(
-        id_col, "host", "path", "p_document", "host_mean", "path_mean", "posterior", "keep")
+    return model.apply(features, threshold).select(
+        id_col, _site_name("__host").alias("host"), _site_name("__path").alias("path"), "p_document", "host_mean", "path_mean", "posterior", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
