@@ -471,13 +471,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = parts_for(total, BUCKET_BYTES)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.coalesce(bucket_column(id_col, n), F.lit(0)).alias("bucket"), F.col(id_col).cast("long").alias("id"), text.alias("text"),
+    every = docs.select(F.coalesce(bucket_column(id_col, n), F.lit(0)).alias("bucket"), F.col(id_col).cast("long").alias("id"), text.alias("text"),
                        F.xxhash64(text).alias("hash"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    entries = map_batches(held.where("id is not null").select("id", "text"), lambda batches: _entries(batches, least, n), _schema(_RUNS))
+    held = every.where("id is not null")
+    entries = map_batches(held.select("id", "text"), lambda batches: _entries(batches, least, n), _schema(_RUNS))
     verdicts = entries.groupBy("bucket").applyInArrow(lambda t: _judge(t, n), _schema(_VERDICTS))
     texts = held.groupBy("bucket")
     pieces = texts.cogroup(verdicts.groupBy("bucket")).applyInArrow(
-        lambda a, b: _apply_verdicts(a.filter(pa.compute.is_valid(a.column("id"))), b, least, n), _schema(_PIECES))
+        lambda a, b: _apply_verdicts(a, b, least, n), _schema(_PIECES))
     covers = pieces.groupBy("bucket").applyInArrow(lambda t: _scan_groups(t, least, n), _schema(_COVERS))
     fields = [T.StructField("id", T.LongType()), *[T.StructField(f"carry_{c}", docs.schema[c].dataType) for c in carry],
               T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
@@ -485,7 +486,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
     carried = [f"carry_{c}" for c in carry]
     cut = texts.cogroup(covers.groupBy("bucket")).applyInArrow(lambda a, b: _cut(a, b, carried, names, kinds, with_text), T.StructType(fields))
-    return cut.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[F.col(f"carry_{c}").alias(c) for c in carry],
+    # rows with a null id lose nothing and need no partner
+    zero = F.lit(0).cast("long")
+    whole = every.where("id is null").select("id", *carried, F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+                                             F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_text)
+    return cut.unionByName(whole).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[F.col(f"carry_{c}").alias(c) for c in carry],
                       *names[1 + len(carry):])
 
 
