@@ -2,7 +2,8 @@
 
 A rotation is learned on a bounded sample: principal axes first, then turns that bring the rotated
 data close to the corners of a cube (iterative quantisation), so that the bits are balanced and small angles change few of them.
-Every vector gets a code of at most 64 bits, the signs of its projections.  Codes are cut into pieces of 16 bits, each a hash table.
+Every vector gets a code of at most 64 bits, the signs of its projections.  Codes are cut into pieces, each a hash table: four of 16 bits, three of 21 or two of
+32, whichever makes least work for groups as large as the table's.
 
 *No pair is lost.*  Unit vectors with cosine ``c`` are at most ``sqrt(2 - 2 c)`` apart, and their projections no further, so in some
 piece the squared distance is at most the ``1 / pieces`` part of ``2 - 2 c``.  There, bits differ only where the projections of both
@@ -37,7 +38,7 @@ from marketlens.llm.vectors import by_dimension, matrix, takes_part
 
 #: Most vectors of one length that the rotation is learned on.
 SAMPLE_ROWS = 20_000
-#: Bits of a piece of the code.
+#: Bits of a code are a multiple of this (if there are that many); a piece has at least these bits and at most twice as many.
 PIECE = 16
 _ROUNDS = 40
 #: Sample rows that choose the key length, and rows whose probes are made at a time.
@@ -89,21 +90,28 @@ def probes(piece: np.ndarray, budget: float):
         yield rows, keys
 
 
-def pieces_of(projected: np.ndarray) -> list[np.ndarray]:
-    return [projected[:, a: a + PIECE] for a in range(0, projected.shape[1], PIECE)]
+def pieces_of(projected: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.array_split(projected, n, axis=1)
 
 
-def key_bits(projected: np.ndarray, budget: float, group: float) -> int:
-    """Bits of a piece that make the fewest probes and meetings, for groups of this many entries."""
-    best, cost = 0, 1.0 + group
-    tried = projected[:_TRIED]
-    for w, made in enumerate(zip(*[probes(p, budget) for p in pieces_of(tried)], strict=True)):
-        asked = sum(len(rows) for rows, _ in made) / len(tried) / len(made)
-        if asked * (1 + group / 2 ** w) < cost:
-            best, cost = w, asked * (1 + group / 2 ** w)
-        if asked > cost:
-            break
-    return best
+def key_bits(projected: np.ndarray, far: float, group: float) -> tuple[int, int]:
+    """Number of pieces, and how many of their bits make keys: those with the fewest probes and meetings, for groups of this many entries."""
+    tried, best = projected[:_TRIED], None
+    most = max(1, projected.shape[1] // PIECE)
+    for n in range(most, max(1, -(-projected.shape[1] // (2 * PIECE))) - 1, -1):
+        pieces = pieces_of(tried, n)
+        width = min(p.shape[1] for p in pieces)
+        budget, here = far / n / 2, None
+        for w, made in enumerate(zip(*[probes(p[:, :width], budget) for p in pieces], strict=True)):
+            asked = sum(len(rows) for rows, _ in made) / len(tried)  # in all tables
+            cost = asked * (1 + group / 2 ** w)
+            if here is None or cost < here[0]:
+                here = cost, n, w
+            if asked > here[0]:
+                break
+        if best is None or here[0] < best[0]:
+            best = here
+    return best[1], best[2]
 
 
 def with_codes(entries: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -120,25 +128,25 @@ def with_codes(entries: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS
         mean, axes = learn_rotation(x / np.linalg.norm(x, axis=1)[:, None])
         projected = projections(x, mean, axes)
         size = max(float(np.median(np.abs(projected))), 1e-6)
-        budget = far / len(pieces_of(projected)) / 2
-        fitted[row["d"]] = mean, axes, size, min(int(far / size ** 2 + 1e-6), 1000), budget, key_bits(projected, budget, row["group"])
+        n_pieces, width = key_bits(projected, far, row["group"])
+        fitted[row["d"]] = mean, axes, size, min(int(far / size ** 2 + 1e-6), 1000), far / n_pieces / 2, n_pieces, width
 
     def run(batches):
         for batch in batches:
             for d, rows in by_dimension(batch.column(2)).items():
-                mean, axes, size, most, budget, width = fitted[d]
+                mean, axes, size, most, budget, n_pieces, width = fitted[d]
                 for a in range(0, len(rows), _SLICE):
                     some = batch.take(pa.array(rows[a: a + _SLICE]))
                     n, projected = some.num_rows, projections(matrix(some.column(2)), mean, axes)
                     owners, keys, held = [], [], []
-                    for table, piece in enumerate(pieces_of(projected)):
+                    for table, piece in enumerate(pieces_of(projected, n_pieces)):
                         *_, (owner, key) = probes(piece[:, :width], budget)
                         owners.append(owner)
-                        keys.append(key | table << PIECE)
+                        keys.append(key | table << 32)
                         held.append(keys[-1][:n])  # the first of every row is its own key
                     owner, key = np.concatenate(owners), np.concatenate(keys)
                     turn = np.argsort(owner, kind="stable")
-                    lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int32()))
+                    lists = lambda sizes, flat: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat, pa.int64()))
                     yield pa.RecordBatch.from_arrays(
                         [*some.columns[:2], pa.array(np.full(n, d), pa.int32()), pa.array(packed(projected >= 0)),
                          pa.array(packed(np.abs(projected) >= size)), pa.array(np.full(n, most), pa.int32()),
@@ -146,7 +154,7 @@ def with_codes(entries: DataFrame, cosine: float, sample_rows: int = SAMPLE_ROWS
                         names=["entry", "label", "d", "code", "large", "most", "held", "asked"])
 
     schema = (f"entry long, label {entries.schema['label'].dataType.simpleString()}, d int, code long, large long, most int, "
-              "held array<int>, asked array<int>")
+              "held array<long>, asked array<long>")
     return written(map_batches(entries.select("entry", "label", "vector"), run, schema), "vector-codes")
 
 
