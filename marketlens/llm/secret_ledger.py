@@ -59,10 +59,14 @@ _FINDINGS = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
+def _exists(spark, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _ledger_table(spark, ledger: str, name: str, schema: T.StructType) -> DataFrame:
     """A table of the ledger; empty when the ledger is new."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/{name}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{ledger}/{name}"):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{ledger}/{name}")
 
@@ -95,9 +99,10 @@ def update_ledger(versions: DataFrame, ledger: str, rules=BASE_RULES, text_col:
     seen = (_ledger_table(spark, ledger, "scanned", _SCANNED)
             .groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done")))
     lacking = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
-    # the ledger is consulted before the texts move; equal texts meet after map-side combining
-    unseen = (blobs.join(seen, "blob", "left").select("blob", "text", lacking.alias("rules"))
-              .where(F.size("rules") > 0).groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules")))
+    # the ledger, if there is one, is consulted before the texts move; equal texts meet after map-side combining
+    told = lookup(blobs, seen, "blob") if _exists(spark, f"{ledger}/scanned") else blobs.withColumn("done", F.lit(None).cast("array<string>"))
+    unseen = (told.select("blob", "text", lacking.alias("rules")).where(F.size("rules") > 0)
+              .groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules")))
     found = None
     for rule in rules:
         part = _found(unseen, rule)
