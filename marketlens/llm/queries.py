@@ -42,7 +42,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-@query("op4_rotated_bits")
+_OP4_SQL = """
+WITH vectors AS (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.id AS query_id, v.id AS vec_id,
+                 sqrt(list_reduce([CAST(0 AS DOUBLE)] || list_transform(list_zip(v.e, q.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda s, x: s + x)) AS score
+          FROM (SELECT DISTINCT id, e FROM vectors WHERE id % 100 = 0) q JOIN vectors v ON v.id <> q.id AND len(v.e) = len(q.e))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+
+@query("op4_rotated_bits", _OP4_SQL)
 def op4_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest embeddings of every embedding whose id is divisible by 100."""
     index, centre = rotated_bits.build_index(read_table(spark, sf_dir, "embeddings"))

@@ -101,7 +101,10 @@ def _best(query_ids, queries, ids, vectors, codes, length, correction, mean, k:
         high = np.where(other, base - cross * np.maximum(inner[i] - error, -1), np.inf)
         limit = np.partition(high, k - 1)[k - 1] if len(high) > k else np.inf
         some = np.flatnonzero(other & (low <= limit))
-        distance = np.sqrt(((vectors[some] - queries[i]) ** 2).sum(axis=1))
+        squares = np.zeros(len(some))
+        for gap in (vectors[some] - queries[i]).T:  # added in order of the components, as plain SQL does
+            squares += gap * gap
+        distance = np.sqrt(squares)
         first = np.lexsort((ids[some], distance))[:k]
         out.append((np.full(len(first), i), some[first], distance[first]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
