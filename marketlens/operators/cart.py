@@ -58,11 +58,12 @@ class Tree:
 def _count_fn(trees: list[tuple], open_nodes: list[list[int]]):
     """Counts by (tree, node, feature, value) of the rows in open nodes."""
     def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            if not len(pdf):
+        import pyarrow as pa
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, y, cell, out = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy() == 1, pdf["cell"].to_numpy(), []
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            cell, y, out = batch.column(0).to_numpy(), batch.column(2).to_numpy() == 1, []
             for t, (cells, fill, splits) in enumerate(trees):
                 own = np.isin(cell, cells)
                 xt, yt = x[own], y[own]
@@ -80,9 +81,9 @@ def _count_fn(trees: list[tuple], open_nodes: list[list[int]]):
                         values, at = np.unique(column, return_inverse=True)
                         ones = np.bincount(at, weights=yt[here], minlength=len(values)).astype(np.int64)
                         both = np.bincount(at, minlength=len(values))
-                        out.append(pd.DataFrame({"tree": t, "node": n, "feature": i, "value": values, "c0": both - ones, "c1": ones}))
+                        out.append((np.full(len(values), t, np.int32), np.full(len(values), n), np.full(len(values), i, np.int32), values, both - ones, ones))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["tree", "node", "feature", "value", "c0", "c1"])
     return run
 
 
@@ -128,7 +129,7 @@ def grow(rows: DataFrame, trees: Mapping[Hashable, Tree], max_depth: int = MAX_D
     ``rows`` is read once a level, so it should be stored.
     """
     min_leaf, made = max(1, min_leaf), list(trees.values())
-    rows = rows.select("cell", F.col("y").cast("int").alias("y"), F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x"))
+    rows = rows.select(F.col("cell").cast("long").alias("cell"), F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("x"), F.col("y").cast("int").alias("y"))
     distinct = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n")).agg(F.max("n")).first()[0]
     small = (distinct or 0) <= 0.9 * WINDOW_VALUES - len(made)  # fills add a value for each tree
     by_class = [(r["cell"], r["y"], r["n"]) for r in rows.groupBy("cell", "y").agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -141,7 +142,7 @@ def grow(rows: DataFrame, trees: Mapping[Hashable, Tree], max_depth: int = MAX_D
             break
         specs = [(sorted(t.cells), t.fill, dict(t.splits)) for t in made]
         open_nodes = [[n for u, n in level if u == t] for t in range(len(made))]
-        counted = (rows.mapInPandas(_count_fn(specs, open_nodes), _COUNTS).groupBy("tree", "node", "feature", "value")
+        counted = (rows.mapInArrow(_count_fn(specs, open_nodes), _COUNTS).groupBy("tree", "node", "feature", "value")
                    .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
         deeper = []
         for r in _best_splits(counted, made, level, min_leaf, small):

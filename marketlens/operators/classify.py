@@ -210,7 +210,7 @@ class SplitFits:
         self.terms = FM.table_terms(data, self.numeric, self.categorical, degree2=False)
         sums = FM.cell_moments(data, self.terms, [label], self.cell)
         self.rows = {s: FM.total(sums, cells) for s, cells in self.train.items()}
-        medians = FM.group_medians(data, self.numeric, self.train, self.cell)
+        medians = FM.group_medians(data, self.numeric, self.train, self.cell, ends=self.terms.ends)
         self.pre = {s: FM.fitted_preprocessor(self.terms, self.rows[s], medians[s], self.numeric, self.categorical, []) for s in self.train}
 
     def test_rows(self, subset: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.quantiles import quantiles_by_group
+from marketlens.functions.quantiles import end_columns, quantiles_by_group
 from marketlens.functions.rowexpr import double, quoted, text
 from marketlens.operators.prep import MAX_LEVELS, ZERO_SCALE, FittedPreprocessor
 
@@ -44,6 +44,7 @@ class Terms:
     nulls: set[str]
     levels: dict[str, list]
     degree2: bool = True
+    ends: dict[str, tuple] | None = None  # smallest and largest raw value of the numeric columns
 
     def __post_init__(self):
         # (kind, column, level): "1", value, null indicator, level
@@ -98,7 +99,8 @@ def table_terms(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequenc
     for i, c in enumerate(nums):
         x = F.col(c).cast("double")
         x = F.log1p(x) if c in log_numeric else x
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        low, high = end_columns(c)
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), low.alias(f"l{i}"), high.alias(f"h{i}")]
     aggs += [F.count(c).alias(f"k{i}") for i, c in enumerate(categorical)]
     row = df.agg(*aggs).first()
     centre = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(nums)}
@@ -114,7 +116,8 @@ def table_terms(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequenc
             if len(found) > max_levels:
                 raise ValueError(f"{c} has more than {max_levels} levels")
             found.sort()
-    return Terms(log_numeric, numeric, categorical, centre, spread, nulls, levels, degree2)
+    ends = {c: (row[f"l{i}"], row[f"h{i}"]) for i, c in enumerate(nums)}
+    return Terms(log_numeric, numeric, categorical, centre, spread, nulls, levels, degree2, ends)
 
 
 @dataclass
@@ -281,7 +284,8 @@ def errors(rows: Moments, b: np.ndarray, coef: np.ndarray, intercept: np.ndarray
     return np.maximum(sse, 0.0), np.maximum(rows.yy - rows.h[0] ** 2 / rows.n, 0.0)
 
 
-def group_medians(df: DataFrame, cols: Sequence[str], groups: Mapping[Hashable, Collection[int]], cell: Column, stored: bool = True) -> dict:
+def group_medians(df: DataFrame, cols: Sequence[str], groups: Mapping[Hashable, Collection[int]], cell: Column, stored: bool = True,
+                  ends: Mapping[str, tuple] | None = None) -> dict:
     """Exact median of every column in every group of cells."""
-    found = quantiles_by_group(df, cols, (0.5,), groups, cell, stored)
+    found = quantiles_by_group(df, cols, (0.5,), groups, cell, stored, ends)
     return {g: {c: v[0] for c, v in by_col.items()} for g, by_col in found.items()}

@@ -104,7 +104,8 @@ class FoldFits:
                 self.terms[s] = FM.table_terms(data, n, c, lg, degree2)
         sums = {id(t): FM.cell_moments(data, t, self.product_cols, cell) for t in {id(t): t for t in self.terms.values()}.values()}
         self.sums = {s: sums[id(t)] for s, t in self.terms.items()}
-        self.medians = FM.group_medians(data, log + num, self.train, cell)
+        ends = {c: e for t in self.terms.values() for c, e in t.ends.items()}
+        self.medians = FM.group_medians(data, log + num, self.train, cell, ends=ends)
 
     def preprocessor(self, stage: str, subset) -> prep.FittedPreprocessor:
         num, cat, log = _column_roles(self.sets[stage])
