@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 
 from marketlens.llm.common import map_batches, passes
 
-#: Distinct cuts whose ids a task remembers; those used last stay when it is full (results do not change).
+#: Distinct cuts whose ids a task remembers; when full the memory starts empty again (results do not change).
 CACHE_CUTS = 500_000
-#: Tested pairs of tokens a task remembers; when full the memory starts empty again.
+#: Tested pairs of tokens a task remembers, likewise.
 CACHE_PAIRS = 1_000_000
 #: Last bytes by which candidate tokens are found.
 END_BYTES = 3
@@ -218,23 +218,20 @@ class PrefixBpe:
 
 
 class TextCodec:
-    """Texts to ids and back with a bounded memory of cuts: two generations, so that cuts in use stay when the younger one is full."""
+    """Texts to ids and back with a bounded memory of cuts."""
 
     def __init__(self, ranks: str | dict[bytes, int], pattern: str, cache_cuts: int = CACHE_CUTS):
         self.bpe, self.cut = PrefixBpe(load_ranks(ranks) if isinstance(ranks, str) else ranks), regex.compile(pattern)
-        self.cache_cuts, self.memory, self.older = cache_cuts, {}, {}
+        self.cache_cuts, self.memory = cache_cuts, {}
 
     def entries(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text, its cuts' entries: the ids as text, their number, and the bytes made from the ids."""
         cuts = [self.cut.findall(t) for t in texts]
         needed = set().union(*cuts)
         new = needed.difference(self.memory)
-        if len(self.memory) + len(new) > self.cache_cuts // 2:
-            self.older, self.memory, new = self.memory, {}, needed
-        if self.older:
-            again = new.intersection(self.older)
-            self.memory.update((p, self.older[p]) for p in again)
-            new = new.difference(again)
+        if len(self.memory) + len(new) > self.cache_cuts:
+            self.memory.clear()
+            new = needed
         ordered = sorted(p.encode("utf-8") for p in new)
         for data, ids in zip(ordered, self.bpe.encode_sorted(ordered), strict=True):
             self.memory[data.decode("utf-8")] = (" ".join(map(str, ids)), len(ids), self.bpe.decode(ids))
