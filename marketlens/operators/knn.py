@@ -2,11 +2,13 @@
 
 Distances between all rows and all training rows grow with the product of both, and in some 38 dimensions no index
 prunes them.  The classifier is therefore fitted on a bounded number of labelled rows: ``max_train_rows`` of them, those that
-come first in the order of a hash of their key (all of them if there are fewer).  That matrix is the model; it
+come first in the order of a hash of their key (all of them if there are fewer).  Counts by hash say where that order is cut, so the
+driver gets those rows only, whatever the number of tasks.  That matrix is the model; it
 is broadcast, its size known beforehand, and every Arrow batch of other rows is compared with it in slices.  No row is
 shuffled, copied or joined.
 
-Slices of a matrix product choose the neighbours; distances are then taken again from the differences, so that ties are exact
+Slices of a matrix product choose the neighbours: the training rows fall into groups, and no neighbour is farther than the ``k``-th smallest of
+the groups' smallest distances.  Distances of the rows within that are then taken again from the differences, so that ties are exact
 and go to the smaller training key.  Within the rows that fit, the result equals brute force.
 """
 
@@ -14,22 +16,52 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.operators.split import key_hash, key_hash_sql
+from marketlens.operators.split import BUCKET_SHIFT, key_hash, key_hash_sql
 
 #: Labelled rows the classifier is fitted on at most.
 MAX_TRAIN_ROWS = 20_000
 #: Seed of the hash order that picks them.
 PICK_SEED = 7
-#: Distances in memory at once in a task.
-_CELLS = 4_000_000
+#: Distances in memory at once in a task; few, so that they stay in the processor's cache.
+_CELLS = 1_000_000
+
+
+def _before(c: str, value) -> Column:
+    """Whether a column comes before ``value`` in ascending order (nulls first)."""
+    return F.lit(False) if value is None else F.col(c).isNull() | (F.col(c) < F.lit(value))
 
 
 def fitted_rows(train: DataFrame, key: str = "ID", max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """At most ``max_train_rows`` training rows, in hash order of the key."""
-    return train.orderBy(key_hash(key, PICK_SEED), key).limit(max_train_rows)
+    """At most ``max_train_rows`` training rows, those that come first in hash order of the key.
+
+    A sorted limit would send that many rows of every task to the driver.  Instead, counts by hash bucket tell the bucket of the last
+    row wanted, and counts by key in that bucket tell its key: each one row.
+    """
+    if max_train_rows <= 0:
+        return train.limit(max_train_rows)
+    place = train.select(key_hash(key, PICK_SEED).alias("_h"), F.col(key).alias("_key")).withColumn("_b", F.shiftright("_h", BUCKET_SHIFT))
+
+    def crossing(rows: DataFrame, by: list[str], want: int):
+        """Group of ``rows`` in which the row at place ``want`` lies, with the rows up to its end."""
+        upto = F.sum("_cnt").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_upto", upto)
+        return counted.where((F.col("_upto") >= want) & (F.col("_upto") - F.col("_cnt") < want)).first()
+
+    bucket = crossing(place, ["_b"], max_train_rows)
+    if bucket is None:
+        return train
+    need = max_train_rows - (bucket["_upto"] - bucket["_cnt"])
+    last = crossing(place.where(F.col("_b").eqNullSafe(F.lit(bucket["_b"]))), ["_h", "_key"], need)
+    rows = train.withColumn("_h", key_hash(key, PICK_SEED))
+    same = F.col("_h").eqNullSafe(F.lit(last["_h"]))
+    earlier = _before("_h", last["_h"]) | (same & _before(key, last["_key"]))
+    at = same & F.col(key).eqNullSafe(F.lit(last["_key"]))
+    if last["_upto"] == need:
+        return rows.where(earlier | at).drop("_h")
+    return rows.where(earlier).unionByName(rows.where(at).limit(need - (last["_upto"] - last["_cnt"]))).drop("_h")
 
 
 def fitted_rows_sql(source: str, key: str = "ID", max_train_rows: int = MAX_TRAIN_ROWS) -> str:
@@ -41,15 +73,20 @@ def _nearest_fn(model, k: int, key: str, keep: list[str]):
         tid, tv, label = model.value
         norms = (tv * tv).sum(axis=1)
         step = max(1, _CELLS // max(1, len(tid)))
+        moved = np.ascontiguousarray(np.concatenate([-2.0 * tv, norms[:, None]], axis=1).T)
+        groups = max(k, 16, int(np.sqrt(k * len(tid))))  # of about as many rows as give few minima and few rows within the bound
+        size = len(tid) // groups
+        buffer = np.empty((step, len(tid)))
         for pdf in batches:
             for a in range(0, len(pdf), step):
                 part = pdf.iloc[a:a + step]
                 qv = np.stack(part["qv"].to_numpy()).astype(float)
-                near = norms[None, :] - 2.0 * (qv @ tv.T)  # squared distance less the query's own norm
+                near = np.matmul(np.concatenate([qv, np.ones((len(qv), 1))], axis=1), moved, out=buffer[:len(qv)])  # squared distance less the query's own norm
                 if near.shape[1] > k:
-                    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+                    least = near[:, :size * groups].reshape(len(qv), size, groups).min(axis=1) if size > 1 else near
+                    kth = np.partition(least, k - 1, axis=1)[:, k - 1]
                     slack = 1e-9 * (1.0 + norms.max() + (qv * qv).sum(axis=1))
-                    rows, cols = np.nonzero(near <= (kth + slack)[:, None])
+                    rows, cols = np.divmod(np.flatnonzero(near <= (kth + slack)[:, None]), near.shape[1])
                 else:
                     rows, cols = (x.ravel() for x in np.indices(near.shape))
                 diff = qv[rows] - tv[cols]

@@ -129,6 +129,29 @@ def test_knn_fits_a_bounded_number_of_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn.knn_neighbours(model, test, k=5).collect()))
 
 
+def test_knn_rows_to_fit_are_cut_before_they_reach_the_driver(spark):
+    """Same rows as a sorted limit (null and repeated keys included), without as many rows from every task."""
+    keys = [None, None, *range(-40, 260), *[77] * 30]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "ID long, n int").repartition(6)
+    for n in (0, 1, 2, 3, 50, 150, 200, 250, len(keys) - 1, len(keys), len(keys) + 5):
+        want = df.orderBy(S.key_hash("ID", knn.PICK_SEED), "ID").limit(n)
+        got = knn.fitted_rows(df, max_train_rows=n)
+        count = lambda rows: sorted(((r["ID"] is not None, r["ID"]) for r in rows.collect()), key=str)
+        assert count(got) == count(want) and got.columns == df.columns, n
+        assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
+    few = knn.fitted_rows(spark.range(5000).select(F.col("id").alias("ID")), max_train_rows=700)
+    assert few.rdd.getNumPartitions() > 1 and few.count() == 700
+
+
+def test_knn_bound_by_groups_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    t, q = rng.integers(0, 4, (700, 3)).astype(float), rng.integers(0, 4, (40, 3)).astype(float)  # many ties
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ID long, vec array<double>")
+    got = {(r["qid"], r["rank"]): (r["tid"], r["d2"]) for r in knn.knn_neighbours(frame(t), frame(q), k=15).collect()}
+    d2 = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+    assert got == {(i, j + 1): (int(c), d2[i, c]) for i in range(40) for j, c in enumerate(np.lexsort((np.arange(700), d2[i]))[:15])}
+
+
 def test_knn_shuffles_nothing(spark):
     e = _embeddings(spark)
     plan = knn.knn_classify(e, e, k=3, label="label")._jdf.queryExecution().executedPlan().toString()
