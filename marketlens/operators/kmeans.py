@@ -1,6 +1,7 @@
 """M7 / M8: K-Means with many starts that advance together.
 
-All starts (every k and every seed) share each pass over the vectors: a task multiplies its Arrow batches with the centres of all open starts at once and returns
+The vectors are stored once, as blocks of some thousand rows dealt evenly to the cores, so that a pass reads matrices and converts no row, however many files or row groups
+the table has.  All starts (every k and every seed) share each pass over the vectors: a task multiplies its blocks with the centres of all open starts at once and returns
 one row with their sums, counts and costs; the rows are added up in the JVM and only ``centres x dimensions`` numbers reach the driver.  So an iteration is one job for
 all starts, and a start leaves when its centres stop moving.
 
@@ -52,20 +53,67 @@ class CentroidModel:
         return df.withColumn(output, (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
-def _matrix_fn():
-    """Task code: the vectors of a batch."""
-    def matrix(column):
-        return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
-    return matrix
+#: Rows and numbers of one stored block of vectors at most.
+BLOCK_ROWS, BLOCK_NUMBERS = 4096, 1 << 18
+#: Distances in memory at once in a task; few, so that they stay in the processor's cache.
+_CELLS = 1 << 18
+
+
+def _pack_fn(block_rows: int, block_numbers: int):
+    """Blocks of hashes and vectors from Arrow batches of ``h, x``."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            vectors = batch.column(1)
+            if vectors.null_count:
+                raise ValueError("vectors to cluster are null")
+            h, flat = batch.column(0).to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+            if len(set(np.diff(vectors.offsets.to_numpy()).tolist())) != 1:
+                raise ValueError("vectors to cluster differ in length")
+            x = flat.reshape(n, -1)
+            size = max(1, min(block_rows, block_numbers // max(1, x.shape[1])))
+            for a in range(0, n, size):
+                yield pa.RecordBatch.from_arrays([pa.array([v[a:a + size].tobytes()], pa.binary()) for v in (h, x)], names=["h", "x"])
+    return run
+
+
+def _blocks_fn():
+    """Task code: hashes and vectors of each stored block, the vectors in parts of about ``cells / width`` rows."""
+    def blocks(batches, width, cells):
+        for batch in batches:
+            for h, x in zip(batch.column(0), batch.column(1)):
+                h = np.frombuffer(h.as_buffer(), np.int64)
+                x = np.frombuffer(x.as_buffer(), float).reshape(len(h), -1)
+                step = max(64, cells // max(1, width))
+                for a in range(0, len(h), step):
+                    yield h[a:a + step], x[a:a + step]
+    return blocks
+
+
+def _told_fn():
+    """Task code: one row of sums as a batch."""
+    def told(sums):
+        import pyarrow as pa
+        return pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], names=["s"])
+    return told
 
 
 def _distance_fn():
-    """Squared distances of rows to centres, both moved by ``shift`` so that little cancels."""
-    def distances(x, centres, shift):
-        x, c = x - shift, centres - shift
-        d = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None]
-        return np.maximum(d, 0.0)
-    return distances
+    """Squared distances of centres (rows) to vectors (columns), both moved by a shift so that little cancels, less the vectors' own squared lengths."""
+    def matrix(centres):
+        return np.concatenate([-2.0 * centres, (centres * centres).sum(axis=1)[:, None]], axis=1)
+
+    def extended(moved):
+        return np.concatenate([moved, np.ones((len(moved), 1))], axis=1)
+
+    def least(at_once, moved, square, k):
+        """Smallest distance to each of several starts of ``k`` centres, given centre by centre (``matrix`` of all first centres, all second ones, ...)."""
+        far = (at_once @ moved.T).reshape(k, -1, len(moved))
+        return np.maximum(far.min(axis=0) + square, 0.0)
+    return matrix, extended, least
 
 
 def _summed(rows: DataFrame) -> np.ndarray:
@@ -73,15 +121,34 @@ def _summed(rows: DataFrame) -> np.ndarray:
 
 
 def stored_vectors(vectors: DataFrame, features: str = "features", key: str = "ID") -> DataFrame:
-    """``h`` (hash of the key) and ``x`` (array), written once for all passes."""
+    """Blocks of ``h`` (hashes of the key) and ``x`` (vectors), written once for all passes and dealt evenly to the cores."""
     x = F.col(features) if vectors.schema[features].dataType.typeName() == "array" else vector_to_array(features)
-    return materialize(vectors.select(F.xxhash64(key).alias("h"), F.transform(x, lambda v: v.cast("double")).alias("x")))
+    pairs = vectors.select(F.xxhash64(key).alias("h"), F.transform(x, lambda v: v.cast("double")).alias("x"))
+    blocks = pairs.mapInArrow(_pack_fn(BLOCK_ROWS, BLOCK_NUMBERS), "h binary, x binary")
+    return materialize(blocks.repartition(vectors.sparkSession.sparkContext.defaultParallelism))
 
 
-def _moments(rows: DataFrame, d: int) -> tuple[float, np.ndarray, np.ndarray]:
+def _moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Number, mean and variance of the rows."""
-    agg = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)], *[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(d)]).first()
-    return agg["n"], np.array([agg[f"m{i}"] for i in range(d)]), np.array([agg[f"v{i}"] for i in range(d)])
+    blocks, told = _blocks_fn(), _told_fn()
+
+    def run_about(centre):
+        def run(batches):
+            n, first, second = 0, 0.0, 0.0
+            for h, x in blocks(batches, 1, 1 << 12):
+                moved = x - centre
+                n, first, second = n + len(h), first + moved.sum(axis=0), second + (moved * moved).sum(axis=0)
+            if n:
+                yield told(np.concatenate([[n], first, second]))
+        return run
+
+    def sums(centre):
+        flat = _summed(rows.mapInArrow(run_about(centre), "s array<double>"))
+        return flat[0], flat[1:(len(flat) + 1) // 2] / flat[0], flat[(len(flat) + 1) // 2:] / flat[0]
+
+    n, mean, _ = sums(0.0)
+    _, off, square = sums(mean)
+    return round(n), mean + off, square - off * off
 
 
 def _uniform_fn():
@@ -97,53 +164,78 @@ def _uniform_fn():
     return uniform
 
 
+def _by_size(starts: Mapping[tuple[int, int], np.ndarray], shift: np.ndarray) -> list[tuple[list, int, np.ndarray]]:
+    """Starts with equally many centres: their names, that number, and the centres moved by ``shift`` (all first ones, all second ones, ...)."""
+    sizes: dict[int, list] = {}
+    for name, c in starts.items():
+        sizes.setdefault(len(c), []).append(name)
+    return [(names, k, np.stack([starts[s] - shift for s in names], axis=1).reshape(k * len(names), len(shift))) for k, names in sizes.items()]
+
+
 def _draw(rows: DataFrame, starts: Mapping[tuple[int, int], np.ndarray], trials: Mapping[tuple[int, int], int], step: int, shift: np.ndarray) -> dict:
     """For every start, the rows its trials draw."""
-    names = list(starts)
-    matrix, distances, uniform = _matrix_fn(), _distance_fn(), _uniform_fn()
-    centres, count = dict(starts), dict(trials)
+    groups, names, count = _by_size(starts, shift), list(starts), dict(trials)
+    place = {name: i for i, name in enumerate(names)}
+    blocks, (matrix, extended, least), uniform = _blocks_fn(), _distance_fn(), _uniform_fn()
+    width, cells = sum(len(c) for _, _, c in groups), _CELLS
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
         best: dict[tuple[int, int], tuple] = {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, h = matrix(pdf["x"]), pdf["h"].to_numpy()
-            for i, name in enumerate(names):
-                weight = distances(x, centres[name], shift).min(axis=1) if len(centres[name]) else np.ones(len(x))
-                for t in range(count[name]):
-                    with np.errstate(divide="ignore"):
-                        keys = np.where(weight > 0, -np.log(uniform(h, name[1] * 1000 + name[0], step, t)) / weight, np.inf)
-                    j = int(keys.argmin())
-                    found = (float(keys[j]), int(h[j]))
-                    if (i, t) not in best or found < best[i, t][0]:
-                        best[i, t] = (found, x[j].tolist())
-        yield pd.DataFrame([(i, t, *found, row) for (i, t), (found, row) in best.items()], columns=["i", "t", "key", "h", "x"])
-
-    told = rows.mapInPandas(run, "i long, t long, key double, h long, x array<double>")
-    least = told.groupBy("i", "t").agg(F.min(F.struct("key", "h", "x")).alias("m")).collect()
-    return {(names[r["i"]], r["t"]): np.array(r["m"]["x"]) for r in least}
+        at_once = [matrix(c) for _, _, c in groups]
+        for h, x in blocks(batches, width, cells):
+            moved = x - shift
+            square, with_one = (moved * moved).sum(axis=1), extended(moved)
+            for (members, k, _), m in zip(groups, at_once):
+                weights = least(m, with_one, square, k) if k else np.ones((len(members), len(x)))
+                for name, weight in zip(members, weights):
+                    for t in range(count[name]):
+                        i = place[name]
+                        u = uniform(h, name[1] * 1000 + name[0], step, t)
+                        own, limit = slice(None), best[i, t][0][0] if (i, t) in best else np.inf
+                        if np.isfinite(limit):  # -ln u is no less than 1 - u: only these rows can have a smaller key
+                            own = np.flatnonzero(1.0 - u <= limit * weight * (1 + 1e-9))
+                            if not len(own):
+                                continue
+                        w, hashes = weight[own], h[own]
+                        with np.errstate(divide="ignore"):
+                            keys = np.where(w > 0, -np.log(u[own]) / w, np.inf)
+                        j = int(keys.argmin())
+                        found = (float(keys[j]), int(hashes[j]))
+                        if (i, t) not in best or found < best[i, t][0]:
+                            best[i, t] = (found, x[own][j].copy())
+        if best:
+            columns = zip(*[(i, t, *found, row) for (i, t), (found, row) in best.items()])
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(columns, types)], names=["i", "t", "key", "h", "x"])
+
+    told = rows.mapInArrow(run, "i long, t long, key double, h long, x array<double>")
+    first = told.groupBy("i", "t").agg(F.min(F.struct("key", "h", "x")).alias("m")).collect()
+    return {(names[r["i"]], r["t"]): np.array(r["m"]["x"]) for r in first}
 
 
 def _potentials(rows: DataFrame, starts: Mapping[tuple[int, int], np.ndarray], drawn: Mapping[tuple, np.ndarray], shift: np.ndarray) -> dict:
     """Cost of every start with each of its candidates added."""
-    order = sorted(drawn)
-    matrix, distances = _matrix_fn(), _distance_fn()
-    centres, candidates = dict(starts), dict(drawn)
+    groups, order = _by_size(starts, shift), sorted(drawn)
+    blocks, (matrix, extended, least), told = _blocks_fn(), _distance_fn(), _told_fn()
+    candidates = {name: [j for j, (start, _) in enumerate(order) if start == name] for name in starts}
+    points = np.stack([drawn[o] for o in order]) - shift
+    width, cells = sum(len(c) for _, _, c in groups) + len(order), _CELLS
 
     def run(batches):
-        import pandas as pd
         sums = np.zeros(len(order))
-        for pdf in batches:
-            if len(pdf):
-                x = matrix(pdf["x"])
-                extra = distances(x, np.stack([candidates[o] for o in order]), shift)
-                now = {name: distances(x, c, shift).min(axis=1) for name, c in centres.items() if len(c)}
-                for j, (name, _) in enumerate(order):
-                    sums[j] += (np.minimum(extra[:, j], now[name]) if name in now else extra[:, j]).sum()
-        yield pd.DataFrame({"s": [sums.tolist()]})
-    return dict(zip(order, _summed(rows.mapInPandas(run, "s array<double>"))))
+        at_once, new = [matrix(c) for _, _, c in groups], matrix(points)
+        for _, x in blocks(batches, width, cells):
+            moved = x - shift
+            square, with_one = (moved * moved).sum(axis=1), extended(moved)
+            extra = least(new, with_one, square, 1)
+            for (members, k, _), m in zip(groups, at_once):
+                now = least(m, with_one, square, k) if k else np.full((len(members), len(x)), np.inf)
+                for name, own in zip(members, now):
+                    for j in candidates[name]:
+                        sums[j] += np.minimum(extra[j], own).sum()
+        yield told(sums)
+    return dict(zip(order, _summed(rows.mapInArrow(run, "s array<double>"))))
 
 
 def seed_centres(rows: DataFrame, starts: Sequence[tuple[int, int]], shift: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -163,36 +255,38 @@ def seed_centres(rows: DataFrame, starts: Sequence[tuple[int, int]], shift: np.n
 
 def _advance(rows: DataFrame, starts: Mapping[tuple[int, int], np.ndarray], shift: np.ndarray) -> dict:
     """For every start: sums around ``shift`` and counts by cluster, cost, and sums of squared lengths around ``shift`` by cluster."""
-    names = list(starts)
-    together = np.concatenate([starts[s] for s in names])
-    ends = np.cumsum([0] + [len(starts[s]) for s in names]).tolist()
-    d, total = together.shape[1], len(together)
-    matrix, distances, n_starts = _matrix_fn(), _distance_fn(), len(names)
+    groups, d = _by_size(starts, shift), len(shift)
+    blocks, (matrix, extended, _), told = _blocks_fn(), _distance_fn(), _told_fn()
+    width, cells = max(len(c) for _, _, c in groups), _CELLS
 
     def run(batches):
-        import pandas as pd
-        sums, counts, cost, square = np.zeros((total, d)), np.zeros(total), np.zeros(n_starts), np.zeros(total)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = matrix(pdf["x"])
-            far = distances(x, together, shift)
-            member = np.zeros((len(x), total))
-            for j in range(n_starts):
-                own = far[:, ends[j]:ends[j + 1]]
-                at = own.argmin(axis=1)
-                member[np.arange(len(x)), ends[j] + at] = 1.0
-                cost[j] += own[np.arange(len(x)), at].sum()
+        at_once = [matrix(c) for _, _, c in groups]
+        sums = [np.zeros((len(c), d + 2)) for _, _, c in groups]
+        cost = [np.zeros(len(members)) for members, _, _ in groups]
+        for _, x in blocks(batches, width, cells):
             moved = x - shift
-            sums += member.T @ moved
-            counts += member.sum(axis=0)
-            square += member.T @ (moved * moved).sum(axis=1)
-        yield pd.DataFrame({"s": [np.concatenate([sums.ravel(), counts, cost, square]).tolist()]})
-
-    flat = _summed(rows.mapInPandas(run, "s array<double>"))
-    sums, counts = flat[:total * d].reshape(total, d), flat[total * d:total * (d + 1)]
-    cost, square = flat[total * (d + 1):total * (d + 1) + n_starts], flat[total * (d + 1) + n_starts:]
-    return {s: (sums[a:b], counts[a:b], float(cost[j]), square[a:b]) for j, (s, a, b) in enumerate(zip(names, ends, ends[1:]))}
+            with_one, square = extended(moved), (moved * moved).sum(axis=1)
+            added = np.concatenate([with_one, square[:, None]], axis=1)
+            for g, (members, k, c) in enumerate(groups):
+                far = (at_once[g] @ with_one.T).reshape(k, len(members), len(x))
+                nearest, at = far[0].copy(), np.zeros(far[0].shape, np.int32)
+                for i in range(1, k):
+                    np.copyto(at, i, where=far[i] < nearest)  # ties to the smaller number
+                    np.minimum(nearest, far[i], out=nearest)
+                cost[g] += np.maximum(nearest + square, 0.0).sum(axis=1)
+                for i in range(k):
+                    np.equal(at, i, out=far[i], casting="unsafe")  # from here on: whether a row is a member
+                sums[g] += far.reshape(len(c), -1) @ added
+        yield told(np.concatenate([*(s.ravel() for s in sums), *cost]))
+
+    flat = _summed(rows.mapInArrow(run, "s array<double>"))
+    out, at, costs = {}, 0, (d + 2) * sum(len(c) for _, _, c in groups)
+    for members, k, c in groups:
+        own = flat[at:at + len(c) * (d + 2)].reshape(k, len(members), d + 2)
+        for j, name in enumerate(members):
+            out[name] = own[:, j, :d], np.rint(own[:, j, d]), float(flat[costs + j]), own[:, j, d + 1]
+        at, costs = at + len(c) * (d + 2), costs + len(members)
+    return out
 
 
 def lloyd(rows: DataFrame, first: Mapping[tuple[int, int], np.ndarray], shift: np.ndarray, max_iter: int = MAX_ITERATIONS, tolerance: float = 0.0) -> dict:
@@ -226,21 +320,19 @@ class ManyStarts:
         ks, shift = list(self.models), self.shift
         centres = {k: self.models[k].centres for k in ks}
         stats = {k: (self.sums[k][0], self.sums[k][1], self.sums[k][3]) for k in ks}
-        matrix, distances = _matrix_fn(), _distance_fn()
+        blocks, (matrix, extended, _), told = _blocks_fn(), _distance_fn(), _told_fn()
+        width, cells = max(ks), _CELLS
 
         def run(batches):
-            import pandas as pd
             total, n = np.zeros(len(ks)), 0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = matrix(pdf["x"])
+            at_once = {k: matrix(c - shift) for k, c in centres.items()}
+            for _, x in blocks(batches, width, cells):
                 moved = x - shift
-                xx = (moved * moved).sum(axis=1)
+                xx, with_one = (moved * moved).sum(axis=1), extended(moved)
                 n += len(x)
                 for j, k in enumerate(ks):
                     sums, counts, square = stats[k]
-                    at = distances(x, centres[k], shift).argmin(axis=1)
+                    at = (with_one @ at_once[k].T).argmin(axis=1)
                     apart = counts[None] * xx[:, None] - 2 * moved @ sums.T + square[None]
                     own, i = counts[at], np.arange(len(x))
                     a = apart[i, at] / np.maximum(own - 1, 1)
@@ -250,8 +342,8 @@ class ManyStarts:
                     larger = np.maximum(a, b)
                     score = np.where((own > 1) & np.isfinite(b) & (larger > 0), (b - a) / np.where(larger > 0, larger, 1.0), 0.0)
                     total[j] += score.sum()
-            yield pd.DataFrame({"s": [[*total.tolist(), float(n)]]})
-        flat = _summed(self.rows.mapInPandas(run, "s array<double>"))
+            yield told(np.array([*total.tolist(), float(n)]))
+        flat = _summed(self.rows.mapInArrow(run, "s array<double>"))
         return {k: float(flat[j] / flat[-1]) for j, k in enumerate(ks)}
 
 
@@ -262,10 +354,9 @@ def fit_many(vectors: DataFrame, ks: Sequence[int], seed: int = 42, n_init: int
     ``tolerance`` is relative to the mean variance of the features, as in the published setting's library.
     """
     rows = stored_vectors(vectors, features, key)
-    one = rows.select("x").first()
-    if one is None:
+    if rows.isEmpty():
         raise ValueError("no vectors to cluster")
-    _, shift, variance = _moments(rows, len(one["x"]))
+    _, shift, variance = _moments(rows)
     starts = [(int(k), s) for k in ks for s in range(seed, seed + n_init)]
     found = lloyd(rows, seed_centres(rows, starts, shift), shift, max_iter, tolerance * float(variance.mean()))
     last = _advance(rows, {s: c for s, (c, _) in found.items()}, shift)

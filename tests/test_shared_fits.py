@@ -322,6 +322,31 @@ def test_draws_follow_the_squared_distance(spark):
     assert abs(share - 0.9) < 0.05 and not any(drawn[s, 0][0] == 0.0 for s in starts)
 
 
+def test_vectors_are_stored_as_blocks_dealt_to_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 16)
+    x, df = blobs(spark, 1)  # one partition, as of a file with one row group
+    rows = kmeans.stored_vectors(df)
+    cores = spark.sparkContext.defaultParallelism
+    held = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert rows.rdd.getNumPartitions() == cores and sum(r["n"] for r in held) == len(x) // 16 and len(held) > 1
+    n, mean, variance = kmeans._moments(rows)
+    assert n == len(x) and np.allclose(mean, x.mean(axis=0), rtol=1e-14) and np.allclose(variance, x.var(axis=0), rtol=1e-12)
+    monkeypatch.setattr(kmeans, "_CELLS", 100)  # several parts of a block
+    starts = {(2, 1): x[[0, 70]], (3, 4): x[[5, 100, 200]], (2, 0): x[[130, 239]]}
+    got = kmeans._advance(rows, starts, mean)
+    cost = kmeans._potentials(rows, starts, {(s, t): x[20 * t + 7] for s in starts for t in (0, 1)}, mean)
+    for s, c in starts.items():
+        far = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        at, moved = far.argmin(axis=1), x - mean
+        assert got[s][1].tolist() == np.bincount(at, minlength=len(c)).tolist() and got[s][2] == pytest.approx(far.min(axis=1).sum())
+        for i in range(len(c)):
+            assert np.allclose(got[s][0][i], moved[at == i].sum(axis=0)) and got[s][3][i] == pytest.approx((moved[at == i] ** 2).sum())
+        for t in (0, 1):
+            assert cost[s, t] == pytest.approx(np.minimum(far.min(axis=1), ((x - x[20 * t + 7]) ** 2).sum(axis=1)).sum())
+    with pytest.raises(Exception, match="differ in length"):
+        kmeans.stored_vectors(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], "ID long, features array<double>").coalesce(1))
+
+
 def test_fewer_distinct_rows_than_clusters(spark):
     df = spark.createDataFrame([(i, [float(i % 2), 0.0]) for i in range(20)], "ID long, features array<double>")
     model = G.fit_kmeans(df, 4, n_init=2)
