@@ -97,10 +97,21 @@ def ship(spark: SparkSession) -> None:
     sc._marketlens_shipped = True
 
 
+def tidied(result=None):
+    """``result``, after Arrow's pool gave the system what it holds without use; workers wait between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    return result
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package at hand in the tasks."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def run_tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidied()
+
+    return df.mapInArrow(run_tidied, schema)
 
 
 def parts_for(n_rows: int, per_part: int, least: int = 1) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import lookup, map_batches, mix64, passes, ship, text_buffer, written
+from marketlens.llm.common import lookup, map_batches, mix64, passes, ship, text_buffer, tidied, written
 from marketlens.llm.components import connected_components
 from marketlens.llm.id_filter import may_hold
 from marketlens.llm.words import shingle_hashes, shingle_sets, white_space_table, word_hashes
@@ -421,7 +421,7 @@ def join_groups(grouped: DataFrame, k: int, percent: int) -> DataFrame:
         apart = root != np.arange(len(names))
         return pd.DataFrame({"a": names[apart], "b": names[root[apart]]})
 
-    return grouped.groupBy("comp", "x", "y").applyInPandas(run, "a long, b long")
+    return grouped.groupBy("comp", "x", "y").applyInPandas(lambda pdf: tidied(run(pdf)), "a long, b long")
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,

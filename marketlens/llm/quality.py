@@ -104,21 +104,25 @@ def _site_name(key: str) -> Column:
     return F.when(F.col(key) != "", F.substring(key, 2, (1 << 31) - 1))
 
 
-def document_features(docs: DataFrame, text_col: str, host: Column, path: Column, carry: list[str]) -> DataFrame:
-    """The columns in ``carry`` with ``__host``, ``__path`` and ``__f`` (array of ``FEATURES``)."""
+def document_features(docs: DataFrame, text_col: str, host: Column, path: Column, carry: list[str], text_at: int | None = None) -> DataFrame:
+    """The columns in ``carry`` with ``__host``, ``__path`` and ``__f`` (array of ``FEATURES``).
+
+    ``text_at`` is the place of the text in the struct that ``carry`` begins with; the text then goes to the tasks once.
+    """
     schema = T.StructType([docs.schema[c] for c in carry] + [
         T.StructField("__host", T.StringType()), T.StructField("__path", T.StringType()), T.StructField("__f", T.ArrayType(T.DoubleType()))])
     kept = len(carry) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(kept))
+            buf, offsets = text_buffer(batch.column(kept) if text_at is None else batch.column(0).field(text_at))
             made = [surface_features(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]) for a, b in passes(offsets)]
             flat = np.concatenate(made).ravel() if made else np.zeros(0)
             f = pa.FixedSizeListArray.from_arrays(pa.array(flat), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], f], names=schema.names)
 
-    narrow = docs.select(*carry, _site(host).alias("__host"), _site(path).alias("__path"), F.col(text_col).cast("string").alias("__text"))
+    text = [F.col(text_col).cast("string").alias("__text")] if text_at is None else []
+    narrow = docs.select(*carry, _site(host).alias("__host"), _site(path).alias("__path"), *text)
     return map_batches(narrow, run, schema)
 
 
@@ -241,4 +245,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     features = written(document_features(docs, text_col, *where, [id_col]), "quality-features")
     model = fit_quality(features, labels, id_col, label_col, max_fit_rows)
     whole = docs.withColumn("__row", F.struct(*docs.columns))  # names of the input cannot clash with those made here
-    return model.apply(document_features(whole, text_col, *where, ["__row"]), threshold).where("keep").select("__row.*")
+    text_at = next((i for i, f in enumerate(docs.schema) if f.name == text_col and f.dataType == T.StringType()), None)
+    return model.apply(document_features(whole, text_col, *where, ["__row"], text_at), threshold).where("keep").select("__row.*")

@@ -234,6 +234,42 @@ def test_quality_edge_cases(spark):
     assert quality.score_quality(frame(spark, []), some).count() == 0
 
 
+def test_kept_texts_go_to_the_tasks_once(spark, monkeypatch):
+    sent, send = [], quality.map_batches
+    monkeypatch.setattr(quality, "map_batches", lambda df, run, schema: sent.append(df.schema.simpleString()) or send(df, run, schema))
+    rows = [(1, None, "a b c", "s"), (2, 7, None, "s"), (3, 8, "", None), (3, 8, "é " * 5000, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text_size int, text string, source string").withColumn("lang", F.lit("x")).repartition(1)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(map(str, quality.keep_good(docs, none).collect())) == sorted(map(str, docs.collect()))
+    assert "__row" in sent[-1] and "__text" not in sent[-1] and "__text" in sent[0]
+    # a text that is no string is cast, in a column of its own
+    assert quality.keep_good(docs.withColumn("text", F.lit(5)), none).count() == 4 and "__text" in sent[-1]
+
+
+def test_workers_give_back_what_arrow_holds(monkeypatch):
+    import pyarrow as pa
+
+    from marketlens.llm import common
+    told, batch = [], pa.RecordBatch.from_pydict({"x": [1]})
+
+    class Pool:
+        def release_unused(self):
+            told.append("released")
+
+    class Frame:
+        sparkSession = None
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            for _ in run(iter([batch, batch])):
+                told.append("batch")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(common, "ship", lambda spark: None)
+    common.map_batches(Frame(), lambda batches: (b for b in batches), "x long")
+    assert told == ["batch", "batch", "released"]
+    assert common.tidied(batch) is batch and told[3:] == ["released"]
+
+
 def test_url_sites(spark):
     row = spark.createDataFrame([("HTTPS://Blog.X.org/en/1?p=2",), ("bad url",), (None,)], "u string").select(
         quality.url_host(F.col("u")).alias("h"), quality.url_path(F.col("u")).alias("p")).collect()
