@@ -9,7 +9,7 @@ uses ``fold = -1``.
 * M2 / M3 logistic: Newton steps on the published objective (C = 1: log losses plus half the squared coefficients, intercept free), all
   folds and weightings in the same scans (``operators.newton``).
 * M6 tree: exact CART (depth 5, >= 20 rows per leaf, gini, balanced weights), all folds level by level (``operators.cart``).
-* M5 k-NN: 15 nearest among a bounded number of fitted rows (``operators.knn``).
+* M5 k-NN: 15 nearest among all training rows (``operators.knn``).
 """
 
 from __future__ import annotations
@@ -90,10 +90,11 @@ def predict_tree(train: DataFrame, test: DataFrame, label: str = LABEL) -> DataF
     return fit_tree(train, label).transform(test, label, vector_to_array("features"))
 
 
-def predict_knn(train: DataFrame, test: DataFrame, k: int = 15, label: str = LABEL) -> DataFrame:
+def predict_knn(train: DataFrame, test: DataFrame, k: int = 15, label: str = LABEL, max_train_rows: int | None = None) -> DataFrame:
+    """M5 by all rows of ``train``, or by at most ``max_train_rows`` of them."""
     tr = train.select("ID", vector_to_array("features").alias("vec"), label)
     te = test.select("ID", vector_to_array("features").alias("vec"), label)
-    return knn.knn_classify(tr, te, k=k, vec="vec", label=label, keep=(label,)).select("ID", label, "prediction", "score")
+    return knn.knn_classify(tr, te, k=k, vec="vec", label=label, keep=(label,), max_train_rows=max_train_rows).select("ID", label, "prediction", "score")
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str = LABEL) -> DataFrame:

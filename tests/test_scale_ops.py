@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -158,6 +158,46 @@ def test_knn_shuffles_nothing(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def _brute_votes(t, ids, y, q, k):
+    d2 = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+    return [float(y[np.lexsort((ids, far))[:k]].mean()) for far in d2]
+
+
+def test_knn_votes_of_all_rows_beyond_the_broadcast(spark, monkeypatch):
+    """More labelled rows than are broadcast: all of them vote; ties, repeated and null keys, and null kept values included."""
+    for name, size in (("TRAIN_BLOCK", 3000), ("QUERY_BLOCK", 16), ("TRAIN_PART", 9000), ("QUERY_PART", 64)):
+        monkeypatch.setattr(knn, name, size, raising=False)
+    rng = np.random.default_rng(4)
+    n = knn.MAX_TRAIN_ROWS + 2500
+    t, q = rng.integers(0, 12, (n, 4)).astype(float), rng.integers(0, 12, (90, 4)).astype(float)
+    ids, y = rng.permutation(n), rng.integers(0, 2, n)
+    keys = [None, 7, 7, *range(100, 187)]
+    train = spark.createDataFrame(pd.DataFrame({"ID": ids, "vec": list(t), "label": y}))
+    test = spark.createDataFrame([(k, v.tolist(), None if i % 5 == 0 else f"n{i}") for i, (k, v) in enumerate(zip(keys, q))], "ID long, vec array<double>, note string")
+    got = knn.knn_classify(train, test, k=5, keep=("note",))
+    assert got.columns == ["ID", "note", "score", "prediction"]
+    want = [(k, None if i % 5 == 0 else f"n{i}", s, int(s > 0.5)) for i, (k, s) in enumerate(zip(keys, _brute_votes(t, ids, y, q, 5)))]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    vectors = train.select("ID", array_to_vector("vec").alias("features"), "label")
+    told = {r["ID"]: r["score"] for r in C.predict_knn(vectors, vectors.where("ID < 60"), k=3).collect()}
+    some = np.flatnonzero(ids < 60)
+    assert told == dict(zip(ids[some].tolist(), _brute_votes(t, ids, y, t[some], 3)))
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 1e6), (1e-18, 0.0), (1e18, 0.0)])
+def test_knn_blocks_keep_exact_distances(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(knn, "MAX_TRAIN_ROWS", 100)
+    for name, size in (("TRAIN_BLOCK", 64), ("QUERY_BLOCK", 16), ("TRAIN_PART", 200)):
+        monkeypatch.setattr(knn, name, size, raising=False)
+    rng = np.random.default_rng(8)
+    t, q = rng.normal(size=(500, 6)) * scale + shift, rng.normal(size=(40, 6)) * scale + shift
+    t[:20, 0] += 1000 * scale  # far rows
+    y = rng.integers(0, 2, 500)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist(), int(y[i])) for i, v in enumerate(x)], "ID long, vec array<double>, label int").repartition(3)
+    got = {r["ID"]: r["score"] for r in knn.knn_classify(frame(t), frame(q), k=15, max_train_rows=None).collect()}
+    assert got == dict(enumerate(_brute_votes(t, np.arange(500), y, q, 15)))
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(5)
     x = [None if v > 90 else float(v) for v in rng.integers(0, 100, 333)]
