@@ -14,7 +14,7 @@ uses ``fold = -1``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -198,15 +198,17 @@ def classification_report(pred: DataFrame, group: Sequence[str] = ("model",), la
 class SplitFits:
     """What all classifiers of all training subsets share: terms, medians and sums from three or four scans.
 
-    ``data`` (stored) carries the features, ``label``, ``is_test`` and ``fold``.  Subset -1 is the training side of the holdout, ``f`` all rows but fold ``f``.
+    ``data`` (stored) carries the features, ``label``, ``is_test`` and ``fold``.  Subset -1 is the training side of the holdout, ``f`` all rows but fold ``f``;
+    ``folds`` names those to fit, all unless given.
     """
 
-    def __init__(self, data: DataFrame, feature_cols: Sequence[str], n_folds: int, label: str):
+    def __init__(self, data: DataFrame, feature_cols: Sequence[str], n_folds: int, label: str, folds: Collection[int] | None = None):
         self.data, self.label = data, label
         self._vectors: dict[tuple[int, bool], DataFrame] = {}
         self.numeric, self.categorical = numeric_and_categorical(data, feature_cols)
         cells = {2 * f + t for f in range(n_folds) for t in (0, 1)}
         self.train = {-1: {c for c in cells if c % 2 == 0}} | {f: {c for c in cells if c // 2 != f} for f in range(n_folds)}
+        self.train = {s: c for s, c in self.train.items() if folds is None or s in folds}
         self.cell = F.col("fold") * 2 + F.col("is_test").cast("int")
         self.terms = FM.table_terms(data, self.numeric, self.categorical, degree2=False)
         sums = FM.cell_moments(data, self.terms, [label], self.cell)
@@ -266,16 +268,16 @@ _BUILT_IN = {name: name for name in CLASSIFIER_NAMES}
 
 
 def prediction_table(data: DataFrame, feature_cols: Sequence[str], models: Sequence[str] | Mapping[str, object] = CLASSIFIER_NAMES,
-                     n_folds: int = 5, label: str = LABEL) -> DataFrame:
+                     n_folds: int = 5, label: str = LABEL, folds: Collection[int] | None = None) -> DataFrame:
     """All out-of-fold and holdout predictions: (model, fold, ID, label, prediction, score).
 
     ``data`` (stored) carries ``ID``, the features, ``label``, ``is_test`` and ``fold``.  Preprocessing (T5) is fitted once per split and shared by every
     model; the logistic models of all splits take their steps together, and so do the trees.  Folds cover all rows, holdout
     included, as in the published protocol.  ``models`` are known names, or a mapping of names to known names, Spark ML estimators or
-    functions (``operators.models``).
+    functions (``operators.models``).  ``folds`` names the values of ``fold`` wanted, all unless given: a split's predictions do not depend on the other splits.
     """
     chosen = as_mapping(models, _BUILT_IN)
-    fits = SplitFits(data, feature_cols, n_folds, label)
+    fits = SplitFits(data, feature_cols, n_folds, label, folds)
     known = {name: m for name, m in chosen.items() if isinstance(m, str)}
     balanced = {"logistic_regression": False, "logistic_regression_balanced": True}
     logistic = {name: balanced[m] for name, m in known.items() if m in balanced}

@@ -185,8 +185,15 @@ def q_rank_two_models(spark, sf):
     return C.ranked_models(m).withColumn("rank", F.col("rank").cast("int"))
 
 
+@kept_result("holdout_predictions")
+def _holdout_fits(spark, sf):
+    return C.prediction_table(materialize(cls_data(spark, sf)), CLASSIFICATION_FEATURES, folds=(-1,))
+
+
 def _holdout_all(spark, sf):
-    return all_predictions(spark, sf).filter(F.col("fold") == -1)
+    """Holdout rows of the predictions of all five models; the folds are not fitted for them."""
+    every = all_predictions.kept(spark, sf)
+    return _holdout_fits(spark, sf) if every is None else every.filter(F.col("fold") == -1)
 
 
 register("confusion_matrices", note="E3 for all five models on the holdout")(

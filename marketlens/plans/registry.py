@@ -49,6 +49,12 @@ def kept_result(name: str):
             if key not in _KEPT or _KEPT[key][0] != state:
                 _KEPT[key] = (state, fn(spark, sf))
             return _KEPT[key][1]
+
+        def kept(spark, sf):
+            """The result of an earlier call, if it holds, else None."""
+            found = _KEPT.get((name, spark.sparkContext.applicationId, str(sf)))
+            return found[1] if found and found[0] == files_state(spark, sf, TABLES) else None
+        wrapper.kept = kept
         wrapper.__name__ = fn.__name__
         wrapper.__doc__ = fn.__doc__
         return wrapper

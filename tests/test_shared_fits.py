@@ -266,6 +266,26 @@ def test_prediction_table_equals_single_fits(spark, responses):
             assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-8) for i in got)
 
 
+def test_holdout_alone_equals_the_holdout_of_all_splits(spark, responses):
+    names = ["knn_k15", "logistic_regression", "decision_tree_balanced", "dummy_most_frequent"]
+    rows = lambda table: sorted((r["model"], r["ID"], r["label"], r["prediction"], round(r["score"], 9)) for r in table.collect())
+    alone = C.prediction_table(responses, CLASSIFICATION_FEATURES, names, folds=(-1,))
+    assert {r["fold"] for r in alone.select("fold").distinct().collect()} == {-1}
+    assert rows(alone) == rows(C.prediction_table(responses, CLASSIFICATION_FEATURES, names).where("fold = -1"))
+
+
+def test_holdout_queries_fit_no_folds(spark, monkeypatch):
+    from marketlens.plans import q_classify, registry
+    registry.forget_results()
+    asked = []
+    table = C.prediction_table
+    monkeypatch.setattr(C, "prediction_table", lambda *a, **k: asked.append(k.get("folds")) or table(*a, **k))
+    alone = sorted(map(tuple, registry.REGISTRY["confusion_matrices"].fn(spark, SF_SMALL).collect()))
+    assert asked == [(-1,)]
+    q_classify.all_predictions(spark, SF_SMALL)
+    assert sorted(map(tuple, registry.REGISTRY["confusion_matrices"].fn(spark, SF_SMALL).collect())) == alone and asked == [(-1,), None]
+
+
 def test_any_classifier_by_mapping(spark, responses):
     def coin(train, test, label):
         return test.select("ID", label, F.lit(1).alias("prediction"), F.lit(0.75).alias("score"))
