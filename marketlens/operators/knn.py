@@ -35,8 +35,8 @@ PICK_SEED = 7
 _CELLS = 1_000_000
 #: Rows of a block to compare with and of a block to classify, and numbers in a block at most.
 TRAIN_BLOCK, QUERY_BLOCK, BLOCK_NUMBERS = 8192, 2048, 1 << 19
-#: Labelled rows and rows to classify of a task at most, when not all labelled rows are broadcast.
-TRAIN_PART, QUERY_PART = 300_000, 16_384
+#: Labelled rows, their numbers, and rows to classify of a task at most, when not all labelled rows are broadcast.
+TRAIN_PART, PART_NUMBERS, QUERY_PART = 300_000, 1 << 24, 16_384
 #: Share of the variance in the axes that lower bounds are taken from.
 _AXES = 0.95
 #: Relative error of a squared distance in single precision, generously.
@@ -143,10 +143,10 @@ def _pack_fn(rows: int, numbers: int, meta: int, names: list[str]):
             n = batch.num_rows
             if not n:
                 continue
-            flat = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            if flat.size % n or batch.column(batch.num_columns - 1).null_count:
-                raise ValueError("vectors differ in length")
-            x = flat.reshape(n, -1)
+            vectors = batch.column(batch.num_columns - 1)
+            if vectors.null_count or len(set(np.diff(vectors.offsets.to_numpy()).tolist())) != 1:
+                raise ValueError("vectors are null or differ in length")
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
             size = -(-n // -(-n // max(1, min(rows, numbers // max(1, x.shape[1])))))  # blocks of a batch are about equal
             for a in range(0, n, size):
                 lists = [pa.array([c.slice(a, size).to_pylist()], pa.list_(c.type)) for c in batch.columns[:meta]]
@@ -186,6 +186,7 @@ def _meet_fn(k: int):
             if len(t) > k and np.isinf(worst).any():  # some k rows tell how far the neighbours are at most
                 some = np.argpartition(near[:, :len(t)], k - 1, axis=1)[:, :k]
                 worst = np.fmin(worst, ((qv[a:b, None] - tv[some]) ** 2).sum(axis=2).max(axis=1))
+            worst = worst * (1 + 1e-12)  # sums of the same terms may differ in their last bits
             least = np.nextafter((worst - qa[a:b] + _ROUNDING * qn[a:b]).astype(kind), kind(np.inf))
             mask = near <= least[:, None]
             words = np.flatnonzero(mask.view(np.uint64))
@@ -238,7 +239,8 @@ def _vote_fn(k: int):
 def _classify_blocks(train: DataFrame, test: DataFrame, n_train: int, k: int, key: str, vec: str, label: str, keep: tuple[str, ...]) -> DataFrame:
     """:func:`knn_classify` by all of ``train``, block against block."""
     n_test, cores = test.count(), train.sparkSession.sparkContext.defaultParallelism
-    pieces = -(-n_train // TRAIN_PART)
+    width = train.select(F.size(vec)).first()[0]
+    pieces = max(-(-n_train // TRAIN_PART), -(-n_train * width // PART_NUMBERS))
     parts = max(1, -(-n_test // QUERY_PART), min(-(-n_test // QUERY_BLOCK), -(-3 * cores // pieces)))
     held = train.select(F.coalesce(F.col(key).cast("long"), F.lit(-2 ** 63)).alias("tid"), F.col(label).cast("double").alias("y"), F.col(vec).alias("t"))
     held = held.mapInArrow(_pack_fn(TRAIN_BLOCK, BLOCK_NUMBERS, 0, ["tid", "y", "t"]), "tid binary, y binary, t binary").repartition(pieces)

@@ -198,6 +198,20 @@ def test_knn_blocks_keep_exact_distances(spark, monkeypatch, scale, shift):
     assert got == dict(enumerate(_brute_votes(t, np.arange(500), y, q, 15)))
 
 
+def test_knn_blocks_equal_the_broadcast_rows(spark, monkeypatch):
+    """The bound of the first block comes from sums in another order than the distances: no neighbour at the bound may be lost."""
+    rng = np.random.default_rng(6)
+    turn = rng.normal(size=(4, 38))  # few axes tell the order, so that the bound is the farthest neighbour itself
+    frame = lambda n: spark.createDataFrame([(i, (rng.normal(size=4) @ turn).tolist(), int(rng.random() < 0.4)) for i in range(n)], "ID long, vec array<double>, label int")
+    train, test = frame(400).coalesce(1).cache(), frame(300).cache()
+    rows = lambda df: sorted((r["ID"], round(r["score"], 12), r["prediction"]) for r in df.collect())
+    want = rows(knn.knn_classify(train, test, 15))
+    monkeypatch.setattr(knn, "MAX_TRAIN_ROWS", 100)
+    assert rows(knn.knn_classify(train, test, 15)) == want
+    monkeypatch.setattr(knn, "PART_NUMBERS", 38 * 100)
+    assert rows(knn.knn_classify(train, test, 15)) == want
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(5)
     x = [None if v > 90 else float(v) for v in rng.integers(0, 100, 333)]
